@@ -1,14 +1,16 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-A paragraph here starts at every sentence and runs on to the first sentence end at which it has 16 words or more, so
-that its limits depend on its own words alone and a passage is found wherever it is set into a text.  Sentences of more
-than 64 words are also cut after words whose hash says so.  Paragraphs with equal words are one from the start; others
-are banded by MinHash over five-word shingles (6 bands of 2 rows: 99.8 % recall at similarity 0.8), colliding ones
-are verified by exact Jaccard similarity, and verified links are clustered by components.  A paragraph of a class that
-spans two documents or more is repeated; its first occurrence (smallest doc_id, then start) stays, others are removals.
-
-Defined results: null, empty and short texts have no paragraphs; texts are handled whole; rows that repeat a doc_id
-count as one document; a document without repeated paragraphs has no row; other columns aren't read.
+The paragraphs that are compared are sentences, so that their limits depend on their own words alone and a passage is
+found wherever it is set into a text; sentences of more than 64 words are also cut after words whose hash says so.
+Those of 6 words or more count.  Paragraphs with equal words are one from the start; others are banded by MinHash over
+five-word shingles (6 bands of 2 rows: 99.8 % recall at similarity 0.8), colliding ones are verified by exact
+Jaccard similarity, and verified links are clustered by components.  Banding leaves out paragraphs of fewer than 4
+shingles: sets so small can't differ and reach 0.8.  A paragraph of a class that spans two documents or more is
+repeated.  A passage is a run of repeated paragraphs of a document with 16 words or more, so that a common line or a
+licence line alone is none; the first occurrence of a class (smallest doc_id, then start) stays, others are removals.
+
+Defined results: null, empty and short texts have no passages; texts are handled whole; rows that repeat a doc_id
+count as one document; a document without passages has no row; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, mix, portions, small_enough, texts_of
+from .common import WORD, WordHashes, cut_lineage, mix, portions, small_enough, texts_of
 from .links import BROADCAST_ROWS, near_links, with_both
 from .neardup import SHINGLE, THRESHOLD, jaccard
 
 SENTENCE_END = re.compile(r"[.!?\n]\W*")
-LEAST_WORDS, LONG, BANDS, ROWS = 16, 64, 6, 2
+LEAST_WORDS, PASSAGE_WORDS, GAP, LONG, BANDS, ROWS = 6, 16, 60, 64, 6, 2
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
@@ -59,15 +61,13 @@ def paragraphs(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np
     """Start and end (code points), first and last word (end exclusive) of each paragraph, and all words."""
     limits, words = sentences(text, known)
     first_word = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    begins = np.flatnonzero(np.diff(first_word) > 0) if words else np.zeros(0, np.int64)
-    ends = np.searchsorted(first_word, first_word[begins] + LEAST_WORDS, "left")
-    begins, ends = begins[ends < len(first_word)], ends[ends < len(first_word)]
-    limits = np.array(limits, np.int64)
-    return limits[begins], limits[ends], first_word[begins], first_word[ends], [w for s in words for w in s]
+    own = np.flatnonzero(np.diff(first_word) >= LEAST_WORDS)
+    places = np.array(limits, np.int64)
+    return places[own], places[own + 1], first_word[own], first_word[own + 1], [w for s in words for w in s]
 
 
 def _each(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each paragraph, with some of: id (hash of the words), doc_id, start, end, size, bands, content."""
+    """A row for each paragraph, with some of: id (hash of the words), doc_id, start, end, size (shingles), bands, content."""
     types = {"id": "long", "doc_id": documents.schema["doc_id"].dataType.simpleString(), "start": "long", "end": "long", "size": "long", "bands": "array<long>", "content": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,26 +117,28 @@ def _bands(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
-    """A row for each run of repeated paragraphs in a document: doc_id, start, end (code points), class_id (of its first
-    paragraph), n_paragraphs, removed (false where the run holds first occurrences)."""
+    """A row for each passage of a document: doc_id, start, end (code points), class_id (of its first paragraph),
+    n_paragraphs, n_words, n_removed (paragraphs that aren't the first occurrence), removed (any of them)."""
     documents = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    banded = _each(documents, ["id", "bands"]).select("id", F.explode("bands").alias("key"))
+    banded = _each(documents, ["id", "size", "bands"]).where(F.col("size") >= 4).select("id", "size", F.explode("bands").alias("key"))
     several = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key").persist()
-    n_keys = several.count()
-    sized = _each(documents, ["id", "size", "bands"]).select("id", "size", F.explode("bands").alias("key"))
-    members = sized.join(small_enough(several, n_keys, BROADCAST_ROWS), "key")
+    members = banded.join(small_enough(several, several.count(), BROADCAST_ROWS), "key")
     contents = _each(documents, ["id", "content"])
     _, found = near_links(members, lambda pairs: jaccard(with_both(pairs, contents)), THRESHOLD)
-    occurrences = _each(documents, ["id", "doc_id", "start", "end"])
+    occurrences = _each(documents, ["id", "doc_id", "start", "end", "size"])
     own = occurrences.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("first"))
     linked = own.join(found, "id", "left").where((F.col("lo") != F.col("hi")) | F.col("component").isNotNull())
-    classes = linked.withColumn("class_id", F.coalesce("component", "id"))
-    firsts = classes.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first")).where("lo <> hi")
-    classes = classes.select("id", "class_id").join(firsts.select("class_id", "first"), "class_id").persist()
+    linked = cut_lineage(linked.withColumn("class_id", F.coalesce("component", "id")))
+    firsts = linked.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first")).where("lo <> hi")
+    classes = cut_lineage(linked.select("id", "class_id").join(firsts.select("class_id", "first"), "class_id"))
     hits = occurrences.join(small_enough(classes, classes.count(), BROADCAST_ROWS), "id")
     removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-    hits = hits.select("doc_id", "start", "end", "class_id", removed.alias("removed")).distinct()
-    order = W.partitionBy("doc_id", "removed").orderBy("start", "end", "class_id")
+    hits = hits.select("doc_id", "start", "end", "class_id", (F.col("size") + SHINGLE - 1).alias("words"), removed.alias("removed")).distinct()
+    order = W.partitionBy("doc_id").orderBy("start", "end", "class_id")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    runs = hits.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return runs.groupBy("doc_id", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("class_id", "start").alias("class_id"), F.count(F.lit(1)).alias("n_paragraphs")).drop("run")
+    runs = hits.withColumn("new", F.coalesce((F.col("start") > before + GAP).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    passages = runs.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("class_id", "start").alias("class_id"), F.count(F.lit(1)).alias("n_paragraphs"),
+        F.sum("words").alias("n_words"), F.count_if("removed").alias("n_removed"),
+    )
+    return passages.where(F.col("n_words") >= PASSAGE_WORDS).drop("run").withColumn("removed", F.col("n_removed") > 0)
