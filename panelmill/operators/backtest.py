@@ -1,0 +1,233 @@
+"""Quantile backtest: bins, rebalance calendar, drifting weights, turnover and costs, returns, statistics.
+
+All rebalance periods are one plan with a `period` column.  The table of dates is small and made once; holdings are
+expanded over their epoch by a join with it, and everything after is a window or a sum over (period, ...).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.expr import ndiv, period_key, quantile_bin
+from ..panel import Panel
+from ..plans.config import ResearchConfig
+
+
+def binned(p: Panel, bins: int) -> DataFrame:
+    """All rows with quantile; rows with a null factor take the lowest places and are dropped after."""
+    return p.df.withColumn("quantile", quantile_bin(p.x, bins, p.date, p.symbol)).where(p.x.isNotNull())
+
+
+def forward_return(p: Panel, df: DataFrame, bars: int = 1, name: str = "fut_ret") -> DataFrame:
+    """Return over the next `bars` rows of the symbol; zero prices and total losses are null."""
+    price = F.nullif(F.col(p.price), F.lit(0.0))
+    ahead = F.nullif(F.lead(F.col(p.price), bars).over(p.in_time), F.lit(0.0))
+    return df.withColumn("price_fut", ahead).withColumn(name, F.nullif(ndiv(F.col("price_fut"), price) - 1, F.lit(-1.0)))
+
+
+def bars(p: Panel, bins: int) -> DataFrame:
+    """datetime, symbol, quantile, fut_ret: what the backtest runs on; each symbol's last row has no future price."""
+    df = forward_return(p, binned(p, bins)).where(F.col("price_fut").isNotNull())
+    return df.select(F.col(p.date).alias("datetime"), F.col(p.symbol).alias("symbol"), "quantile", "fut_ret")
+
+
+def calendar(dates: DataFrame, periods: tuple[int | str, ...]) -> DataFrame:
+    """period, datetime, g (epoch), is_reb, first and last date of the epoch, next_first.  dates: distinct datetime."""
+    numbered = dates.withColumn("date_id", F.row_number().over(W.orderBy("datetime")) - 1)
+    parts = []
+    for period in periods:
+        if isinstance(period, int):
+            one = numbered.withColumns({"is_reb": F.col("date_id") % period == 0, "g": F.floor(F.col("date_id") / period).cast("long")})
+        else:
+            last = F.max("datetime").over(W.partitionBy(period_key(period, F.col("datetime"))))
+            one = numbered.withColumn("is_reb", F.col("datetime") == last)
+            one = one.withColumn("g", F.sum(F.col("is_reb").cast("long")).over(W.orderBy("datetime")) - 1)
+        parts.append(one.select(F.lit(str(period)).alias("period"), "datetime", "g", "is_reb"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    epochs = every.groupBy("period", "g").agg(F.min("datetime").alias("first"), F.max("datetime").alias("last"))
+    epochs = epochs.withColumn("next_first", F.lead("first").over(W.partitionBy("period").orderBy("first")))
+    return every.join(epochs, ["period", "g"])
+
+
+def holdings(rows: DataFrame, cal: DataFrame) -> DataFrame:
+    """period, g, symbol, quantile as frozen at each rebalance."""
+    return rows.join(F.broadcast(cal.where("is_reb")), "datetime").select("period", "g", "symbol", "quantile")
+
+
+def drift(rows: DataFrame, cal: DataFrame) -> DataFrame:
+    """A row for each held symbol and date of its epoch: fut_ret (0 where the bar is missing), growth up to and with the
+    bar, w (weight at the bar's start, 1 in total for each bin).  The start weight is equal within a bin and cancels."""
+    epoch = cal.select("period", "g", "datetime", "last", "next_first", "first")
+    grid = holdings(rows, cal).join(F.broadcast(epoch), ["period", "g"])
+    grid = grid.join(rows.select("datetime", "symbol", "fut_ret"), ["datetime", "symbol"], "left").withColumn("fut_ret", F.coalesce("fut_ret", F.lit(0.0)))
+    own = W.partitionBy("period", "g", "symbol").orderBy("datetime")
+    grid = grid.withColumn("growth", F.product(1 + F.col("fut_ret")).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    grid = grid.withColumn("before", F.coalesce(F.lag("growth").over(own), F.lit(1.0)))
+    return grid.withColumn("w", ndiv(F.col("before"), F.sum("before").over(W.partitionBy("period", "datetime", "quantile"))))
+
+
+def trades(drifted: DataFrame, config: ResearchConfig) -> DataFrame:
+    """period, datetime, quantile, symbol, buy, sell, turnover, cost at each rebalance.  Old and new weights are summed
+    with opposite signs, so entries, exits and changes are one aggregation; a bin that only one side has trades nothing."""
+    side = ["period", "quantile", "symbol"]
+    opening = drifted.where(F.col("datetime") == F.col("first")).select("datetime", *side, "g", F.col("w").alias("new"), F.lit(None).cast("double").alias("old"))
+    closing = drifted.where((F.col("datetime") == F.col("last")) & F.col("next_first").isNotNull())
+    share = ndiv(F.col("growth"), F.sum("growth").over(W.partitionBy("period", "datetime", "quantile")))
+    closing = closing.select(F.col("next_first").alias("datetime"), *side, F.lit(None).cast("long").alias("g"), F.lit(None).cast("double").alias("new"), share.alias("old"))
+    both = opening.unionByName(closing).groupBy("datetime", *side).agg(F.max("g").alias("g"), F.max("new").alias("new"), F.max("old").alias("old"))
+    in_bin = W.partitionBy("period", "datetime", "quantile")
+    both = both.withColumns({"has_new": F.count("new").over(in_bin) > 0, "has_old": F.count("old").over(in_bin) > 0, "first_ever": F.max("g").over(in_bin) == 0})
+    change = F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))
+    change = F.when(F.col("first_ever") | (F.col("has_new") & F.col("has_old")), change).otherwise(0.0)
+    fee_buy, fee_sell = config.fees
+    out = both.select("period", "datetime", "quantile", "symbol", F.greatest(change, F.lit(0.0)).alias("buy"), F.greatest(-change, F.lit(0.0)).alias("sell"))
+    return out.withColumns({"turnover": F.col("buy") + F.col("sell"), "cost": F.col("buy") * fee_buy + F.col("sell") * fee_sell})
+
+
+def turnover(traded: DataFrame, bins: int) -> DataFrame:
+    """period, datetime, leg ("1".. or "ls"), buy, sell, turnover, cost."""
+    names = ["buy", "sell", "turnover", "cost"]
+    each = traded.groupBy("period", "datetime", "quantile").agg(*(F.sum(c).alias(c) for c in names))
+    at = lambda c, q: F.max(F.when(F.col("quantile") == q, F.col(c)))
+    ls = each.groupBy("period", "datetime").agg(*(((at(c, 1) + at(c, bins)) / 2).alias(c) for c in names))
+    return each.select("period", "datetime", F.col("quantile").cast("string").alias("leg"), *names).unionByName(ls.select("period", "datetime", F.lit("ls").alias("leg"), *names))
+
+
+def bar_returns(drifted: DataFrame, traded: DataFrame) -> DataFrame:
+    """period, datetime, quantile, ret, cost, ret_net, ret_s, ret_net_s, by the bar's own date."""
+    keys = ["period", "datetime", "quantile"]
+    gross = drifted.select(*keys, (F.col("w") * F.col("fut_ret")).alias("ret"), F.lit(0.0).alias("cost"))
+    both = gross.unionByName(traded.select(*keys, F.lit(0.0).alias("ret"), "cost")).groupBy(*keys).agg(F.sum("ret").alias("ret"), F.sum("cost").alias("cost"))
+    return both.withColumns({"ret_s": -F.col("ret"), "ret_net": F.col("ret") - F.col("cost"), "ret_net_s": -F.col("ret") - F.col("cost")})
+
+
+def growth_of(ret: str, order) -> Column:
+    """Compounded growth; a null return leaves null in its place and is skipped."""
+    return F.when(F.col(ret).isNotNull(), F.product(1 + F.col(ret)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def realized(df: DataFrame) -> DataFrame:
+    """Moves each row to the date on which its return is known: the next date of its period; the last one has none."""
+    dates = df.select("period", "datetime").distinct().withColumn("next", F.lead("datetime").over(W.partitionBy("period").orderBy("datetime")))
+    return df.join(F.broadcast(dates), ["period", "datetime"]).withColumn("datetime", F.col("next")).drop("next")
+
+
+def returns(per_bar: DataFrame) -> DataFrame:
+    """Adds the cumulative curves of each bin, gross and net, long and short."""
+    order = W.partitionBy("period", "quantile").orderBy("datetime")
+    return realized(per_bar.withColumns({f"cum_{c}": growth_of(c, order) for c in ("ret", "ret_s", "ret_net", "ret_net_s")}).drop("cost"))
+
+
+def long_short(per_bar: DataFrame, bins: int) -> DataFrame:
+    """period, datetime, ret_ls, ret_net_ls and their curves: half of the top bin minus half of the bottom one."""
+    at = lambda c, q: F.max(F.when(F.col("quantile") == q, F.col(c)))
+    ls = per_bar.groupBy("period", "datetime").agg(((at("ret", bins) - at("ret", 1)) / 2).alias("ret_ls"), ((at("cost", 1) + at("cost", bins)) / 2).alias("cost"))
+    ls = ls.withColumn("ret_net_ls", F.col("ret_ls") - F.col("cost")).drop("cost")
+    order = W.partitionBy("period").orderBy("datetime")
+    return realized(ls.withColumns({f"cum_{c}": growth_of(c, order) for c in ("ret_ls", "ret_net_ls")}))
+
+
+def leg_series(per_bar: DataFrame, bins: int) -> DataFrame:
+    """period, leg (ls, l, s), bar, ret, gross: net returns by the bar's own date."""
+    at = lambda c, q: F.max(F.when(F.col("quantile") == q, F.col(c)))
+    wide = per_bar.groupBy("period", "datetime").agg(
+        ((at("ret", bins) - at("ret", 1)) / 2).alias("gross_ls"), ((at("cost", 1) + at("cost", bins)) / 2).alias("cost"), at("ret_net", bins).alias("l"), at("ret_net_s", 1).alias("s"), at("ret", bins).alias("gross_l"),
+    )
+    legs = F.array(
+        F.struct(F.lit("ls").alias("leg"), (F.col("gross_ls") - F.col("cost")).alias("ret"), (F.col("gross_ls") - F.col("cost")).alias("spare")),
+        F.struct(F.lit("l").alias("leg"), F.col("l").alias("ret"), F.col("gross_l").alias("spare")),
+        F.struct(F.lit("s").alias("leg"), F.col("s").alias("ret"), F.col("s").alias("spare")),
+    )
+    return wide.select("period", "datetime", F.explode(legs).alias("x")).select("period", "datetime", "x.leg", "x.ret", "x.spare")
+
+
+def statistics(per_bar: DataFrame, turn: DataFrame, bins: int, days: int, base_rate: float) -> DataFrame:
+    """period, leg and ten figures."""
+    order = W.partitionBy("period", "leg").orderBy("datetime")
+    nv = leg_series(per_bar, bins).withColumn("nv", growth_of("ret", order))
+    nv = nv.withColumn("drawdown", F.col("nv") / F.max("nv").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1)
+    loss = F.when(F.col("ret") < 0, F.col("ret"))
+    s = nv.groupBy("period", "leg").agg(
+        F.count(F.lit(1)).alias("n"), F.product(1 + F.col("ret")).alias("last"), F.avg("ret").alias("mean"), F.avg(loss).alias("mean_loss"), F.coalesce(F.stddev_samp("ret"), F.stddev_pop("spare")).alias("std"),
+        F.stddev_samp(loss).alias("down"), F.min("drawdown").alias("max_dd"), F.avg((F.col("ret") > 0).cast("double")).alias("win"),
+    )
+    leg = F.when(F.col("leg") == "1", "s").when(F.col("leg") == str(bins), "l").when(F.col("leg") == "ls", "ls")
+    mean_turn = turn.withColumn("leg", leg).where(F.col("leg").isNotNull()).groupBy("period", "leg").agg(F.avg("turnover").alias("mean_turnover"))
+    year = F.sqrt(F.lit(365.25) / (F.lit(float(days)) / F.col("n")))
+    s = s.join(mean_turn, ["period", "leg"], "left").withColumns({"ann_return": F.pow("last", F.lit(365.25 / days)) - 1 if days else F.lit(None).cast("double"), "ann_std": F.col("std") * year})
+    excess = F.col("ann_return") - base_rate
+    return s.select(
+        "period", "leg", "ann_return", "ann_std", ndiv(excess, F.col("ann_std")).alias("ann_sharpe"), ndiv(excess, F.col("down") * year).alias("ann_sortino"), ndiv(excess, F.abs("max_dd")).alias("ann_calmar"),
+        "mean_turnover", F.col("max_dd").alias("max_drawdown"), F.col("win").alias("win_rate"), ndiv(F.col("mean"), F.col("mean_loss")).alias("pl"), (F.col("last") - 1).alias("pnl"),
+    )
+
+
+def bucket(frequency: str | None, date: Column) -> Column | None:
+    """Start of the bucket of a length such as 5d or 30m; months for 20d; none for 1y or no length."""
+    if frequency in (None, "1y"):
+        return None
+    if frequency == "20d":
+        return F.date_format(date, "yyyy-MM")
+    seconds = int(frequency[:-1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[frequency[-1]]
+    since = F.unix_seconds(date.cast("timestamp"))
+    return F.date_format(F.timestamp_seconds(since - F.pmod(since, F.lit(seconds))), "yyyy-MM-dd HH:mm:ss")
+
+
+def aggregated(per_bar: DataFrame, bins: int, frequency: str | None) -> DataFrame:
+    """period, leg, agg_date, ret: net returns compounded within buckets of the realization date."""
+    legs = realized(leg_series(per_bar, bins))
+    key = bucket(frequency, F.col("datetime"))
+    if key is None:
+        return legs.limit(0).select("period", "leg", F.lit("").alias("agg_date"), "ret")
+    return legs.groupBy("period", "leg", key.alias("agg_date")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
+
+
+def seasonality(per_bar: DataFrame, bins: int) -> DataFrame:
+    """period, leg (l, s), year, m1..m12: excess over long-short, compounded by month; 0 where there is none."""
+    legs = leg_series(per_bar, bins)
+    ls = legs.where("leg = 'ls'").select("period", "datetime", F.col("ret").alias("ls"))
+    excess = realized(legs.where("leg <> 'ls'").join(ls, ["period", "datetime"]).withColumn("excess", F.col("ret") - F.col("ls")))
+    year, month = F.year("datetime"), F.month("datetime")
+    in_month = lambda m: F.coalesce(F.product(1 + F.when(month == m, F.col("excess"))) - 1, F.lit(0.0))
+    return excess.groupBy("period", "leg", year.alias("year")).agg(*(in_month(m).alias(f"m{m}") for m in range(1, 13)))
+
+
+def industry_returns(drifted: DataFrame, traded: DataFrame, industries: DataFrame, bins: int) -> DataFrame:
+    """period, industry, ret_net_s_qb_mean, ret_net_qt_mean, ret_net_ls_i_mean; industries: symbol, industry.  Industries
+    of the bottom bin only, symbols without one are Unlabeled.  Old holdings count on their closing date too."""
+    keys = ["period", "datetime", "quantile", "symbol"]
+    every = drifted.select(*keys, (F.col("w") * F.col("fut_ret")).alias("ret"), F.lit(0.0).alias("cost")).unionByName(traded.select(*keys, F.lit(0.0).alias("ret"), "cost"))
+    every = every.where(F.col("quantile").isin(1, bins)).join(industries, "symbol", "left").withColumn("industry", F.coalesce("industry", F.lit("Unlabeled")))
+    daily = every.groupBy("period", "datetime", "industry", "quantile").agg((F.sum("ret") - F.sum("cost")).alias("net"), (-F.sum("ret") - F.sum("cost")).alias("net_s"))
+    mean = lambda c, q: F.avg(F.when(F.col("quantile") == q, F.col(c)))
+    out = daily.groupBy("period", "industry").agg(mean("net_s", 1).alias("ret_net_s_qb_mean"), mean("net", bins).alias("ret_net_qt_mean"))
+    return out.where(F.col("ret_net_s_qb_mean").isNotNull()).withColumn("ret_net_ls_i_mean", F.col("ret_net_qt_mean") - F.col("ret_net_s_qb_mean"))
+
+
+def log_scale(curves: DataFrame) -> DataFrame:
+    """Natural logarithm of all cumulative columns."""
+    return curves.withColumns({c: F.ln(c) for c in curves.columns if c.startswith("cum_")})
+
+
+def trace(p: Panel, config: ResearchConfig, period: int | str, date, position: str = "l", full: bool = False) -> DataFrame:
+    """What a leg held around a date: symbol, quantile, g, weight_lag_1, ret, contribution, buy, sell, turnover, cost for
+    the date and its neighbours, or for all dates."""
+    rows = bars(p, config.bins)
+    cal = calendar(rows.select("datetime").distinct(), (period,))
+    held = drift(rows, cal)
+    bins = {"l": [config.bins], "s": [1], "ls": [1, config.bins]}[position]
+    sign = F.when(F.col("quantile") == 1, -1.0).otherwise(1.0) if position != "l" else F.lit(1.0)
+    out = held.where(F.col("quantile").isin(bins)).join(trades(held, config), ["period", "datetime", "quantile", "symbol"], "left")
+    out = out.select("datetime", "symbol", "quantile", "g", (F.col("w") * sign).alias("weight_lag_1"), F.col("fut_ret").alias("ret"), (F.col("w") * sign * F.col("fut_ret")).alias("contribution"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("buy", "sell", "turnover", "cost")))
+    if full:
+        return out
+    dates = cal.select("datetime").distinct()
+    near = dates.withColumns({"was": F.lag("datetime").over(W.orderBy("datetime")), "will": F.lead("datetime").over(W.orderBy("datetime"))}).where(F.col("datetime") == F.lit(date).cast("timestamp_ntz"))
+    found = near.first()
+    if found is None:
+        raise ValueError(f"{date} is no date of the panel")
+    return out.where(F.col("datetime").isin([d for d in found if d is not None]))
