@@ -30,7 +30,7 @@ RULES = ("start", "majority", "split")
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interval join of tokens and sections, both tiling [0, n) and given by their ends in bytes: tokens of each
     section by the rule, tokens that touch it, and of those the ones that cross a boundary."""
-    k, token_starts = len(section_ends), np.concatenate([[0], token_ends[:-1]]).astype(np.int64)
+    k, token_starts = len(section_ends), np.concatenate([[0], token_ends])[:-1].astype(np.int64)
     first = np.searchsorted(section_ends, token_starts, "right")
     last = np.maximum(np.searchsorted(section_ends, token_ends, "left"), first)
     pairs = last - first + 1  # sections of each token
