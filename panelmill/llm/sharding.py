@@ -11,7 +11,7 @@ documents larger than a 64th of a new shard, fewer than 64 x shards.  Cumulative
 holds a whole shard, however full it is.
 
 Defined results: a null text has size 1; a null shard key is a key of its own; repeated rows are placed one by one;
-an empty table gives an empty result; other columns are kept by `reshard` and may have any name but those it adds.
+an empty table gives an empty result; a null key is a key like others; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -120,13 +120,12 @@ def plan_transfers(docs: DataFrame, shards: int, key: str = "doc_id") -> tuple[P
 
 
 def reshard(documents: DataFrame, old_shard, shards: int = 16, key: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
-    """All columns but the text, with size, text_crc32, old_shard, shard int and slot long (gapless from 0 in a shard)."""
+    """key, size, text_crc32, old_shard, shard int and slot long (gapless from 0 in a shard) of every row."""
     spark = documents.sparkSession
-    docs = sized(documents, old_shard, key, text, salts).drop(text)
+    docs = sized(documents.select(key, text, old_shard.cast("int").alias("old_shard")), F.col("old_shard"), key, text, salts).drop(text)
     plan, _ = plan_transfers(docs, shards, key)
     own = W.partitionBy(*CELL).orderBy(F.col("size").desc(), F.col(key), "text_crc32")
-    alike = W.partitionBy(*CELL).orderBy(F.col("size").desc(), F.col(key), "text_crc32")
-    rows = [(*k[:2], k[2], k[3], k[4], j) for k, j in plan.giants.items()]
+    rows = [(*k, j) for k, j in plan.giants.items()]
     schema = f"size long, text_crc32 long, `{key}` {documents.schema[key].dataType.simpleString()}, old_shard int, copy int, giant int"
     giants = F.broadcast(spark.createDataFrame(rows, schema))  # fewer than 64 x shards
     small = F.col("size") <= plan.threshold
