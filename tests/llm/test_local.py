@@ -1,0 +1,158 @@
+"""Parts that need no session, against brute force."""
+
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from panelmill.llm import bpe, neardup, pii, repetition, sharding, token_attribution
+from panelmill.llm.common import WORD, WordHashes, shingle_hashes
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def own():
+    return bpe.encoder(RANKS, PATTERN)
+
+
+@pytest.fixture(scope="module")
+def peer(own):
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+
+
+def odd_texts():
+    draw = random.Random(5)
+    yield from ["", " ", "\n\n  x ", "aaaaaaaaaaa", "a" * 4000, "ab" * 700, "日本語のテキスト", "🙂🙂", "\x00\x01 é", "<|endoftext|>", "don't DON'T 12 345"]
+    for alphabet in ("ab ", "abcdefgh", "aé中🙂 \n1.", "the and ing er ", "0123456789,. "):
+        for n in (1, 2, 7, 60, 900):
+            yield "".join(draw.choice(alphabet) for _ in range(n))
+
+
+def test_encoding_equals_the_library(own, peer):
+    texts = list(odd_texts())
+    ids = own.encode(texts)
+    assert ids == [peer.encode_ordinary(t) for t in texts]
+    assert [own.decode(i).decode() for i in ids] == texts
+
+
+def test_replay_puts_a_lower_rank_first():
+    own = bpe.BytePairEncoder.__new__(bpe.BytePairEncoder)
+    own.ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 300, b"abcd": 290}
+    own.tokens = [b""] * 301
+    for token, rank in own.ranks.items():
+        own.tokens[rank] = token
+    own.bytes, own.pairs = list(range(256)), bpe._PairRanks(own.ranks, own.tokens)
+    assert own.replay([b"abcdabc", b"abcd"]) == [(290, 300), (290,)]
+
+
+@pytest.mark.parametrize("rule", token_attribution.RULES)
+def test_attribution_against_brute_force(rule):
+    draw = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(draw.integers(1, 40))
+        cut = lambda: np.unique(np.append(draw.integers(1, n + 1, draw.integers(0, 12)), n)).astype(np.int64)  # noqa: E731, B023
+        tokens, parts = cut(), cut()
+        given, touching, crossing = token_attribution.attribute(tokens, parts, rule)
+        want = np.zeros((3, len(parts)))
+        for a, b in zip([0, *tokens], tokens):
+            shares = [max(0, min(b, y) - max(a, x)) for x, y in zip([0, *parts], parts)]
+            hit = [k for k, s in enumerate(shares) if s]
+            for k in hit:
+                want[1, k] += 1
+                want[2, k] += len(hit) > 1
+                want[0, k] += {"start": k == hit[0], "majority": k == shares.index(max(shares)), "split": shares[k] / (b - a)}[rule]
+        assert np.allclose(given, want[0]) and (touching == want[1]).all() and (crossing == want[2]).all()
+        assert given.sum() == pytest.approx(len(tokens))
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ):
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            fine = {
+                "email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")), "phone": lambda: 9 <= len(digits) <= 15,  # noqa: B023
+                "card": lambda: 13 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(digits[::-1])) % 10 == 0,  # noqa: B023
+            }[kind]()
+            if fine:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_whole_text_patterns():
+    draw = random.Random(3)
+    seen = dict.fromkeys(pii.BASE_KINDS, 0)
+    fixed = ["a@b.c@d.e", "x@y@z.w", "1.2.3.4.5", "999.1.1.1.1", "00.0.0.256 1.1.1.1", "+1 (555) 010-9999.", "+1+12 345 67890 1", "4111 1111 1111 1111", "4111-1111-1111-1111x", "é@b.c a@é.com", "", "a@b..c d@e.f.", "12345678901234567890", "4556737586899855 4556737586899855"]
+    for n in range(4000):
+        fixed.append("".join(draw.choice(["a", "b.", "@", "@b.co", ".", "-", "+", " ", "(", ")", "1", "25", "9.9", "10.0.0.7", "4111111111111111", "+1 555 010 99", "é", "%"]) for _ in range(draw.randint(1, 14))))
+    for text in fixed:
+        base = [s for s in pii.spans_of(text) if s[0] in pii.BASE_KINDS]
+        assert base == plain_spans(text), text
+        for s in base:
+            seen[s[0]] += 1
+    assert min(seen.values()) > 20
+
+
+def test_added_spans_and_redaction():
+    text = "see https://bob:pw1@host.org, account no: AB12 3456 78. Mail a@b.co é"
+    found = {s[0]: text[s[1] : s[2]] for s in pii.spans_of(text)}
+    assert found["login"] == "bob:pw1" and found["account"] == "AB12 3456 78" and found["email"] in ("pw1@host.org", "a@b.co")
+    assert pii.redacted("x a@b.co y 1.2.3.4") == "x [EMAIL] y [IP]"
+    assert pii.redacted("accounting for 2020 results") == "accounting for 2020 results"
+
+
+def test_repetition_against_brute_force():
+    draw = random.Random(2)
+    texts = ["", " \n ", "a b c", *("\n".join(" ".join(draw.choice("abcd#") for _ in range(draw.randint(0, 9))) for _ in range(draw.randint(1, 9))) for _ in range(150)), *(" ".join(draw.choice(["w%d" % k for k in range(60)]) for _ in range(80)) for _ in range(60))]
+    for text in texts:
+        words = re.findall(r"[^ \t-\r]+", text)
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+        lines = text.split("\n")
+        dup = sum(bool(x.split()) and x in lines[:i] for i, x in enumerate(lines))
+        n, chars, symbols, n_lines, repeat, failed, kept, _, _ = repetition.measure(text, repetition.Limits())
+        assert (n, chars, n_lines, repeat) == (len(words), sum(map(len, words)), dup, len(inside))
+        assert symbols == sum(c in "#*$%&|<>" for c in text)
+        assert failed == (n < 10 or 100 * len(inside) > 20 * n) and not (failed and kept)
+
+
+def test_prob_minhash_estimates_weighted_similarity():
+    draw = np.random.default_rng(0)
+    a, b = draw.integers(0, 2**63, (2, 400)).astype(np.uint64)
+    x, y = np.concatenate([a, b[:60]]), np.concatenate([a, b[60:100]])
+    wx = np.ones(len(x))
+    both = neardup.prob_minhash(np.concatenate([x, y]), np.concatenate([wx, np.ones(len(y)) * 3]), np.repeat([0, 1], [len(x), len(y)]), 2, 4000)
+    # weights are relative to their own total, so the factor 3 doesn't matter
+    want = 1 / (sum([1.0] * 400) and 1) * 400 / (400 + 60 + 40)
+    assert (both[0] == both[1]).mean() == pytest.approx(want, abs=0.04)
+
+
+def test_shingles_of_short_texts():
+    known = WordHashes()
+    of = lambda t: shingle_hashes(known.of(WORD.findall(t)), 5)
+    assert len(of("")) == 0 and len(of("a b")) == 1 and len(of("a b c d e")) == 1 and len(of("a b c d e f")) == 2
+    assert of("a b")[0] != of("b a")[0]
+
+
+def test_flow_moves_the_fewest_bytes():
+    draw = random.Random(1)
+    for _ in range(40):
+        supply = [draw.randint(0, 50) for _ in range(draw.randint(1, 5))]
+        capacity = sharding.level([0] * draw.randint(1, 5), sum(supply))
+        assert max(capacity) - min(capacity) <= 1 and sum(capacity) == sum(supply)
+        sends = sharding.min_cost_flow(supply, capacity)
+        assert [sum(r) for r in sends] == supply and [sum(c) for c in zip(*sends)] == capacity
+        moved = sum(n for i, r in enumerate(sends) for j, n in enumerate(r) if i != j)
+        assert moved == sum(supply) - sum(min(a, b) for a, b in zip(supply, capacity))
+
+
+def test_level_fills_from_the_lowest():
+    assert sharding.level([10, 0, 0], 6) == [0, 3, 3] and sharding.level([1, 0], 5) == [2, 3] and sharding.level([0, 0], 0) == [0, 0]
+    take = sharding.level([3, 1, 0, 9], 11)
+    assert sum(take) == 11 and take[3] == 0 and max(a + b for a, b in zip([3, 1, 0], take)) == 5
