@@ -89,9 +89,10 @@ def _each(documents: DataFrame, columns: list[str]) -> DataFrame:
                 continue
             s, e = np.concatenate(froms), np.concatenate(tos)
             h = known.of(words)
-            power = np.cumprod(np.concatenate([[1], np.full(len(h), BASE, np.uint64)]).astype(np.uint64))
-            inverse = np.cumprod(np.concatenate([[1], np.full(len(h), INVERSE, np.uint64)]).astype(np.uint64))
-            sums = np.concatenate([[0], np.cumsum(mix(h) * power[:-1])]).astype(np.uint64)
+            one, powers = np.ones(1, np.uint64), np.ones(len(h), np.uint64)  # 64-bit unsigned throughout
+            power = np.cumprod(np.concatenate([one, powers * np.uint64(BASE)]))
+            inverse = np.cumprod(np.concatenate([one, powers * np.uint64(INVERSE)]))
+            sums = np.concatenate([one - one, np.cumsum(mix(h) * power[:-1])])
             out = {"id": lambda: pa.array(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)).view(np.int64))}
             out["doc_id"] = lambda: batch.column("doc_id").take(pa.array(np.concatenate(rows)))
             out["start"], out["end"] = lambda: pa.array(np.concatenate(starts)), lambda: pa.array(np.concatenate(ends))
