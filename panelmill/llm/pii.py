@@ -6,8 +6,9 @@ anchor's neighbourhood alone, so the work follows the number of anchors, not the
 
 Base kinds, leftmost and non-overlapping within a kind, a failing match is dropped and not retried:
 email, ip (parts at most 255), card (13 to 19 digits that pass Luhn), phone (9 to 15 digits).
-The method adds: login (``scheme://user:password@``, the part between scheme and at-sign) and account (an identifier
-of 6 or more characters with 4 or more digits shortly after a cue).
+The method adds: login (``scheme://user:password@``, the part between scheme and at-sign), account (an identifier of 6
+or more characters with 4 or more digits shortly after a cue) and secret (the value of 8 or more characters, one of
+them a digit, that a cue such as ``password=`` assigns, and access keys that a known prefix opens).
 
 Offsets are code points, the end exclusive.  Null text is empty; empty texts have no spans; any length is handled
 whole; repeated rows give repeated rows; other columns aren't read.
@@ -29,8 +30,10 @@ from .common import portions, texts_of
 
 #: The kinds in the order of the digest, and the words that announce an identifier.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "login", "account")
+KINDS = (*BASE_KINDS, "login", "account", "secret")
 CUES = ("account", "acct", "iban", "ssn", "passport", "licence no", "license no", "tax id", "customer id")
+SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey")
+KEY_PREFIXES = ("AKIA", "ASIA")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,13 +44,15 @@ NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
 IDENTIFIER = re.compile(r"[a-z]*[ ]?(?:no|nr|number|id)?[ .:#=\"']{0,4}([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+SECRET = re.compile(r"[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_.-]{8,})")
+KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 Span = tuple[str, int, int]
 
 
 @lru_cache(maxsize=1)
 def _anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for text, kind in [("@", "@"), ("+", "+"), *((d, "d") for d in "0123456789"), *((s, "s") for s in SCHEMES), *((c, "c") for cue in CUES for c in {cue, cue.upper(), cue.capitalize()})]:
+    for text, kind in [("@", "@"), ("+", "+"), *((d, "d") for d in "0123456789"), *((s, "s") for s in SCHEMES), *((k, "k") for k in KEY_PREFIXES), *((c, mark) for cues, mark in ((CUES, "c"), (SECRET_CUES, "w")) for cue in cues for c in {cue, cue.upper(), cue.capitalize()})]:
         found.add_word(text, kind)
     found.make_automaton()
     return found
@@ -93,6 +98,13 @@ def spans_of(text: str) -> list[Span]:
         elif kind == "s":
             if last >= past["login"] and (m := LOGIN.match(text, last + 1)):
                 keep("login", last + 1, m.end())
+        elif kind == "w":
+            if last >= past["secret"] and (m := SECRET.match(text, last + 1)) and any(c in DIGITS for c in m[1]):
+                keep("secret", *m.span(1))
+        elif kind == "k":
+            start = last - 3
+            if start >= past["secret"] and not text[start - 1 : start].isalnum() and KEY.match(text, last + 1):
+                keep("secret", start, last + 17)
         elif last >= past["account"] and (m := IDENTIFIER.match(text, last + 1)) and sum(c in DIGITS for c in m[1]) >= 4:
             keep("account", *m.span(1))
     return [span for kind in KINDS for span in found[kind]]
