@@ -2,16 +2,19 @@
 
 A band key that holds many ids doesn't give all pairs.  Small keys are paired fully.  In each larger key the id that
 collides most often over all keys is the hub, and all others are compared with it; ids that reach the hub's component
-need no further comparison with that component.  A key whose ids aren't one component yet goes on with the next hub,
-and after `rounds` hubs what is left of it is compared exactly, except for pairs that the triangle inequality of the
-Jaccard distance or their sizes rule out.  So no link between different components is lost, and work on groups of
-copies follows their size.
+need no further comparison with that component.  A key whose ids aren't one component yet goes on with the next hub.
+After `rounds` hubs, what is left is compared inside tasks: ids that share open keys are a cluster, those outside its
+main component are compared with all of it in blocks of at most 1,000 by 1,000, first by the agreement of registers (a
+pair goes on unless it is 3.5 standard errors under the threshold) and then exactly.  Tasks give out links alone, so
+no pair of different texts is lost and no list of pairs is made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +39,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8, small: int = 8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """members: key, id, size (number of shingles), in keys that hold two ids or more.  verify: from pairs (a, b) to
-    (a, b, similarity).  Returns links (a, b, similarity) and components (id, component)."""
+def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[list[str]], tuple[np.ndarray, list[np.ndarray]]], threshold: float = 0.8, small: int = 8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """members: key, id, size (number of shingles), in keys that hold two ids or more.  contents: id, content.  verify:
+    from pairs (a, b) to (a, b, similarity).  describe: registers and shingle sets of contents.  Returns links (a, b,
+    similarity) and components (id, component)."""
     members = members.dropDuplicates(["key", "id"])
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     members = cut_lineage(members.join(counts.where("n > 1"), "key"))
@@ -48,42 +52,59 @@ def near_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thr
     alike = F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     large = members.where(F.col("n") > small).join(degrees, "id").select("key", "id", "size", "degree")
-    tested, step = None, 0
-    while True:
-        last = step == rounds
-        if not last:  # a hub for each large key
-            hubs = large.groupBy("key").agg(F.max(F.struct("degree", "id", "size")).alias("hub"))
-            star = large.join(hubs, "key").where(F.col("id") != F.col("hub.id"))
-            star = star.where(F.least("size", "hub.size") >= threshold * F.greatest("size", "hub.size"))
-            pairs = pairs.unionByName(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")))
-        pairs = pairs.distinct()
+    tested = None
+    for _ in range(rounds):
+        hubs = large.groupBy("key").agg(F.max(F.struct("degree", "id", "size")).alias("hub"))
+        star = large.join(hubs, "key").where(F.col("id") != F.col("hub.id"))
+        star = star.where(F.least("size", "hub.size") >= threshold * F.greatest("size", "hub.size"))
+        pairs = pairs.unionByName(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))).distinct()
         new = cut_lineage(verify(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
         tested = new if tested is None else tested.unionByName(new)
         links = tested.where(F.col("similarity") >= threshold)
         found = components(links)
-        if last:
-            return links, found
         large = large.join(hubs.select("key", F.col("hub.id").alias("hub")), "key").where(F.col("id") != F.col("hub"))
         large = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_keys = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        left = cut_lineage(large.join(open_keys, "key", "left_semi"))
-        if left.isEmpty():
+        large = cut_lineage(large.join(open_keys, "key", "left_semi").select("key", "id", "size", "degree", "component"))
+        if large.isEmpty():
             return links, found
-        large, step = left.select("key", "id", "size", "degree"), step + 1
-        pairs = tested.select("a", "b").limit(0)
-        if step == rounds:
-            pairs = _rest(left, tested, threshold)
-
-
-def _rest(left: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in keys that stay open, unless the distances to a hub that both were compared with
-    or the sizes exclude a link."""
-    both = tested.select("a", "b", "similarity").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    to_last = left.join(both, (left["hub"] == both["a"]) & (left["id"] == both["b"]), "left").select("key", "id", "size", "component", F.coalesce("similarity", F.lit(-1.0)).alias("to_hub"))
-    x, y = to_last.alias("x"), to_last.alias("y")
-    excluded = (F.col("x.to_hub") >= 0) & (F.col("y.to_hub") >= 0) & (F.abs(F.col("x.to_hub") - F.col("y.to_hub")) > 1 - threshold)
-    fits = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & ~excluded & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        left, large, pairs = large, large.drop("component"), tested.select("a", "b").limit(0)
+    links = links.unionByName(cut_lineage(_in_blocks(left, contents, describe, threshold)))
+    return links, components(links)
+
+
+def _in_blocks(left: DataFrame, contents: DataFrame, describe: Callable, threshold: float, block: int = 1000) -> DataFrame:
+    """a, b, similarity of links between different components of a cluster."""
+    first = left.groupBy("key").agg(F.min("id").alias("a"))
+    cluster = components(left.join(first, "key").select("a", F.col("id").alias("b")))
+    ids = left.select("id", "component").distinct().join(cluster.select("id", F.col("component").alias("cluster")), "id")
+    main = ids.groupBy("cluster").agg(F.mode("component", deterministic=True).alias("main"), F.count(F.lit(1)).alias("n"))
+    ids = ids.join(main, "cluster").withColumn("lone", F.col("component") != F.col("main"))
+    lone = ids.groupBy("cluster").agg(F.count_if("lone").alias("n_lone"))
+    ids = cut_lineage(ids.join(lone, "cluster").select("id", "component", "cluster", "lone", F.ceil(F.col("n_lone") / block).alias("xs"), F.ceil(F.col("n") / block).alias("ys")))
+    texts = contents.join(small_enough(ids.select("id"), ids.count(), BROADCAST_ROWS), "id").groupBy("id").agg(F.first("content").alias("content"))
+    whole = ids.join(texts, "id")
+    spread, own = (lambda n: F.explode(F.sequence(F.lit(0), n - 1).cast("array<long>"))), (lambda n: F.pmod(F.xxhash64("id"), n))
+    x = whole.where("lone").select("cluster", "id", "component", "content", F.lit(True).alias("is_x"), own(F.col("xs")).alias("bx"), spread(F.col("ys")).alias("by"))
+    y = whole.select("cluster", "id", "component", "content", F.lit(False).alias("is_x"), own(F.col("ys")).alias("by"), spread(F.col("xs")).alias("bx"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        unique, at = np.unique(pdf["id"].to_numpy(), return_index=True)
+        registers, sets = describe(pdf["content"].iloc[at].tolist())
+        component = pdf["component"].to_numpy()[at]
+        xs, ys = (np.searchsorted(unique, pdf["id"][pdf["is_x"] == side].to_numpy()) for side in (True, False))
+        least = threshold - 3.5 * np.sqrt(threshold * (1 - threshold) / registers.shape[1])
+        size = np.array([len(s) for s in sets])
+        for i in xs:
+            near = ys[(component[ys] != component[i]) & (np.minimum(size[ys], size[i]) >= threshold * np.maximum(size[ys], size[i]))]
+            for j in near[(registers[near] == registers[i]).mean(axis=1) >= least]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if (similarity := both / max(size[i] + size[j] - both, 1)) >= threshold:
+                    out.append((min(unique[i], unique[j]), max(unique[i], unique[j]), similarity))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return x.unionByName(y).groupBy("cluster", "bx", "by").applyInPandas(compare, "a long, b long, similarity double").distinct()
 
 
 def with_both(pairs: DataFrame, contents: DataFrame) -> DataFrame:

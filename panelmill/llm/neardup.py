@@ -78,6 +78,15 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, content binary, size long, bands array<long>")
 
 
+def describe(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Registers and shingle sets of texts that have words."""
+    known = WordHashes()
+    each = [np.unique(shingle_hashes(known.of(WORD.findall(t.lower())), SHINGLE), return_counts=True) for t in texts]
+    owner = np.repeat(np.arange(len(each)), [len(s) for s, _ in each])
+    registers = prob_minhash(np.concatenate([s for s, _ in each]), np.concatenate([1 + np.log(n) for _, n in each]), owner, len(each), BANDS * ROWS)
+    return registers, [s for s, _ in each]
+
+
 def jaccard(pairs: DataFrame) -> DataFrame:
     """a, b, similarity: exact Jaccard of the shingle sets of content_a and content_b."""
 
@@ -109,7 +118,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     texts = cut_lineage(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     members = texts.select(F.explode("bands").alias("key"), "id", "size")
     contents = source.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    links, found = near_links(members, lambda pairs: jaccard(with_both(pairs, contents)), THRESHOLD)
+    links, found = near_links(members, contents, lambda pairs: jaccard(with_both(pairs, contents)), describe, THRESHOLD)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = texts.select("content", "id").join(found, "id", "left").join(degree, "id", "left")
     classes = classes.select("content", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, cut_lineage, mix, portions, small_enough, texts_of
 from .links import BROADCAST_ROWS, near_links, with_both
-from .neardup import SHINGLE, THRESHOLD, jaccard
+from .neardup import SHINGLE, THRESHOLD, describe, jaccard
 
 SENTENCE_END = re.compile(r"[.!?\n]\W*")
 LEAST_WORDS, PASSAGE_WORDS, GAP, LONG, BANDS, ROWS = 6, 24, 60, 64, 6, 2
@@ -130,7 +130,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     several = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key").persist()
     members = banded.join(small_enough(several, several.count(), BROADCAST_ROWS), "key")
     contents = _each(documents, ["id", "content"])
-    _, found = near_links(members, lambda pairs: jaccard(with_both(pairs, contents)), THRESHOLD)
+    _, found = near_links(members, contents, lambda pairs: jaccard(with_both(pairs, contents)), describe, THRESHOLD)
     occurrences = _each(documents, ["id", "doc_id", "start", "end", "size"])
     own = occurrences.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("first"))
     linked = own.join(found, "id", "left").where((F.col("lo") != F.col("hi")) | F.col("component").isNotNull())
