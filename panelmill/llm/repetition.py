@@ -28,7 +28,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 class Limits:
     """Largest share of word characters inside duplicated n-grams, by n, and inside repeated lines."""
 
-    ngram_share: tuple[tuple[int, float], ...] = ((3, 0.45), (5, 0.20), (7, 0.18), (10, 0.15))
+    ngram_share: tuple[tuple[int, float], ...] = ((3, 0.45), (5, 0.25), (7, 0.25), (10, 0.25))
     line_share: float = 0.30
 
 
