@@ -27,7 +27,7 @@ def chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def study(spark: SparkSession, d: str, part: str) -> DataFrame:
-    s = FactorStudy(queries.day_panel(spark, d), ResearchConfig(rebalance_periods=("W", "M", "Q")), AnalysisConfig())
+    s = FactorStudy(queries.day_panel(spark, d), ResearchConfig(rebalance_periods=("W", "M", "Q")), AnalysisConfig()).run()
     return {"stats": lambda: s.stats, "returns": lambda: s.returns}[part]()
 
 

@@ -35,22 +35,18 @@ def bars(p: Panel, bins: int) -> DataFrame:
 
 def calendar(dates: DataFrame, periods: tuple[int | str, ...]) -> DataFrame:
     """period, datetime, g (epoch), is_reb, first and last date of the epoch, next_first.  dates: distinct datetime."""
-    numbered = dates.withColumn("date_id", F.row_number().over(W.orderBy("datetime")) - 1)
-    parts = []
-    for period in periods:
-        if isinstance(period, int):
-            one = numbered.withColumns({"is_reb": F.col("date_id") % period == 0, "g": F.floor(F.col("date_id") / period).cast("long")})
-        else:
-            last = F.max("datetime").over(W.partitionBy(period_key(period, F.col("datetime"))))
-            one = numbered.withColumn("is_reb", F.col("datetime") == last)
-            one = one.withColumn("g", F.sum(F.col("is_reb").cast("long")).over(W.orderBy("datetime")) - 1)
-        parts.append(one.select(F.lit(str(period)).alias("period"), "datetime", "g", "is_reb"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    epochs = every.groupBy("period", "g").agg(F.min("datetime").alias("first"), F.max("datetime").alias("last"))
-    epochs = epochs.withColumn("next_first", F.lead("first").over(W.partitionBy("period").orderBy("first")))
-    return every.join(epochs, ["period", "g"])
+    day = F.col("datetime")
+    kinds = F.array(*(F.struct(F.lit(str(p)).alias("period"), F.lit(p if isinstance(p, int) else None).cast("int").alias("n"), (F.lit("") if isinstance(p, int) else period_key(p, day)).alias("key")) for p in periods))
+    each = dates.withColumn("date_id", F.row_number().over(W.orderBy("datetime")) - 1).select("datetime", "date_id", F.explode(kinds).alias("k")).select("k.period", "k.n", "k.key", "datetime", "date_id")
+    in_order = W.partitionBy("period").orderBy("datetime")
+    last = F.max("datetime").over(W.partitionBy("period", "key"))
+    each = each.withColumn("is_reb", F.coalesce(F.col("date_id") % F.col("n") == 0, day == last))
+    so_far = F.sum(F.col("is_reb").cast("long")).over(in_order) - 1
+    each = each.withColumns({"g": F.coalesce(F.floor(F.col("date_id") / F.col("n")), so_far), "after": F.lead("datetime").over(in_order)})
+    epoch = W.partitionBy("period", "g")
+    each = each.withColumns({"first": F.min("datetime").over(epoch), "last": F.max("datetime").over(epoch), "next_first": F.max("after").over(epoch)})
+    open_end = F.max(F.col("after").isNull()).over(epoch)  # the last epoch has no next one
+    return each.select("period", "g", "datetime", "is_reb", "first", "last", F.when(~open_end, F.col("next_first")).alias("next_first"))
 
 
 def holdings(rows: DataFrame, cal: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ class FactorStudy:
         return self.analysis.agg_freq or (map_frequency(step) if step else None)
 
     def run(self) -> FactorStudy:
-        self.rows, self.drifted = self.rows.persist(), self.drifted.persist()
+        self.rows, self.calendar, self.drifted = self.rows.persist(), self.calendar.persist(), self.drifted.persist()
         return self
 
     @cached_property
