@@ -3,7 +3,7 @@
 A band key that holds many ids doesn't give all pairs.  Small keys are paired fully.  In each larger key the id that
 collides most often over all keys is the hub, and all others are compared with it; ids that reach the hub's component
 need no further comparison with that component.  A key whose ids aren't one component yet goes on with the next hub.
-After `rounds` hubs, what is left is compared inside tasks: ids that share open keys are a cluster, those outside its
+After `rounds` hubs (1), what is left is compared inside tasks: ids that share open keys are a cluster, those outside its
 main component are compared with all of it in blocks of at most 1,000 by 1,000, first by the agreement of registers (a
 pair goes on unless it is 3.5 standard errors under the threshold) and then exactly.  Tasks give out links alone, so
 no pair of different texts is lost and no list of pairs is made.
@@ -26,24 +26,25 @@ BROADCAST_ROWS = 300_000
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (its smallest id) for every id of links (a, b): smallest labels spread along links and labels of
-    labels are followed, until nothing changes."""
+    labels are followed, until nothing changes.  Tables of up to BROADCAST_ROWS rows are joined by broadcast."""
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    n = edges.count()
+    edges = edges.coalesce(n // 100_000 + 4)
     labels = cut_lineage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        root = lower.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        lower = cut_lineage(lower.join(root, "component").select("id", "was", F.least("component", "root").alias("component")))
+        near = edges.join(small_enough(labels.withColumnRenamed("id", "b"), n, BROADCAST_ROWS), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
+        lower = near.join(small_enough(labels, n, BROADCAST_ROWS), "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
+        root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        lower = cut_lineage(lower.join(small_enough(root, n, BROADCAST_ROWS), "component").select("id", "was", F.least("component", "root").alias("component"))).coalesce(n // 100_000 + 4)
         labels = lower.select("id", "component")
         if lower.where(F.col("was") != F.col("component")).isEmpty():
             return labels
 
 
-def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[list[str]], tuple[np.ndarray, list[np.ndarray]]], threshold: float = 0.8, small: int = 8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[list[str]], tuple[np.ndarray, list[np.ndarray]]], threshold: float = 0.8, small: int = 8, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """members: key, id, size (number of shingles), in keys that hold two ids or more.  contents: id, content.  verify:
     from pairs (a, b) to (a, b, similarity).  describe: registers and shingle sets of contents.  Returns links (a, b,
     similarity) and components (id, component)."""
-    members = members.dropDuplicates(["key", "id"])
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     members = cut_lineage(members.join(counts.where("n > 1"), "key"))
     degrees = members.groupBy("id").agg(F.sum("n").alias("degree"))
@@ -110,7 +111,8 @@ def _in_blocks(left: DataFrame, contents: DataFrame, describe: Callable, thresho
 def with_both(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """Pairs with content_a and content_b; contents: id, content.  Only contents that pairs name are moved."""
     pairs = cut_lineage(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = contents.join(small_enough(ids, ids.count(), BROADCAST_ROWS), "id").groupBy("id").agg(F.first("content").alias("content"))
-    wanted = cut_lineage(wanted)
+    n = pairs.count()
+    pairs = pairs.coalesce(n // 2_000 + 4)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut_lineage(contents.join(small_enough(ids, n, BROADCAST_ROWS), "id").groupBy("id").agg(F.first("content").alias("content")))
     return pairs.join(wanted.select(F.col("id").alias("a"), F.col("content").alias("content_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("content").alias("content_b")), "b")

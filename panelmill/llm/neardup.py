@@ -113,7 +113,7 @@ def jaccard(pairs: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, class_id, n_links (verified links of its text with different texts)."""
     source = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    signed = cut_lineage(signatures(source).repartition(F.col("content")))
+    signed = cut_lineage(signatures(source))
     # equal contents have equal bands, so any of them will do
     texts = cut_lineage(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     members = texts.select(F.explode("bands").alias("key"), "id", "size")
