@@ -11,7 +11,7 @@ repeated.  A passage is a run of repeated paragraphs of a document with 24 words
 licence line alone is none; the first occurrence of a class (smallest doc_id, then start) stays, others are removals.
 
 Defined results: null, empty and short texts have no passages; texts are handled whole; rows that repeat a doc_id
-count as one document; a document without passages has no row; other columns aren't read.
+count as one document; a document without passages, or without a doc_id, has no row; other columns aren't read.
 """
 
 from __future__ import annotations

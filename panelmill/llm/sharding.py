@@ -10,7 +10,7 @@ The driver sees totals for (old shard, size class, salt) cells, whose number is
 documents larger than a 64th of a new shard, fewer than 64 x shards.  Cumulative sums run within cells, so no task
 holds a whole shard, however full it is.
 
-Defined results: a null text has size 1; a null shard key is a key of its own; repeated rows are placed one by one;
+Defined results: a null text has size 1; a null old shard is shard 0; repeated rows are placed one by one;
 an empty table gives an empty result; a null key is a key like others; other columns aren't read.
 """
 
@@ -122,7 +122,7 @@ def plan_transfers(docs: DataFrame, shards: int, key: str = "doc_id") -> tuple[P
 def reshard(documents: DataFrame, old_shard, shards: int = 16, key: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
     """key, size, text_crc32, old_shard, shard int and slot long (gapless from 0 in a shard) of every row."""
     spark = documents.sparkSession
-    docs = sized(documents.select(key, text, old_shard.cast("int").alias("old_shard")), F.col("old_shard"), key, text, salts).drop(text)
+    docs = sized(documents.select(key, text, F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard")), F.col("old_shard"), key, text, salts).drop(text)
     plan, _ = plan_transfers(docs, shards, key)
     own = W.partitionBy(*CELL).orderBy(F.col("size").desc(), F.col(key), "text_crc32")
     rows = [(*k, j) for k, j in plan.giants.items()]

@@ -113,6 +113,7 @@ def test_reshard_is_level_and_gapless(spark, docs, empty, shards):
             assert sum(r.size for r in out if r.shard != r.old_shard) < 1.05 * least + 4000
     assert {r.size for r in out if r.doc_id in (0, 1)} == {1}
     assert sharding.reshard(empty, F.lit(0), shards).count() == 0
+    assert sharding.reshard(many, F.lit(None), shards).count() == 900
 
 
 def test_rewrite_leaves_other_shards(spark, tmp_path):
