@@ -381,3 +381,33 @@ def sink_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 SINK = f"WITH p AS ({DAY}), o AS (SELECT datetime, symbol, close FROM p WHERE symbol % 2 = 0), n AS (SELECT datetime, symbol, close * 2 AS close, factor FROM p WHERE symbol % 3 = 0) "
 add("k02_append", lambda s, d: r8(store.appended(*sink_parts(s, d), "datetime", "symbol"), "close", "factor"), SINK + f"SELECT datetime, symbol, {R('close', 'factor')} FROM (SELECT datetime, symbol, close, NULL::DOUBLE AS factor FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (datetime, symbol))")
 add("k03_update", lambda s, d: r8(store.updated(*sink_parts(s, d), "datetime", "symbol"), "close", "factor"), SINK + "SELECT o.datetime, o.symbol, round(coalesce(n.close, o.close), 6) + 0.0 AS close, round(n.factor, 6) + 0.0 AS factor FROM o LEFT JOIN n ON o.datetime = n.datetime AND o.symbol = n.symbol")
+
+# -- more of single operators --
+
+
+def rank_methods(spark: SparkSession, d: str) -> DataFrame:
+    p = month_panel(spark, d)
+    return p.df.select("datetime", "symbol", *(expr.rank_by(F.col("factor"), m, "symbol", "datetime").cast("double").alias(m) for m in ("average", "min", "max", "dense", "ordinal")))
+
+
+def horizon_returns(spark: SparkSession, d: str) -> DataFrame:
+    return r8(ic.with_horizons(event_panel(spark, d, "hour"), HORIZONS).drop("factor"), "fut_ret")
+
+
+def logged(spark: SparkSession, d: str) -> DataFrame:
+    out = backtest.log_scale(backtest.long_short(tested(spark, d)[3], 5))
+    return r8(out.select("period", "datetime", "cum_ret_ls", "cum_ret_net_ls"), "cum_ret_ls", "cum_ret_net_ls", digits=5)
+
+
+def hourly_bars(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming.bars import closed_bars
+
+    return r8(closed_bars(spark.read.parquet(f"{d}/events.parquet"), "6 hours"), "close")
+
+
+add("w04_rank_methods", rank_methods, f"SELECT datetime, symbol, {RANK}::DOUBLE AS average, (rank() OVER o)::DOUBLE AS min, (rank() OVER o + count(*) OVER (PARTITION BY datetime, factor) - 1)::DOUBLE AS max, (dense_rank() OVER o)::DOUBLE AS dense, (row_number() OVER (PARTITION BY datetime ORDER BY factor, symbol))::DOUBLE AS ordinal FROM ({MONTH}) WINDOW o AS (PARTITION BY datetime ORDER BY factor)")
+add("f03_forward_return", lambda s, d: r8(backtest.bars(month_panel(s, d), 5), "fut_ret"), f"WITH {BARS.format(panel=MONTH)} SELECT datetime, symbol, quantile, round(fut_ret, 6) + 0.0 AS fut_ret FROM bars")
+add("f19_horizon_returns", horizon_returns, IC + "SELECT horizon, datetime, symbol, round(fut_ret, 6) + 0.0 AS fut_ret FROM f")
+add("f17_log_scale", logged, BT + """SELECT period, nxt AS datetime, round(ln(product(1 + ret_ls) OVER o), 5) + 0.0 AS cum_ret_ls, round(ln(product(1 + ret_ls - cost) OVER o), 5) + 0.0 AS cum_ret_net_ls FROM ls JOIN nx USING (period, datetime) WINDOW o AS (PARTITION BY period ORDER BY datetime)""")
+add("r09_correlation_means", lambda s, d: r8(reports.correlation_sheet(exposures.correlations(month_panel(s, d).df, "datetime", "factor", EXPO), "datetime")["means"], "corr_beta", "corr_size"), f"SELECT round(avg(a), 6) + 0.0 AS corr_beta, round(avg(b), 6) + 0.0 AS corr_size FROM (SELECT datetime, {CORR.format(a='factor', b='beta')} AS a, {CORR.format(a='factor', b='size')} AS b FROM ({MONTH}) GROUP BY 1)")
+add("t01_closed_bars", hourly_bars, "SELECT to_timestamp(epoch(ts)::BIGINT - epoch(ts)::BIGINT % 21600) AT TIME ZONE 'UTC' AS datetime, user_id AS symbol, round(avg(value), 6) + 0.0 AS close, count(*) AS n FROM events GROUP BY 1, 2")
