@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_enough
+from .common import cut_lineage, small_enough
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -63,7 +63,7 @@ def phrase_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     rarest = each.groupBy("item_id", "start").agg(F.min(F.struct("df", "offset", "term", "words")).alias("r"))
     anchors = rarest.select("item_id", F.col("r.term").alias("term"), (F.col("start") + F.col("r.offset")).alias("item_pos"), F.struct(F.col("r.offset").alias("offset"), F.col("r.words").alias("words")).alias("w"))
     anchors = anchors.groupBy("term", "item_id", "item_pos").agg(F.collect_list("w").alias("ws"))  # at most `window` of them
-    anchors = anchors.persist()
+    anchors = cut_lineage(anchors)  # small, used three times
     terms = anchors.select("term").distinct()
     index = postings(documents, terms, terms.count(), window - 1)
     pairs = index.join(small_enough(anchors, anchors.count(), BROADCAST_ROWS), "term")
@@ -84,7 +84,8 @@ def proximity_matches(documents: DataFrame, benchmark: DataFrame, within: int =
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
     df = frequencies(documents, vocabulary, vocabulary.count())
     each = items.select("item_id", "words", F.explode("words").alias("term")).join(df, "term", "left")
-    rarest = each.groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "words")).alias("r")).select("item_id", "r.term", "r.words").persist()
+    rarest = each.groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "words")).alias("r")).select("item_id", "r.term", "r.words")
+    rarest = cut_lineage(rarest)
     terms = rarest.select("term").distinct()
     index = postings(documents, terms, terms.count(), within)
     return index.join(small_enough(rarest, rarest.count(), BROADCAST_ROWS), "term").where(F.size(F.array_except("words", "near")) == 0).select("doc_id", "text_key", "item_id", "pos").distinct()

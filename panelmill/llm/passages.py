@@ -127,7 +127,7 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     n_paragraphs, n_words, n_removed (paragraphs that aren't the first occurrence), removed (any of them)."""
     documents = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     banded = _each(documents, ["id", "size", "bands"]).where(F.col("size") >= 4).select("id", "size", F.explode("bands").alias("key"))
-    several = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key").persist()
+    several = cut_lineage(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
     members = banded.join(small_enough(several, several.count(), BROADCAST_ROWS), "key").distinct()
     contents = _each(documents, ["id", "content"])
     _, found = near_links(members, contents, lambda pairs: jaccard(with_both(pairs, contents)), describe, THRESHOLD)
