@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import portions, texts_of
 
 #: Pieces that a worker remembers at most before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class _PairRanks(dict):
@@ -59,7 +59,7 @@ class BytePairEncoder:
     def replay(self, pieces: Iterable[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece: every merge in rank order over all pieces at once."""
         pairs = self.pairs
-        if len(pairs) > 2_000_000:
+        if len(pairs) > 500_000:
             pairs.clear()
         token: list[int] = []
         after: list[int] = []
@@ -140,7 +140,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in portions(batches, text, 2_000_000):
+        for batch in portions(batches, text, 1_000_000):
             ids = pa.array(own.encode(texts_of(batch, text)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
@@ -169,7 +169,7 @@ def digests(documents: DataFrame, path: str, pattern: str, text: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in portions(batches, "_text", 2_000_000):
+        for batch in portions(batches, "_text", 1_000_000):
             n, of_ids, of_bytes = [], [], []
             for ids in own.encode(texts_of(batch, "_text")):
                 n.append(len(ids))

@@ -58,7 +58,7 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in portions(batches, "_text", 3_000_000):
+        for batch in portions(batches, "_text", 1_500_000):
             rows, content, sizes, parts, weights = [], [], [], [], []
             for at, text in enumerate(texts_of(batch, "_text")):
                 words = WORD.findall(text.lower())
