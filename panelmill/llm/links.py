@@ -25,20 +25,25 @@ BROADCAST_ROWS = 300_000
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (its smallest id) for every id of links (a, b): smallest labels spread along links and labels of
-    labels are followed, until nothing changes.  Tables of up to BROADCAST_ROWS rows are joined by broadcast."""
+    """id, component (its smallest id) for every id of links (a, b).  Each turn an id takes the smallest of its own
+    label, its neighbours' labels and the label of its label; labels only fall, so an equal sum ends the loop.  Tables
+    of up to BROADCAST_ROWS rows are joined by broadcast.  A turn ends in an aggregation, whose result carries no
+    constraints on to the next plan."""
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     n = edges.count()
     edges = edges.coalesce(n // 100_000 + 4)
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    smallest = lambda df: cut_lineage(df.groupBy("id").agg(F.min("component").alias("component"))).coalesce(n // 100_000 + 4)
+    named = edges.select(F.col("a").alias("id"), F.explode(F.array("a", "b")).alias("component"))
+    labels, before = smallest(named), None
     while True:
-        near = edges.join(small_enough(labels.withColumnRenamed("id", "b"), n, BROADCAST_ROWS), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
-        lower = near.join(small_enough(labels, n, BROADCAST_ROWS), "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        lower = cut_lineage(lower.join(small_enough(root, n, BROADCAST_ROWS), "component").select("id", "was", F.least("component", "root").alias("component"))).coalesce(n // 100_000 + 4)
-        labels = lower.select("id", "component")
-        if lower.where(F.col("was") != F.col("component")).isEmpty():
+        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels
+        before = total
+        near = edges.join(small_enough(labels.select(F.col("id").alias("b"), "component"), n, BROADCAST_ROWS), "b").select(F.col("a").alias("id"), "component")
+        root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        root = labels.join(small_enough(root, n, BROADCAST_ROWS), "component").select("id", F.col("root").alias("component"))
+        labels = smallest(labels.unionByName(near).unionByName(root))
 
 
 def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[list[str]], tuple[np.ndarray, list[np.ndarray]]], threshold: float = 0.8, small: int = 8, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
