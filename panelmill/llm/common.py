@@ -60,7 +60,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

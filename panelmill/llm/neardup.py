@@ -58,7 +58,7 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in portions(batches, "_text", 1_500_000):
+        for batch in portions(batches, "_text", 1_000_000):
             rows, content, sizes, parts, weights = [], [], [], [], []
             for at, text in enumerate(texts_of(batch, "_text")):
                 words = WORD.findall(text.lower())
@@ -92,7 +92,7 @@ def jaccard(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in portions(batches, "content_a", 2_000_000):
+        for batch in portions(batches, "content_a", 1_000_000):
             sets: dict[str, np.ndarray] = {}
 
             def of(text: str) -> np.ndarray:

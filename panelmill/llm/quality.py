@@ -50,7 +50,7 @@ class _Buckets(dict):
 
     def __missing__(self, word: str) -> int:
         shape = word if word.isupper() and len(word) > 1 else word.lower()
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         bucket = self[word] = zlib.crc32(shape.encode()) % self.n
         return bucket
