@@ -5,8 +5,8 @@ collides most often over all keys is the hub, and all others are compared with i
 need no further comparison with that component.  A key whose ids aren't one component yet goes on with the next hub.
 After `rounds` hubs (1), what is left is compared inside tasks: ids that share open keys are a cluster, those outside its
 main component are compared with all of it in blocks of at most 1,000 by 1,000, first by the agreement of registers (a
-pair goes on unless it is 3.5 standard errors under the threshold) and then exactly.  Tasks give out links alone, so
-no pair of different texts is lost and no list of pairs is made.
+pair goes on unless it is 3.5 standard errors under the threshold, which a true pair meets about once in 4,000) and then
+exactly.  Tasks give out links alone, so no list of pairs is made.
 """
 
 from __future__ import annotations
