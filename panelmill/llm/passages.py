@@ -38,14 +38,13 @@ SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 def sentences(text: str, known: WordHashes) -> tuple[list[int], list[list[str]]]:
     """Limits (one more than sentences) and words of the sentences, long ones cut by content."""
-    limits, words, since = [0], [], 0
+    limits, words, since, own = [0], [], 0, []
     for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
-        alone = len(WORD.findall(text, since, end)) < 2  # a single word between two ends goes with what follows
-        since = end
-        if alone and end < len(text):
-            continue
+        new = WORD.findall(text[since:end].lower())
+        own, since = own + new, end
+        if len(new) < 2 and end < len(text):
+            continue  # a single word between two ends goes with what follows
         start = limits[-1]
-        own = WORD.findall(text[start:end].lower())
         if len(own) > LONG:
             begun: list[str] = []
             for m in WORD.finditer(text, start, end):
@@ -59,6 +58,7 @@ def sentences(text: str, known: WordHashes) -> tuple[list[int], list[list[str]]]
         if end > limits[-1]:
             limits.append(end)
             words.append(own)
+        own = []
     return limits, words
 
 
@@ -126,12 +126,16 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     """A row for each passage of a document: doc_id, start, end (code points), class_id (of its first paragraph),
     n_paragraphs, n_words, n_removed (paragraphs that aren't the first occurrence), removed (any of them)."""
     documents = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    banded = _each(documents, ["id", "size", "bands"]).where(F.col("size") >= 4).select("id", "size", F.explode("bands").alias("key"))
+    occurrences = cut_lineage(_each(documents, ["id", "doc_id", "start", "end", "size", "bands"]))  # texts are cut once
+    banded = occurrences.where(F.col("size") >= 4).select("id", "size", F.explode("bands").alias("key"))
+    occurrences = occurrences.drop("bands")
     several = cut_lineage(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
-    members = banded.join(small_enough(several, several.count(), BROADCAST_ROWS), "key").distinct()
-    contents = _each(documents, ["id", "content"])
+    members = cut_lineage(banded.join(small_enough(several, several.count(), BROADCAST_ROWS), "key").distinct())
+    wanted = members.select("id").distinct()
+    holders = occurrences.join(small_enough(wanted, members.count(), BROADCAST_ROWS), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    holders = cut_lineage(holders.select("doc_id").distinct())
+    contents = _each(documents.join(small_enough(holders, holders.count(), BROADCAST_ROWS), "doc_id", "left_semi"), ["id", "content"])
     _, found = near_links(members, contents, lambda pairs: jaccard(with_both(pairs, contents)), describe, THRESHOLD)
-    occurrences = _each(documents, ["id", "doc_id", "start", "end", "size"])
     own = occurrences.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("first"))
     linked = own.join(found, "id", "left").where((F.col("lo") != F.col("hi")) | F.col("component").isNotNull())
     linked = cut_lineage(linked.withColumn("class_id", F.coalesce("component", "id")))
