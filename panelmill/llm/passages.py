@@ -1,14 +1,26 @@
-"""Repeated passages by MinHash banding of paragraphs.
+"""Repeated passages by MinHash banding of paragraphs and by winnowed word runs.
 
 The paragraphs that are compared are sentences, so that their limits depend on their own words alone and a passage is
 found wherever it is set into a text; sentences of more than 64 words are also cut after words whose hash says so.
 A single word between two sentence ends
-goes with what follows.  Those of 6 words or more count.  Paragraphs with equal words are one from the start; others are banded by MinHash over
+goes with what follows, and sentences of fewer than 6 words are joined until they have as many.  Those of 6 words or
+more count.  Paragraphs with equal words are one from the start; others are banded by MinHash over
 five-word shingles (6 bands of 2 rows: 99.8 % recall at similarity 0.8), colliding ones are verified by exact
 Jaccard similarity, and verified links are clustered by components.  Banding leaves out paragraphs of fewer than 4
 shingles: sets so small can't differ and reach 0.8.  A paragraph of a class that spans two documents or more is
-repeated.  A passage is a run of repeated paragraphs of a document with 24 words or more, so that a common line or a
-licence line alone is none; the first occurrence of a class (smallest doc_id, then start) stays, others are removals.
+repeated.
+
+Equal words don't depend on sentences: each run of 13 words has a hash, and of every 12 runs in a row the least one
+(the last of equal ones) is kept as a print.  A text of 24 words that two documents share therefore shares a print, in
+whatever sentences it stands.  Prints of two documents or more are repeated; kept ones follow each other within 12
+words, so they leave no gap.  Where the prints of a class don't all have the same neighbour, the 11 runs on that side are
+compared too, in all documents of the class, which extends a hit word by word to its ends.  Nothing is paired, so the
+work doesn't grow with the square of a class.
+
+A passage is a run of repeated paragraphs and word runs of a document with 24 words or more after that, so that a common
+line or a licence line alone is none; the first occurrence of a class (smallest doc_id, then start) stays, others are
+removals.  Every text of 24 or more equal words is found; one with changed words is found by its equal runs and by those
+of its paragraphs that are similar at 0.8, whose limits are those of the sentences it stands in.
 
 Defined results: null, empty and short texts have no passages; texts are handled whole; rows that repeat a doc_id
 count as one document; a document without passages, or without a doc_id, has no row; other columns aren't read.
@@ -25,28 +37,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, cut_lineage, mix, portions, small_enough, texts_of
+from .common import WORD, WordHashes, cut_lineage, mix, portions, shingle_hashes, small_enough, texts_of
 from .links import BROADCAST_ROWS, near_links, with_both
 from .neardup import SHINGLE, THRESHOLD, describe, jaccard
 
 SENTENCE_END = re.compile(r"[.!?\n]\W*")
 LEAST_WORDS, PASSAGE_WORDS, GAP, LONG, BANDS, ROWS = 6, 24, 60, 64, 6, 2
+#: Words of a print, and of how many runs in a row one is kept: PASSAGE_WORDS equal words always hold one.
+PRINT, WINDOW = 13, 12
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
 def sentences(text: str, known: WordHashes) -> tuple[list[int], list[list[str]]]:
-    """Limits (one more than sentences) and words of the sentences, long ones cut by content."""
-    limits, words, since, own = [0], [], 0, []
+    """Limits (one more than sentences) and words of the sentences, long ones cut by content and short ones joined."""
+    limits, words, since, own, short = [0], [], 0, [], False
     for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
-        new = WORD.findall(text[since:end].lower())
+        new = [w.lower() for w in WORD.findall(text[since:end])]
         own, since = own + new, end
         if len(new) < 2 and end < len(text):
             continue  # a single word between two ends goes with what follows
         start = limits[-1]
         if len(own) > LONG:
-            begun: list[str] = []
+            begun, short = list[str](), False
             for m in WORD.finditer(text, start, end):
                 word = m[0].lower()
                 begun.append(word)
@@ -56,9 +70,13 @@ def sentences(text: str, known: WordHashes) -> tuple[list[int], list[list[str]]]
                     begun = []
             own = begun
         if end > limits[-1]:
-            limits.append(end)
-            words.append(own)
-        own = []
+            if short and len(own) < LEAST_WORDS:
+                limits[-1] = end
+                words[-1] = words[-1] + own
+            else:
+                limits.append(end)
+                words.append(own)
+        short, own = len(words) > 0 and len(words[-1]) < LEAST_WORDS, []
     return limits, words
 
 
@@ -72,13 +90,13 @@ def paragraphs(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _each(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each paragraph, with some of: id (hash of the words), doc_id, start, end, size (shingles), bands, content."""
-    types = {"id": "long", "doc_id": documents.schema["doc_id"].dataType.simpleString(), "start": "long", "end": "long", "size": "long", "bands": "array<long>", "content": "string"}
+    """A row for each paragraph, with some of: id (hash of the words), doc_id, start, end, first and last word (end exclusive), bands, content."""
+    types = {"id": "long", "doc_id": documents.schema["doc_id"].dataType.simpleString(), "start": "long", "end": "long", "first_word": "int", "last_word": "int", "bands": "array<long>", "content": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in portions(batches, "text", 1_000_000):
-            rows, starts, ends, froms, tos, words, contents = [], [], [], [], [], [], []
+            rows, starts, ends, froms, tos, offsets, words, contents = [], [], [], [], [], [], [], []
             for at, text in enumerate(texts_of(batch)):
                 a, b, p, q, own = paragraphs(text, known)
                 if len(a):
@@ -87,6 +105,7 @@ def _each(documents: DataFrame, columns: list[str]) -> DataFrame:
                     ends.append(b)
                     froms.append(p + len(words))
                     tos.append(q + len(words))
+                    offsets.append(np.full(len(a), len(words)))
                     words += own
                     if "content" in columns:
                         contents += [text[x:y] for x, y in zip(a.tolist(), b.tolist())]
@@ -101,7 +120,8 @@ def _each(documents: DataFrame, columns: list[str]) -> DataFrame:
             out = {"id": lambda: pa.array(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)).view(np.int64))}
             out["doc_id"] = lambda: batch.column("doc_id").take(pa.array(np.concatenate(rows)))
             out["start"], out["end"] = lambda: pa.array(np.concatenate(starts)), lambda: pa.array(np.concatenate(ends))
-            out["size"] = lambda: pa.array(e - s - SHINGLE + 1)
+            out["first_word"] = lambda: pa.array((s - np.concatenate(offsets)).astype(np.int32))
+            out["last_word"] = lambda: pa.array((e - np.concatenate(offsets)).astype(np.int32))
             out["content"] = lambda: pa.array(contents, pa.string())
             out["bands"] = lambda: _bands(h, s, e)
             yield pa.RecordBatch.from_arrays([out[c]() for c in columns], columns)
@@ -122,12 +142,95 @@ def _bands(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
 
 
+def winnowed(h: np.ndarray) -> np.ndarray:
+    """Positions of the least hash of every WINDOW in a row, the last of equal ones; of all where there are fewer."""
+    at, span, least = np.arange(len(h)), 1, lambda a, b: np.where(h[b] <= h[a], b, a)
+    window = min(WINDOW, len(h))
+    while span < window:
+        step = min(span, window - span)
+        at = least(at[:-step], at[step:])
+        span += step
+    return np.unique(at)
+
+
+def _prints(documents: DataFrame) -> DataFrame:
+    """A row for each document of PRINT words or more: doc_id and the lists print (hash), word, start, end (code points)
+    and link, which has one entry more and tells a print's neighbour and its distance; 0 at both ends.  Where documents
+    has the lists lefts and rights (words), the prints are all runs on that side of them up to WINDOW - 1 words away."""
+    sided = "lefts" in documents.columns
+    names = ["doc_id", "print", "word", "start", "end", "link"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, around = WordHashes(), np.arange(1, WINDOW)
+        for batch in portions(batches, "text", 1_000_000):
+            rows, ends, prints, words, starts, stops, links = [], [0], [], [], [], [], []
+            sides = [batch.column(c).to_pylist() for c in ("lefts", "rights")] if sided else None
+            for at, text in enumerate(texts_of(batch)):
+                places = [m.span() for m in WORD.finditer(text)]
+                if len(places) < PRINT:
+                    continue
+                h = shingle_hashes(known.of([text[a:b].lower() for a, b in places]), PRINT)
+                if sided:
+                    near = [np.array(side[at], np.int64)[:, None] + sign * around for side, sign in zip(sides, (-1, 1))]
+                    own = np.unique(np.concatenate([n.ravel() for n in near]))
+                    own = own[(own >= 0) & (own < len(h))]
+                else:
+                    own = winnowed(h)
+                own_places, zero = np.array(places, np.int32), np.zeros(1, np.uint64)
+                rows.append(at)
+                ends.append(ends[-1] + len(own))
+                prints.append(h[own])
+                words.append(own.astype(np.int32))
+                starts.append(own_places[own, 0])
+                stops.append(own_places[own + PRINT - 1, 1])
+                between = mix(h[own][:-1] * np.uint64(BASE) + h[own][1:] + np.diff(own).astype(np.uint64))
+                links.append(np.concatenate([zero, between, zero])[: len(own) + 1])
+            if not rows:
+                continue
+            lists = lambda parts, more=0: pa.ListArray.from_arrays(pa.array(np.array(ends) + more * np.arange(len(ends)), pa.int32()), pa.array(np.concatenate(parts)))
+            columns = [lists([p.view(np.int64) for p in prints]), lists(words), lists(starts), lists(stops), lists([p.view(np.int64) for p in links], 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *columns], names)
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.mapInArrow(run, f"doc_id {kind}, print array<long>, word array<int>, start array<int>, end array<int>, link array<long>")
+
+
+def equal_runs(documents: DataFrame) -> DataFrame:
+    """Word runs that stand in two documents or more: doc_id, start, end (code points), first_word, last_word (end
+    exclusive), class_id and removed.  Runs of a document that overlap or touch are one, apart from first occurrences."""
+    several = F.col("first.doc_id") != F.col("hi")
+    first = [F.min(F.struct("doc_id", "word")).alias("first"), F.max("doc_id").alias("hi")]
+    kept = cut_lineage(_prints(documents))
+    n = F.size("print")
+    zipped = F.arrays_zip("print", "word", "start", "end", F.slice("link", F.lit(1), n).alias("before"), F.slice("link", F.lit(2), n).alias("after"))
+    each = kept.where(n > 0).select("doc_id", F.inline(zipped).alias("print", "word", "start", "end", "before", "after"))
+    open_sides = [(F.min(c) != F.max(c)).alias(side) for c, side in (("before", "left"), ("after", "right"))]
+    shared = each.groupBy("print").agg(*first, *open_sides).where(several).drop("hi")
+    hits = cut_lineage(each.drop("before", "after").join(shared, "print"))
+    sides = [F.collect_set(F.when(F.col(side), F.col("word"))).alias(f"{side}s") for side in ("left", "right")]
+    edges = cut_lineage(hits.where("left OR right").groupBy("doc_id").agg(*sides))
+    more = _prints(documents.join(small_enough(edges, edges.count(), BROADCAST_ROWS), "doc_id"))
+    more = cut_lineage(more.select("doc_id", F.inline(F.arrays_zip("print", "word", "start", "end")).alias("print", "word", "start", "end")).distinct())
+    more = more.join(more.groupBy("print").agg(*first).where(several).drop("hi"), "print")
+    columns = ["doc_id", "start", "end", "word", "print", "first"]
+    every = hits.select(*columns).unionByName(more.select(*columns))
+    removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("word") != F.col("first.word"))
+    every = every.select("doc_id", "start", "end", F.col("word").alias("first_word"), (F.col("word") + PRINT).alias("last_word"), F.col("print").alias("class_id"), removed.alias("removed"))
+    order = W.partitionBy("doc_id", "removed").orderBy("first_word", "start", "end")
+    before = F.max("last_word").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("first_word") > before).cast("int"), F.lit(1))
+    runs = every.withColumn("new", fresh).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    least = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")]
+    return runs.groupBy("doc_id", "removed", "run").agg(*least, F.min_by("class_id", "first_word").alias("class_id")).drop("run")
+
+
 def repeated_passages(documents: DataFrame) -> DataFrame:
-    """A row for each passage of a document: doc_id, start, end (code points), class_id (of its first paragraph),
-    n_paragraphs, n_words, n_removed (paragraphs that aren't the first occurrence), removed (any of them)."""
+    """A row for each passage of a document: doc_id, start, end (code points), class_id (of its first part),
+    n_paragraphs (repeated paragraphs and word runs), n_words (repeated words), n_removed (parts that aren't the first
+    occurrence), removed (any of them)."""
     documents = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    occurrences = cut_lineage(_each(documents, ["id", "doc_id", "start", "end", "size", "bands"]))  # texts are cut once
-    banded = occurrences.where(F.col("size") >= 4).select("id", "size", F.explode("bands").alias("key"))
+    occurrences = cut_lineage(_each(documents, ["id", "doc_id", "start", "end", "first_word", "last_word", "bands"]))  # texts are cut once
+    banded = occurrences.withColumn("size", (F.col("last_word") - F.col("first_word") - SHINGLE + 1).cast("long")).where(F.col("size") >= 4).select("id", "size", F.explode("bands").alias("key"))
     occurrences = occurrences.drop("bands")
     several = cut_lineage(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
     members = cut_lineage(banded.join(small_enough(several, several.count(), BROADCAST_ROWS), "key").distinct())
@@ -143,12 +246,16 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     classes = cut_lineage(linked.select("id", "class_id").join(firsts.select("class_id", "first"), "class_id"))
     hits = occurrences.join(small_enough(classes, classes.count(), BROADCAST_ROWS), "id")
     removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-    hits = hits.select("doc_id", "start", "end", "class_id", (F.col("size") + SHINGLE - 1).alias("words"), removed.alias("removed")).distinct()
-    order = W.partitionBy("doc_id").orderBy("start", "end", "class_id")
-    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    runs = hits.withColumn("new", F.coalesce((F.col("start") > before + GAP).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    parts = ["doc_id", "start", "end", "first_word", "last_word", "class_id", "removed"]
+    hits = hits.withColumn("removed", removed).select(*parts).distinct().unionByName(equal_runs(documents).select(*parts))
+    order = W.partitionBy("doc_id").orderBy("start", "end", "class_id", "removed")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    words_before = F.coalesce(F.max("last_word").over(earlier), F.lit(0))
+    apart = (F.col("start") > F.max("end").over(earlier) + GAP) & (F.col("first_word") >= words_before + LEAST_WORDS)
+    runs = hits.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("words", F.greatest(F.col("last_word") - F.greatest("first_word", words_before), F.lit(0)).cast("long"))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     passages = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("class_id", "start").alias("class_id"), F.count(F.lit(1)).alias("n_paragraphs"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("class_id", F.struct("start", "end", "class_id")).alias("class_id"), F.count(F.lit(1)).alias("n_paragraphs"),
         F.sum("words").alias("n_words"), F.count_if("removed").alias("n_removed"),
     )
     return passages.where(F.col("n_words") >= PASSAGE_WORDS).drop("run").withColumn("removed", F.col("n_removed") > 0)

@@ -206,6 +206,52 @@ def test_passages_against_planted(spark, docs, empty, texts):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_anywhere_in_their_hosts(spark):
+    """Passages of 51 to 60 words in the middle of sentences, of short lines, and without sentence ends; the limits are
+    exact to the word, as no host has words of another one."""
+    own = lambda seed, n: " ".join(f"w{seed}q{i}" for i in range(n))
+    middle = ". ".join(" ".join(WORDS[zlib.crc32(f"m{k}:{i}".encode()) % 60] for i in range(17)) for k in range(3))
+    lines = "\n".join(" ".join(WORDS[zlib.crc32(f"l{k}:{i}".encode()) % 60] for i in range(2 + k % 4)) for k in range(16))
+    plain = " ".join(WORDS[zlib.crc32(f"p{i}".encode()) % 60] for i in range(52))
+    same = " ".join(["again"] * 55)
+    rows, planted = [], []
+    for k, (passage, around) in enumerate([(middle, 9), (lines, 30), (plain, 5), (same, 12)]):
+        assert 51 <= len(passage.split()) <= 60
+        for host in range(3):
+            before = own(f"{k}a{host}", around - host) + " "
+            planted.append((len(rows), len(before), len(before) + len(passage), host > 0 or passage is same))  # "again" also repeats inside its host
+            rows.append((len(rows), before + passage + " " + own(f"{k}b{host}", around + 8 * host)))
+    rows += [(100 + k, own(f"lone{k}", 80)) for k in range(3)] + [(200, None), (201, "")]
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start, r.end, r.removed) for r in got] == planted
+    assert [r.n_words for r in got] == [len(rows[i][1][a:b].split()) for i, a, b, _ in planted]
+
+
+def test_equal_runs_hold_every_shared_run(spark):
+    """Each run of 24 words that two documents share is inside an equal run, and each end of one is the end of a shared run."""
+    texts = {}
+    for d in range(24):
+        parts = [prose(900 + zlib.crc32(f"{d}:{j}".encode()) % 9, 40 + d)[(d * j * 7) % 50 :] if j % 2 else prose(5000 + 10 * d + j, 30) for j in range(5)]
+        texts[d] = " ".join(parts)
+    words = {d: [m.span() for m in WORD.finditer(t)] for d, t in texts.items()}
+    runs = lambda n: {d: [tuple(texts[d][a:b] for a, b in w[i : i + n]) for i in range(len(w) - n + 1)] for d, w in words.items()}
+    covered = defaultdict(set)
+    for r in passages.equal_runs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert r.start == words[r.doc_id][r.first_word][0] and r.end == words[r.doc_id][r.last_word - 1][1]
+        covered[r.doc_id] |= set(range(r.first_word, r.last_word))
+    for n, holds in ((24, lambda want, d: want <= covered[d]), (passages.PRINT, lambda want, d: covered[d] <= want)):
+        held = defaultdict(set)
+        for d, own in runs(n).items():
+            for x in own:
+                held[x].add(d)
+        for d, own in runs(n).items():
+            want = {i + k for i, x in enumerate(own) if len(held[x]) > 1 for k in range(n)}
+            assert holds(want, d)
+            assert want or n != 24
+
+
 def windows_of(t, n=10):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return w, {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
