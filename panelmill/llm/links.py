@@ -4,14 +4,14 @@ A band key that holds many ids doesn't give all pairs.  Small keys are paired fu
 collides most often over all keys is the hub, and all others are compared with it; ids that reach the hub's component
 need no further comparison with that component.  A key whose ids aren't one component yet goes on with the next hub.
 After `rounds` hubs (1), what is left is compared inside tasks: ids that share open keys are a cluster, those outside its
-main component are compared with all of it in blocks of at most 1,000 by 1,000, first by the agreement of registers (a
-pair goes on unless it is 3.5 standard errors under the threshold, which a true pair meets about once in 4,000) and then
-exactly.  Tasks give out links alone, so no list of pairs is made.
+main component are compared with all of it in blocks of at most 1,000 by 1,000, exactly: shared
+shingles are counted through an index of the block.  Tasks give out links alone, so no list of
+pairs is made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ from .common import cut_lineage, small_enough
 
 #: Ids or keys that are broadcast at most; beyond it Spark shuffles.
 BROADCAST_ROWS = 300_000
+#: About how many shingles a block's index holds at once.
+INDEX_SHINGLES = 2_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,9 +48,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = smallest(labels.unionByName(near).unionByName(root))
 
 
-def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[list[str]], tuple[np.ndarray, list[np.ndarray]]], threshold: float = 0.8, small: int = 8, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[list[str]], tuple[object, list[np.ndarray]]], threshold: float = 0.8, small: int = 8, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """members: key, id, size (number of shingles), in keys that hold two ids or more.  contents: id, content.  verify:
-    from pairs (a, b) to (a, b, similarity).  describe: registers and shingle sets of contents.  Returns links (a, b,
+    from pairs (a, b) to (a, b, similarity).  describe: of contents a pair whose second part is their shingle sets.  Returns links (a, b,
     similarity) and components (id, component)."""
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     members = cut_lineage(members.join(counts.where("n > 1"), "key"))
@@ -79,6 +81,18 @@ def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFr
     return links, components(links)
 
 
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of xs how many elements it shares with each set of ys; elements of a set are distinct."""
+    flat = np.concatenate(ys)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(ys)), [len(y) for y in ys])[order]
+    for x in xs:
+        lo = np.searchsorted(flat, x)
+        n = np.searchsorted(flat, x, side="right") - lo
+        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield np.bincount(owner[places], minlength=len(ys))
+
+
 def _in_blocks(left: DataFrame, contents: DataFrame, describe: Callable, threshold: float, block: int = 1000) -> DataFrame:
     """a, b, similarity of links between different components of a cluster."""
     first = left.groupBy("key").agg(F.min("id").alias("a"))
@@ -97,17 +111,17 @@ def _in_blocks(left: DataFrame, contents: DataFrame, describe: Callable, thresho
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         unique, at = np.unique(pdf["id"].to_numpy(), return_index=True)
-        registers, sets = describe(pdf["content"].iloc[at].tolist())
+        _, sets = describe(pdf["content"].iloc[at].tolist())
         component = pdf["component"].to_numpy()[at]
         xs, ys = (np.searchsorted(unique, pdf["id"][pdf["is_x"] == side].to_numpy()) for side in (True, False))
-        least = threshold - 3.5 * np.sqrt(threshold * (1 - threshold) / registers.shape[1])
         size = np.array([len(s) for s in sets])
-        for i in xs:
-            near = ys[(component[ys] != component[i]) & (np.minimum(size[ys], size[i]) >= threshold * np.maximum(size[ys], size[i]))]
-            for j in near[(registers[near] == registers[i]).mean(axis=1) >= least]:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if (similarity := both / max(size[i] + size[j] - both, 1)) >= threshold:
-                    out.append((min(unique[i], unique[j]), max(unique[i], unique[j]), similarity))
+        part = np.cumsum(size[ys]) // INDEX_SHINGLES
+        for some in np.split(ys, np.flatnonzero(np.diff(part)) + 1):
+            for i, both in zip(xs, shared_counts([sets[i] for i in xs], [sets[j] for j in some])):
+                similarity = both / np.maximum(size[i] + size[some] - both, 1)
+                for k in np.flatnonzero((component[some] != component[i]) & (similarity >= threshold)):
+                    j = some[k]
+                    out.append((min(unique[i], unique[j]), max(unique[i], unique[j]), float(similarity[k])))
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
     return x.unionByName(y).groupBy("cluster", "bx", "by").applyInPandas(compare, "a long, b long, similarity double").distinct()

@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document's shingles are five words each, weighted by 1 + ln(count).  Every shingle is a Poisson process whose rate is
-its weight; each arrival falls into a random register, which keeps its earliest arrival.  A shingle stops as soon as its
-time is past the latest register.  Registers of two documents agree with the probability Jaccard similarity.  Registers
-are cut into bands; documents that collide are verified by the exact Jaccard similarity of their shingle sets.
+A document's shingles are five words each.  Every distinct one is a Poisson process of weight 1; each arrival falls into a
+random register, which keeps its earliest arrival.  A shingle stops as soon as its time is past the latest register.
+Registers of two documents agree with the probability Jaccard similarity, which for equal weights is the Jaccard
+similarity of the shingle sets.  Registers are cut into bands; documents that collide are verified by that same similarity,
+worked out exactly, so a repeated block doesn't keep a pair from being proposed.
 
 Exact copies (equal words) are one text from the start, so a group of copies costs one row of a map-side sum.
 
@@ -63,12 +64,12 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             for at, text in enumerate(texts_of(batch, "_text")):
                 words = WORD.findall(text.lower())
                 if words:
-                    shingles, counts = np.unique(shingle_hashes(known.of(words), SHINGLE), return_counts=True)
+                    shingles = np.unique(shingle_hashes(known.of(words), SHINGLE))
                     rows.append(at)
                     content.append(xxhash.xxh3_128_digest(" ".join(words)))
                     sizes.append(len(shingles))
                     parts.append(shingles)
-                    weights.append(1 + np.log(counts))
+                    weights.append(np.ones(len(shingles)))  # a link is defined by sets
             if rows:
                 owner = np.repeat(np.arange(len(rows)), sizes)
                 registers = prob_minhash(np.concatenate(parts), np.concatenate(weights), owner, len(rows), BANDS * ROWS)
@@ -78,13 +79,10 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, content binary, size long, bands array<long>")
 
 
-def describe(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Registers and shingle sets of texts that have words."""
+def describe(texts: list[str]) -> tuple[None, list[np.ndarray]]:
+    """Nothing more, and the shingle sets, of texts that have words."""
     known = WordHashes()
-    each = [np.unique(shingle_hashes(known.of(WORD.findall(t.lower())), SHINGLE), return_counts=True) for t in texts]
-    owner = np.repeat(np.arange(len(each)), [len(s) for s, _ in each])
-    registers = prob_minhash(np.concatenate([s for s, _ in each]), np.concatenate([1 + np.log(n) for _, n in each]), owner, len(each), BANDS * ROWS)
-    return registers, [s for s, _ in each]
+    return None, [np.unique(shingle_hashes(known.of(WORD.findall(t.lower())), SHINGLE)) for t in texts]
 
 
 def jaccard(pairs: DataFrame) -> DataFrame:

@@ -164,6 +164,28 @@ def test_near_duplicates_equal_all_pairs(spark, sf, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def heavy_pairs(n):
+    """Pairs of texts of set similarity over 0.8 that differ in a block of 44 words repeated 20 times."""
+    own = lambda name, m: " ".join(f"{name}{i}" for i in range(m))
+    texts = [own(f"k{k}w", 424) + " " + " ".join([own(f"k{k}{side}x", 44)] * 20) for k in range(n) for side in "ab"]
+    assert all(0.8 <= jaccard(texts[i], texts[i + 1]) < 0.83 for i in range(0, len(texts), 2))
+    return texts
+
+
+def test_repeated_blocks_keep_pairs_as_candidates(spark):
+    rows = list(enumerate(heavy_pairs(40)))
+    bands = {r.doc_id: set(r.bands) for r in neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(bands[i] & bands[i + 1] for i in range(0, 80, 2))
+
+
+def test_blocks_keep_pairs_that_differ_in_repeated_blocks(spark):
+    rows = list(enumerate(heavy_pairs(8)))
+    contents = spark.createDataFrame(rows, "id long, content string")
+    members = spark.createDataFrame([(7, i, 468) for i, _ in rows], "key long, id long, size long")
+    _, found = links.near_links(members, contents, lambda pairs: neardup.jaccard(links.with_both(pairs, contents)), neardup.describe)
+    assert {r.id: r.component for r in found.collect()} == {i: i - i % 2 for i in range(16)}
+
+
 def test_large_keys_lose_no_link(spark):
     """Sixty ids in one key: a hub with its copies, a chain, pairs that only each other reach, and strangers."""
     near = {(0, k) for k in range(1, 20)} | {(k, k + 1) for k in range(20, 30)} | {(40, 41), (42, 43), (44, 45), (50, 59)}
