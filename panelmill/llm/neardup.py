@@ -109,7 +109,9 @@ def jaccard(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, class_id, n_links (verified links of its text with different texts)."""
+    """A row for each document: doc_id, class_id, n_search_links (links of its text with different texts that
+    the search verified on its way to the classes; in keys of more than 8 texts it leaves out links inside a component it
+    knows already, so this is 0 for texts without a found link, but no count of all links of a text)."""
     source = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     signed = cut_lineage(signatures(source))
     # equal contents have equal bands, so any of them will do
@@ -117,9 +119,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     members = texts.select(F.explode("bands").alias("key"), "id", "size")
     contents = source.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     links, found = near_links(members, contents, lambda pairs: jaccard(with_both(pairs, contents)), describe, THRESHOLD)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_search_links"))
     classes = texts.select("content", "id").join(found, "id", "left").join(degree, "id", "left")
-    classes = classes.select("content", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    placed = signed.select("doc_id", "content").join(classes, "content").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    classes = classes.select("content", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_search_links", F.lit(0)).cast("long").alias("n_search_links"))
+    placed = signed.select("doc_id", "content").join(classes, "content").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_search_links").alias("n_search_links"))
     ids = source.select("doc_id")
-    return ids.join(placed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return ids.join(placed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_search_links", F.lit(0)).cast("long").alias("n_search_links"))

@@ -186,6 +186,16 @@ def test_blocks_keep_pairs_that_differ_in_repeated_blocks(spark):
     assert {r.id: r.component for r in found.collect()} == {i: i - i % 2 for i in range(16)}
 
 
+def test_search_links_are_named_so(spark):
+    """Twelve near copies in large keys are all linked with each other, which the search doesn't count."""
+    words = prose(31, 200).split()
+    rows = [(i, " ".join([*words[: 10 * i], f"edit{i}", *words[10 * i + 1 :]])) for i in range(12)] + [(50, prose(32, 200)), (51, None)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.columns == ["doc_id", "class_id", "n_search_links"]
+    got = {r.doc_id: (r.class_id, r.n_search_links > 0) for r in out.collect()}
+    assert got == {i: (0, True) if i < 12 else (i, False) for i, _ in rows}
+
+
 def test_large_keys_lose_no_link(spark):
     """Sixty ids in one key: a hub with its copies, a chain, pairs that only each other reach, and strangers."""
     near = {(0, k) for k in range(1, 20)} | {(k, k + 1) for k in range(20, 30)} | {(40, 41), (42, 43), (44, 45), (50, 59)}
