@@ -1,12 +1,13 @@
 """Verified links from colliding bands, and the components of links.
 
 A band key that holds many ids doesn't give all pairs.  Small keys are paired fully.  In each larger key the id that
-collides most often over all keys is the hub, and all others are compared with it; ids that reach the hub's component
-need no further comparison with that component.  A key whose ids aren't one component yet goes on with the next hub.
-After `rounds` hubs (1), what is left is compared inside tasks: ids that share open keys are a cluster, those outside its
-main component are compared with all of it in blocks of at most 1,000 by 1,000, exactly: shared
-shingles are counted through an index of the block.  Tasks give out links alone, so no list of
-pairs is made.
+collides most often over all keys is the hub, and all others are compared with it; ids that are linked with a hub are in
+one component and need no comparison with each other.  What a hub leaves over is compared with all ids that share a key
+with that hub, exactly, in blocks inside tasks that are bounded by numbers of shingles: shared shingles are counted
+through an index of the block.  A block gives out the links that join its ids into components and no others, so no list of
+pairs is made.  So every colliding pair is either linked through its hub or compared.
+
+Set similarities are worked out from 64-bit shingle hashes, which are made once for each id that collides.
 """
 
 from __future__ import annotations
@@ -15,70 +16,107 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_enough
+from .common import cut_lineage, let_go
 
-#: Ids or keys that are broadcast at most; beyond it Spark shuffles.
-BROADCAST_ROWS = 300_000
-#: About how many shingles a block's index holds at once.
-INDEX_SHINGLES = 2_000_000
+#: About how many shingles each side of a block holds, and how many parts a hub's rows are dealt over.
+BLOCK_SHINGLES, SALTS = 200_000, 32
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (its smallest id) for every id of links (a, b).  Each turn an id takes the smallest of its own
-    label, its neighbours' labels and the label of its label; labels only fall, so an equal sum ends the loop.  Tables
-    of up to BROADCAST_ROWS rows are joined by broadcast.  A turn ends in an aggregation, whose result carries no
-    constraints on to the next plan."""
+    """id, component (its smallest id) for every id of links (a, b), of any type with an order.  Each turn an id takes
+    the smallest of its own label, its neighbours' labels and the label of its label; it ends when no label falls."""
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    n = edges.count()
-    edges = edges.coalesce(n // 100_000 + 4)
-    smallest = lambda df: cut_lineage(df.groupBy("id").agg(F.min("component").alias("component"))).coalesce(n // 100_000 + 4)
-    named = edges.select(F.col("a").alias("id"), F.explode(F.array("a", "b")).alias("component"))
-    labels, before = smallest(named), None
+    labels = cut_lineage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     while True:
-        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return labels
-        before = total
-        near = edges.join(small_enough(labels.select(F.col("id").alias("b"), "component"), n, BROADCAST_ROWS), "b").select(F.col("a").alias("id"), "component")
+        near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component", F.lit(None).alias("old"))
         root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        root = labels.join(small_enough(root, n, BROADCAST_ROWS), "component").select("id", F.col("root").alias("component"))
-        labels = smallest(labels.unionByName(near).unionByName(root))
+        root = labels.join(root, "component").select("id", F.col("root").alias("component"), F.lit(None).alias("old"))
+        every = labels.select("id", "component", F.col("component").alias("old")).unionByName(near).unionByName(root)
+        new = cut_lineage(every.groupBy("id").agg(F.min("component").alias("component"), F.min("old").alias("old")))
+        let_go(labels)
+        labels = new.select("id", "component")
+        if new.where("component <> old").isEmpty():
+            let_go(edges)
+            return labels
 
 
-def near_links(members: DataFrame, contents: DataFrame, verify: Callable[[DataFrame], DataFrame], describe: Callable[[list[str]], tuple[object, list[np.ndarray]]], threshold: float = 0.8, small: int = 8, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
-    """members: key, id, size (number of shingles), in keys that hold two ids or more.  contents: id, content.  verify:
-    from pairs (a, b) to (a, b, similarity).  describe: of contents a pair whose second part is their shingle sets.  Returns links (a, b,
-    similarity) and components (id, component)."""
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    members = cut_lineage(members.join(counts.where("n > 1"), "key"))
-    degrees = members.groupBy("id").agg(F.sum("n").alias("degree"))
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, similarity: exact Jaccard of the shingle sets of a and b.  sets: id, shingles (ascending 64-bit numbers)."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.searchsorted(p, q)
+                both = int((p[np.minimum(at, len(p) - 1)] == q).sum()) if len(p) else 0
+                out.append(both / max(len(p) + len(q) - both, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+
+
+def near_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float = 0.8, small: int = 8) -> tuple[DataFrame, DataFrame]:
+    """members: key, id, size (number of distinct shingles).  sets_of: from distinct ids to id and shingles.  Returns
+    links (a, b, similarity) and components (id, component); both hold every id that has a link."""
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut_lineage(members.join(counts, "key"))
     few = members.where(F.col("n") <= small)
     a, b = few.alias("a"), few.alias("b")
-    alike = F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    large = members.where(F.col("n") > small).join(degrees, "id").select("key", "id", "size", "degree")
-    tested = None
-    for _ in range(rounds):
-        hubs = large.groupBy("key").agg(F.max(F.struct("degree", "id", "size")).alias("hub"))
-        star = large.join(hubs, "key").where(F.col("id") != F.col("hub.id"))
-        star = star.where(F.least("size", "hub.size") >= threshold * F.greatest("size", "hub.size"))
-        pairs = pairs.unionByName(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))).distinct()
-        new = cut_lineage(verify(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
-        tested = new if tested is None else tested.unionByName(new)
-        links = tested.where(F.col("similarity") >= threshold)
-        found = components(links)
-        large = large.join(hubs.select("key", F.col("hub.id").alias("hub")), "key").where(F.col("id") != F.col("hub"))
-        large = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_keys = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        large = cut_lineage(large.join(open_keys, "key", "left_semi").select("key", "id", "size", "degree", "component"))
-        if large.isEmpty():
-            return links, found
-        left, large, pairs = large, large.drop("component"), tested.select("a", "b").limit(0)
-    links = links.unionByName(cut_lineage(_in_blocks(left, contents, describe, threshold)))
-    return links, components(links)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.size").alias("n_a"), F.col("b.size").alias("n_b"))
+    degrees = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    large = members.where(F.col("n") > small)
+    hubs = large.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", "id", "size")).alias("hub"))
+    star = large.join(hubs, "key").where(F.col("id") != F.col("hub.id")).select(F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size"), "id", "size")
+    star = cut_lineage(star.distinct())
+    pairs = pairs.unionByName(star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.col("size").alias("n_a"), F.col("hub_size").alias("n_b")))
+    alike = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")  # else the similarity can't reach it
+    pairs = cut_lineage(pairs.where(alike).select("a", "b").distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(star.select("id")).distinct()
+    sets = cut_lineage(sets_of(ids))
+    links = cut_lineage(similarities(pairs, sets).where(F.col("similarity") >= threshold))
+    let_go(members, pairs)
+    more = cut_lineage(_left_over(star, links, sets, threshold))
+    links = links.unionByName(more)
+    found = components(links)
+    let_go(star, sets)
+    return links, found
+
+
+def _dealt(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1).cast("array<int>"))
+
+
+def _left_over(star: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity: links of ids that aren't linked with their hub, with all ids that share a key with that hub."""
+    kind = star.schema["id"].dataType.simpleString()
+    linked = links.select("a", "b", F.lit(True).alias("linked"))
+    ends = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+    own = star.select("hub", "id", "size", *ends).join(linked, ["a", "b"], "left").select("hub", "id", "size", F.isnull("linked").alias("lone"))
+    own = cut_lineage(own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
+    parts = own.groupBy("hub").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("lone"), F.col("size"))).alias("some")).where("some IS NOT NULL")
+    count = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int")
+    parts = parts.select("hub", count("some").alias("xs"), count("all").alias("ys"), _dealt(F.lit(SALTS)).alias("salt"))
+    own = own.join(parts, ["hub", "salt"]).drop("salt").join(sets, "id")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    x = own.where("lone").select("hub", "id", "shingles", F.lit(True).alias("is_x"), at("xs").alias("bx"), _dealt(F.col("ys")).alias("by"))
+    y = own.select("hub", "id", "shingles", F.lit(False).alias("is_x"), at("ys").alias("by"), _dealt(F.col("xs")).alias("bx"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["is_x", "id"])
+        side, ids = block["is_x"].to_numpy(), block["id"].tolist()
+        sets = [np.frombuffer(s, np.uint64) for s in block["shingles"]]
+        return pd.DataFrame(forest(ids, sets, np.flatnonzero(side), np.flatnonzero(~side), threshold), columns=["a", "b", "similarity"])
+
+    return x.unionByName(y).groupBy("hub", "bx", "by").applyInPandas(compare, f"a {kind}, b {kind}, similarity double").distinct()
 
 
 def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -93,45 +131,22 @@ def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> Iterator[np.nda
         yield np.bincount(owner[places], minlength=len(ys))
 
 
-def _in_blocks(left: DataFrame, contents: DataFrame, describe: Callable, threshold: float, block: int = 1000) -> DataFrame:
-    """a, b, similarity of links between different components of a cluster."""
-    first = left.groupBy("key").agg(F.min("id").alias("a"))
-    cluster = components(left.join(first, "key").select("a", F.col("id").alias("b")))
-    ids = left.select("id", "component").distinct().join(cluster.select("id", F.col("component").alias("cluster")), "id")
-    main = ids.groupBy("cluster").agg(F.mode("component", deterministic=True).alias("main"), F.count(F.lit(1)).alias("n"))
-    ids = ids.join(main, "cluster").withColumn("lone", F.col("component") != F.col("main"))
-    lone = ids.groupBy("cluster").agg(F.count_if("lone").alias("n_lone"))
-    ids = cut_lineage(ids.join(lone, "cluster").select("id", "component", "cluster", "lone", F.ceil(F.col("n_lone") / block).alias("xs"), F.ceil(F.col("n") / block).alias("ys")))
-    texts = contents.join(small_enough(ids.select("id"), ids.count(), BROADCAST_ROWS), "id").groupBy("id").agg(F.first("content").alias("content"))
-    whole = ids.join(texts, "id")
-    spread, own = (lambda n: F.explode(F.sequence(F.lit(0), n - 1).cast("array<long>"))), (lambda n: F.pmod(F.xxhash64("id"), n))
-    x = whole.where("lone").select("cluster", "id", "component", "content", F.lit(True).alias("is_x"), own(F.col("xs")).alias("bx"), spread(F.col("ys")).alias("by"))
-    y = whole.select("cluster", "id", "component", "content", F.lit(False).alias("is_x"), own(F.col("ys")).alias("by"), spread(F.col("xs")).alias("bx"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        unique, at = np.unique(pdf["id"].to_numpy(), return_index=True)
-        _, sets = describe(pdf["content"].iloc[at].tolist())
-        component = pdf["component"].to_numpy()[at]
-        xs, ys = (np.searchsorted(unique, pdf["id"][pdf["is_x"] == side].to_numpy()) for side in (True, False))
-        size = np.array([len(s) for s in sets])
-        part = np.cumsum(size[ys]) // INDEX_SHINGLES
-        for some in np.split(ys, np.flatnonzero(np.diff(part)) + 1):
-            for i, both in zip(xs, shared_counts([sets[i] for i in xs], [sets[j] for j in some])):
-                similarity = both / np.maximum(size[i] + size[some] - both, 1)
-                for k in np.flatnonzero((component[some] != component[i]) & (similarity >= threshold)):
-                    j = some[k]
-                    out.append((min(unique[i], unique[j]), max(unique[i], unique[j]), float(similarity[k])))
-        return pd.DataFrame(out, columns=["a", "b", "similarity"])
-
-    return x.unionByName(y).groupBy("cluster", "bx", "by").applyInPandas(compare, "a long, b long, similarity double").distinct()
-
-
-def with_both(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Pairs with content_a and content_b; contents: id, content.  Only contents that pairs name are moved."""
-    pairs = cut_lineage(pairs)
-    n = pairs.count()
-    pairs = pairs.coalesce(n // 2_000 + 4)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut_lineage(contents.join(small_enough(ids, n, BROADCAST_ROWS), "id").groupBy("id").agg(F.first("content").alias("content")))
-    return pairs.join(wanted.select(F.col("id").alias("a"), F.col("content").alias("content_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("content").alias("content_b")), "b")
+def forest(ids: list, sets: list[np.ndarray], xs: np.ndarray, ys: np.ndarray, threshold: float) -> list[tuple]:
+    """Links between xs and ys (places in ids) that join them into components, one fewer than a component has ids."""
+    up: dict = {}
+
+    def root(i):
+        while (j := up.get(i, i)) != i:
+            up[i] = i = up.get(j, j)
+        return i
+
+    out, size = [], np.array([len(s) for s in sets])
+    if len(xs) and len(ys):
+        for i, both in zip(xs, shared_counts([sets[i] for i in xs], [sets[j] for j in ys])):
+            similarity = both / np.maximum(size[i] + size[ys] - both, 1)
+            for k in np.flatnonzero(similarity >= threshold):
+                p, q = ids[i], ids[ys[k]]
+                if (r := root(p)) != (s := root(q)):
+                    up[max(r, s)] = min(r, s)
+                    out.append((min(p, q), max(p, q), float(similarity[k])))
+    return out

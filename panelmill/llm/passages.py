@@ -1,34 +1,29 @@
 """Repeated passages by MinHash banding of paragraphs and by winnowed word runs.
 
-The paragraphs that are compared are sentences, so that their limits depend on their own words alone and a passage is
-found wherever it is set into a text; sentences of more than 64 words are also cut after words whose hash says so.
-A single word between two sentence ends
-goes with what follows, and sentences of fewer than 6 words are joined until they have as many.  Those of 6 words or
-more count.  Paragraphs with equal words are one from the start; others are banded by MinHash over
-five-word shingles (6 bands of 2 rows: 99.8 % recall at similarity 0.8), colliding ones are verified by exact
-Jaccard similarity, and verified links are clustered by components.  Banding leaves out paragraphs of fewer than 4
-shingles: sets so small can't differ and reach 0.8.  A paragraph of a class that spans two documents or more is
+Paragraphs are lines of 24 words or more.  Those with equal words are one from the start; others are banded by MinHash
+over five-word shingles (6 bands of 2 rows: 99.8 % recall at similarity 0.8), colliding ones are verified by exact Jaccard
+similarity, and verified links are clustered by components.  A paragraph of a class that spans two documents or more is
 repeated.
 
-Equal words don't depend on sentences: each run of 13 words has a hash, and of every 12 runs in a row the least one
-(the last of equal ones) is kept as a print.  A text of 24 words that two documents share therefore shares a print, in
-whatever sentences it stands.  Prints of two documents or more are repeated; kept ones follow each other within 12
-words, so they leave no gap.  Where the prints of a class don't all have the same neighbour, the 11 runs on that side are
-compared too, in all documents of the class, which extends a hit word by word to its ends.  Nothing is paired, so the
-work doesn't grow with the square of a class.
+A passage that is set into other paragraphs, or into short lines, is found by equal words: each run of 13 words has a
+hash, and of every 12 runs in a row the least one (the last of equal ones) is kept as a print.  A text of 24 words that
+two documents share therefore shares a print, in whatever paragraphs it stands.  Prints of two documents or more are
+repeated; kept ones follow each other within 12 words, so they leave no gap.  Where the prints of a class don't all have
+the same neighbour, the 11 runs on that side are compared too, in all documents of the class, which extends a hit word by
+word to its ends.  Nothing is paired, so the work doesn't grow with the square of a class.
 
-A passage is a run of repeated paragraphs and word runs of a document with 24 words or more after that, so that a common
-line or a licence line alone is none; the first occurrence of a class (smallest doc_id, then start) stays, others are
-removals.  Every text of 24 or more equal words is found; one with changed words is found by its equal runs and by those
-of its paragraphs that are similar at 0.8, whose limits are those of the sentences it stands in.
+A passage is a run of repeated paragraphs and word runs of a document with 24 words or more; those with fewer than 6
+words between them are one.  The first occurrence of a class (smallest doc_id, then word) stays, others are removals.
+Every text of 24 or more equal words is found; one with changed words is found by its equal runs, and as a whole where its
+paragraphs are similar at 0.8.
 
 Defined results: null, empty and short texts have no passages; texts are handled whole; rows that repeat a doc_id
-count as one document; a document without passages, or without a doc_id, has no row; other columns aren't read.
+count as one document, and a row has the passages of its own text, once for each distinct text; a document without
+passages, or without a doc_id, has no row; doc_id may have any type with an order; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,225 +32,224 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, cut_lineage, mix, portions, shingle_hashes, small_enough, texts_of
-from .links import BROADCAST_ROWS, near_links, with_both
-from .neardup import SHINGLE, THRESHOLD, describe, jaccard
+from .common import BASE, Hashed, Words, binaries_of, cut_lineage, let_go, lists_of, mix, portions, ranges, texts_of, words_of
+from .links import near_links
+from .neardup import SHINGLE, THRESHOLD, lists_of_keys
 
-SENTENCE_END = re.compile(r"[.!?\n]\W*")
-LEAST_WORDS, PASSAGE_WORDS, GAP, LONG, BANDS, ROWS = 6, 24, 60, 64, 6, 2
+#: Least words of a paragraph and of a passage; words between repeated parts that are one passage; bands and their rows.
+PASSAGE_WORDS, GAP_WORDS, BANDS, ROWS = 24, 6, 6, 2
 #: Words of a print, and of how many runs in a row one is kept: PASSAGE_WORDS equal words always hold one.
 PRINT, WINDOW = 13, 12
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
-def sentences(text: str, known: WordHashes) -> tuple[list[int], list[list[str]]]:
-    """Limits (one more than sentences) and words of the sentences, long ones cut by content and short ones joined."""
-    limits, words, since, own, short = [0], [], 0, [], False
-    for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
-        new = [w.lower() for w in WORD.findall(text[since:end])]
-        own, since = own + new, end
-        if len(new) < 2 and end < len(text):
-            continue  # a single word between two ends goes with what follows
-        start = limits[-1]
-        if len(own) > LONG:
-            begun, short = list[str](), False
-            for m in WORD.finditer(text, start, end):
-                word = m[0].lower()
-                begun.append(word)
-                if mix(np.array([known[word]], np.uint64))[0] % np.uint64(16) == 0:
-                    limits.append(m.end())
-                    words.append(begun)
-                    begun = []
-            own = begun
-        if end > limits[-1]:
-            if short and len(own) < LEAST_WORDS:
-                limits[-1] = end
-                words[-1] = words[-1] + own
-            else:
-                limits.append(end)
-                words.append(own)
-        short, own = len(words) > 0 and len(words[-1]) < LEAST_WORDS, []
-    return limits, words
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first and last word (end exclusive, places in the row of all words) of each line of enough words."""
+    starts = words.breaks.copy()
+    starts[words.first[:-1][words.counts > 0]] = True
+    a = np.flatnonzero(starts)
+    b = np.append(a[1:], len(words.hash))[: len(a)]
+    own = b - a >= PASSAGE_WORDS
+    a, b = a[own], b[own]
+    return np.searchsorted(words.first, a, "right") - 1, a, b
 
 
-def paragraphs(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Start and end (code points), first and last word (end exclusive) of each paragraph, and all words."""
-    limits, words = sentences(text, known)
-    first_word = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    own = np.flatnonzero(np.diff(first_word) >= LEAST_WORDS)
-    places = np.array(limits, np.int64)
-    return places[own], places[own + 1], first_word[own], first_word[own + 1], [w for s in words for w in s]
+def _bands(words: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    at = np.arange(len(words.hash) - SHINGLE + 1)
+    g = np.append(Hashed(words.hash).of(at, at + SHINGLE), np.uint64(0))
+    limits = np.column_stack([a, b - SHINGLE + 1]).ravel()
+    keys = np.zeros((len(a), BANDS), np.uint64)
+    for k, seed in enumerate(SEEDS):
+        least = np.minimum.reduceat(mix(g ^ seed), limits)[::2]
+        keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(BASE) + least + np.uint64(k))
+    return keys.view(np.int64)
 
 
-def _each(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each paragraph, with some of: id (hash of the words), doc_id, start, end, first and last word (end exclusive), bands, content."""
-    types = {"id": "long", "doc_id": documents.schema["doc_id"].dataType.simpleString(), "start": "long", "end": "long", "first_word": "int", "last_word": "int", "bands": "array<long>", "content": "string"}
+def occurrences_of(documents: DataFrame) -> DataFrame:
+    """A row for each paragraph: id (hash of the words), doc_id, text_key, first_word, last_word (end exclusive), size
+    (distinct shingles) and bands.  documents: doc_id, text_key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in portions(batches, "text", 1_000_000):
-            rows, starts, ends, froms, tos, offsets, words, contents = [], [], [], [], [], [], [], []
-            for at, text in enumerate(texts_of(batch)):
-                a, b, p, q, own = paragraphs(text, known)
-                if len(a):
-                    rows.append(np.full(len(a), at))
-                    starts.append(a)
-                    ends.append(b)
-                    froms.append(p + len(words))
-                    tos.append(q + len(words))
-                    offsets.append(np.full(len(a), len(words)))
-                    words += own
-                    if "content" in columns:
-                        contents += [text[x:y] for x, y in zip(a.tolist(), b.tolist())]
-            if not rows:
-                continue
-            s, e = np.concatenate(froms), np.concatenate(tos)
-            h = known.of(words)
-            one, powers = np.ones(1, np.uint64), np.ones(len(h), np.uint64)  # 64-bit unsigned throughout
-            power = np.cumprod(np.concatenate([one, powers * np.uint64(BASE)]))
-            inverse = np.cumprod(np.concatenate([one, powers * np.uint64(INVERSE)]))
-            sums = np.concatenate([one - one, np.cumsum(mix(h) * power[:-1])])
-            out = {"id": lambda: pa.array(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)).view(np.int64))}
-            out["doc_id"] = lambda: batch.column("doc_id").take(pa.array(np.concatenate(rows)))
-            out["start"], out["end"] = lambda: pa.array(np.concatenate(starts)), lambda: pa.array(np.concatenate(ends))
-            out["first_word"] = lambda: pa.array((s - np.concatenate(offsets)).astype(np.int32))
-            out["last_word"] = lambda: pa.array((e - np.concatenate(offsets)).astype(np.int32))
-            out["content"] = lambda: pa.array(contents, pa.string())
-            out["bands"] = lambda: _bands(h, s, e)
-            yield pa.RecordBatch.from_arrays([out[c]() for c in columns], columns)
-
-    return documents.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in columns))
-
-
-def _bands(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
-    g = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        g = g * np.uint64(BASE) + h[k : k + len(g)]
-    g = mix(np.append(g, np.uint64(0)))
-    at = np.column_stack([s, e - SHINGLE + 1]).ravel()
-    keys = np.zeros((len(s), BANDS), np.uint64)
-    for k, seed in enumerate(SEEDS):
-        least = np.minimum.reduceat(mix(g ^ seed), at)[::2]
-        keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(BASE) + least + np.uint64(k))
-    return pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            words = words_of(texts_of(batch))
+            text, a, b = paragraphs(words)
+            if len(a):
+                of = pa.array(text)
+                sizes = [len(np.unique(s)) for s in _shingles(words, a, b)]
+                own = [pa.array(x.astype(np.int32)) for x in (a - words.first[text], b - words.first[text])]
+                yield pa.RecordBatch.from_arrays([pa.array(Hashed(words.hash).of(a, b).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), *own, pa.array(sizes, pa.int64()), lists_of_keys(_bands(words, a, b))], ["id", "doc_id", "text_key", "first_word", "last_word", "size", "bands"])
+
+    return documents.select("doc_id", "text_key", "text").mapInArrow(run, f"id long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, text_key long, first_word int, last_word int, size long, bands array<long>")
 
 
-def winnowed(h: np.ndarray) -> np.ndarray:
-    """Positions of the least hash of every WINDOW in a row, the last of equal ones; of all where there are fewer."""
+def _shingles(words: Words, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    at = ranges(a, b - a - SHINGLE + 1)
+    return np.split(Hashed(words.hash).of(at, at + SHINGLE), np.cumsum(b - a - SHINGLE + 1)[:-1])
+
+
+def _sets(documents: DataFrame) -> DataFrame:
+    """id and shingles of some paragraphs.  documents: text and wanted, an array of (id, first_word, last_word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text", 1_000_000):
+            words = words_of(texts_of(batch))
+            wanted = batch.column("wanted")
+            base = np.repeat(words.first[:-1], wanted.value_lengths().to_numpy(zero_copy_only=False))
+            ids, a, b = wanted.flatten().flatten()
+            a, b = (base + x.to_numpy(zero_copy_only=False) for x in (a, b))
+            sets = [np.unique(s) for s in _shingles(words, a, b)]
+            yield pa.RecordBatch.from_arrays([ids, binaries_of(np.concatenate(sets), np.array([len(s) for s in sets]))], ["id", "shingles"])
+
+    return documents.select("text", "wanted").mapInArrow(run, "id long, shingles binary")
+
+
+def near_paragraphs(documents: DataFrame) -> DataFrame:
+    """Paragraphs of classes that span two documents or more: doc_id, text_key, first_word, last_word (end exclusive),
+    class_id and removed.  documents: doc_id, text_key, text."""
+    occurrences = cut_lineage(occurrences_of(documents))
+    place = F.struct("doc_id", "text_key", "first_word", "last_word")
+    own = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(place).alias("first")]
+    each = cut_lineage(occurrences.groupBy("id").agg(*own, F.first("size").alias("size"), F.first("bands").alias("bands")))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        at = each.join(ids, "id").select("id", "first.*").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("id", "first_word", "last_word")).alias("wanted"))
+        texts = documents.join(at, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+        return _sets(texts)
+
+    links, found = near_links(each.select(F.explode("bands").alias("key"), "id", "size"), sets_of, THRESHOLD)
+    linked = each.drop("bands", "size").join(found, "id", "left").where((F.col("lo") != F.col("hi")) | F.col("component").isNotNull())
+    linked = cut_lineage(linked.withColumn("class_id", F.coalesce("component", "id")))
+    classes = linked.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("kept")).where("lo <> hi")
+    hits = occurrences.drop("bands", "size").join(linked.select("id", "class_id").join(classes.select("class_id", "kept"), "class_id"), "id")
+    hits = cut_lineage(hits.select("doc_id", "text_key", "first_word", "last_word", "class_id", (place != F.col("kept")).alias("removed")).distinct())
+    let_go(occurrences, each, linked)
+    return hits
+
+
+def winnowed(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of the least hash of every WINDOW in a row of a text, the last of equal ones; of all where a text has
+    fewer.  counts: hashes of each text, which follow each other in h."""
     at, span, least = np.arange(len(h)), 1, lambda a, b: np.where(h[b] <= h[a], b, a)
-    window = min(WINDOW, len(h))
-    while span < window:
-        step = min(span, window - span)
-        at = least(at[:-step], at[step:])
+    while span < min(WINDOW, len(h)):
+        step = min(span, WINDOW - span)
+        at = least(at[:-step], at[step:]) if step < len(at) else at[:0]
         span += step
-    return np.unique(at)
+    ends = np.cumsum(counts)
+    whole = at[ranges((ends - counts)[counts >= WINDOW], counts[counts >= WINDOW] - WINDOW + 1)]
+    short = [b - 1 - int(np.argmin(h[a:b][::-1])) for a, b in zip((ends - counts).tolist(), ends.tolist()) if 0 < b - a < WINDOW]
+    return np.unique(np.concatenate([whole, np.array(short, np.int64)]))
 
 
 def _prints(documents: DataFrame) -> DataFrame:
-    """A row for each document of PRINT words or more: doc_id and the lists print (hash), word, start, end (code points)
-    and link, which has one entry more and tells a print's neighbour and its distance; 0 at both ends.  Where documents
-    has the lists lefts and rights (words), the prints are all runs on that side of them up to WINDOW - 1 words away."""
+    """A row for each document of PRINT words or more: doc_id, text_key and the lists print (hash), word and link, which
+    tells a print's neighbours and their distance and has one entry more; 0 at both ends.  Where documents has the lists
+    lefts and rights (words), the prints are all runs on that side of them up to WINDOW - 1 words away, without links."""
     sided = "lefts" in documents.columns
-    names = ["doc_id", "print", "word", "start", "end", "link"]
+    names = ["doc_id", "text_key", "print", "word", "link"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, around = WordHashes(), np.arange(1, WINDOW)
+        around = np.arange(1, WINDOW)
         for batch in portions(batches, "text", 1_000_000):
-            rows, ends, prints, words, starts, stops, links = [], [0], [], [], [], [], []
-            sides = [batch.column(c).to_pylist() for c in ("lefts", "rights")] if sided else None
-            for at, text in enumerate(texts_of(batch)):
-                places = [m.span() for m in WORD.finditer(text)]
-                if len(places) < PRINT:
-                    continue
-                h = shingle_hashes(known.of([text[a:b].lower() for a, b in places]), PRINT)
-                if sided:
-                    near = [np.array(side[at], np.int64)[:, None] + sign * around for side, sign in zip(sides, (-1, 1))]
-                    own = np.unique(np.concatenate([n.ravel() for n in near]))
-                    own = own[(own >= 0) & (own < len(h))]
-                else:
-                    own = winnowed(h)
-                own_places, zero = np.array(places, np.int32), np.zeros(1, np.uint64)
-                rows.append(at)
-                ends.append(ends[-1] + len(own))
-                prints.append(h[own])
-                words.append(own.astype(np.int32))
-                starts.append(own_places[own, 0])
-                stops.append(own_places[own + PRINT - 1, 1])
-                between = mix(h[own][:-1] * np.uint64(BASE) + h[own][1:] + np.diff(own).astype(np.uint64))
-                links.append(np.concatenate([zero, between, zero])[: len(own) + 1])
-            if not rows:
+            words = words_of(texts_of(batch))
+            counts = np.maximum(words.counts - PRINT + 1, 0)
+            at = ranges(words.first[:-1], counts)
+            if not len(at):
                 continue
-            lists = lambda parts, more=0: pa.ListArray.from_arrays(pa.array(np.array(ends) + more * np.arange(len(ends)), pa.int32()), pa.array(np.concatenate(parts)))
-            columns = [lists([p.view(np.int64) for p in prints]), lists(words), lists(starts), lists(stops), lists([p.view(np.int64) for p in links], 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *columns], names)
+            h, begins = Hashed(words.hash).of(at, at + PRINT), np.cumsum(counts) - counts
+            if sided:
+                parts = []
+                for c, sign in (("lefts", -1), ("rights", 1)):
+                    column = batch.column(c)
+                    text = np.repeat(np.arange(len(counts)), column.value_lengths().to_numpy(zero_copy_only=False))
+                    near = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[:, None] + sign * around
+                    inside = (near >= 0) & (near < counts[text][:, None])
+                    parts.append((near + begins[text][:, None])[inside])
+                own = np.unique(np.concatenate(parts))
+            else:
+                own = winnowed(h, counts)
+            text = np.searchsorted(np.cumsum(counts), own, "right")
+            n = np.bincount(text, minlength=len(counts))
+            word = (own - begins[text]).astype(np.int32)
+            between = np.zeros(len(own) + 1, np.uint64)
+            if len(own) and not sided:
+                between[1:-1] = np.where(text[1:] == text[:-1], mix(h[own][:-1] * np.uint64(BASE) + h[own][1:] + np.diff(own).astype(np.uint64)), np.uint64(0))
+            links = np.concatenate([between[:-1], between[-1:]])[ranges(np.cumsum(n) - n, n + (n > 0))]
+            some = pa.array(np.flatnonzero(n))
+            lists = [lists_of(h[own].view(np.int64), n), lists_of(word, n), lists_of(links.view(np.int64), n + (n > 0))]
+            yield pa.RecordBatch.from_arrays([x.take(some) for x in (batch.column("doc_id"), batch.column("text_key"), *lists)], names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"doc_id {kind}, print array<long>, word array<int>, start array<int>, end array<int>, link array<long>")
+    return documents.mapInArrow(run, f"doc_id {kind}, text_key long, print array<long>, word array<int>, link array<long>")
 
 
 def equal_runs(documents: DataFrame) -> DataFrame:
-    """Word runs that stand in two documents or more: doc_id, start, end (code points), first_word, last_word (end
-    exclusive), class_id and removed.  Runs of a document that overlap or touch are one, apart from first occurrences."""
-    several = F.col("first.doc_id") != F.col("hi")
-    first = [F.min(F.struct("doc_id", "word")).alias("first"), F.max("doc_id").alias("hi")]
-    kept = cut_lineage(_prints(documents))
+    """Word runs that stand in two documents or more: doc_id, text_key, first_word, last_word (end exclusive), class_id
+    and removed.  Runs of a document that overlap or touch are one, apart from first occurrences.  documents: doc_id,
+    text_key, text."""
+    kept = cut_lineage(_prints(documents.select("doc_id", "text_key", "text")))
+    bounds = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]
+    shared = cut_lineage(kept.select("doc_id", F.explode("print").alias("print")).groupBy("print").agg(*bounds).where("lo <> hi").select("print"))
     n = F.size("print")
-    zipped = F.arrays_zip("print", "word", "start", "end", F.slice("link", F.lit(1), n).alias("before"), F.slice("link", F.lit(2), n).alias("after"))
-    each = kept.where(n > 0).select("doc_id", F.inline(zipped).alias("print", "word", "start", "end", "before", "after"))
-    open_sides = [(F.min(c) != F.max(c)).alias(side) for c, side in (("before", "left"), ("after", "right"))]
-    shared = each.groupBy("print").agg(*first, *open_sides).where(several).drop("hi")
-    hits = cut_lineage(each.drop("before", "after").join(shared, "print"))
-    sides = [F.collect_set(F.when(F.col(side), F.col("word"))).alias(f"{side}s") for side in ("left", "right")]
-    edges = cut_lineage(hits.where("left OR right").groupBy("doc_id").agg(*sides))
-    more = _prints(documents.join(small_enough(edges, edges.count(), BROADCAST_ROWS), "doc_id"))
-    more = cut_lineage(more.select("doc_id", F.inline(F.arrays_zip("print", "word", "start", "end")).alias("print", "word", "start", "end")).distinct())
-    more = more.join(more.groupBy("print").agg(*first).where(several).drop("hi"), "print")
-    columns = ["doc_id", "start", "end", "word", "print", "first"]
-    every = hits.select(*columns).unionByName(more.select(*columns))
+    zipped = F.arrays_zip("print", "word", F.slice("link", F.lit(1), n).alias("before"), F.slice("link", F.lit(2), n).alias("after"))
+    hits = cut_lineage(kept.select("doc_id", "text_key", F.inline(zipped).alias("print", "word", "before", "after")).join(shared, "print"))
+    let_go(kept, shared)
+    first = F.min(F.struct("doc_id", "word")).alias("first")
+    sides = [(F.min(c) != F.max(c)).alias(side) for c, side in (("before", "left"), ("after", "right"))]
+    classes = cut_lineage(hits.groupBy("print").agg(first, *sides))
+    words = [F.collect_set(F.when(F.col(side), F.col("word"))).alias(f"{side}s") for side in ("left", "right")]
+    edges = hits.join(classes.where("left OR right"), "print").groupBy("doc_id", "text_key").agg(*words)
+    more = _prints(documents.join(edges, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "lefts", "rights"))
+    more = cut_lineage(more.select("doc_id", "text_key", F.inline(F.arrays_zip("print", "word")).alias("print", "word")).distinct())
+    beyond = more.join(more.groupBy("print").agg(first, *bounds).where("lo <> hi").drop("lo", "hi"), "print")
+    columns = ["doc_id", "text_key", "word", "print", "first"]
+    every = hits.join(classes, "print").select(*columns).unionByName(beyond.select(*columns))
     removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("word") != F.col("first.word"))
-    every = every.select("doc_id", "start", "end", F.col("word").alias("first_word"), (F.col("word") + PRINT).alias("last_word"), F.col("print").alias("class_id"), removed.alias("removed"))
-    order = W.partitionBy("doc_id", "removed").orderBy("first_word", "start", "end")
+    every = every.select("doc_id", "text_key", F.col("word").alias("first_word"), (F.col("word") + PRINT).alias("last_word"), F.col("print").alias("class_id"), removed.alias("removed"))
+    runs = _runs(every, ["doc_id", "text_key", "removed"], 0).groupBy("doc_id", "text_key", "removed", "run")
+    runs = cut_lineage(runs.agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min_by("class_id", F.struct("first_word", "class_id")).alias("class_id")).drop("run"))
+    let_go(hits, classes, more)
+    return runs
+
+
+def _runs(parts: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """Adds run: parts of one `by` with no more than `gap` words between them have one number."""
+    order = W.partitionBy(*by).orderBy("first_word", "last_word", "class_id")
     before = F.max("last_word").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("first_word") > before).cast("int"), F.lit(1))
-    runs = every.withColumn("new", fresh).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    least = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")]
-    return runs.groupBy("doc_id", "removed", "run").agg(*least, F.min_by("class_id", "first_word").alias("class_id")).drop("run")
+    parts = parts.withColumn("before", before).withColumn("new", F.coalesce((F.col("first_word") > F.col("before") + gap).cast("int"), F.lit(1)))
+    return parts.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def _with_places(documents: DataFrame) -> DataFrame:
+    """doc_id and the passages with start and end (code points).  documents: doc_id, text, passages."""
+    schema = documents.select("doc_id", "passages").schema
+    kinds = schema["passages"].dataType.elementType.simpleString().replace("struct<", "struct<start:bigint,end:bigint,", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text", 1_000_000):
+            words, lists = words_of(texts_of(batch)), batch.column("passages")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            fields = lists.flatten()
+            a, b = (np.repeat(words.first[:-1], n) + fields.field(c).to_numpy(zero_copy_only=False) for c in ("first_word", "last_word"))
+            names = [f.name for f in fields.type]
+            own = pa.StructArray.from_arrays([pa.array(words.start[a]), pa.array(words.end[b - 1]), *(fields.field(c) for c in names)], ["start", "end", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), own)], ["doc_id", "passages"])
+
+    return documents.select("doc_id", "text", "passages").mapInArrow(run, f"doc_id {schema['doc_id'].dataType.simpleString()}, passages array<{kinds}>")
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """A row for each passage of a document: doc_id, start, end (code points), class_id (of its first part),
     n_paragraphs (repeated paragraphs and word runs), n_words (repeated words), n_removed (parts that aren't the first
     occurrence), removed (any of them)."""
-    documents = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    occurrences = cut_lineage(_each(documents, ["id", "doc_id", "start", "end", "first_word", "last_word", "bands"]))  # texts are cut once
-    banded = occurrences.withColumn("size", (F.col("last_word") - F.col("first_word") - SHINGLE + 1).cast("long")).where(F.col("size") >= 4).select("id", "size", F.explode("bands").alias("key"))
-    occurrences = occurrences.drop("bands")
-    several = cut_lineage(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
-    members = cut_lineage(banded.join(small_enough(several, several.count(), BROADCAST_ROWS), "key").distinct())
-    wanted = members.select("id").distinct()
-    holders = occurrences.join(small_enough(wanted, members.count(), BROADCAST_ROWS), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    holders = cut_lineage(holders.select("doc_id").distinct())
-    contents = _each(documents.join(small_enough(holders, holders.count(), BROADCAST_ROWS), "doc_id", "left_semi"), ["id", "content"])
-    _, found = near_links(members, contents, lambda pairs: jaccard(with_both(pairs, contents)), describe, THRESHOLD)
-    own = occurrences.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("first"))
-    linked = own.join(found, "id", "left").where((F.col("lo") != F.col("hi")) | F.col("component").isNotNull())
-    linked = cut_lineage(linked.withColumn("class_id", F.coalesce("component", "id")))
-    firsts = linked.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first")).where("lo <> hi")
-    classes = cut_lineage(linked.select("id", "class_id").join(firsts.select("class_id", "first"), "class_id"))
-    hits = occurrences.join(small_enough(classes, classes.count(), BROADCAST_ROWS), "id")
-    removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-    parts = ["doc_id", "start", "end", "first_word", "last_word", "class_id", "removed"]
-    hits = hits.withColumn("removed", removed).select(*parts).distinct().unionByName(equal_runs(documents).select(*parts))
-    order = W.partitionBy("doc_id").orderBy("start", "end", "class_id", "removed")
-    earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    words_before = F.coalesce(F.max("last_word").over(earlier), F.lit(0))
-    apart = (F.col("start") > F.max("end").over(earlier) + GAP) & (F.col("first_word") >= words_before + LEAST_WORDS)
-    runs = hits.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("words", F.greatest(F.col("last_word") - F.greatest("first_word", words_before), F.lit(0)).cast("long"))
-    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    passages = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("class_id", F.struct("start", "end", "class_id")).alias("class_id"), F.count(F.lit(1)).alias("n_paragraphs"),
-        F.sum("words").alias("n_words"), F.count_if("removed").alias("n_removed"),
+    documents = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    parts = near_paragraphs(documents).unionByName(equal_runs(documents))
+    runs = _runs(parts, ["doc_id", "text_key"], GAP_WORDS - 1)
+    fresh = F.greatest(F.col("last_word") - F.greatest("first_word", F.coalesce("before", F.lit(0))), F.lit(0)).cast("long")
+    found = runs.withColumn("words", fresh).groupBy("doc_id", "text_key", "run").agg(
+        F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min_by("class_id", F.struct("first_word", "last_word", "class_id")).alias("class_id"),
+        F.count(F.lit(1)).alias("n_paragraphs"), F.sum("words").alias("n_words"), F.count_if("removed").alias("n_removed"),
     )
-    return passages.where(F.col("n_words") >= PASSAGE_WORDS).drop("run").withColumn("removed", F.col("n_removed") > 0)
+    found = found.where(F.col("n_words") >= PASSAGE_WORDS).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "last_word", "class_id", "n_paragraphs", "n_words", "n_removed")).alias("passages"))
+    texts = documents.join(found, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("passages").alias("passages"))
+    placed = _with_places(texts).select("doc_id", F.inline("passages"))
+    return placed.select("doc_id", "start", "end", "class_id", "n_paragraphs", "n_words", "n_removed", (F.col("n_removed") > 0).alias("removed"))

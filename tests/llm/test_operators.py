@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
@@ -68,6 +68,14 @@ def test_pii_and_repetition_rows(docs, empty):
     assert pii.find_spans(empty).count() == pii.redact(empty).count() == repetition.score_repetition(empty).count() == 0
 
 
+def test_chat_ties_are_ordered_as_they_came(spark):
+    """One turn number with texts of which one is escaped."""
+    rows = [(1, 0, "user", "[INST]"), (1, 0, "user", "a"), (1, 0, "assistant", "zz"), (1, 0, "assistant", "</s>"), (1, 0, "<s>", "m")]
+    got = chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in sorted(rows)).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256(b"</s>zz").hexdigest()
+
+
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "␛0␛1␛", "[INST]", "a[/INST", "]", "<s>", "", None, "[OUT]x\ny\n", "plain\n", "␛", "<", "/s>", "y" * 20_000]
     roles = ["user", "assistant", None, "sys\ntem", "[INST]", "", "a␛9"]
@@ -116,12 +124,34 @@ def test_reshard_is_level_and_gapless(spark, docs, empty, shards):
     assert sharding.reshard(many, F.lit(None), shards).count() == 900
 
 
-def test_rewrite_leaves_other_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, "w" * 50, i % 2 if i < 80 else 0) for i in range(120)], "doc_id long, text string, old int")
-    placed = sharding.reshard(df, F.col("old"), 3).persist()
-    done = sharding.rewrite(df.drop("old"), placed, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert done == sharding.affected(placed) and back.count() == placed.where(F.col("shard").isin(done)).count()
+@pytest.mark.parametrize("shards", [1, 3])
+def test_rewrite_writes_each_row_once(spark, tmp_path, shards):
+    """Null and repeated keys, shards that end up empty, and shards that stay."""
+    rows = [(None if i % 40 == 7 else i // 2 if i < 30 else i, f"text {i // 3} " + "w" * (i % 50), "en", i % 2 if i < 80 else 0 if i < 118 else 5, 1) for i in range(120)]
+    df = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string, lang string, old int, slot int")
+    path = str(tmp_path / "out")
+    df.drop("slot").withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(path)
+    done = sharding.rewrite(df, F.col("old"), path, shards)
+    back = spark.read.parquet(path)
+    assert Counter((r.doc_id, r.text, r.lang, r.old) for r in back.collect()) == Counter((r.doc_id, r.text, r.lang, r.old) for r in df.collect())
+    assert {r.shard for r in back.select("shard").distinct().collect()} <= set(range(shards)) and 5 in done
+    for shard in set(done) & set(range(shards)):
+        assert sorted(r.slot for r in back.where(F.col("shard") == shard).collect()) == list(range(back.where(F.col("shard") == shard).count()))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_reshard_moves_little_more_than_the_least(spark, sf):
+    """The least for exactly level shards; giants, which can't be cut, may move more or leave shards less level."""
+    out = QUERIES["op2_reshard"](spark, f"/root/testdata/{sf}").collect()
+    before, after = Counter(), Counter()
+    for r in out:
+        before[r.old_shard] += r.size
+        after[r.shard] += r.size
+    share, most = sum(before.values()) / 16, max(r.size for r in out)
+    least = sum(max(0, n - share * (old < 16)) for old, n in before.items())
+    moved = sum(r.size for r in out if r.shard != r.old_shard)
+    print(sf, moved / least, max(after.values()) / share, min(after[k] for k in range(16)) / share)
+    assert moved < 1.03 * least and max(after.values()) < share + most and min(after[k] for k in range(16)) > share - most
 
 
 def test_classifier_on_held_out_rows(spark, docs, empty):
@@ -154,16 +184,45 @@ def classes_of(pairs, ids):
     return {i: root(i) for i in ids}
 
 
+def near_classes(rows):
+    """Class of each row (doc_id, text) by all pairs: smallest doc_id of the class, and the rows of each class."""
+    own = list(range(len(rows)))
+    worded = [i for i in own if rows[i][1] and WORD.search(rows[i][1])]
+    pairs = [(a, b) for a, b in combinations(worded, 2) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    classes = classes_of(pairs, own)
+    least = {}
+    for i in own:
+        if rows[i][0] is not None:
+            least[classes[i]] = min(least.get(classes[i], rows[i][0]), rows[i][0])
+    return Counter((rows[i][0], least.get(classes[i])) for i in own), classes
+
+
 def test_near_duplicates_equal_all_pairs(spark, sf, docs, empty):
-    for df in (spark.read.parquet(f"{sf}/documents.parquet"), docs):
-        rows = {r.doc_id: r.text for r in df.collect()}
-        worded = {i: t for i, t in rows.items() if t and WORD.search(t)}
-        pairs = [(a, b) for a, b in combinations(sorted(worded), 2) if jaccard(worded[a], worded[b]) >= 0.8]
+    twice = [(3, prose(50, 40)), (5, prose(51, 40)), (5, prose(50, 40)), (7, prose(51, 40)), (7, prose(51, 40)), (None, prose(51, 40)), (None, prose(52, 40)), (9, None), (9, ""), (None, " ")]
+    names = spark.createDataFrame([(f"d{i}", t) for i, t in twice], "doc_id string, text string")
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), docs, spark.createDataFrame(twice, "doc_id long, text string"), names):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
         out = neardup.near_duplicates(df).collect()
-        assert len(out) == df.count() and {r.doc_id: r.class_id for r in out} == classes_of(pairs, rows)
+        assert Counter((r.doc_id, r.class_id) for r in out) == near_classes(rows)[0]
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_recall_over_a_table(spark):
+    """All pairs of a larger table by an index of shingles."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders = {}, defaultdict(list)
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        if w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+            for x in sets[i]:
+                holders[x].append(i)
+    shared = Counter(p for own in holders.values() for p in combinations(own, 2))
+    true = [p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(true) > 90 and got == classes_of(true, got)
+
+
 def heavy_pairs(n):
     """Pairs of texts of set similarity over 0.8 that differ in a block of 44 words repeated 20 times."""
     own = lambda name, m: " ".join(f"{name}{i}" for i in range(m))
@@ -180,49 +239,70 @@ def test_repeated_blocks_keep_pairs_as_candidates(spark):
 
 def test_blocks_keep_pairs_that_differ_in_repeated_blocks(spark):
     rows = list(enumerate(heavy_pairs(8)))
-    contents = spark.createDataFrame(rows, "id long, content string")
+    contents = spark.createDataFrame(rows, "id long, text string")
     members = spark.createDataFrame([(7, i, 468) for i, _ in rows], "key long, id long, size long")
-    _, found = links.near_links(members, contents, lambda pairs: neardup.jaccard(links.with_both(pairs, contents)), neardup.describe)
+    _, found = links.near_links(members, lambda ids: neardup.shingle_sets(contents.join(ids, "id")))
     assert {r.id: r.component for r in found.collect()} == {i: i - i % 2 for i in range(16)}
 
 
+def test_repeated_tails_are_joined(spark):
+    """One side's own last words come 300 times; the sets stay similar."""
+    own = lambda name, m: " ".join(f"{name}{i}" for i in range(m))
+    rows = []
+    for k in range(60):
+        same = own(f"t{k}w", 180)
+        rows += [(2 * k, same + " " + own(f"t{k}a", 17)), (2 * k + 1, same + " " + " ".join([own(f"t{k}b", 17)] * 300))]
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) >= 0.8 for i in range(0, 120, 2))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_search_links_are_named_so(spark):
     """Twelve near copies in large keys are all linked with each other, which the search doesn't count."""
     words = prose(31, 200).split()
     rows = [(i, " ".join([*words[: 10 * i], f"edit{i}", *words[10 * i + 1 :]])) for i in range(12)] + [(50, prose(32, 200)), (51, None)]
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert out.columns == ["doc_id", "class_id", "n_search_links"]
+    assert out.columns[:3] == ["doc_id", "class_id", "n_search_links"]
     got = {r.doc_id: (r.class_id, r.n_search_links > 0) for r in out.collect()}
     assert got == {i: (0, True) if i < 12 else (i, False) for i, _ in rows}
 
 
-def test_large_keys_lose_no_link(spark):
-    """Sixty ids in one key: a hub with its copies, a chain, pairs that only each other reach, and strangers."""
+def test_large_keys_lose_no_link(spark, monkeypatch):
+    """Sixty ids in one key: a hub with its copies, a chain, pairs that only each other reach, and strangers; in many
+    blocks, and with ids that are numbers, names and bytes."""
+    import numpy as np
+
+    monkeypatch.setattr(links, "BLOCK_SHINGLES", 700)
     near = {(0, k) for k in range(1, 20)} | {(k, k + 1) for k in range(20, 30)} | {(40, 41), (42, 43), (44, 45), (50, 59)}
-    members = spark.createDataFrame([(7, i, 100) for i in range(60)] + [(8, i, 100) for i in range(0, 60, 2)] + [(9, 40, 100), (9, 41, 100)], "key long, id long, size long")
-    calls = []
+    group = {0: 0, **dict.fromkeys(range(1, 20), 0), 40: 40, 41: 40, 42: 42, 43: 42, 44: 44, 45: 44, 50: 50, 59: 50}
 
-    def verify(pairs):
-        calls.append(pairs.count())
-        table = spark.createDataFrame([(a, b) for a, b in near], "a long, b long").withColumn("similarity", F.lit(0.9))
-        return pairs.join(table, ["a", "b"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.7)))
+    def numbers(i):  # a set of 100 numbers, of which linked ids share 90 or more
+        return np.arange(20_000, 20_100) + 5 * (i - 20) if 20 <= i <= 30 else np.arange(100) + 1000 * group.get(i, i)
 
-    def describe(contents):  # a set of 100 numbers for each id, of which linked ids share 90 or more
-        import numpy as np
+    for kind, name in (("long", int), ("string", "i{:02}".format), ("binary", lambda i: bytes([200, i]))):
+        sets = spark.createDataFrame([(name(i), numbers(i).astype(np.uint64).tobytes()) for i in range(60)], f"id {kind}, shingles binary")
+        rows = [(7, i) for i in range(60)] + [(8, i) for i in range(0, 60, 2)] + [(9, 40), (9, 41)]
+        members = spark.createDataFrame([(k, name(i), 100) for k, i in rows], f"key long, id {kind}, size long")
+        own, found = links.near_links(members, lambda ids: sets.join(ids, "id"))  # noqa: B023
+        got = {r.id: r.component for r in found.collect()}
+        assert {i: got.get(name(i), name(i)) for i in range(60)} == {i: name(c) for i, c in classes_of(near, range(60)).items()}
+        assert own.count() < 250  # not all pairs of the large keys
 
-        def shared(i):
-            own = {0: 0, **{k: 0 for k in range(1, 20)}, 40: 40, 41: 40, 42: 42, 43: 42, 44: 44, 45: 44, 50: 50, 59: 50}
-            return np.arange(20_000, 20_100) + 5 * (i - 20) if 20 <= i <= 30 else np.arange(100) + 1000 * own.get(i, i)
 
-        sets = [shared(int(c)) for c in contents]
-        return np.array([s[:40] if not 20 <= int(c) <= 30 else np.zeros(40) for c, s in zip(contents, sets)]), sets
+def test_block_forest_joins_what_all_pairs_join():
+    import numpy as np
 
-    contents = spark.range(60).select("id", F.col("id").cast("string").alias("content"))
-    _, found = links.near_links(members, contents, verify, describe)
-    got = {r.id: r.component for r in found.collect()}
-    want = classes_of(near, range(60))
-    assert {i: got.get(i, i) for i in range(60)} == want
-    assert sum(calls) < 250  # not all pairs of the large keys
+    draw = np.random.default_rng(4)
+    for _ in range(30):
+        base = [np.unique(draw.integers(0, 10**9, 60)) for _ in range(3)]
+        sets = [np.unique(np.concatenate([b[: 60 - int(k)], draw.integers(0, 10**9, int(k))])) for b in base for k in draw.integers(0, 12, 6)]
+        sets = [s.astype(np.uint64) for s in sets]
+        alike = lambda p, q: len(np.intersect1d(p, q)) / len(np.union1d(p, q)) >= 0.8
+        xs, ys = np.arange(0, 18, 2), np.arange(18)
+        want = classes_of([(i, j) for i in xs for j in ys if i != j and alike(sets[i], sets[j])], range(18))
+        out = links.forest(list(range(18)), sets, xs, ys, 0.8)
+        assert all(alike(sets[a], sets[b]) for a, b, _ in out) and len(out) == 18 - len(set(want.values()))
+        assert classes_of([(a, b) for a, b, _ in out], range(18)) == want
 
 
 def test_passages_against_planted(spark, docs, empty, texts):
@@ -270,8 +350,7 @@ def test_equal_runs_hold_every_shared_run(spark):
     words = {d: [m.span() for m in WORD.finditer(t)] for d, t in texts.items()}
     runs = lambda n: {d: [tuple(texts[d][a:b] for a, b in w[i : i + n]) for i in range(len(w) - n + 1)] for d, w in words.items()}
     covered = defaultdict(set)
-    for r in passages.equal_runs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
-        assert r.start == words[r.doc_id][r.first_word][0] and r.end == words[r.doc_id][r.last_word - 1][1]
+    for r in passages.equal_runs(spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))).collect():
         covered[r.doc_id] |= set(range(r.first_word, r.last_word))
     for n, holds in ((24, lambda want, d: want <= covered[d]), (passages.PRINT, lambda want, d: covered[d] <= want)):
         held = defaultdict(set)
@@ -284,6 +363,43 @@ def test_equal_runs_hold_every_shared_run(spark):
             assert want or n != 24
 
 
+def test_near_paragraphs_equal_all_pairs(spark, docs, empty):
+    """Lines of 24 words or more whose class, by all pairs of distinct ones, spans two documents."""
+    lines = {}
+    for d in range(40):
+        own = []
+        for j in range(3):
+            words = prose(700 + (d + 3 * j) % 14, 30 + (d + 3 * j) % 14 * 4).replace(".", "").split()
+            for k in range(d % 3):
+                words[(d * 7 + j * 5 + k * 11) % len(words)] = f"edit{d}x{j}x{k}"
+            own.append(" ".join(words))
+        lines[d] = [*own, "a short line", prose(3000 + d, 24 - d % 2).replace(".", "")]
+    rows = [(d, "\n".join(own)) for d, own in lines.items()]
+    rows += [rows[0], (3, prose(703, 60)), (90, None), (91, "")]
+    each = [(d, first, " ".join(WORD.findall(line.lower()))) for d, t in dict.fromkeys(rows) for first, line in lines_of(t)]
+    long = [x for x in each if len(x[2].split()) >= 24]
+    distinct = sorted({x[2] for x in long})
+    pairs = [(a, b) for a, b in combinations(range(len(distinct)), 2) if jaccard(distinct[a], distinct[b]) >= 0.8]
+    assert len(pairs) > 20
+    classes = classes_of(pairs, range(len(distinct)))
+    holders, place = defaultdict(set), {t: k for k, t in enumerate(distinct)}
+    for d, _, t in long:
+        holders[classes[place[t]]].add(d)
+    want = Counter((d, first, first + len(t.split())) for d, first, t in long if len(holders[classes[place[t]]]) > 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.xxhash64("text")).where("text IS NOT NULL")
+    out = passages.near_paragraphs(df).collect()
+    assert Counter((r.doc_id, r.first_word, r.last_word) for r in out) == want
+    assert len({r.class_id for r in out if not r.removed}) == len({r.class_id for r in out}) == sum(not r.removed for r in out)
+
+
+def lines_of(text):
+    """First word and text of each line."""
+    at = 0
+    for line in (text or "").split("\n"):
+        yield at, line
+        at += len(WORD.findall(line))
+
+
 def windows_of(t, n=10):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return w, {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -314,25 +430,61 @@ def test_contamination_against_brute_force(spark, docs, empty, texts):
 
 
 def test_pipeline_stages(spark, sf):
+    """Each stage against code that isn't the operator, on the documents with rows of every odd kind added."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*p.COLUMNS)
+    taken = docs.where("doc_id IN (3, 4)").collect()
+    odd = [(None, None, None, None, None), (None, taken[0].text, "en", "s", 1), (9001, None, "en", "s", 0), (9001, "", "en", "s", 0), (9002, "one two", "en", "s", 7), (9002, "one two", "en", "s", 7), (9002, "one two", "de", "s", 7), (taken[0].doc_id, prose(60, 50), "en", "s", 9), (9003, prose(61, 30_000), "en", "s", 1), (9004, "x" * 100_000, "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame([*odd, tuple(taken[1])], docs.schema)).withColumns({"score": F.lit(1), "text_key": F.lit(2), "class_id": F.lit(3), "ids": F.lit(4), "_text": F.lit("x")})
+    rows = [tuple(r)[:5] for r in docs.collect()]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     stages = dict(p.STAGES)
     kept = stages["quality classifier"](spark, docs, sf)
     ids = {r.doc_id for r in kept.collect()}
     assert sum(labels[i] == (i in ids) for i in labels) / len(labels) > 0.9
+    assert not Counter(map(tuple, kept.collect())) - Counter(rows)
     once = stages["near-duplicates"](spark, docs, sf)
-    classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
-    assert sorted(r.doc_id for r in once.collect()) == sorted(set(classes.values()))
+    _, classes = near_classes(rows)
+    group = [("w", classes[i]) if rows[i][1] and WORD.search(rows[i][1]) else ("n", rows[i][0]) for i in range(len(rows))]
+    out = [tuple(r) for r in once.collect()]
+    assert len(out) == len(set(group)) and not Counter(out) - Counter(rows)
+    own = defaultdict(list)
+    for i, g in enumerate(group):
+        own[g].append(rows[i])
+    for g in own.values():
+        (stays,) = [r for r in dict.fromkeys(g) if r in out]
+        assert stays[0] == min((r[0] for r in g if r[0] is not None), default=None)
     clean = stages["decontamination"](spark, docs, sf)
-    bad = {r.doc_id for r in decontaminate.contamination(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
-    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad
-    for df in (kept, once, clean, stages["personal data"](spark, docs, sf)):
+    items = [windows_of(r.text)[1] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bad = lambda t: any(tuple(w[i : i + len(x)]) == x for w in [windows_of(t)[0]] for i in range(len(w)) for x in starts.get(w[i], ()))
+    starts = defaultdict(set)
+    for item in items:
+        for x in item:
+            starts[x[0]].add(x)
+    assert Counter(map(tuple, clean.collect())) == Counter(r for r in rows if not bad(r[1]))
+    redacted = stages["personal data"](spark, docs, sf)
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    assert not any(re.search(email, r.text or "") for r in redacted.collect()) and redacted.count() == len(rows)
+    cue = r"[@+0-9]|(?i:account|acct|iban|ssn|passport|licen|tax|customer|passw|pwd|token|secret|api|akia|asia)"
+    assert not Counter(r[:2] for r in rows if not re.search(cue, r[1] or "")) - Counter((r.doc_id, r.text) for r in redacted.collect())
+    for df in (kept, once, clean, redacted):
         assert df.columns == p.COLUMNS
-    assert stages["personal data"](spark, docs, sf).where("text RLIKE '[a-z0-9]@mail[0-9]'").count() == 0
     last = stages["byte-level BPE"](spark, docs, sf)
-    assert last.count() == docs.count() and last.where("NOT round_trip").count() == 0
+    import tiktoken
+
+    peer = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.encoder(RANKS, PATTERN).ranks, special_tokens={})
+    want = Counter((i, tuple(peer.encode_ordinary(t or ""))) for i, t, *_ in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in last.collect()) == want and last.where("NOT round_trip").count() == 0
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+
+
+def test_pipeline_run(spark, sf):
+    import corpus_pipeline as p
+
+    out = p.run(spark, sf)
+    assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count() and out.where("NOT round_trip").count() == 0
 
 
 def test_held_out_rule(spark):
