@@ -11,18 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.llm import bpe, decontaminate, neardup, pii, quality
-from panelmill.llm.common import cut_lineage, small_enough, table
+from panelmill.llm.common import cut_lineage, table
 from panelmill.llm.queries import PATTERN, RANKS, held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Removed ids that are broadcast at most; beyond it Spark shuffles.
-BROADCAST_ROWS = 300_000
-
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    removed = cut_lineage(removed.select("doc_id").distinct())
-    return docs.join(small_enough(removed, removed.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose doc_id and text (by its 64-bit hash, text_key) aren't removed."""
+    removed = cut_lineage(removed.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct())
+    return docs.join(removed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +30,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class stays."""
-    return without(docs, neardup.near_duplicates(docs).where(F.col("doc_id") != F.col("class_id")))
+    """The row with the smallest doc_id of each class stays (null last, then the smallest text hash; of rows that repeat
+    both the one with the smallest other columns); rows of one doc_id without words are a class."""
+    docs = docs.select(*COLUMNS)
+    found = neardup.near_duplicates(docs).groupBy("doc_id", "text_key").agg(F.first("class_key").alias("class_key"), F.count(F.lit(1)).alias("n"))
+    found = cut_lineage(found.withColumn("own", F.when(F.isnull("class_key"), F.struct("doc_id"))))
+    best = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "text_key")).alias("best")
+    stay = cut_lineage(found.groupBy("class_key", "own").agg(best, F.sum("n").alias("rows")).where("rows > 1").select("class_key", "own", "best"))
+    others = found.join(stay, found["class_key"].eqNullSafe(stay["class_key"]) & found["own"].eqNullSafe(stay["own"]), "left_semi")
+    kept = stay.select("best.doc_id", "best.text_key")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+    left = without(docs, others.join(kept, same(others, kept), "left_anti"))
+    again = cut_lineage(found.where("n > 1").join(kept, same(found, kept), "left_semi").select("doc_id", "text_key"))
+    if again.isEmpty():
+        return left
+    marked = left.withColumn("text_key", F.xxhash64("text"))
+    once = marked.join(again, same(marked, again), "left_semi").groupBy("doc_id", "text_key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return without(left, again).unionByName(once.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    docs = docs.select(*COLUMNS)
     return without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
@@ -48,9 +62,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to the text."""
-    encoded = bpe.decode_documents(bpe.encode_documents(docs.select(*COLUMNS), RANKS, PATTERN), RANKS, PATTERN)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return encoded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    encoded = bpe.encode_documents(docs.select(*COLUMNS), RANKS, PATTERN, round_trip=True)
+    return encoded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
