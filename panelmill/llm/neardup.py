@@ -71,7 +71,7 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     source = documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "_text", 1_000_000):
+        for batch in portions(batches, "_text", 500_000):
             words = words_of(texts_of(batch, "_text"))
             hashes, sizes = shingles_of(words, SHINGLE)
             some = sizes > 0
@@ -93,7 +93,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """id and shingles (ascending 64-bit numbers as bytes) of the rows' texts.  texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text", 1_000_000):
+        for batch in portions(batches, "text", 500_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), binaries_of(*shingles_of(words_of(texts_of(batch)), SHINGLE))], ["id", "shingles"])
 
     return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles binary")

@@ -70,7 +70,7 @@ def occurrences_of(documents: DataFrame) -> DataFrame:
     (distinct shingles) and bands.  documents: doc_id, text_key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text", 1_000_000):
+        for batch in portions(batches, "text", 500_000):
             words = words_of(texts_of(batch))
             text, a, b = paragraphs(words)
             if len(a):
@@ -91,7 +91,7 @@ def _sets(documents: DataFrame) -> DataFrame:
     """id and shingles of some paragraphs.  documents: text and wanted, an array of (id, first_word, last_word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text", 1_000_000):
+        for batch in portions(batches, "text", 500_000):
             words = words_of(texts_of(batch))
             wanted = batch.column("wanted")
             base = np.repeat(words.first[:-1], wanted.value_lengths().to_numpy(zero_copy_only=False))
@@ -149,7 +149,7 @@ def _prints(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         around = np.arange(1, WINDOW)
-        for batch in portions(batches, "text", 1_000_000):
+        for batch in portions(batches, "text", 500_000):
             words = words_of(texts_of(batch))
             counts = np.maximum(words.counts - PRINT + 1, 0)
             at = ranges(words.first[:-1], counts)
@@ -225,7 +225,7 @@ def _with_places(documents: DataFrame) -> DataFrame:
     kinds = schema["passages"].dataType.elementType.simpleString().replace("struct<", "struct<start:bigint,end:bigint,", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text", 1_000_000):
+        for batch in portions(batches, "text", 500_000):
             words, lists = words_of(texts_of(batch)), batch.column("passages")
             n = lists.value_lengths().to_numpy(zero_copy_only=False)
             fields = lists.flatten()

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import PORTION, encoder
 from .common import portions, texts_of
 
 RULES = ("start", "majority", "split")
@@ -62,20 +62,26 @@ def section_tokens(documents: DataFrame, path: str, pattern: str, boundary: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ends_at = encoder(path, pattern), regex.compile(boundary)
-        token_bytes = np.array([len(t) for t in own.tokens], np.int64)
-        for batch in portions(batches, "_text", 1_000_000):
-            texts, out, rows = texts_of(batch, "_text"), [], []
-            for text, ids in zip(texts, own.encode(texts)):
-                ends = [m.end() for m in ends_at.finditer(text) if 0 < m.end() < len(text)]
-                char_ends = np.unique(np.array([*ends, len(text)], np.int64))
-                raw = np.frombuffer(text.encode(), np.uint8)
-                char_at = np.concatenate([np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]])  # byte offset of each character
-                counts = attribute(np.cumsum(token_bytes[np.array(ids, np.int64)]), char_at[char_ends], rule)
-                rows.append(len(char_ends))
-                out.append((np.arange(len(char_ends), dtype=np.int32), np.concatenate([[0], char_ends[:-1]]), char_ends, *counts, np.full(len(char_ends), len(ids))))
-            columns = [np.concatenate(c) for c in zip(*out)]
-            which = pa.array(np.repeat(np.arange(len(rows)), rows))
+        for batch in portions(batches, "_text", PORTION):
+            texts = texts_of(batch, "_text")
+            ids = own.encode_all(texts)
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            inner = [[m.end() for m in ends_at.finditer(text) if 0 < m.end() < len(text)] for text in texts]
+            ends = [np.unique(np.array([*own_ends, n], np.int64)) for own_ends, n in zip(inner, lengths.tolist())]
+            n_sections = np.fromiter(map(len, ends), np.int64, len(texts))
+            char_ends = np.concatenate(ends)  # in the own text
+            which = np.repeat(np.arange(len(texts)), n_sections)
+            first = np.cumsum(n_sections) - n_sections
+            char_starts = np.concatenate([[0], char_ends[:-1]])
+            char_starts[first] = 0
+            raw = np.frombuffer("".join(texts).encode(), np.uint8)
+            byte_of = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each character of all texts begins
+            begins = np.cumsum(lengths) - lengths
+            # tokens and sections both tile the texts in a row, so one join serves them all
+            counts = attribute(np.cumsum(own.size[ids.flat]), byte_of[(begins[which] + char_ends)], rule)
+            section = np.arange(len(which)) - first[which]
+            columns = [section, char_starts, char_ends, *counts, ids.count[which]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), *(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types))], [key, "section", "char_start", "char_end", "n_tokens", "n_touching", "n_crossing", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), *(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types))], [key, "section", "char_start", "char_end", "n_tokens", "n_touching", "n_crossing", "doc_tokens"])
 
     return source.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from panelmill.llm import bpe, neardup, pii, repetition, sharding, token_attribution
-from panelmill.llm.common import WORD, WordHashes, shingle_hashes
+from panelmill.llm.common import WORD, shingles_of, words_of
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -38,14 +38,32 @@ def test_encoding_equals_the_library(own, peer):
     assert [own.decode(i).decode() for i in ids] == texts
 
 
+def replayed(ranks, pieces):
+    ids = bpe.BytePairEncoder({bytes([b]): b for b in range(256)} | ranks, PATTERN).replay(pieces)
+    return [tuple(ids.flat[a : a + n].tolist()) for a, n in zip(ids.start, ids.count)]
+
+
+def one_by_one(ranks, piece):
+    """The lowest rank first, the leftmost of equal ones, one merge at a time."""
+    ranks = {bytes([b]): b for b in range(256)} | ranks
+    parts = [bytes([b]) for b in piece]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return tuple(ranks[p] for p in parts)
+
+
 def test_replay_puts_a_lower_rank_first():
-    own = bpe.BytePairEncoder.__new__(bpe.BytePairEncoder)
-    own.ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 300, b"abcd": 290}
-    own.tokens = [b""] * 301
-    for token, rank in own.ranks.items():
-        own.tokens[rank] = token
-    own.bytes, own.pairs = list(range(256)), bpe._PairRanks(own.ranks, own.tokens)
-    assert own.replay([b"abcdabc", b"abcd"]) == [(290, 300), (290,)]
+    assert replayed({b"bc": 256, b"abc": 300, b"abcd": 290}, [b"abcdabc", b"abcd"]) == [(290, 300), (290,)]
+
+
+def test_replay_equals_one_merge_at_a_time():
+    draw = random.Random(9)
+    for _ in range(200):
+        tokens = {bytes(draw.choice(b"ab") for _ in range(draw.randint(2, 5))) for _ in range(draw.randint(1, 14))}
+        ranks = dict(zip(tokens, draw.sample(range(256, 300), len(tokens))))
+        pieces = [bytes(draw.choice(b"ab") for _ in range(draw.randint(1, 12))) for _ in range(12)]
+        assert replayed(ranks, pieces) == [one_by_one(ranks, p) for p in pieces]
 
 
 @pytest.mark.parametrize("rule", token_attribution.RULES)
@@ -109,6 +127,15 @@ def test_added_spans_and_redaction():
     assert pii.redacted("accounting for 2020 results") == "accounting for 2020 results"
 
 
+def test_hostile_texts_take_time_in_proportion():
+    import time
+
+    for text in ("account" * 40_000, "account " * 40_000, "password=" * 40_000, "+1 " * 60_000, "a@" * 60_000, "1 " * 100_000, "1." * 100_000, "http://a:" * 30_000, "token" * 40_000):
+        began = time.process_time()
+        pii.spans_of(text)
+        assert time.process_time() - began < 6, text[:20]
+
+
 def test_repetition_against_brute_force():
     draw = random.Random(2)
     texts = ["", " \n ", "a b c", *("\n".join(" ".join(draw.choice("abcd#") for _ in range(draw.randint(0, 9))) for _ in range(draw.randint(1, 9))) for _ in range(150)), *(" ".join(draw.choice(["w%d" % k for k in range(60)]) for _ in range(80)) for _ in range(60))]
@@ -136,10 +163,27 @@ def test_prob_minhash_estimates_weighted_similarity():
 
 
 def test_shingles_of_short_texts():
-    known = WordHashes()
-    of = lambda t: shingle_hashes(known.of(WORD.findall(t)), 5)
-    assert len(of("")) == 0 and len(of("a b")) == 1 and len(of("a b c d e")) == 1 and len(of("a b c d e f")) == 2
-    assert of("a b")[0] != of("b a")[0]
+    texts = ["", "a b", "a b c d e", "a b c d e f", "B a", "é É x", " . ", "a b c d e a b c d e a"]
+    hashes, counts = shingles_of(words_of(texts), 5)
+    assert counts.tolist() == [0, 1, 1, 2, 1, 1, 0, 6 - 1]  # of the last one's seven shingles two come twice
+    ends = np.cumsum(counts)
+    of = [set(hashes[b - n : b].tolist()) for b, n in zip(ends, counts)]
+    assert of[1] != of[4] and of[2] < of[3] and len(set.union(*of)) == sum(counts) - 2
+
+
+def test_words_equal_the_pattern():
+    draw = random.Random(6)
+    texts = ["", "\n", *("".join(draw.choice("aB é_İß9.\n -ñ日🙂\u2028") for _ in range(draw.randint(0, 60))) for _ in range(300))]
+    words = words_of(texts)
+    seen = {}
+    for k, text in enumerate(texts):
+        a, b = words.first[k], words.first[k + 1]
+        assert list(zip(words.start[a:b].tolist(), words.end[a:b].tolist())) == [m.span() for m in WORD.finditer(text)]
+        spans = [m.span() for m in WORD.finditer(text)]
+        assert words.breaks[a + 1 : b].tolist() == ["\n" in text[x[1] : y[0]] for x, y in zip(spans, spans[1:])]
+        for (x, y), h in zip(spans, words.hash[a:b].tolist()):
+            assert seen.setdefault("".join(c.lower()[0] for c in text[x:y]), h) == h
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_flow_moves_the_fewest_bytes():
