@@ -87,25 +87,17 @@ def format_conversations(conversations: DataFrame, t: Template = Template()) ->
     back = _parse_turn(F.substr(F.col("plain"), F.lit(1), F.length("plain") - closing), t)
     turns = turns.withColumn("back", back)
     same = F.col("back.ok") & (F.col("back.role") == F.col("role")) & (F.col("back.text") == F.col("text"))
-    kept = turns.select(
-        "conv_id", "turn", "loss", F.xxhash64("role", "text").alias("source"), (~same).alias("escaped"),
-        F.when(same, F.col("role")).otherwise(escape(F.col("role"), t)).alias("role"),
-        F.when(same, F.col("text")).otherwise(escape_text(F.col("text"), t)).alias("body"),
-    )
-    head = F.concat(F.when(F.col("loss"), t.answered[0]).otherwise(t.asked[0]), F.col("role"), F.lit("\n"))
-    tail = F.when(F.col("loss"), t.answered[1]).otherwise(t.asked[1])
-    kept = kept.select(
-        "conv_id", F.struct("turn", "role", "body", "source", "loss", "escaped", F.length(head).alias("head"), F.octet_length(head).alias("head_bytes"), F.length("body").alias("chars"), F.octet_length("body").alias("bytes"), F.length(tail).alias("tail"), F.concat(head, "body", tail).alias("rendered")).alias("t"),
-    )
-    order = W.partitionBy("conv_id").orderBy("t.turn", "t.role", "t.body", "t.source").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = kept.select(
-        "conv_id", F.row_number().over(order).alias("nth"),
-        F.sum(F.col("t.head") + F.col("t.chars") + F.col("t.tail")).over(order).alias("end"),
-        F.sum(F.col("t.head_bytes") + F.col("t.bytes") + F.col("t.tail")).over(order).alias("end_bytes"), "t",
-    )
+    shown_role, shown = (lambda c: F.when(F.col("escaped"), escape(F.col(c), t)).otherwise(F.col(c))), (lambda c: F.when(F.col("escaped"), escape_text(F.col(c), t)).otherwise(F.col(c)))
+    kept = turns.select("conv_id", "turn", "role", "text", "loss", F.xxhash64("role", "text").alias("source"), (~same).alias("escaped"))
+    opening, tail = F.when(F.col("loss"), t.answered[0]).otherwise(t.asked[0]), F.when(F.col("loss"), t.answered[1]).otherwise(t.asked[1])
+    head = F.concat(opening, shown_role("role"), F.lit("\n"))
+    sizes = {"head": F.length(head), "head_bytes": F.octet_length(head), "chars": F.length(shown("text")), "bytes": F.octet_length(shown("text")), "tail": F.length(tail)}
+    kept = kept.withColumns(sizes)
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)  # as they came, not as escaped
+    placed = kept.withColumns({"nth": F.row_number().over(order), "end": F.sum(F.col("head") + F.col("chars") + F.col("tail")).over(order), "end_bytes": F.sum(F.col("head_bytes") + F.col("bytes") + F.col("tail")).over(order)})
     shift = len(t.begin)
-    span = lambda end, n: F.struct((F.col(end) - F.col("t.tail") - F.col(n) + shift).alias("start"), (F.col(end) - F.col("t.tail") + shift).alias("end"))
-    rows = placed.select("conv_id", F.struct("nth", "t.rendered", "t.source", "t.loss", "t.escaped", span("end", "t.chars").alias("span"), span("end_bytes", "t.bytes").alias("span_bytes")).alias("t"))
+    span = lambda end, n: F.struct((F.col(end) - F.col("tail") - F.col(n) + shift).alias("start"), (F.col(end) - F.col("tail") + shift).alias("end"))
+    rows = placed.select("conv_id", F.struct("nth", F.concat(head, shown("text"), tail).alias("rendered"), "source", "loss", "escaped", span("end", "chars").alias("span"), span("end_bytes", "bytes").alias("span_bytes")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     whole = whole.select(
         "conv_id", F.concat(F.lit(t.begin), F.array_join("ts.rendered", "")).alias("formatted"), F.size("ts").cast("long").alias("n_turns"), F.col("ts.source").alias("source"),
