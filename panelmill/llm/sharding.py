@@ -7,8 +7,10 @@ order in which the largest documents come first, so that block edges fall betwee
 send or receive anything need a rewrite.
 
 The driver sees totals for (old shard, size class, salt) cells, whose number is bounded by parameters, and the few
-documents larger than a 64th of a new shard, fewer than 64 x shards.  Cumulative sums run within cells, so no task
-holds a whole shard, however full it is.
+documents larger than a 64th of a new shard, fewer than 64 x shards.  Those can't be cut around: in order of size each
+goes where the flow of all bytes has room for it (staying comes first), and a second flow, of the other documents to what
+the capacities have left, levels the rest.  Cumulative sums run within cells, so no task holds a whole shard, however full
+it is.
 
 Defined results: a null text has size 1; a null old shard is shard 0; repeated rows are placed one by one;
 an empty table gives an empty result; a null key is a key like others; other columns aren't read.
@@ -19,10 +21,12 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -104,38 +108,46 @@ def plan_transfers(docs: DataFrame, shards: int, key: str = "doc_id") -> tuple[P
     total = sum(c[3] for c in cells)
     threshold = max(total // (64 * shards), 1024)
     big = docs.where(F.col("size") > threshold).groupBy("size", "text_crc32", key, "old_shard").count().collect() if any(2 ** (-c[1] / 2 + 0.5) > threshold for c in cells) else []
-    load, giants, out = [0] * shards, {}, [0] * shards
-    for size, crc, doc, old, n in sorted(big, key=lambda r: (-r[0], r[1], str(r[2]), r[3])):
-        for copy in range(n):
-            j = old if old < shards and load[old] + size <= total // shards else min(range(shards), key=lambda k: (load[k], k))
-            load[j] += size
-            giants[size, crc, doc, old, copy] = j
     olds = max([shards, *(c[0] + 1 for c in cells)])
     supply = [0] * olds
     for c in cells:
         supply[c[0]] += c[3]
+    room, free = min_cost_flow(supply, level([0] * shards, total)), level([0] * shards, total)
+    load, giants = [0] * shards, {}
+    for size, crc, doc, old, n in sorted(big, key=lambda r: (-r[0], r[1], str(r[2]), r[3])):
+        for copy in range(n):
+            has = [min(room[old][k], free[k]) for k in range(shards)]
+            j = old if old < shards and has[old] >= size / 2 else max(range(shards), key=lambda k: (has[k], -k))
+            room[old][j] -= size
+            free[j] -= size
+            load[j] += size
+            giants[size, crc, doc, old, copy] = j
     for size, _, _, old, _ in giants:
         supply[old] -= size
     return Plan(min_cost_flow(supply, level(load, sum(supply))), giants, threshold), cells
 
 
-def reshard(documents: DataFrame, old_shard, shards: int = 16, key: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
-    """key, size, text_crc32, old_shard, shard int and slot long (gapless from 0 in a shard) of every row."""
+def reshard(documents: DataFrame, old_shard, shards: int = 16, key: str = "doc_id", text: str = "text", salts: int = 32, keep: bool = False) -> DataFrame:
+    """key, size, text_crc32, old_shard, shard int and slot long (gapless from 0 in a shard) of every row; with keep all
+    columns of documents other than shard and slot too, under `row`."""
     spark = documents.sparkSession
-    docs = sized(documents.select(key, text, F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard")), F.col("old_shard"), key, text, salts).drop(text)
+    columns = [F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard")]
+    whole = sized(documents.select(*columns, *([F.struct(*(c for c in documents.columns if c not in ("shard", "slot"))).alias("row")] if keep else [])), F.col("old_shard"), "key", "text", salts).drop("text")
+    docs = cut_lineage(whole.drop("row"))  # texts are measured once
+    out = _placed(spark, whole if keep else docs, docs, shards)
+    return out.select(F.col("key").alias(key), "size", "text_crc32", "old_shard", "shard", "slot", *(["row"] if keep else []))
+
+
+def _placed(spark: SparkSession, rows: DataFrame, docs: DataFrame, shards: int, key: str = "key") -> DataFrame:
+    """rows with shard and slot.  docs: the same rows without their contents, from which totals are taken."""
     plan, _ = plan_transfers(docs, shards, key)
     own = W.partitionBy(*CELL).orderBy(F.col("size").desc(), F.col(key), "text_crc32")
-    rows = [(*k, j) for k, j in plan.giants.items()]
-    schema = f"size long, text_crc32 long, `{key}` {documents.schema[key].dataType.simpleString()}, old_shard int, copy int, giant int"
-    giants = F.broadcast(spark.createDataFrame(rows, schema))  # fewer than 64 x shards
+    fixed = [(*k, j) for k, j in plan.giants.items()]
+    schema = f"size long, text_crc32 long, `{key}` {docs.schema[key].dataType.simpleString()}, old_shard int, copy int, giant int"
+    giants = F.broadcast(spark.createDataFrame(fixed, schema))  # fewer than 64 x shards
     small = F.col("size") <= plan.threshold
-    big = docs.where(~small).withColumn("copy", F.row_number().over(W.partitionBy("size", "text_crc32", key, "old_shard").orderBy("salt")) - 1)
-    on = [big[c].eqNullSafe(giants[c]) for c in ("size", "text_crc32", key, "old_shard", "copy")]
-    big = big.join(giants, on).select(*(big[c] for c in docs.columns), F.lit(0).cast("long").alias("before"), F.col("giant").alias("shard"))
-    inside = docs.where(small).withColumn("before", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, -1)))
-    cells = docs.where(small).groupBy(*CELL).agg(F.sum("size").alias("bytes")).collect()
     starts, at = [], {}
-    for old, size_class, salt, n in sorted(tuple(r) for r in cells):
+    for old, size_class, salt, n in sorted(tuple(r) for r in docs.where(small).groupBy(*CELL).agg(F.sum("size").alias("bytes")).collect()):
         starts.append((old, size_class, salt, at.get(old, 0)))
         at[old] = at.get(old, 0) + n
     offsets = spark.createDataFrame(starts, "old_shard int, size_class int, salt int, start long")
@@ -147,26 +159,23 @@ def reshard(documents: DataFrame, old_shard, shards: int = 16, key: str = "doc_i
                 cuts.append((old, edge, edge + sends[j], j))
                 edge += sends[j]
     blocks = spark.createDataFrame(cuts, "old_shard int, lo long, hi long, shard int")
-    placed = (
-        inside.join(F.broadcast(offsets), list(CELL))
-        .withColumn("before", F.col("start") + F.coalesce("before", F.lit(0)))
-        .join(F.broadcast(blocks), (inside["old_shard"] == blocks["old_shard"]) & (F.col("before") + F.col("size") / 2 >= F.col("lo")) & (F.col("before") + F.col("size") / 2 < F.col("hi")))
-        .select(*(inside[c] for c in docs.columns), "before", "shard")
-        .unionByName(big)
-    )
+
+    def with_shard(df: DataFrame) -> DataFrame:
+        big = df.where(~small).withColumn("copy", F.row_number().over(W.partitionBy("size", "text_crc32", key, "old_shard").orderBy("salt")) - 1)
+        on = [big[c].eqNullSafe(giants[c]) for c in ("size", "text_crc32", key, "old_shard", "copy")]
+        big = big.join(giants, on).select(*(big[c] for c in df.columns), F.col("giant").alias("shard"))
+        inside = df.where(small).withColumn("before", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, -1)))
+        inside = inside.join(F.broadcast(offsets), list(CELL)).withColumn("middle", F.col("start") + F.coalesce("before", F.lit(0)) + F.col("size") / 2)
+        held = (inside["old_shard"] == blocks["old_shard"]) & (F.col("middle") >= F.col("lo")) & (F.col("middle") < F.col("hi"))
+        return inside.join(F.broadcast(blocks), held).select(*(inside[c] for c in df.columns), "shard").unionByName(big)
+
     in_cell = W.partitionBy(*CELL, "shard").orderBy(F.col("size").desc(), F.col(key), "text_crc32")
-    counts = placed.groupBy("shard", *CELL).count().collect()
     ranks, full = [], {}
-    for shard, old, size_class, salt, n in sorted(tuple(r) for r in counts):
+    for shard, old, size_class, salt, n in sorted(tuple(r) for r in with_shard(docs).groupBy("shard", *CELL).count().collect()):
         ranks.append((shard, old, size_class, salt, full.get(shard, 0)))
         full[shard] = full.get(shard, 0) + n
     first = F.broadcast(spark.createDataFrame(ranks, "shard int, old_shard int, size_class int, salt int, first long"))
-    return (
-        placed.withColumn("nth", F.row_number().over(in_cell))
-        .join(first, ["shard", *CELL])
-        .withColumn("slot", F.col("first") + F.col("nth") - 1)
-        .drop("nth", "first", "before", "size_class", "salt")
-    )
+    return with_shard(rows).withColumn("nth", F.row_number().over(in_cell)).join(first, ["shard", *CELL]).withColumn("slot", F.col("first") + F.col("nth") - 1)
 
 
 def affected(placed: DataFrame) -> list[int]:
@@ -175,9 +184,17 @@ def affected(placed: DataFrame) -> list[int]:
     return sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
 
 
-def rewrite(documents: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> list[int]:
-    """Writes the affected shards as Parquet folders shard=N under path and leaves all others as they are."""
-    shards = affected(placed)
-    moves = placed.where(F.col("shard").isin(shards)).select(key, "shard", "slot")
-    documents.join(moves, key).repartition("shard", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return shards
+def rewrite(documents: DataFrame, old_shard, path: str, shards: int = 16, key: str = "doc_id", text: str = "text") -> list[int]:
+    """Reshards and writes all columns and slot of the affected shards as Parquet folders shard=N under path, each row once.
+    Other folders stay as they are; those of affected shards that have no row any more are removed.  A column of
+    documents that is named shard or slot is replaced."""
+    placed = reshard(documents, old_shard, shards, key, text, keep=True)
+    changed = affected(placed.drop("row"))
+    out = placed.where(F.col("shard").isin(changed)).select("row.*", "shard", "slot", F.pmod(F.xxhash64("slot"), F.lit(8)).alias("_part"))
+    out.repartition("shard", "_part").drop("_part").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    context = documents.sparkSession.sparkContext
+    filled = {r[0] for r in placed.select("shard").distinct().collect()}
+    for shard in set(changed) - filled:
+        at = context._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    return changed
