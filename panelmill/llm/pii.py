@@ -7,7 +7,8 @@ anchor's neighbourhood alone, so the work follows the number of anchors, not the
 Base kinds, leftmost and non-overlapping within a kind, a failing match is dropped and not retried:
 email, ip (parts at most 255), card (13 to 19 digits that pass Luhn), phone (9 to 15 digits).
 The method adds: login (``scheme://user:password@``, the part between scheme and at-sign), account (an identifier of 6
-or more characters with 4 or more digits shortly after a cue) and secret (the value of 8 or more characters, one of
+to 34 characters with 4 or more digits after a cue, of which at most 12 more small letters, a word such as "no" and 4 marks
+may follow) and secret (the value of 8 or more characters, one of
 them a digit, that a cue such as ``password=`` assigns, and access keys that a known prefix opens).
 
 Offsets are code points, the end exclusive.  Null text is empty; empty texts have no spans; any length is handled
@@ -43,7 +44,7 @@ ADDRESS = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
-IDENTIFIER = re.compile(r"[a-z]*[ ]?(?:no|nr|number|id)?[ .:#=\"']{0,4}([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+IDENTIFIER = re.compile(r"[a-z]{0,12}[ ]?(?:no|nr|number|id)?[ .:#=\"']{0,4}([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
 SECRET = re.compile(r"[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_.-]{8,})")
 KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 Span = tuple[str, int, int]
