@@ -102,6 +102,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     hits = runs.groupBy("doc_id", "text_key").agg(F.sum(fresh).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (docs["text_key"] == hits["text_key"]), "left")
-    names = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda i: i.cast("string")))
+    names = F.array_sort(F.coalesce(F.transform("items", lambda i: i.cast("string")), F.array().cast("array<string>")))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(docs["doc_id"], docs["text_key"], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.encode(F.array_join(names, ","), "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
