@@ -29,16 +29,16 @@ def finite(x: Column) -> Column:
 
 
 def average_rank(x: Column, *by: str, descending: bool = False) -> Column:
-    """Rank from 1 among non-null values of a group, ties get their mean; null stays null."""
-    order = x.desc_nulls_last() if descending else x.asc_nulls_last()
-    first = F.rank().over(W.partitionBy(*by).orderBy(order))
-    return F.when(x.isNotNull(), first + (F.count(F.lit(1)).over(W.partitionBy(*by, x)) - 1) / 2)
+    """Rank from 1 among non-null values of a group, ties get their mean; null stays null.  Ties are counted in a frame
+    of the same order, so one sort serves both."""
+    own = W.partitionBy(*by).orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last())
+    return F.when(x.isNotNull(), F.rank().over(own) + (F.count(F.lit(1)).over(own.rangeBetween(W.currentRow, W.currentRow)) - 1) / 2)
 
 
 def rank_by(x: Column, method: str, tie: str, *by: str) -> Column:
     """The rank methods average, min, max, dense, ordinal and random."""
     own = W.partitionBy(*by).orderBy(x.asc_nulls_last())
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, x))
+    ties = F.count(F.lit(1)).over(own.rangeBetween(W.currentRow, W.currentRow))
     ranks = {
         "average": lambda: average_rank(x, *by),
         "min": lambda: F.rank().over(own),

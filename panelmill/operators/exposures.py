@@ -23,7 +23,7 @@ def prepared(p: Panel, exposures: list[str], period: int = 1, fac_shift: int | N
     ret = ndiv(F.nullif(other, F.lit(0.0)), F.nullif(F.col(p.price), F.lit(0.0))) - 1
     df = p.df.withColumn("fut_ret", F.nullif(ret, F.lit(-1.0)))
     dates = df.select(p.date).distinct().withColumn("_reb", (F.row_number().over(W.orderBy(p.date)) - 1) % period == 0)
-    df = df.join(F.broadcast(dates), p.date)
+    df = df.join(dates, p.date)
     keep = F.col("_reb")
     if mode != "on":
         last = F.max(p.date).over(W.partitionBy(p.symbol, F.to_date(p.date)))
@@ -51,7 +51,7 @@ def _attributed(p: Panel, expo: DataFrame, betas: DataFrame, columns: list[str],
 def portfolio_exposures(p: Panel, exposures: list[str], bins: int = 5, position: str = "ls", **options) -> DataFrame:
     """Mean exposures of the top bin (1: largest factor), the negated bottom bin, or both, with return attribution."""
     if bins < 2:
-        raise ValueError(f"bins must be >= 2, got {bins}")
+        raise ValueError(f"a top and a bottom bin need at least 2 bins, not {bins}")
     df = prepared(p, exposures, **options).withColumn("quantile", quantile_bin(F.col(p.factor), bins, p.date, p.symbol, descending=True)).dropna(subset=["fut_ret"])
     legs = {"l": [1], "s": [bins], "ls": [1, bins]}[position]
     signed = lambda c: F.when(F.col("quantile") == bins, -F.col(c)).otherwise(F.col(c)) if position != "l" else F.col(c)

@@ -13,6 +13,7 @@ from itertools import combinations, combinations_with_replacement
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import linear
@@ -91,7 +92,14 @@ def _plane(fit: Callable) -> Callable:
 
 
 def multi_ols(p, cols, dummies=None, scale_x=False):
-    return _linear(p, *prepared(p, cols, dummies, scale_x), linear.ols)
+    """The first set of dummies is absorbed: distances from the means of date and category take its place, so that its
+    number of categories doesn't matter."""
+    if not dummies:
+        return _linear(p, *prepared(p, cols, None, scale_x), linear.ols)
+    df, xs = prepared(p.with_df(p.df.dropna(subset=dummies[:1])), cols, dummies[1:], scale_x)
+    inside = W.partitionBy(p.date, dummies[0])
+    df = df.withColumns({c: F.col(c) - F.avg(c).over(inside) for c in (p.factor, *xs)})
+    return _linear(p, df, xs, linear.ols) if xs else p.with_df(df.select(*p.df.columns))
 
 
 def lasso(p, cols, dummies=None, scale_x=False, alpha=0.01, max_iter=1000, tol=1e-4):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Names and defaults of the settings are the public surface.
 @dataclass(frozen=True)
 class ResearchConfig:
     rebalance_periods: tuple[int | str, ...] = ("W", "M", "Q")
@@ -21,7 +22,7 @@ class ResearchConfig:
 
     def __post_init__(self):
         if self.bins < 3:
-            raise ValueError(f"bins must be >= 3, got {self.bins}")
+            raise ValueError(f"a study needs 3 bins or more, not {self.bins}")
         if self.overnight not in ("on", "off", "only"):
             raise ValueError(f"overnight must be on, off or only, got {self.overnight}")
         self.fees  # noqa: B018  raises for an unknown direction

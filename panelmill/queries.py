@@ -13,6 +13,7 @@ from .operators.purify import Purifier
 from .panel import Panel
 from .plans.config import ResearchConfig
 from .sources import store
+from .study import FactorStudy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,10 +180,10 @@ def industry_dummies(spark: SparkSession, d: str) -> DataFrame:
     """With one set of dummies alone, the residual is the distance from the industry's mean."""
     p = month_panel(spark, d)
     p = p.with_df(p.df.join(industry_map(spark, d), "symbol", "left").withColumn("industry", F.coalesce("industry", F.lit("Unlabeled"))))
-    return r8(neutralize.multi_ols(p, [], ["industry"]).df.select("datetime", "symbol", "industry", "factor"), "factor", digits=5)
+    return r8(neutralize.multi_ols(p, [], ["industry"]).df.select("datetime", "symbol", "industry", "factor"), "factor", digits=9)
 
 
-add("p16_one_hot", industry_dummies, f"SELECT datetime, symbol, coalesce(industry, 'Unlabeled') AS industry, round(factor - avg(factor) OVER (PARTITION BY datetime, coalesce(industry, 'Unlabeled')), 5) + 0.0 AS factor FROM ({MONTH}) LEFT JOIN ({INDUSTRY}) USING (symbol)")
+add("p16_one_hot", industry_dummies, f"SELECT datetime, symbol, coalesce(industry, 'Unlabeled') AS industry, round(factor - avg(factor) OVER (PARTITION BY datetime, coalesce(industry, 'Unlabeled')), 9) + 0.0 AS factor FROM ({MONTH}) LEFT JOIN ({INDUSTRY}) USING (symbol)")
 add(
     "s05_purify_chain",
     lambda s, d: r8(Purifier(month_panel(s, d)).winsorize("mad").neutralize("multiOLS", ["beta"]).standardize("zscore").result(["datetime", "symbol", "factor"]), "factor"),
@@ -282,6 +283,41 @@ m AS (SELECT period, industry, avg(-ret - cost) FILTER (WHERE quantile = 1) AS a
 SELECT period, industry, round(a, 5) + 0.0 AS ret_net_s_qb_mean, round(b, 5) + 0.0 AS ret_net_qt_mean, round(b - a, 5) + 0.0 AS ret_net_ls_i_mean FROM m WHERE a IS NOT NULL""")
 add("f26_trace", lambda s, d: r8(backtest.trace(day_panel(s, d), CONFIG, 5, None, "l", full=True), "weight_lag_1", "ret", "contribution", "buy", "sell", "turnover", "cost"), BT + f"SELECT w.datetime, w.symbol, w.quantile, w.g::BIGINT AS g, round(w, 6) + 0.0 AS weight_lag_1, round(fr, 6) + 0.0 AS ret, round(w * fr, 6) + 0.0 AS contribution, {', '.join(f'round(coalesce({c}, 0), 6) + 0.0 AS {c}' for c in ('buy', 'sell', 'turnover', 'cost'))} FROM w LEFT JOIN tr USING (period, datetime, quantile, symbol) WHERE period = '5' AND quantile = 5")
 
+TRACE = BT + """, tx AS (
+  SELECT w.datetime, w.g, w.quantile, w.symbol, fr AS fut_ret, w, CASE WHEN w.datetime = ep.first THEN coalesce(buy, 0) END AS buy, CASE WHEN w.datetime = ep.first THEN 0.0 END AS sell
+  FROM w JOIN ep USING (period, g) LEFT JOIN tr ON tr.period = w.period AND tr.datetime = w.datetime AND tr.quantile = w.quantile AND tr.symbol = w.symbol WHERE w.period = '5'
+  UNION ALL SELECT cl.datetime, ep.g, cl.quantile, cl.symbol, NULL, w, 0.0, coalesce(sell, 0) FROM cl JOIN ep ON ep.period = cl.period AND ep.nf = cl.datetime
+  LEFT JOIN tr ON tr.period = cl.period AND tr.datetime = cl.datetime AND tr.quantile = cl.quantile AND tr.symbol = cl.symbol WHERE cl.period = '5'),
+per AS (SELECT datetime, g, quantile, coalesce(sum(w * fut_ret), 0) AS ret, coalesce(sum(0.0013 * (buy + sell)), 0) AS cost FROM tx GROUP BY ALL),
+dts AS (SELECT datetime, lag(datetime) OVER (ORDER BY datetime) AS was, lead(datetime) OVER (ORDER BY datetime) AS nxt FROM (SELECT DISTINCT datetime FROM per)),
+reb AS (SELECT first AS datetime FROM ep WHERE period = '5' AND g > 0),
+tg AS (SELECT datetime FROM reb UNION SELECT was FROM dts JOIN reb USING (datetime)),
+mv AS (SELECT *, max(datetime) OVER (PARTITION BY g) AS moved FROM (SELECT per.*, min(g) OVER (PARTITION BY datetime) AS mg FROM per JOIN tg USING (datetime)) WHERE g = mg),
+se AS (SELECT moved AS datetime, quantile, sum(ret) AS late FROM mv WHERE datetime <> moved GROUP BY ALL),
+bn AS (SELECT datetime, quantile, avg(r) AS ret, avg(-r) AS ret_s, avg(r - cost) AS ret_net, avg(-r - cost) AS ret_net_s FROM (SELECT per.datetime, quantile, coalesce(late, ret) AS r, cost FROM per LEFT JOIN se USING (datetime, quantile)) GROUP BY ALL)
+"""
+NAMES = ("fut_ret", "w", "buy", "sell", "turnover", "cost")
+add("f26_trace_holdings", lambda s, d: r8(backtest.traced(day_panel(s, d), CONFIG, 5), *NAMES), TRACE + f"SELECT datetime, g::BIGINT AS g, quantile, symbol, {R('fut_ret', 'w', 'buy', 'sell')}, round(buy + sell, 6) + 0.0 AS turnover, round(0.0013 * (buy + sell), 6) + 0.0 AS cost FROM tx")
+add("f26_trace_returns", lambda s, d: r8(backtest.traced_returns(backtest.traced(day_panel(s, d), CONFIG, 5)), "ret", "ret_s", "ret_net", "ret_net_s"), TRACE + f"SELECT nxt AS datetime, quantile, {R('ret', 'ret_s', 'ret_net', 'ret_net_s')} FROM bn JOIN dts USING (datetime) WHERE nxt IS NOT NULL")
+add("r06_trace_weights", lambda s, d: r8(backtest.traced_weights(backtest.traced(day_panel(s, d), CONFIG, 5)), "old_w", "new_w"), TRACE + """SELECT datetime, quantile, symbol, round(coalesce(max(w) FILTER (WHERE g = lo), 0), 6) + 0.0 AS old_w, round(coalesce(max(w) FILTER (WHERE g = hi), 0), 6) + 0.0 AS new_w
+FROM (SELECT *, min(g) OVER k AS lo, max(g) OVER k AS hi FROM tx WINDOW k AS (PARTITION BY datetime, quantile)) WHERE lo < hi GROUP BY ALL""")
+
+# -- a whole study by calendar periods --
+
+BY_WEEK = "SELECT 'W', datetime, sum(f::INT) OVER (ORDER BY datetime) - 1, f FROM (SELECT datetime, datetime = max(datetime) OVER (PARTITION BY strftime(datetime, '%Y-%W')) AS f FROM d)"
+KEYS = {"W": "strftime(datetime, '%Y-%W')", "M": "strftime(datetime, '%Y-%m')", "Q": "year(datetime) * 10 + quarter(datetime)", "H": "year(datetime) * 10 + (month(datetime) > 6)::INT", "Y": "year(datetime)"}
+assert BY_WEEK in BTM
+STUDY = BTM.replace(BY_WEEK, " UNION ALL ".join(BY_WEEK.replace("'W'", f"'{k}'").replace(KEYS["W"], key) for k, key in KEYS.items()))
+
+
+def study(spark: SparkSession, d: str) -> FactorStudy:
+    return FactorStudy(month_panel(spark, d), ResearchConfig(rebalance_periods=(5, *KEYS)))
+
+
+add("f25_study_calendar", lambda s, d: study(s, d).calendar.select("period", "datetime", "g", "is_reb", "first", "last", "next_first"), STUDY + "SELECT period, datetime, g::BIGINT AS g, is_reb, first, last, nf AS next_first FROM cal JOIN ep USING (period, g)")
+add("f25_study_returns", lambda s, d: r8(study(s, d).returns_ls, "ret_ls", "ret_net_ls", "cum_ret_ls", "cum_ret_net_ls", digits=5), STUDY + ORACLES["f12_long_short"].removeprefix(BT))
+add("f25_study_turnover", lambda s, d: r8(study(s, d).turnover, "buy", "sell", "turnover", "cost"), STUDY + ORACLES["f10_turnover"].removeprefix(BT))
+
 # -- information coefficients on the hourly panel --
 
 HORIZONS = (1, 5, 10)

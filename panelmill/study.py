@@ -109,3 +109,7 @@ class FactorStudy:
 
     def trace(self, period: int | str, date, position: str = "l", full: bool = False) -> DataFrame:
         return backtest.trace(self.panel, self.research, period, date, position, full)
+
+    def trace_sheet(self, period: int | str, date, position: str = "l") -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Holdings, bin returns and old and new weights around a date."""
+        return backtest.trace_sheet(self.panel, self.research, period, date, position)

@@ -91,6 +91,45 @@ def test_backtest_invariants(market):
         s.trace(5, dt.datetime(1999, 1, 1))
 
 
+def test_trace_sheet_dates(spark, market):
+    s = FactorStudy(market, ResearchConfig(rebalance_periods=(5,)))
+    dates = sorted(r[0] for r in s.rows.select("datetime").distinct().collect())
+    for at, wide, narrow in ((0, [0, 1], [1]), (1, [0, 1, 2], [1, 2]), (7, [5, 6, 7, 8], [6, 7, 8])):
+        holdings, returns, weights = s.trace_sheet(5, dates[at], "ls")
+        seen = lambda df: sorted({r.datetime for r in df.collect()})
+        assert seen(holdings) == [dates[i] for i in wide] and seen(returns) == [dates[i] for i in narrow]
+        assert seen(weights) == [dates[i] for i in narrow if i in (5, 10)]
+    assert {r.quantile for r in holdings.collect()} == {1, 5}
+    with pytest.raises(ValueError):
+        s.trace_sheet(5, dt.datetime(1999, 1, 1))
+    assert backtest.around([1, 2, 3, 4], 4, 2, 1) == [2, 3, 4] and backtest.around([1, 2, 3, 4], 4, 1, 1) == [3, 4]
+
+
+def test_trace_where_epochs_meet_by_hand(spark):
+    """One symbol a bin, rebalanced every two bars: the last return of the old epoch stands on the meeting date."""
+    price = {"a": [1, 2, 4, 4, 2, 2], "b": [1, 1, 1, 2, 2, 3], "c": [2, 1, 1, 1, 3, 3]}
+    rows = [(DAY + dt.timedelta(days=d), s, float(v[d]), float("abc".index(s))) for s, v in price.items() for d in range(6)]
+    traced = backtest.traced(panel(spark, rows), ResearchConfig(bins=3), 2)
+    assert all(r.w == 1 for r in traced.collect()) and traced.where("buy > 0").count() == 3
+    got = {(r.quantile, (r.datetime - DAY).days): (r.ret, r.ret_s) for r in backtest.traced_returns(traced).collect()}
+    assert got[1, 1] == (1.0, -1.0) and got[1, 2] == (1.0, -1.0)  # bars of days 0 and 1
+    assert got[1, 3] == (1.0, -1.0)  # day 2 is a meeting: day 1's return again
+    assert got[1, 4] == (-0.5, 0.5)
+
+
+def test_dummies_are_absorbed(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    rows = [(DAY, f"s{i:02}", 1.0, float(draw.normal()), float(draw.normal()), "abc"[i % 3], "xy"[i % 7 % 2]) for i in range(40)] + [(DAY, "t", 1.0, 1.0, 1.0, None, "x")]
+    df = spark.createDataFrame(rows, "datetime timestamp_ntz, symbol string, close double, factor double, beta double, one string, two string")
+    got = {r.symbol: r.factor for r in neutralize.multi_ols(Panel.of(df), ["beta"], ["one", "two"]).df.collect()}
+    x = np.array([[1, r[4], r[5] == "b", r[5] == "c", r[6] == "y"] for r in rows[:40]], float)
+    y = np.array([r[3] for r in rows[:40]])
+    want = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert len(got) == 40 and np.allclose([got[r[1]] for r in rows[:40]], want)
+
+
 def test_four_symbols_by_hand(spark):
     price = {"a": [1, 2, 4, 4], "b": [1, 1, 1, 2], "c": [2, 1, 1, 1]}
     rows = [(DAY + dt.timedelta(days=d), s, float(v[d]), float("abc".index(s))) for s, v in price.items() for d in range(4)]
