@@ -157,9 +157,9 @@ method("n05_polynomial", NT.polynomial, ["beta"], sql=leveled("beta AS a, beta *
 method("n06_kernelridge", NT.kernelridge, ["beta", "size"], scale_x=True)
 method("n07_huber", NT.huber, ["beta", "size"])
 method("n08_rank_consensus", NT.rank, ["beta", "size"], scale_x=True)
-method("n09_theilsen", NT.theilsen, ["beta", "size"], scale_x=True, max_subpopulation=200)
-method("n10_random_forest", NT.randomforest, ["beta", "size"], n_estimators=5, max_depth=4)
-method("n11_gbdt", NT.gbdt, ["beta", "size"], n_estimators=10)
+method("n09_theilsen", NT.theilsen, ["beta", "size"], scale_x=True)
+method("n10_random_forest", NT.randomforest, ["beta", "size"])
+method("n11_gbdt", NT.gbdt, ["beta", "size"])
 method("n12_pca", NT.pca, ["beta"], sql=leveled(ONE, value="factor - sxy / sxx * (beta - mx)"))
 method("n13_ica", NT.ica, ["beta"], sql=leveled(ONE, value=PLANE.format(b="sxy / sxx")))
 method("n14_bayesian_ridge", NT.bayesianridge, ["beta", "size"], scale_x=True)
@@ -167,13 +167,13 @@ method("n15_partial_correlation", NT.partialcorrelation, ["beta"], sql=leveled(f
 
 
 def industry_map(spark: SparkSession, d: str) -> DataFrame:
-    """Region names of two suppliers out of three; the others have no label."""
+    """Region names of suppliers with a balance of 3000 or more; the others have no label."""
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     s = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("symbol"), F.col("r_name").alias("industry"))
+    return s.where("s_acctbal >= 3000").select(F.col("s_suppkey").alias("symbol"), F.col("r_name").alias("industry"))
 
 
-INDUSTRY = "SELECT s_suppkey AS symbol, r_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 3 <> 0"
+INDUSTRY = "SELECT s_suppkey AS symbol, r_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal >= 3000"
 
 
 def industry_dummies(spark: SparkSession, d: str) -> DataFrame:
@@ -379,6 +379,9 @@ SELECT datetime, {{}} FROM (SELECT *, product(1 + beta_attr) OVER t - 1 AS beta_
   FROM (SELECT *, beta_expo * beta AS beta_attr, intercept + beta_expo * beta AS portfolio_ret FROM e JOIN o USING (datetime)) WINDOW t AS (ORDER BY datetime))"""
 SHOWN = ["beta_expo", "intercept", "beta", "beta_attr", "portfolio_ret", "beta_cum_ret", "intercept_cum_ret", "portfolio_cum_ret"]
 add("e06_portfolio_exposures", lambda s, d: r8(exposures.portfolio_exposures(month_panel(s, d), ["beta"]), *SHOWN, digits=5), PREP.format(R(*SHOWN, digits=5)))
+BOTH_LEGS = "avg(CASE WHEN quantile = 5 THEN -beta ELSE beta END) AS beta_expo FROM v WHERE quantile IN (1, 5)"
+for leg, one in (("l", "avg(beta) AS beta_expo FROM v WHERE quantile = 1"), ("s", "avg(-beta) AS beta_expo FROM v WHERE quantile = 5")):
+    add(f"e06_exposures_leg_{leg}", lambda s, d, leg=leg: r8(exposures.portfolio_exposures(month_panel(s, d), ["beta"], position=leg), *SHOWN, digits=5), PREP.replace(BOTH_LEGS, one).format(R(*SHOWN, digits=5)))
 add("e05_descending_bins", lambda s, d: exposures.prepared(month_panel(s, d), EXPO).withColumn("quantile", expr.quantile_bin(F.col("factor"), 5, "datetime", "symbol", descending=True)).select("datetime", "symbol", "quantile"), f"SELECT datetime, symbol, least(((row_number() OVER (PARTITION BY datetime ORDER BY factor DESC, symbol) - 1) * 5) // count(*) OVER (PARTITION BY datetime) + 1, 5)::INT AS quantile FROM ({MONTH})")
 add("e07_pure_exposures", lambda s, d: (lambda df: r8(df, *df.columns[1:], digits=5))(exposures.pure_exposures(month_panel(s, d), EXPO)))
 add("e07_pure_weights", lambda s, d: r8(exposures.pure_exposures(month_panel(s, d), EXPO).select("datetime", "beta_expo", "size_expo"), "beta_expo", "size_expo"), f"WITH z AS (SELECT datetime, {ZS('factor')} AS f, {ZS('beta')} AS b, {ZS('size')} AS s FROM ({MONTH})) SELECT datetime, round(sum(f * b) / sum(abs(f)), 6) + 0.0 AS beta_expo, round(sum(f * s) / sum(abs(f)), 6) + 0.0 AS size_expo FROM z GROUP BY 1")
@@ -395,26 +398,26 @@ def purchases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scanned(spark: SparkSession, d: str) -> DataFrame:
-    rows = store.scan(spark, f"{d}/lineitem.parquet", ["l_shipdate", "l_suppkey", "l_quantity"], "l_shipdate", "l_suppkey", [1, 2, 3, 5, 8], "1994-01-01", "1996-06-30")
+    rows = store.scan(spark, f"{d}/lineitem.parquet", ["l_shipdate", "l_suppkey", "l_quantity"], "l_shipdate", "l_suppkey", None, "1994-01-01", "1996-06-30")
     return rows.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
 
 
-def half(p: Panel, parity: int) -> DataFrame:
-    return p.df.where(F.col("symbol") % 2 == parity)
+#: Two parts of the daily panel that overlap: days of high values, and days with two events or more.
+DEAR, BUSY = "close >= 30", "factor >= 2000"
 
 
-add("s01_scan_pushdown", scanned, "SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS quantity, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem WHERE l_suppkey IN (1, 2, 3, 5, 8) AND l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate <= TIMESTAMP '1996-06-30' GROUP BY 1")
+add("s01_scan_pushdown", scanned, "SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS quantity, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate <= TIMESTAMP '1996-06-30' GROUP BY 1")
 add("j01_shifted_join", lambda s, d: r8(store.join_continuous(day_panel(s, d).df.select("datetime", "symbol", "close"), day_panel(s, d).df.select("datetime", "symbol", "factor"), "datetime", "symbol", 1), "close", "factor"), f"WITH p AS ({DAY}), q AS (SELECT lead(datetime) OVER ({IN_TIME}) AS datetime, symbol, factor FROM p) SELECT p.datetime, p.symbol, round(close, 6) + 0.0 AS close, round(q.factor, 6) + 0.0 AS factor FROM p LEFT JOIN q ON p.datetime = q.datetime AND p.symbol = q.symbol")
-add("j03_full_join", lambda s, d: r8(store.join_discrete([half(day_panel(s, d), 0).select("datetime", "symbol", "close"), day_panel(s, d).df.where("symbol % 3 = 0").select("datetime", "symbol", "factor")]), "close", "factor"), f"WITH p AS ({DAY}) SELECT datetime, symbol, round(a.close, 6) + 0.0 AS close, round(b.factor, 6) + 0.0 AS factor FROM (SELECT datetime, symbol, close FROM p WHERE symbol % 2 = 0) a FULL JOIN (SELECT datetime, symbol, factor FROM p WHERE symbol % 3 = 0) b USING (datetime, symbol)")
+add("j03_full_join", lambda s, d: r8(store.join_discrete([day_panel(s, d).df.where(DEAR).select("datetime", "symbol", "close"), day_panel(s, d).df.where(BUSY).select("datetime", "symbol", "factor")]), "close", "factor"), f"WITH p AS ({DAY}) SELECT datetime, symbol, round(a.close, 6) + 0.0 AS close, round(b.factor, 6) + 0.0 AS factor FROM (SELECT datetime, symbol, close FROM p WHERE {DEAR}) a FULL JOIN (SELECT datetime, symbol, factor FROM p WHERE {BUSY}) b USING (datetime, symbol)")
 add("j04_as_of_join", lambda s, d: store.as_of(event_panel(s, d, "hour").df.select("datetime", "symbol"), purchases(s, d), "datetime", "symbol"), f"WITH l AS (SELECT datetime, symbol FROM ({HOUR})), r AS (SELECT ts AS datetime, user_id AS symbol, max(value) AS last_value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT l.datetime, l.symbol, r.last_value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.datetime >= r.datetime")
 
 
 def sink_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = day_panel(spark, d).df
-    return p.where("symbol % 2 = 0").select("datetime", "symbol", "close"), p.where("symbol % 3 = 0").select("datetime", "symbol", (F.col("close") * 2).alias("close"), "factor")
+    return p.where(DEAR).select("datetime", "symbol", "close"), p.where(BUSY).select("datetime", "symbol", (F.col("close") * 2).alias("close"), "factor")
 
 
-SINK = f"WITH p AS ({DAY}), o AS (SELECT datetime, symbol, close FROM p WHERE symbol % 2 = 0), n AS (SELECT datetime, symbol, close * 2 AS close, factor FROM p WHERE symbol % 3 = 0) "
+SINK = f"WITH p AS ({DAY}), o AS (SELECT datetime, symbol, close FROM p WHERE {DEAR}), n AS (SELECT datetime, symbol, close * 2 AS close, factor FROM p WHERE {BUSY}) "
 add("k02_append", lambda s, d: r8(store.appended(*sink_parts(s, d), "datetime", "symbol"), "close", "factor"), SINK + f"SELECT datetime, symbol, {R('close', 'factor')} FROM (SELECT datetime, symbol, close, NULL::DOUBLE AS factor FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (datetime, symbol))")
 add("k03_update", lambda s, d: r8(store.updated(*sink_parts(s, d), "datetime", "symbol"), "close", "factor"), SINK + "SELECT o.datetime, o.symbol, round(coalesce(n.close, o.close), 6) + 0.0 AS close, round(n.factor, 6) + 0.0 AS factor FROM o LEFT JOIN n ON o.datetime = n.datetime AND o.symbol = n.symbol")
 
