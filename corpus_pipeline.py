@@ -74,7 +74,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE", encode_bytes),
 ]
 
-#: SQL can't express the classifier, signatures or merges; tests compare each stage with a brute-force version.
+#: SQL can't express the classifier, signatures or merges; see the tests of the stages.
 ORACLE_SQL = None
 
 
