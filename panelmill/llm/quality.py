@@ -1,14 +1,16 @@
 """Quality classifier on random-indexing word vectors.
 
 1. Random indexing over all documents: each document has a sparse ternary index vector (drawn from a hash of its
-   text), and each word bucket sums the index vectors of the documents it occurs in.  Sums are integers, so the result
+   text), and each word bucket sums the index vectors of the documents it occurs in, each at most 8
+   times; words share buckets by a hash.  Sums are integers, so the result
    doesn't depend on the order of tasks.  The table has `buckets` x `dims` numbers whatever the corpus.
 2. A document is pooled: mean and spread of its words' vectors with inverse document frequencies as weights.
 3. A two-layer numpy network is fitted on the driver to at most `sample` labelled documents, those with the smallest
    hashes; a fifth of them sets the temperature that calibrates the probabilities.
 
 Labels, lang, source and doc_id are never inputs of a score.
-Defined results: null and empty texts get the score of a pooled vector of zeros; repeated rows give repeated rows; with
+Defined results: null and empty texts get the score of a pooled vector of zeros; repeated rows give repeated rows
+(a null doc_id has no label); with
 no labelled row, or labels of one kind, all scores are the share of label 1 (0.5 with none); other columns aren't read.
 """
 
@@ -165,7 +167,7 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), key:
 
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_y"))
     chosen = one.withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key").limit(s.sample)
-    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").select("_text", "_y").mapInArrow(run, "y int, x binary").toPandas()
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text")).select("_text", "_y").mapInArrow(run, "y int, x binary").toPandas()
     table.unpersist()
     dims = 2 * s.dims + 2
     x = np.frombuffer(b"".join(bytes(b) for b in rows["x"]), np.float32).reshape(-1, dims).astype(np.float64)
