@@ -3,7 +3,8 @@
 Training words become postings (term, document, position).  Every benchmark window of `window` words is looked up by
 the rarest of its terms; only postings of such terms are stored, each with its neighbourhood of words, which is the
 list of the other terms at positions adjusted by their offsets.  Intersecting a window's lists from the rarest term on
-therefore is a local comparison, and no posting of a frequent word is ever shuffled.
+therefore is a local comparison, and no posting of a frequent word is ever shuffled.  The same lookup gives phrases (the
+window's words at their offsets) and proximity matches (all its distinct words near its rarest one, in any order).
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.  Defined results: null and empty texts
 have no words and no hits; an item of fewer words than a window, but not none, is one window; repeated rows give
@@ -51,57 +52,86 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", "words", F.explode(starts).alias("start")).select("item_id", "start", F.slice("words", F.col("start") + 1, F.lit(window)).alias("words")).dropDuplicates(["item_id", "words"])
 
 
-def phrase_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Exact matches: doc_id, text_key, item_id, start, end (word positions, end exclusive).  Windows that were found
-    through one posting are one row."""
+def lookups(documents: DataFrame, benchmark: DataFrame, window: int, within: int) -> DataFrame:
+    """Postings joined with the windows that they are the rarest term of: doc_id, text_key, item_id, pos, here (place of
+    pos in near), near (words up to `within` words away) and ws, the windows with offset (of the rarest term), words and
+    others (the distinct words but the rarest, in order of frequency)."""
     windows = item_windows(benchmark, window)
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    df = frequencies(documents, vocabulary, vocabulary.count())
+    n_terms = vocabulary.count()
+    df = small_enough(frequencies(documents, vocabulary, n_terms), n_terms, BROADCAST_ROWS)
     each = windows.select("item_id", "start", "words", F.posexplode("words").alias("offset", "term")).join(df, "term", "left")
     unseen = W.partitionBy("item_id", "start")
     each = each.withColumn("missing", F.max(F.col("df").isNull()).over(unseen)).where(~F.col("missing"))  # a word that no document has
-    rarest = each.groupBy("item_id", "start").agg(F.min(F.struct("df", "offset", "term", "words")).alias("r"))
-    anchors = rarest.select("item_id", F.col("r.term").alias("term"), (F.col("start") + F.col("r.offset")).alias("item_pos"), F.struct(F.col("r.offset").alias("offset"), F.col("r.words").alias("words")).alias("w"))
+    by_df = F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("by_df")
+    rarest = each.groupBy("item_id", "start").agg(by_df, F.first("words").alias("words"))
+    r = F.col("by_df")[0]
+    others = F.array_remove(F.array_distinct(F.col("by_df.term")), r["term"])
+    anchors = rarest.select("item_id", r["term"].alias("term"), (F.col("start") + r["offset"]).alias("item_pos"), F.struct(r["offset"].alias("offset"), F.col("words"), others.alias("others")).alias("w"))
     anchors = anchors.groupBy("term", "item_id", "item_pos").agg(F.collect_list("w").alias("ws"))  # at most `window` of them
     anchors = cut_lineage(anchors)  # small, used three times
     terms = anchors.select("term").distinct()
-    index = postings(documents, terms, terms.count(), window - 1)
+    index = postings(documents, terms, terms.count(), within)
     pairs = index.join(small_enough(anchors, anchors.count(), BROADCAST_ROWS), "term")
-    here = F.col("pos") - F.col("first")
-    fits = F.filter("ws", lambda w: (w["offset"] <= here) & (F.slice(F.col("near"), F.greatest(here - w["offset"], F.lit(0)) + 1, F.size(w["words"])) == w["words"]))
-    found = pairs.select("doc_id", "text_key", "item_id", "pos", fits.alias("fits")).where(F.size("fits") > 0)
-    return found.select(
+    return pairs.select("doc_id", "text_key", "item_id", "pos", (F.col("pos") - F.col("first")).alias("here"), "near", "ws")
+
+
+def _fits() -> Column:
+    """The windows of a lookup whose words stand at their offsets."""
+    at = lambda w: F.slice(F.col("near"), F.greatest(F.col("here") - w["offset"], F.lit(0)) + 1, F.size(w["words"]))
+    return F.filter("ws", lambda w: (w["offset"] <= F.col("here")) & (at(w) == w["words"]))
+
+
+def _is_near() -> Column:
+    """Whether all words of a window of a lookup are near."""
+    return F.exists("ws", lambda w: F.forall(w["others"], lambda x: F.array_contains(F.col("near"), x)))
+
+
+def _phrases(found: DataFrame) -> DataFrame:
+    return found.where(F.size("fits") > 0).select(
         "doc_id", "text_key", "item_id",
         (F.col("pos") - F.array_max(F.transform("fits", lambda w: w["offset"]))).alias("start"),
         (F.col("pos") + F.array_max(F.transform("fits", lambda w: F.size(w["words"]) - w["offset"]))).alias("end"),
     )
 
 
-def proximity_matches(documents: DataFrame, benchmark: DataFrame, within: int = 30) -> DataFrame:
-    """Items all of whose distinct words stand within `within` words of an occurrence of their rarest one, in any order:
-    doc_id, text_key, item_id, pos."""
-    items = benchmark.select("item_id", F.array_distinct(words_of(F.col("text"))).alias("words")).where((F.size("words") > 0) & (F.size("words") <= within))
-    vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    df = frequencies(documents, vocabulary, vocabulary.count())
-    each = items.select("item_id", "words", F.explode("words").alias("term")).join(df, "term", "left")
-    rarest = each.groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "words")).alias("r")).select("item_id", "r.term", "r.words")
-    rarest = cut_lineage(rarest)
-    terms = rarest.select("term").distinct()
-    index = postings(documents, terms, terms.count(), within)
-    return index.join(small_enough(rarest, rarest.count(), BROADCAST_ROWS), "term").where(F.size(F.array_except("words", "near")) == 0).select("doc_id", "text_key", "item_id", "pos").distinct()
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and text_key."""
-    matches = phrase_matches(documents, benchmark, window)
+def phrase_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """Exact matches: doc_id, text_key, item_id, start, end (word positions, end exclusive).  Windows that were found
+    through one posting are one row."""
+    return _phrases(lookups(documents, benchmark, window, window - 1).withColumn("fits", _fits()))
+
+
+def proximity_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, within: int = 30) -> DataFrame:
+    """Windows all of whose distinct words stand within `within` words (window - 1 at least, so that phrases are among
+    them) of an occurrence of their rarest one, in any order: doc_id, text_key, item_id, pos (of the rarest one).  Items
+    of any length are looked for, window by window; of equally rare words the first one of the window counts."""
+    near = lookups(documents, benchmark, window, max(within, window - 1)).where(_is_near())
+    return near.select("doc_id", "text_key", "item_id", "pos").distinct()
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, within: int | None = None) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and text_key.  With `within`
+    also n_near_items, the items with proximity matches; these make no document contaminated."""
+    if within is None:
+        found = lookups(documents, benchmark, window, window - 1).withColumn("fits", _fits())
+    else:
+        found = lookups(documents, benchmark, window, max(within, window - 1)).withColumn("fits", _fits()).withColumn("is_near", _is_near())
+        found = cut_lineage(found.where((F.size("fits") > 0) | F.col("is_near")).drop("near", "ws", "here"))
+    matches = _phrases(found)
     by_start = W.partitionBy("doc_id", "text_key").orderBy("start", "end")
     before = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
     runs = matches.groupBy("doc_id", "text_key", "start", "end").agg(F.collect_set("item_id").alias("items"))
     runs = runs.withColumn("before", F.coalesce(before, F.lit(0)))
     fresh = F.greatest(F.col("end") - F.greatest("start", "before"), F.lit(0))
     hits = runs.groupBy("doc_id", "text_key").agg(F.sum(fresh).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    near = []
+    if within is not None:
+        items = found.where("is_near").groupBy("doc_id", "text_key").agg(F.count_distinct("item_id").alias("n_near_items"))
+        both = hits.unionByName(items, allowMissingColumns=True).groupBy("doc_id", "text_key")
+        hits = both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n_hit", "items", "n_near_items")))
+        near = [F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items")]
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (docs["text_key"] == hits["text_key"]), "left")
     names = F.array_sort(F.coalesce(F.transform("items", lambda i: i.cast("string")), F.array().cast("array<string>")))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(docs["doc_id"], docs["text_key"], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.encode(F.array_join(names, ","), "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return joined.select(docs["doc_id"], docs["text_key"], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.encode(F.array_join(names, ","), "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *near)

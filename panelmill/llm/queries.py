@@ -59,7 +59,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=30).drop("text_key")
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,17 @@ p AS (
   SELECT rid, s, n, list_slice(ws, s, s + n - 1) AS win FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, len(ws) - n + 1)) AS s) WHERE len(ws) >= n
 ), m AS (SELECT rid, s, n, item_id FROM p JOIN w USING (win)),
 h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM m, LATERAL (SELECT unnest(generate_series(s, s + n - 1)) AS q) GROUP BY rid),
-i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM m) GROUP BY rid)
+i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM m) GROUP BY rid),
+t AS (SELECT rid, pos, ws[pos] AS term, ws FROM d, LATERAL (SELECT unnest(generate_series(1, len(ws))) AS pos)),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+r AS (
+  SELECT item_id, win, arg_min(win[o], (coalesce(df, 0), o)) AS term
+  FROM w, LATERAL (SELECT unnest(generate_series(1, len(win))) AS o) LEFT JOIN f ON f.term = win[o] GROUP BY item_id, win
+), g AS (
+  SELECT rid, count(DISTINCT item_id) AS n_near_items FROM t JOIN r USING (term)
+  WHERE list_has_all(list_slice(ws, greatest(pos - 30, 1), pos + 30), win) GROUP BY rid
+)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid) LEFT JOIN g USING (rid)
 """

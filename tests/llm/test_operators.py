@@ -408,22 +408,30 @@ def windows_of(t, n=10):
 def test_contamination_against_brute_force(spark, docs, empty, texts):
     items = [(1, prose(4, 30)), (2, "Short Text"), (3, None), (4, ""), (10, " ".join(texts[8].split()[40:55])), (11, prose(77, 40)), (12, "a a"), (13, texts[8])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for df in (docs, spark.createDataFrame([(5, "a a a b a a", 1), (6, prose(4, 12) + " " + prose(4, 30), 2)], "doc_id long, text string, pos int")):
-        got = decontaminate.contamination(df, bench).collect()
+    mixed = " ".join(sorted(prose(77, 40).split()[3:15])) + " and so on " + prose(4, 12)
+    for df in (docs, spark.createDataFrame([(5, "a a a b a a", 1), (6, prose(4, 12) + " " + prose(4, 30), 2), (7, mixed, 3)], "doc_id long, text string, pos int")):
+        got = decontaminate.contamination(df, bench, within=30).collect()
         assert len(got) == df.count()
         rows = {r.doc_id: r.text for r in df.collect()}
+        seen = Counter(w for r in df.collect() for w in windows_of(r.text)[0])
         for r in got:
             words, _ = windows_of(rows[r.doc_id])
-            hit, names = set(), set()
+            hit, names, near = set(), set(), set()
             for item, text in items:
                 for win in windows_of(text)[1]:
+                    rarest = min(win, key=lambda w: (seen[w], win.index(w)))
+                    if any(w == rarest and set(win) <= set(words[max(i - 30, 0) : i + 31]) for i, w in enumerate(words)):
+                        near.add(item)
                     for i in range(len(words) - len(win) + 1):
                         if tuple(words[i : i + len(win)]) == win:
                             hit |= set(range(i, i + len(win)))
                             names.add(str(item))
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(words), len(hit), len(names), bool(hit))
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-    assert decontaminate.contamination(empty, bench).count() == 0
+            assert r.n_near_items == len(near)
+    assert {(r.doc_id, r.n_items, r.n_near_items) for r in got} >= {(7, 1, 2)}  # one item only by proximity
+    assert decontaminate.contamination(empty, bench, within=30).count() == 0
+    assert "n_near_items" not in decontaminate.contamination(empty, bench).columns
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     near = decontaminate.proximity_matches(docs, spark.createDataFrame([(1, "text short")], "item_id long, text string")).collect()
     assert {r.doc_id for r in near} == {3}
