@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, neardup, passages, pii, quality, repetition, sharding, token_attribution
+from . import bpe, chat_format, decontaminate, merkle, neardup, passages, pii, quality, repetition, sharding, token_attribution
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -66,7 +66,11 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_reshard, op3_token_counts, op4_byte_bpe, op5_pii, op6_quality_rules, op7_quality_classifier, op8_near_duplicates, op9_decontaminate, op10_repeated_passages)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.is_tampered()).drop("path")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_reshard, op3_token_counts, op4_byte_bpe, op5_pii, op6_quality_rules, op7_quality_classifier, op8_near_duplicates, op9_decontaminate, op10_repeated_passages, op12_merkle_manifest)}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op1_chat_format"] = r"""
@@ -112,3 +116,44 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
 FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid) LEFT JOIN g USING (rid)
 """
+
+
+def _climb_sql(name: str, source: str, levels: int) -> str:
+    """Levels 0 to `levels` of trees by eight: g, i (place in the level), h and n (nodes of the level), and what stands to
+    the left and right of a node among its siblings."""
+    sides = "coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lhs, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rhs"
+    parts = [f"{name}0 AS (SELECT *, {sides} FROM ({source}))"]
+    for k in range(1, levels + 1):
+        up = f"SELECT g, i // 8 AS i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k - 1} GROUP BY g, i // 8, n"
+        parts.append(f"{name}{k} AS (SELECT *, {sides} FROM ({up}))")
+    return ", ".join(parts)
+
+
+def _fold_sql(name: str, source: str, levels: int) -> str:
+    """f and p of the source (the hash so far, the siblings so far) carried up the levels of g from place i."""
+    out = source
+    for k in range(levels):
+        known = "s.* EXCLUDE (n, lhs, rhs)" if k else "s.*"
+        step = f"SELECT {known}, t.n, t.lhs, t.rhs FROM ({out}) s JOIN {name}{k} t ON s.g = t.g AND s.i = t.i"
+        out = f"SELECT * REPLACE (CASE WHEN n > 1 THEN sha256(lhs || f || rhs) ELSE f END AS f, CASE WHEN n > 1 THEN p || lhs || rhs ELSE p END AS p, i // 8 AS i) FROM ({step})"
+    return f"SELECT * EXCLUDE (n, lhs, rhs) FROM ({out})"
+
+
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of short strings by its bits, as DuckDB has no function for it: remainders of the reflected polynomial.
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384)))"
+ORACLES["op12_merkle_manifest"] = f"""
+WITH d AS (SELECT doc_id, lang, {_leaf_sql("text")} AS h,
+    CASE WHEN xor({_CRC}, 4294967295) % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS seen FROM documents),
+e AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_climb_sql("a", "SELECT g, i, n, h FROM e", 8)},
+{_climb_sql("b", "SELECT 0 AS g, g AS i, count(*) OVER () AS n, h FROM a8", 4)},
+x AS ({_fold_sql("a", "SELECT doc_id, h AS leaf, seen, g, i, seen AS f, '' AS p FROM e", 8)}),
+y AS ({_fold_sql("b", "SELECT doc_id, leaf, a8.h AS subroot, 0 AS g, x.g AS i, f, p FROM x JOIN a8 ON x.g = a8.g", 4)})
+SELECT doc_id, leaf, subroot, b4.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = b4.h AS verified FROM y, b4
+"""
