@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, merkle, neardup, passages, pii, quality, repetition, sharding, token_attribution
+from . import bpe, chat_format, decontaminate, merkle, neardup, passages, phrases, pii, quality, repetition, sharding, token_attribution
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -66,11 +66,15 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.is_tampered()).drop("path")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_reshard, op3_token_counts, op4_byte_bpe, op5_pii, op6_quality_rules, op7_quality_classifier, op8_near_duplicates, op9_decontaminate, op10_repeated_passages, op12_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_reshard, op3_token_counts, op4_byte_bpe, op5_pii, op6_quality_rules, op7_quality_classifier, op8_near_duplicates, op9_decontaminate, op10_repeated_passages, op11_collocations, op12_merkle_manifest)}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op1_chat_format"] = r"""
@@ -117,6 +121,20 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid) LEFT JOIN g USING (rid)
 """
 
+ORACLES["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS phrase, count(*) AS a FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k), LATERAL (SELECT unnest(generate_series(1, len(ws) - k + 1)) AS s) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+u AS (SELECT c.*, i, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS i FROM c) c JOIN t ON t.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.k = i AND x.phrase = array_to_string(list_slice(ws, 1, i), ' ') JOIN f y ON y.lang = c.lang AND y.k = c.k - i AND y.phrase = array_to_string(list_slice(ws, i + 1, c.k), ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.lang = b.lang AND z.k > b.k AND z.a >= b.a AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000
+"""
+
 
 def _climb_sql(name: str, source: str, levels: int) -> str:
     """Levels 0 to `levels` of trees by eight: g, i (place in the level), h and n (nodes of the level), and what stands to
