@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, merkle, neardup, passages, phrases, pii, quality, repetition, sharding, token_attribution
+from . import bpe, chat_format, decontaminate, merkle, neardup, passages, phrases, pii, quality, repetition, sharding, suffixes, token_attribution
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -74,7 +74,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.is_tampered()).drop("path")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_reshard, op3_token_counts, op4_byte_bpe, op5_pii, op6_quality_rules, op7_quality_classifier, op8_near_duplicates, op9_decontaminate, op10_repeated_passages, op11_collocations, op12_merkle_manifest)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_reshard, op3_token_counts, op4_byte_bpe, op5_pii, op6_quality_rules, op7_quality_classifier, op8_near_duplicates, op9_decontaminate, op10_repeated_passages, op11_collocations, op12_merkle_manifest, op13_suffix_dedup)}
 
 ORACLES: dict[str, str] = {}
 ORACLES["op1_chat_format"] = r"""
