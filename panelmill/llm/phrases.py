@@ -2,11 +2,11 @@
 
 The relation of a length has a tuple (piece, position, group) for each occurrence.  It is kept as sorted columns of a
 portion of pieces: a bit for each place that holds an occurrence, with a bit left free between pieces, and the group of
-each.  So the merge join of neighbours is a comparison of columns within a portion, and only one row for each group and
-portion goes into the group-count, however often a phrase stands there: no word, however frequent, makes a hot key.  The
-relation is written, groups are counted over all portions, and occurrences of groups below `least` leave by a semi-join
-before the next length.  A group of k + 1 words is a pair of groups of k words that overlap, and groups are numbered
-exactly; nothing is hashed.
+each.  So the merge join of neighbours is a comparison of columns within a portion, and a group goes into the group-count
+once for each portion, however often it stands there: no word, however frequent, makes a hot key.  The relation is written,
+groups are counted over all portions, and occurrences of groups below `least` leave by a semi-join before the next length.
+A group of k + 1 words is a pair of groups of k words that overlap; groups are compared and numbered exactly.  Pairs are
+dealt by hash into buckets of about `BUCKET` pairs, as compressed columns of what a portion has in a bucket.
 
 Words are runs without blanks in pieces between punctuation and line ends, A-Z lower-cased.  Defined results: null and
 empty texts have no words, a null lang is `und`, repeated rows count as often as they stand, an empty table has no
@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, lists_of, portions, texts_of
+from .common import cut_lineage, lists_of, mix, portions, texts_of
 
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 END = re.compile(f"[{ENDS.decode()}]")
@@ -34,14 +35,29 @@ KIND[list(BLANKS)], KIND[list(ENDS)] = 1, 2
 
 #: Bytes of text in a portion of one language, and in all that a task gathers.
 PORTION, GATHERED = 6_000_000, 24_000_000
+BUCKET = 1_000_000
 TOP_SALTS = 64
-SHAPE = "lang string, portion long, {}, counts array<long>, codes binary, places binary"
+WORDS = "lang string, portion long, words array<string>, counts array<long>, codes binary, places binary"
+#: pairs: squeezed left, right and count of each group of the portion; codes: the group of each occurrence.
+PAIRS = "portion long, n_pairs long, pairs binary, codes binary, places binary"
+COUNTED = "portion long, at binary, gid array<long>, a array<long>, left array<long>, right array<long>"
 
 
-def pieces_of(text: str) -> Iterator[str]:
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Integers of columns of one length, byte by byte of all, compressed."""
+    planes = np.ascontiguousarray(np.stack([c.astype(np.int64) for c in columns])).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes())
+
+
+def released(data: bytes, columns: int = 1) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)
+    return np.ascontiguousarray(planes).view(np.int64).reshape(columns, -1)
+
+
+def pieces_of(text: str, most: int) -> Iterator[str]:
     """The text, or if it is longer than a portion, parts of it that end where pieces do."""
     at = 0
-    while len(text) - at > PORTION and (end := END.search(text, at + PORTION)):
+    while len(text) - at > most and (end := END.search(text, at + most)):
         yield text[at : end.end()]
         at = end.end()
     yield text[at:] if at else text
@@ -66,10 +82,10 @@ def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def kept_columns(codes: np.ndarray, place: np.ndarray) -> dict[str, pa.Array]:
     bits = np.zeros(int(place[-1]) + 1 if len(place) else 0, bool)
     bits[place] = True
-    return {"codes": pa.array([codes.astype(np.int32).tobytes()], pa.binary()), "places": pa.array([np.packbits(bits).tobytes()], pa.binary())}
+    return {"codes": pa.array([squeezed(codes)], pa.binary()), "places": pa.array([zstandard.compress(np.packbits(bits).tobytes())], pa.binary())}
 
 
-def first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_relation(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Portions of one language each: a task gathers texts until a portion is full."""
     waiting: dict[str, list[str]] = {}
     size: dict[str, int] = {}
@@ -89,10 +105,10 @@ def first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in portions(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch)):
-            for part in pieces_of(text):
+            for part in pieces_of(text, most):
                 waiting.setdefault(lang, []).append(part)
                 size[lang] = size.get(lang, 0) + len(part)
-                if size[lang] >= PORTION:
+                if size[lang] >= most:
                     yield portion(lang)
             if sum(size.values()) >= GATHERED:
                 yield portion(max(size, key=size.get))
@@ -102,12 +118,12 @@ def first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def neighbours_joined(relation: pa.Table, groups: pa.Table) -> pa.Table:
     """The next length's relation of a portion, from its relation and the numbers of its frequent groups."""
-    shape = pa.schema([("lang", pa.string()), ("portion", pa.int64()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("places", pa.binary())])
+    shape = pa.schema([("portion", pa.int64()), ("n_pairs", pa.int64()), ("pairs", pa.binary()), ("codes", pa.binary()), ("places", pa.binary())])
     if not relation.num_rows or not groups.num_rows:
         return shape.empty_table()
-    codes = np.frombuffer(relation["codes"][0].as_py(), np.int32)
-    place = np.flatnonzero(np.unpackbits(np.frombuffer(relation["places"][0].as_py(), np.uint8)))
-    number, at = groups["gid"].to_numpy(), groups["at"].to_numpy()
+    codes = released(relation["codes"][0].as_py())[0]
+    place = np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.decompress(relation["places"][0].as_py()), np.uint8)))
+    at, number = np.concatenate([released(g, 2) for g in groups["at"].to_pylist()], axis=1)
     order = np.argsort(at)
     number, at = number[order], at[order]
     local = np.full(int(codes.max(initial=-1)) + 1, -1, np.int64)
@@ -116,46 +132,95 @@ def neighbours_joined(relation: pa.Table, groups: pa.Table) -> pa.Table:
     own, place = own[own >= 0], place[own >= 0]  # the semi-join
     near = np.flatnonzero(place[1:] == place[:-1] + 1)  # the merge join
     pairs, codes, counts = np.unique(own[near] * len(at) + own[near + 1], return_inverse=True, return_counts=True)
-    one = np.array([len(pairs)])
-    columns = {"left": lists_of(number[pairs // len(at)], one), "right": lists_of(number[pairs % len(at)], one), "counts": lists_of(counts.astype(np.int64), one), **kept_columns(codes, place[near])}
-    return pa.Table.from_pydict({"lang": relation["lang"], "portion": relation["portion"], **columns}, schema=shape)
+    columns = {"n_pairs": pa.array([len(pairs)], pa.int64()), "pairs": pa.array([squeezed(number[pairs // len(at)], number[pairs % len(at)], counts)], pa.binary()), **kept_columns(codes, place[near])}
+    return pa.Table.from_pydict({"portion": relation["portion"], **columns}, schema=shape)
 
 
-def frequent(relation: DataFrame, least: int, *key: str) -> DataFrame:
-    """portion, at (the group's number within it), gid (its number everywhere), a (its occurrences in all portions), first
-    (one row of each group) and its key; groups of `least` occurrences or more."""
-    zipped = F.posexplode(F.arrays_zip(*({"word": F.col("words")}.get(c, F.col(c)).alias(c) for c in key), F.col("counts"))).alias("at", "group")
-    each = relation.select("lang", "portion", zipped).select("lang", "portion", "at", *(F.col(f"group.{c}").alias(c) for c in key), F.col("group.counts").alias("count"))
-    same = W.partitionBy("lang", *key)
+def frequent_words(relation: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Words that occur `least` times or more: portion and at (squeezed places in the portion's words, and numbers); and
+    gid (the number), a (occurrences), lang and word."""
+    each = relation.select("lang", "portion", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("count"))).alias("at", "group")).select("lang", "portion", "at", "group.word", "group.count")
+    same = W.partitionBy("lang", "word")
     rows = each.withColumn("a", F.sum("count").over(same)).where(F.col("a") >= least).withColumn("row", F.monotonically_increasing_id())
-    return cut_lineage(rows.withColumn("gid", F.min("row").over(same)).select("lang", "portion", "at", "gid", "a", (F.col("row") == F.col("gid")).alias("first"), *key))
-
-
-def relations(documents: DataFrame, least: int, longest: int) -> tuple[DataFrame, list[DataFrame]]:
-    """lang and n, all its words; and the frequent groups of each length (see `frequent`)."""
+    rows = cut_lineage(rows.withColumn("gid", F.min("row").over(same)))
+    maps = rows.select("portion", "at", "gid").groupBy("portion").applyInArrow(_numbers, "portion long, at binary")
+    return maps, rows.where(F.col("row") == F.col("gid")).select("gid", "a", "lang", "word")
+
+
+def _numbers(rows: pa.Table) -> pa.Table:
+    return pa.table({"portion": rows["portion"][:1], "at": pa.array([squeezed(rows["at"].to_numpy(), rows["gid"].to_numpy())], pa.binary())})
+
+
+def frequent_pairs(relation: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The same of pairs: portion and at; and gid, a, left and right."""
+    buckets = max(1, -(-(relation.agg(F.sum("n_pairs")).first()[0] or 0) // BUCKET))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for portion, pairs in zip(batch.column("portion").to_pylist(), batch.column("pairs").to_pylist()):
+                left, right, count = released(pairs, 3)
+                to = (mix(left.view(np.uint64) ^ mix(right.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")  # left and at ascend within a bucket
+                names, first = np.unique(to[order], return_index=True)
+                parts = [squeezed(np.diff(left[i], prepend=0), right[i], count[i], np.diff(i, prepend=0)) for i in np.split(order, first[1:])]
+                if len(order):
+                    yield pa.RecordBatch.from_pydict({"bucket": names, "portion": np.full(len(names), portion), "part": pa.array(parts, pa.binary())})
+
+    def counted(key: tuple, rows: pa.Table) -> pa.Table:
+        portions = rows["portion"].to_numpy()
+        parts = [released(p, 4) for p in rows["part"].to_pylist()]
+        left, at = (np.concatenate([np.cumsum(p[k]) for p in parts]) for k in (0, 3))
+        right, count = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        owner = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
+        order = np.lexsort((right, left))
+        new = np.ones(len(order), bool)
+        new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
+        first = np.flatnonzero(new)
+        a = np.add.reduceat(count[order], first)
+        kept = a >= least
+        gid = np.where(kept, (key[0].as_py() << 36) + np.cumsum(kept), -1)
+        of = np.empty(len(order), np.int64)
+        of[order] = gid[np.cumsum(new) - 1]
+        stay = np.flatnonzero(of >= 0)
+        own, ends = np.unique(owner[stay], return_index=True)  # owners ascend
+        maps = [squeezed(at[i], of[i]) for i in (np.split(stay, ends[1:]) if len(own) else [])]
+        groups = [gid[kept], a[kept], left[order][first][kept], right[order][first][kept]]
+        none = pa.nulls(len(own), pa.list_(pa.int64()))
+        lists = [pa.concat_arrays([none, lists_of(g, np.array([len(g)]))]) for g in groups]
+        return pa.table({"portion": pa.array([*portions[own].tolist(), None], pa.int64()), "at": pa.array([*maps, None], pa.binary()), **dict(zip(("gid", "a", "left", "right"), lists))})
+
+    by_bucket = relation.select("portion", "pairs").mapInArrow(dealt, "bucket long, portion long, part binary").groupBy("bucket")
+    rows = cut_lineage(by_bucket.applyInArrow(counted, COUNTED))
+    groups = rows.where("portion IS NULL").select(F.inline(F.arrays_zip("gid", "a", "left", "right")))
+    return rows.where("portion IS NOT NULL").select("portion", "at"), groups
+
+
+def relations(documents: DataFrame, least: int, longest: int, portion: int = PORTION) -> tuple[DataFrame, list[DataFrame]]:
+    """lang and n, all its words; and the frequent groups of each length."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    relation = cut_lineage(documents.select("text", lang).mapInArrow(first_relation, SHAPE.format("words array<string>")))
+    relation = cut_lineage(documents.select("text", lang).mapInArrow(lambda batches: first_relation(batches, portion), WORDS))
     totals = cut_lineage(relation.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-    found = [frequent(relation, least, "word")]
+    maps, groups = frequent_words(relation, least)
+    found = [groups]
     for _ in range(longest - 1):
-        before = relation.select("lang", "portion", "codes", "places").groupBy("portion")
-        after = before.cogroup(found[-1].select("portion", "at", "gid").groupBy("portion")).applyInArrow(neighbours_joined, SHAPE.format("left array<long>, right array<long>"))
-        relation = cut_lineage(after)
-        found.append(frequent(relation, least, "left", "right"))
+        before = relation.select("portion", "codes", "places").groupBy("portion")
+        relation = cut_lineage(before.cogroup(maps.groupBy("portion")).applyInArrow(neighbours_joined, PAIRS))
+        maps, groups = frequent_pairs(relation, least)
+        found.append(groups)
     return totals, found
 
 
 def candidates(found: list[DataFrame]) -> DataFrame:
     """lang, words, a, l, r of all frequent phrases of two words or more that no longer one absorbs: its counts of first
     parts `pre` and of last parts `suf`, by length."""
-    own = found[0].where("first").select("gid", "lang", F.array("word").alias("words"), "a", F.array("a").alias("pre"), F.array("a").alias("suf"))
+    own = found[0].select("gid", "lang", F.array("word").alias("words"), "a", F.array("a").alias("pre"), F.array("a").alias("suf"))
     out = []
     for groups in found[1:]:
         own = cut_lineage(own)
-        left, right = (own.select(*(F.col(c).alias(f"{side}_{c}") for c in ("gid", "words", "a", "pre", "suf"))) for side in ("l", "r"))
-        both = groups.where("first").join(left, F.col("left") == F.col("l_gid")).join(right, F.col("right") == F.col("r_gid"))
+        left, right = (own.select(*(F.col(c).alias(f"{side}_{c}") for c in ("gid", "lang", "words", "a", "pre", "suf"))) for side in ("l", "r"))
+        both = groups.join(left, F.col("left") == F.col("l_gid")).join(right, F.col("right") == F.col("r_gid"))
         longer = cut_lineage(both.select(
-            "gid", "lang", F.concat("l_words", F.slice("r_words", -1, 1)).alias("words"), "a", F.concat("l_pre", F.array("a")).alias("pre"), F.concat("r_suf", F.array("a")).alias("suf"),
+            "gid", F.col("l_lang").alias("lang"), F.concat("l_words", F.slice("r_words", -1, 1)).alias("words"), "a", F.concat("l_pre", F.array("a")).alias("pre"), F.concat("r_suf", F.array("a")).alias("suf"),
             F.filter(F.array(F.when(F.col("l_a") == F.col("a"), F.col("l_gid")), F.when(F.col("r_a") == F.col("a"), F.col("r_gid"))), lambda g: g.isNotNull()).alias("absorbs"),
         ))
         if out:
@@ -176,10 +241,10 @@ def lowest_cut() -> Column:
     return F.array_min(F.expr(f"transform(sequence(1, size(words) - 1), i -> named_struct('score', {score}, 'cut', i, 'l', {l}, 'r', {r}))"))
 
 
-def collocations(documents: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
+def collocations(documents: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, portion: int = PORTION) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of two to `longest` words by score, a
     (both descending) and phrase, among those with a count of `least` or more that no longer phrase has as often."""
-    totals, found = relations(documents, least, longest)
+    totals, found = relations(documents, least, longest, portion)
     scored = candidates(found).join(totals, "lang").withColumn("best", lowest_cut())
     rows = scored.select("lang", F.array_join("words", " ").alias("phrase"), "a", "best.l", "best.r", "n", "best.score")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))

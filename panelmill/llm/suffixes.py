@@ -53,10 +53,10 @@ ANCHORS = "part long, id long, doc long, place long, portion long, row int, unti
 WINDOWS = "part long, id long, doc long, start long, portion long, row int, until long"
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Portions of texts, each distinct (doc_id, text) once, compressed."""
     task = TaskContext.get().partitionId()
-    for k, batch in enumerate(portions(batches, "text", PORTION)):
+    for k, batch in enumerate(portions(batches, "text", most)):
         texts: dict[tuple, int] = {}
         for one in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
             one = (one[0], one[1] or b"")
@@ -245,10 +245,10 @@ def cut_out(packed_row: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(out, schema=kinds)
 
 
-def without_repeats(documents: DataFrame) -> DataFrame:
+def without_repeats(documents: DataFrame, portion: int = PORTION) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, spans (maximal removed runs: byte start, end) and kept, the
     bytes that are left, which may begin or end within a character."""
-    texts = cut_lineage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, PORTIONS))
+    texts = cut_lineage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: packed(batches, portion), PORTIONS))
     decided, undecided = refined(texts.mapInArrow(anchor_rows, ANCHORS))
     by_portion = lambda df: df.groupBy("portion")
     windows = by_portion(texts).cogroup(by_portion(undecided)).applyInArrow(window_rows, WINDOWS)

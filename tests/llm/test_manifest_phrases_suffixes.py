@@ -41,8 +41,8 @@ def repeated(rows, n=100):
     return sorted(out, key=str)
 
 
-def removed(docs):
-    rows = suffixes.without_repeats(docs).collect()
+def removed(docs, portion=suffixes.PORTION):
+    rows = suffixes.without_repeats(docs, portion).collect()
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, [s.start for s in r.spans], [s.end for s in r.spans], bytes(r.kept)) for r in rows), key=str)
 
 
@@ -57,20 +57,18 @@ def hostile_texts():
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_suffixes_against_brute_force(spark, seed, monkeypatch):
+def test_suffixes_against_brute_force(spark, seed):
     texts = hostile_texts()
     draw = random.Random(seed)
     rows = [(k, t) for k, t in enumerate(texts)]
     rows += [(None, texts[40]), (None, "null id " + texts[41]), (3, texts[3]), (3, texts[3]), (5, texts[0]), (5, "b" * 300), (5, "b" * 300)]
     draw.shuffle(rows)
-    monkeypatch.setattr(suffixes, "PORTION", 3_000)
-    assert removed(table(spark, [(d, t, "en") for d, t in rows]).repartition(3)) == repeated(rows)
+    assert removed(table(spark, [(d, t, "en") for d, t in rows]).repartition(3), 3_000) == repeated(rows)
 
 
-def test_suffixes_across_portions_of_one_text_each(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "PORTION", 1)
+def test_suffixes_across_portions_of_one_text_each(spark):
     rows = list(enumerate(hostile_texts()))
-    assert removed(table(spark, [(d, t, "en") for d, t in rows]).repartition(4)) == repeated(rows)
+    assert removed(table(spark, [(d, t, "en") for d, t in rows]).repartition(4), 1) == repeated(rows)
 
 
 def test_suffixes_of_no_rows(spark):
@@ -122,9 +120,9 @@ def phrase_rows():
 
 @pytest.mark.parametrize("portion", [6_000_000, 300])
 def test_phrases_against_brute_force(spark, monkeypatch, portion):
-    monkeypatch.setattr(phrases, "PORTION", portion)
+    monkeypatch.setattr(phrases, "BUCKET", portion // 10)
     rows = phrase_rows()
-    got = phrases.collocations(table(spark, rows).repartition(3), least=5, longest=5, top=60)
+    got = phrases.collocations(table(spark, rows).repartition(3), least=5, longest=5, top=60, portion=portion)
     assert sorted(tuple(r) for r in got.collect()) == mined(rows, 5, 5, 60)
 
 
