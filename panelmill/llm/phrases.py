@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, lists_of, mix, portions, texts_of
+from .common import cut_lineage, lists_of, mix, portions, released, squeezed, texts_of
 
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 END = re.compile(f"[{ENDS.decode()}]")
@@ -43,17 +43,6 @@ PAIRS = "portion long, n_pairs long, pairs binary, codes binary, places binary"
 COUNTED = "portion long, at binary, gid array<long>, a array<long>, left array<long>, right array<long>"
 
 
-def squeezed(*columns: np.ndarray) -> bytes:
-    """Integers of columns of one length, byte by byte of all, compressed."""
-    planes = np.ascontiguousarray(np.stack([c.astype(np.int64) for c in columns])).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes())
-
-
-def released(data: bytes, columns: int = 1) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)
-    return np.ascontiguousarray(planes).view(np.int64).reshape(columns, -1)
-
-
 def pieces_of(text: str, most: int) -> Iterator[str]:
     """The text, or if it is longer than a portion, parts of it that end where pieces do."""
     at = 0

@@ -12,8 +12,9 @@ grouped by their first LENGTH bytes as in a suffix array, in three steps; bucket
 3. What is left are single windows.  Bucket pointers of 25 bytes at two offsets give pointers of 50, and these at offsets
    0 and 50 the order at depth 100: windows in one bucket are equal, and all but the first are repeated.
 
-Identifiers are hashes of 112 bits and more in all.  Texts lie in portions, rows of a table with compressed texts, and only
-one row of each class and portion leaves its portion.  An anchor string with more than `OFTEN` classes in a portion is dealt
+Identifiers are hashes of 96 bits and more in all.  Texts lie in portions, rows of a table with compressed texts, and only
+one member of each class and portion leaves its portion.  Members are dealt into buckets of about a million, as compressed
+columns of what a portion has in a bucket, and are sorted there.  An anchor string with more than `OFTEN` classes in a portion is dealt
 by class, not by string, and says so to the other portions in one row, so no string, however frequent, makes a hot key.
 
 Defined results: null and empty texts have no bytes and keep none; a null doc_id comes last; rows of one doc_id count as
@@ -30,10 +31,9 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Hashed, cut_lineage, lists_of, mix, portions, ranges
+from .common import Hashed, cut_lineage, lists_of, mix, portions, ranges, released, squeezed
 
 LENGTH, Q = 100, 25
 WINDOW = LENGTH - Q + 1
@@ -46,11 +46,53 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1
 
-ANCHOR, DEALT_BY_CLASS, TOLD, SPAN = range(4)
+ANCHOR, DEALT_BY_CLASS, TOLD = range(3)
 PORTIONS = "portion long, docs array<long>, copies array<int>, sizes array<long>, texts binary"
-#: part: what rows are dealt by; id: a class; place: start << 32 | half after << 16 | offset of the anchor << 8 | windows.
-ANCHORS = "part long, id long, doc long, place long, portion long, row int, until long, kind int"
-WINDOWS = "part long, id long, doc long, start long, portion long, row int, until long"
+#: What portions send to a bucket: columns of members; and spans of theirs that are decided already, in one of the rows.
+DEALT = "bucket long, portion long, members binary, spans binary"
+#: What buckets send back: spans (row, start, end), and anchors that aren't decided (row, place, halves) with their windows.
+BACK = "portion long, spans binary, undecided binary, windows long"
+BUCKET = 1_000_000
+#: Bytes of text that have about one anchor.
+BYTES_OF_ANCHOR = 35
+
+
+def dealt(portion: int, part: np.ndarray, buckets: int, columns: tuple[np.ndarray, ...], steady: tuple[np.ndarray, ...], spans: tuple[np.ndarray, ...]) -> pa.Table:
+    """Rows of DEALT.  `steady` columns change little from member to member, and are kept as differences."""
+    to = (mix(part) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    names, first = np.unique(to[order], return_index=True)
+    parts = [squeezed(*(c[i].view(np.int64) for c in columns), *(np.diff(c[i], prepend=0) for c in steady)) for i in np.split(order, first[1:])] if len(order) else []
+    own = [squeezed(*spans)] if len(spans[0]) else []
+    names = np.concatenate([names, np.full(len(own), portion % buckets)])
+    return pa.table({"bucket": pa.array(names, pa.int64()), "portion": np.full(len(names), portion), "members": pa.array([*parts, *(None for _ in own)], pa.binary()), "spans": pa.array([*(None for _ in parts), *own], pa.binary())})
+
+
+def gathered(rows: pa.Table, columns: int, steady: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The columns of a bucket's members, the place of each one's portion, and the portions."""
+    there = rows.filter(rows["members"].is_valid())
+    parts = [released(m, columns + steady) for m in there["members"].to_pylist()]
+    if not parts:
+        return [np.zeros(0, np.int64)] * (columns + steady), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = [np.concatenate([p[k] if k < columns else np.cumsum(p[k]) for p in parts]) for k in range(columns + steady)]
+    return out, np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts]), there["portion"].to_numpy()
+
+
+def sent_back(rows: pa.Table, portions: np.ndarray, owner: np.ndarray, later: np.ndarray, spans: tuple, undecided: np.ndarray, open_: tuple, windows: np.ndarray) -> pa.Table:
+    """Rows of BACK: by portion what is repeated and what isn't decided, and the spans that came along."""
+    out: dict[str, list] = {"portion": [], "spans": [], "undecided": [], "windows": []}
+    for i, portion in enumerate(portions.tolist()):
+        a, b = np.searchsorted(owner, [i, i + 1])
+        gone, left = a + np.flatnonzero(later[a:b]), a + np.flatnonzero(undecided[a:b])
+        if len(gone) or len(left):
+            out["portion"].append(portion)
+            out["spans"].append(squeezed(*merged(*(c[gone] for c in spans))) if len(gone) else None)
+            out["undecided"].append(squeezed(*(c[left] for c in open_)) if len(left) else None)
+            out["windows"].append(int(windows[left].sum()))
+    along = rows.filter(rows["spans"].is_valid())
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+    own = pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds)})
+    return pa.concat_tables([own, pa.table({"portion": along["portion"], "spans": along["spans"], "undecided": pa.nulls(len(along), pa.binary()), "windows": pa.array([0] * len(along), pa.int64())})])
 
 
 def packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -134,8 +176,8 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[new], start[new], reach[last]
 
 
-def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ANCHORS: the first of each class in its portion, what is told of frequent strings, and spans of the rest."""
+def anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT: the first of each class in its portion, what is told of frequent strings, and spans of the rest."""
     for batch in batches:
         for i in range(batch.num_rows):
             own = Portion(batch, i)
@@ -159,64 +201,75 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often = np.bincount(string[order][new], minlength=int(string.max(initial=-1)) + 1) > OFTEN
             by_class = often[string]
             told = np.unique(gram[by_class])
-            s_row, s_start, s_end = merged(row[~first], start[~first], (start + hi - lo + LENGTH - 1)[~first])
-            none = lambda x: np.zeros(len(x), np.int64)
-            part = np.where(by_class, mix(gram + label * ODD), gram)[first]
-            spread = mix(s_start.astype(np.uint64) + s_row.astype(np.uint64) * ODD)
-            kind = np.concatenate([np.where(by_class, DEALT_BY_CLASS, ANCHOR)[first], np.full(len(told), TOLD), np.full(len(s_row), SPAN)])
-            yield pa.RecordBatch.from_pydict({
-                "part": np.concatenate([part, told, spread]).view(np.int64), "id": np.concatenate([label[first].view(np.int64), none(told), none(s_row)]),
-                "doc": np.concatenate([doc[first], none(told), none(s_row)]), "place": np.concatenate([place[first], none(told), s_start]),
-                "portion": np.full(len(kind), own.id), "row": np.concatenate([row[first], none(told), s_row]).astype(np.int32),
-                "until": np.concatenate([none(row[first]), none(told), s_end]), "kind": kind.astype(np.int32),
-            })
-
-
-def refined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans that are decided (portion, row, start, end) and anchors with windows that aren't: portion, row, place, and
-    whether windows with the half before and with the half after the anchor are open."""
-    same_string, same_class = W.partitionBy("part"), W.partitionBy("part", "id").orderBy("doc", "place")
-    several = (F.min("id").over(same_string) != F.max("id").over(same_string)) | (F.col("kind") == DEALT_BY_CLASS)
-    sure = (F.col("kind") == DEALT_BY_CLASS) | (F.max("kind").over(same_string) == TOLD)
-    later = F.col("kind").isin(ANCHOR, DEALT_BY_CLASS) & (F.rank().over(same_class) > 1)
-    seen = rows.withColumns({"several": several, "sure": sure, "later": later})
-    seen = cut_lineage(seen.where(F.col("later") | (F.col("kind") == SPAN) | (F.col("several") & F.col("kind").isin(ANCHOR, DEALT_BY_CLASS))))
-    start = F.shiftright("place", 32)
-    covered = seen.where(F.col("later")).select("portion", "row", start.alias("start"), (start + F.col("place").bitwiseAND(255) + LENGTH - 1).alias("end"))
-    spans = covered.unionByName(seen.where(F.col("kind") == SPAN).select("portion", "row", F.col("place").alias("start"), F.col("until").alias("end")))
-    half = {"before": F.shiftrightunsigned("id", 48), "after": F.shiftright("place", 16).bitwiseAND(65535)}
-    shared = {f"is_{c}": F.col("sure") | (F.min("id").over(W.partitionBy("part", c)) != F.max("id").over(W.partitionBy("part", c))) for c in half}
-    undecided = seen.where(~F.col("later") & (F.col("kind") != SPAN)).repartition("part").withColumns(half).withColumns(shared)
-    return spans, undecided.where("is_before OR is_after").select("portion", "row", "place", "is_before", "is_after")
-
-
-def window_rows(packed_row: pa.Table, undecided: pa.Table) -> pa.Table:
-    """Rows of WINDOWS of a portion: the first of each open window in it, and spans of the others."""
-    names = [f.split()[0] for f in WINDOWS.split(", ")]
-    if not packed_row.num_rows or not undecided.num_rows:
-        return pa.schema([(c, pa.int32() if c == "row" else pa.int64()) for c in names]).empty_table()
+            spans = merged(row[~first], start[~first], (start + hi - lo + LENGTH - 1)[~first])
+            part = np.concatenate([np.where(by_class, mix(gram + label * ODD), gram)[first], told])
+            rest = np.zeros(len(told), np.int64)
+            kind = np.concatenate([np.where(by_class, DEALT_BY_CLASS, ANCHOR)[first], rest + TOLD])
+            fixed = part, np.concatenate([label[first], rest.view(np.uint64)]), np.concatenate([(place & 0xFFFFFFFF)[first], rest]), kind
+            steady = tuple(np.concatenate([c[first], rest]) for c in (row, start, doc))
+            yield from dealt(own.id, part, buckets, fixed, steady, spans).to_batches()
+
+
+def shared(key: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Whether a key stands with several labels."""
+    order = np.lexsort((label, key))
+    new_key, new = np.ones(len(order), bool), np.ones(len(order), bool)
+    new_key[1:] = key[order][1:] != key[order][:-1]
+    new[1:] = new_key[1:] | (label[order][1:] != label[order][:-1])
+    group = np.cumsum(new_key) - 1
+    out = np.empty(len(order), bool)
+    out[order] = (np.bincount(group, weights=new) > 1)[group] if len(order) else False
+    return out
+
+
+def refined(rows: pa.Table) -> pa.Table:
+    """A bucket of anchors: all but the first of a class are repeated; the first ones of strings with several classes are
+    undecided, where another class has the half before or the half after them too."""
+    (part, label, low, kind, row, start, doc), owner, portions = gathered(rows, 4, 3)
+    part, label, place = part.view(np.uint64), label.view(np.uint64), start << 32 | low
+    anchor = kind != TOLD
+    first = firsts((label, part), doc, place)
+    several = shared(part, label) | (kind == DEALT_BY_CLASS)
+    _, string = np.unique(part, return_inverse=True)
+    sure = (kind == DEALT_BY_CLASS) | (np.bincount(string, weights=~anchor) > 0)[string]
+    again = anchor & first & several
+    at = np.flatnonzero(again)
+    halves = np.zeros(len(part), np.int64)
+    for bit, half in ((1, label >> np.uint64(48)), (2, (place >> 16 & 0xFFFF).astype(np.uint64))):
+        halves[at] |= np.where(sure[at] | shared(mix(part[at] + mix(half[at] + ODD)), label[at]), bit, 0)
+    shape = place & 255
+    return sent_back(rows, portions, owner, anchor & ~first, (row, start, start + shape + LENGTH - 1), halves > 0, (row, place, halves), shape)
+
+
+def window_rows(packed_row: pa.Table, undecided: pa.Table, buckets: int) -> pa.Table:
+    """Rows of DEALT of a portion: the first of each open window in it, and spans of the others."""
+    parts = [released(u, 3) for u in undecided["undecided"].to_pylist()]
+    if not packed_row.num_rows or not parts:
+        return pa.schema([("bucket", pa.int64()), ("portion", pa.int64()), ("members", pa.binary()), ("spans", pa.binary())]).empty_table()
     own = Portion(packed_row)
     strings = Hashed(BYTE[own.data])
-    place, row = undecided["place"].to_numpy(), undecided["row"].to_numpy()
+    row, place, halves = np.concatenate(parts, axis=1)
+    order = np.lexsort((place, row))
+    row, place, halves = row[order], place[order], halves[order]
     lo = own.begins[row] + (place >> 32)
-    middle, end = lo + (place >> 8 & 255) - LEFT + 1, lo + (place & 255)  # windows before `middle` hold the half before
-    middle = np.clip(middle, lo, end)
-    first = np.where(undecided["is_before"].to_numpy(zero_copy_only=False), lo, middle)
-    last = np.where(undecided["is_after"].to_numpy(zero_copy_only=False), end, middle)
+    end = lo + (place & 255)
+    middle = np.clip(lo + (place >> 8 & 255) - LEFT + 1, lo, end)  # windows before `middle` hold the half before
+    first, last = np.where(halves & 1, lo, middle), np.where(halves & 2, end, middle)
     p, row = ranges(first, last - first), np.repeat(row, last - first)
     pointer = lambda at: strings.of(at, at + Q)  # noqa: E731  25 bytes
     twice = lambda at: mix(pointer(at) * ODD + pointer(at + Q))  # noqa: E731  50 bytes
-    part, label = twice(p), twice(p + 2 * Q)
+    part, label = twice(p), twice(p + 2 * Q) >> np.uint64(32)
     start, doc = p - own.begins[row], own.docs[row]
     keep = firsts((label, part), doc, start)
-    s_row, s_start, s_end = merged(row[~keep], start[~keep], start[~keep] + LENGTH)
-    none = np.zeros(len(s_row), np.int64)
-    spread = mix(s_start.astype(np.uint64) + s_row.astype(np.uint64) * ODD)
-    return pa.Table.from_pydict({
-        "part": np.concatenate([part[keep], spread]).view(np.int64), "id": np.concatenate([label[keep].view(np.int64), none]), "doc": np.concatenate([doc[keep], none]),
-        "start": np.concatenate([start[keep], s_start]), "portion": np.full(int(keep.sum()) + len(s_row), own.id), "row": np.concatenate([row[keep], s_row]).astype(np.int32),
-        "until": np.concatenate([np.zeros(int(keep.sum()), np.int64), s_end]),
-    })
+    spans = merged(row[~keep], start[~keep], start[~keep] + LENGTH)
+    return dealt(own.id, part[keep], buckets, (part[keep], label[keep]), (row[keep], start[keep], doc[keep]), spans)
+
+
+def ordered(rows: pa.Table) -> pa.Table:
+    """A bucket of windows: all but the first of equal ones are repeated."""
+    (part, label, row, start, doc), owner, portions = gathered(rows, 2, 3)
+    later = ~firsts((label, part), doc, start)
+    return sent_back(rows, portions, owner, later, (row, start, start + LENGTH), np.zeros(len(part), bool), (), start)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -228,7 +281,8 @@ def cut_out(packed_row: pa.Table, spans: pa.Table) -> pa.Table:
     if not packed_row.num_rows:
         return kinds.empty_table()
     own = Portion(packed_row)
-    row, start, end = merged(spans["row"].to_numpy(), spans["start"].to_numpy(), spans["end"].to_numpy())
+    parts = [released(p, 3) for p in spans["spans"].to_pylist()]
+    row, start, end = merged(*(np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)))
     stay = np.ones(len(own.data) + 1, bool)
     edge = np.zeros(len(own.data) + 1, np.int32)
     np.add.at(edge, own.begins[row] + start, 1)
@@ -249,11 +303,13 @@ def without_repeats(documents: DataFrame, portion: int = PORTION) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, spans (maximal removed runs: byte start, end) and kept, the
     bytes that are left, which may begin or end within a character."""
     texts = cut_lineage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: packed(batches, portion), PORTIONS))
-    decided, undecided = refined(texts.mapInArrow(anchor_rows, ANCHORS))
+    size = texts.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    buckets = 1 + size // (BYTES_OF_ANCHOR * BUCKET)
     by_portion = lambda df: df.groupBy("portion")
-    windows = by_portion(texts).cogroup(by_portion(undecided)).applyInArrow(window_rows, WINDOWS)
-    again = F.rank().over(W.partitionBy("part", "id").orderBy("doc", "start")) > 1
-    found = windows.withColumn("again", again).where(F.col("again") | (F.col("until") > 0))
-    found = found.select("portion", "row", "start", F.when(F.col("until") > 0, F.col("until")).otherwise(F.col("start") + LENGTH).alias("end"))
-    spans = cut_lineage(decided.unionByName(found))
+    decided = cut_lineage(texts.mapInArrow(lambda batches: anchor_rows(batches, buckets), DEALT).groupBy("bucket").applyInArrow(refined, BACK))
+    more = 1 + (decided.agg(F.sum("windows")).first()[0] or 0) // BUCKET
+    undecided = decided.where("undecided IS NOT NULL").select("portion", "undecided")
+    windows = by_portion(texts).cogroup(by_portion(undecided)).applyInArrow(lambda text, left: window_rows(text, left, more), DEALT)
+    found = cut_lineage(windows.groupBy("bucket").applyInArrow(ordered, BACK))
+    spans = decided.unionByName(found).where("spans IS NOT NULL").select("portion", "spans")
     return by_portion(texts).cogroup(by_portion(spans)).applyInArrow(cut_out, KEPT)

@@ -71,6 +71,12 @@ def test_suffixes_across_portions_of_one_text_each(spark):
     assert removed(table(spark, [(d, t, "en") for d, t in rows]).repartition(4), 1) == repeated(rows)
 
 
+def test_suffixes_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET", 40)
+    rows = list(enumerate(hostile_texts()))
+    assert removed(table(spark, [(d, t, "en") for d, t in rows]).repartition(4), 2_000) == repeated(rows)
+
+
 def test_suffixes_of_no_rows(spark):
     assert removed(table(spark, [])) == [] and removed(table(spark, [(1, None, None), (2, "", None)])) == [(1, 0, 0, [], [], b""), (2, 0, 0, [], [], b"")]
 
