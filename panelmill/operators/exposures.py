@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import linear
-from ..functions.expr import correlation, ndiv, quantile_bin
+from ..functions.blocks import over_rows, pairs_combined, pairs_of, updated
+from ..functions.expr import complete, correlation, ndiv, quantile_bin
 from ..panel import Panel
-from .neutralize import moments, solved
+from .neutralize import least_squares
 
 
 def prepared(p: Panel, exposures: list[str], period: int = 1, fac_shift: int | None = None, mode: str = "on", step: dt.timedelta | None = None, pure: bool = False, return_mode: str = "lagged") -> DataFrame:
     """date, symbol, factor, fut_ret and exposures on the rows that count, exposures (and a pure factor) as z-scores per
     date.  return_mode "lagged" compares with the price `period` rows before, "forward" with the one after."""
     p = p.lagged([p.factor, *exposures], fac_shift or 0)
-    p = p.with_df(p.df.dropna(subset=[p.date, p.symbol, p.price, *exposures]))
+    p = p.with_df(complete(p.df, [p.date, p.symbol, p.price, *exposures]))
     other = F.lag(p.price, period).over(p.in_time) if return_mode == "lagged" else F.lead(p.price, period).over(p.in_time)
     ret = ndiv(F.nullif(other, F.lit(0.0)), F.nullif(F.col(p.price), F.lit(0.0))) - 1
     df = p.df.withColumn("fut_ret", F.nullif(ret, F.lit(-1.0)))
@@ -32,7 +33,7 @@ def prepared(p: Panel, exposures: list[str], period: int = 1, fac_shift: int | N
     df = df.where(keep).select(p.date, p.symbol, p.factor, "fut_ret", *exposures)
     scaled = [p.factor, *exposures] if pure else exposures
     df = df.withColumns({c: ndiv(F.col(c) - F.avg(c).over(p.by_date), F.stddev_samp(c).over(p.by_date)) for c in scaled})
-    return df.dropna(subset=[p.factor, *exposures])
+    return complete(df, [p.factor, *exposures])
 
 
 def _attributed(p: Panel, expo: DataFrame, betas: DataFrame, columns: list[str], intercept: str, total: str) -> DataFrame:
@@ -56,7 +57,7 @@ def portfolio_exposures(p: Panel, exposures: list[str], bins: int = 5, position:
     legs = {"l": [1], "s": [bins], "ls": [1, bins]}[position]
     signed = lambda c: F.when(F.col("quantile") == bins, -F.col(c)).otherwise(F.col(c)) if position != "l" else F.col(c)
     expo = df.where(F.col("quantile").isin(legs)).groupBy(p.date).agg(*(F.avg(signed(c)).alias(f"{c}_expo") for c in exposures))
-    betas = solved(moments(df, p.date, "fut_ret", exposures), p.date, linear.ols)
+    betas = least_squares(df, p.date, "fut_ret", exposures)
     return _attributed(p, expo, betas, exposures, "intercept", "portfolio_cum_ret")
 
 
@@ -66,7 +67,7 @@ def pure_exposures(p: Panel, exposures: list[str], **options) -> DataFrame:
     w = ndiv(F.col(p.factor), F.sum(F.abs(p.factor)).over(p.by_date))
     expo = df.withColumn("_w", w).groupBy(p.date).agg(*(F.sum(F.col("_w") * F.col(c)).alias(f"{c}_expo") for c in exposures))
     whole = df.withColumn("_nulls", F.count_if(F.col("fut_ret").isNull()).over(p.by_date)).where("_nulls = 0")
-    betas = solved(moments(whole, p.date, "fut_ret", exposures), p.date, linear.ols)
+    betas = least_squares(whole, p.date, "fut_ret", exposures)
     betas = expo.select(p.date).join(betas, p.date, "left")
     return _attributed(p, expo, betas, exposures, "Alpha", f"{p.factor}_cum_ret")
 
@@ -77,8 +78,16 @@ def correlations(df: DataFrame, date: str, factor: str, exposures: list[str]) ->
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, corr for all pairs, pooled over dates, from one aggregation."""
-    pairs = [(a, b) for a in columns for b in columns]
-    one = df.agg(*(correlation(F.col(a), F.col(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
-    each: list[Column] = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*each)))
+    """a, b, corr for all pairs, pooled over dates, over rows where both are present; from one pass of partial sums.  A pair
+    with a constant column has null."""
+    k = len(columns)
+
+    def of(r: dict) -> dict:
+        _, _, square, product = r["sums"].reshape(4, k, k)
+        scale = np.sqrt(square * square.T)
+        return {"corr": [float(c / s) if s > 0 else None for c, s in zip(product.ravel(), scale.ravel())]}
+
+    sums = over_rows(df.withColumn("_all", F.lit(0)), "_all", [F.col(c) for c in columns], pairs_of, pairs_combined)
+    corr = updated(sums, of, "corr array<double>").select(F.posexplode("corr").alias("at", "corr"))
+    names = F.array(*map(F.lit, columns))
+    return corr.select(F.get(names, F.floor(F.col("at") / k).cast("int")).alias("a"), F.get(names, F.col("at") % k).alias("b"), "corr")

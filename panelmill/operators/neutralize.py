@@ -1,75 +1,128 @@
 """Neutralizers: the factor is replaced by the residual of a fit per date on neutralizer columns and dummies.
 
-Rows with a null factor or regressor are dropped, as there is no fit for them.  Linear methods need only each date's
-moments: one aggregation gives them, a worker solves one small system for each date, and residuals are an expression
-on the panel, which itself never leaves the JVM.  The others fit each date's rows in a worker.
+Rows with a null factor or regressor are dropped, as there is no fit for them.  Least squares on few regressors is an
+expression over moments in windows, so the panel is read once and never leaves the JVM.  Other linear methods need only
+each date's moments, of any number of columns: one pass gives them as partial sums, a worker solves one small system for
+each date, and residuals are an expression on the panel.  Robust methods take several such passes over blocks of a table
+with the needed columns (see `robust.py`), so no date has to fit in a task.  Kernel ridge, forest and boosting still fit
+each date's rows in a worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import linear
+from ..functions.blocks import gram, packed, parted, updated
+from ..functions.expr import complete
 from ..panel import Panel
+from . import robust
+
+#: Regressors up to which least squares is an expression; more go through partial sums of arrays.
+CLOSED = 3
+#: Categories of a dummy column that becomes columns.
+CATEGORIES = 2000
+
+
+def number(df: DataFrame, c: str) -> Column:
+    """The column as a double; text that isn't a number is null."""
+    return F.col(c).try_cast("double") if df.schema[c].dataType.typeName() == "string" else F.col(c).cast("double")
 
 
 def prepared(p: Panel, cols: list[str], dummies: list[str] | None = None, scale_x: bool = False) -> tuple[DataFrame, list[str]]:
     """The frame with regressors x_0.. and their names: columns scaled over the whole frame on request, then dummies
-    with a column for each category but the first, in order."""
+    with a column for each category but the first, in order.  More than CATEGORIES of them are an error."""
     df = p.df
     x = {}
     if scale_x and cols:
-        stats = df.agg(*(f(c).alias(f"{n}{k}") for k, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+        stats = df.agg(*(f(number(df, c)).alias(f"{n}{k}") for k, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         for k, c in enumerate(cols):
-            x[f"x_{k}"] = (F.col(c) - F.lit(stats[f"m{k}"])) / F.lit(stats[f"s{k}"] or 1.0)
+            x[f"x_{k}"] = (number(df, c) - F.lit(stats[f"m{k}"])) / F.lit(stats[f"s{k}"] or 1.0)
     else:
-        x = {f"x_{k}": F.col(c).cast("double") for k, c in enumerate(cols)}
+        x = {f"x_{k}": number(df, c) for k, c in enumerate(cols)}
     for d in dummies or []:
-        values = sorted(r[0] for r in df.select(d).distinct().collect() if r[0] is not None)  # a column for each
+        values = sorted(r[0] for r in df.select(d).where(F.col(d).isNotNull()).distinct().limit(CATEGORIES + 1).collect())
+        if len(values) > CATEGORIES:
+            raise ValueError(f"{d!r} has more than {CATEGORIES} categories; name it first, so that multiOLS absorbs it")
         x |= {f"x_{len(x) + k}": F.when(F.col(d) == v, 1.0).when(F.col(d).isNotNull(), 0.0) for k, v in enumerate(values[1:])}
-    return df.withColumns(x).dropna(subset=[p.factor, *x]), list(x)
+    return complete(df.withColumns(x), [p.factor, *x]), list(x)
+
+
+def eliminated(df: DataFrame, k: int, own: Callable[[str], str] = "{}".format) -> DataFrame:
+    """Solves each row's normal equations by elimination: columns s_i_j (covariances of regressors; s_i_y with y) end as
+    coefficients s_i_y.  A regressor that depends on those before it gets 0."""
+    s = lambda i, j: F.col(f"s_{min(i, j)}_{max(i, j)}" if j != "y" else f"s_{i}_y")
+    df = df.withColumns({f"a_{i}_{j}": s(i, j) for i in range(k) for j in [*range(k), "y"]})
+    for i in range(k):
+        pivot = F.when(F.col(f"a_{i}_{i}") > F.col(f"s_{i}_{i}") * 1e-12, 1 / F.col(f"a_{i}_{i}")).otherwise(0.0)
+        df = df.withColumns({f"a_{i}_{j}": F.col(f"a_{i}_{j}") * pivot for j in [*range(k), "y"]} | {"_p": pivot})
+        df = df.withColumns({f"a_{r}_{j}": F.col(f"a_{r}_{j}") - F.col(f"a_{r}_{i}") * F.col(f"a_{i}_{j}") for r in range(k) if r != i for j in [*range(k), "y"]})
+    return df
+
+
+def closed_moments(y: str, xs: list[str], over=None) -> dict[str, Column]:
+    """Means m_i and m_y and covariances s_i_j and s_i_y, as aggregates or, with a window, beside each row."""
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    out = {f"m_{i}": at(F.avg(c)) for i, c in enumerate(xs)} | {"m_y": at(F.avg(y))}
+    out |= {f"s_{i}_{j}": at(F.covar_pop(a, xs[j])) for i, a in enumerate(xs) for j in range(i, len(xs))}
+    return out | {f"s_{i}_y": at(F.covar_pop(c, y)) for i, c in enumerate(xs)}
+
+
+def least_squares(df: DataFrame, by: str, y: str, xs: list[str]) -> DataFrame:
+    """by, coef, intercept of a fit for each date: an expression over aggregates where regressors are few."""
+    if len(xs) > CLOSED:
+        return solved(moments(df, by, y, xs), by, linear.ols)
+    m = eliminated(df.groupBy(by).agg(*(c.alias(n) for n, c in closed_moments(y, xs).items())), len(xs))
+    intercept = F.col("m_y")
+    for i in range(len(xs)):
+        intercept = intercept - F.col(f"a_{i}_y") * F.col(f"m_{i}")
+    return m.select(by, F.array(*(F.col(f"a_{i}_y") for i in range(len(xs)))).alias("coef"), intercept.alias("intercept"))
 
 
 def moments(df: DataFrame, by: str, y: str, xs: list[str]) -> DataFrame:
-    """by, n, mx, my, sxx (flat), sxy, syy: one hash aggregation with partial sums on the map side."""
-    cov = lambda a, b: F.covar_pop(a, b)
-    upper = {(i, j): cov(xs[i], xs[j]) for i in range(len(xs)) for j in range(i, len(xs))}
-    return df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*(F.avg(c) for c in xs)).alias("mx"), F.avg(y).alias("my"),
-        F.array(*(upper[min(i, j), max(i, j)] for i in range(len(xs)) for j in range(len(xs)))).alias("sxx"), F.array(*(cov(c, y) for c in xs)).alias("sxy"), F.var_pop(y).alias("syy"),
-    )
+    """by and sums, the moments of (y, x...) as an array, in one pass."""
+    return gram(df, by, [F.col(y), *map(F.col, xs)])
 
 
 def solved(m: DataFrame, by: str, solver: Callable, **options) -> DataFrame:
     """by, coef array<double>, intercept: a row for each date goes through a worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                k = len(r.mx)
-                coef, intercept = solver(r.n, np.asarray(r.mx), r.my, np.asarray(r.sxx).reshape(k, k), np.asarray(r.sxy), r.syy, **options)
-                out.append((getattr(r, by), np.asarray(coef, float), float(intercept)))
-            yield pd.DataFrame(out, columns=[by, "coef", "intercept"])
+    def of(r: dict) -> dict:
+        coef, intercept = solver(*parted(r["sums"]), **options)
+        return {"coef": np.asarray(coef, float), "intercept": float(intercept)}
 
-    return m.mapInPandas(run, f"`{by}` {m.schema[by].dataType.simpleString()}, coef array<double>, intercept double")
+    return updated(m, of, robust.FIT).withColumnRenamed("by", by)
 
 
-def _linear(p: Panel, df: DataFrame, xs: list[str], solver: Callable, **options) -> Panel:
-    fits = solved(moments(df, p.date, p.factor, xs), p.date, solver, **options)
+def applied(p: Panel, df: DataFrame, xs: list[str], fits: DataFrame) -> Panel:
     fit = F.col("intercept")
     for k, c in enumerate(xs):
         fit = fit + F.col(c) * F.col("coef")[k]
     return p.with_df(df.join(fits, p.date).withColumn(p.factor, p.x - fit).select(*p.df.columns))
 
 
+def _linear(p: Panel, df: DataFrame, xs: list[str], solver: Callable, **options) -> Panel:
+    if solver is linear.ols and len(xs) <= CLOSED:
+        df = eliminated(df.withColumns(closed_moments(p.factor, xs, p.by_date)), len(xs))
+        fit = F.col("m_y")
+        for i, c in enumerate(xs):
+            fit = fit + F.col(f"a_{i}_y") * (F.col(c) - F.col(f"m_{i}"))
+        return p.with_df(df.withColumn(p.factor, p.x - fit).select(*p.df.columns))
+    return applied(p, df, xs, solved(moments(df, p.date, p.factor, xs), p.date, solver, **options))
+
+
+def _robust(p: Panel, df: DataFrame, xs: list[str], fit: Callable, *options) -> Panel:
+    blocks = packed(df, p.date, F.col(p.symbol), p.x, [F.col(c) for c in xs])
+    return applied(p, df, xs, fit(blocks, *options).withColumnRenamed("by", p.date))
+
+
 def _rows(p: Panel, df: DataFrame, xs: list[str], fit: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Panel:
     factor, keep, order = p.factor, list(p.df.columns), p.symbol
 
@@ -83,14 +136,6 @@ def _rows(p: Panel, df: DataFrame, xs: list[str], fit: Callable[[np.ndarray, np.
     return p.with_df(df.withColumn(factor, p.x.cast("double")).groupBy(p.date).applyInPandas(one, schema))
 
 
-def _plane(fit: Callable) -> Callable:
-    def fitted(x, y):
-        coef, intercept = fit(x, y)[:2]
-        return intercept + x @ coef
-
-    return fitted
-
-
 def multi_ols(p, cols, dummies=None, scale_x=False):
     """The first set of dummies is absorbed: distances from the means of date and category take its place, so that its
     number of categories doesn't matter."""
@@ -133,16 +178,16 @@ def kernelridge(p, cols, dummies=None, scale_x=False, alpha=1.0, kernel="rbf", g
 
 
 def huber(p, cols, dummies=None, scale_x=True, epsilon=1.35, alpha=0.0, max_iter=100, tol=1e-5):
-    return _rows(p, *prepared(p, cols, dummies, scale_x), _plane(lambda x, y: linear.huber_regression(x, y, epsilon, alpha, max_iter, tol)))
+    return _robust(p, *prepared(p, cols, dummies, scale_x), robust.huber, epsilon, alpha, max_iter, tol)
 
 
 def rank(p, cols, dummies=None, scale_x=False, residual_threshold=2.5, max_trials=100, min_samples=0.5, seed=0):
     """Linear fit by random sample consensus, under the name it is known by."""
-    return _rows(p, *prepared(p, cols, dummies, scale_x), _plane(lambda x, y: linear.ransac(x, y, residual_threshold, max_trials, min_samples, seed)))
+    return _robust(p, *prepared(p, cols, dummies, scale_x), robust.consensus, residual_threshold, max_trials, min_samples, seed)
 
 
 def theilsen(p, cols, dummies=None, scale_x=False, max_subpopulation=1000, max_iter=300, tol=1e-3, seed=0):
-    return _rows(p, *prepared(p, cols, dummies, scale_x), _plane(lambda x, y: linear.theil_sen(x, y, max_subpopulation, max_iter, tol, seed)))
+    return _robust(p, *prepared(p, cols, dummies, scale_x), robust.theil_sen, max_subpopulation, max_iter, tol, seed)
 
 
 def randomforest(p, cols, dummies=None, scale_x=False, n_estimators=50, max_features=1, max_depth=None, min_leaf=1, bootstrap=True, seed=0):
@@ -158,23 +203,23 @@ def pca(p, cols, dummies=None, scale_x=True, n_components=10):
 
 
 def ica(p, cols, dummies=None, scale_x=False, n_components=None, max_iter=200, seed=0):
-    """Sources are an invertible map of the regressors when all are kept, so the residual then is that of OLS."""
+    """Sources are a rotation of the leading principal components (of all regressors, if all are kept), so the residual
+    of a fit on them doesn't depend on the rotation; `ica_components` gives the sources themselves."""
     df, xs = prepared(p, cols, dummies, scale_x)
     if n_components is None or n_components >= len(xs):
         return _linear(p, df, xs, linear.ols)
-    return _rows(p, df, xs, lambda x, y: _plane(linear.least_squares)(linear.fast_ica(x, n_components, max_iter, seed=seed), y))
+    return _linear(p, df, xs, linear.components_with_intercept, n_components=n_components)
 
 
-def ica_components(p, cols, n_components=None, max_iter=200, seed=0) -> DataFrame:
+def ica_components(p, cols, n_components=None, max_iter=200, seed=0, tol=1e-4) -> DataFrame:
     """date, symbol and the sources of each date as an array."""
     df, xs = prepared(p, cols)
-    date, symbol = p.date, p.symbol
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(symbol)
-        return pdf[[date, symbol]].assign(sources=list(linear.fast_ica(pdf[xs].to_numpy(float), n_components or len(xs), max_iter, seed=seed)))
-
-    return df.groupBy(date).applyInPandas(one, f"`{date}` timestamp_ntz, `{symbol}` {df.schema[symbol].dataType.simpleString()}, sources array<double>")
+    turned = robust.components(packed(df, p.date, F.col(p.symbol), p.x, [F.col(c) for c in xs]), n_components or len(xs), max_iter, tol, seed).withColumnRenamed("by", p.date)
+    x = F.zip_with(F.array(*xs), "center", lambda a, b: a - b)
+    width = (F.size("turn") / F.lit(len(xs))).cast("int")
+    source = lambda k: F.aggregate(F.transform(x, lambda v, i: v * F.get("turn", i * width + k)), F.lit(0.0), lambda a, b: a + b)
+    sources = F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), source)).otherwise(F.array().cast("array<double>"))
+    return df.join(turned, p.date).select(p.date, p.symbol, sources.alias("sources"))
 
 
 def bayesianridge(p, cols, dummies=None, scale_x=False, max_iter=300, tol=1e-3, alpha_1=1e-6, alpha_2=1e-6, lambda_1=1e-6, lambda_2=1e-6):
@@ -185,7 +230,7 @@ def coefficients(p, cols, method: str = "bayesianridge", dummies=None, scale_x=F
     """date, coef, intercept of a linear method."""
     solver = {"multiOLS": linear.ols, "ridge": linear.ridge, "lasso": linear.lasso, "elasticnet": linear.elastic_net, "bayesianridge": linear.bayesian_ridge, "PCA": linear.principal_components, "partialcorrelation": linear.through_origin}[method]
     df, xs = prepared(p, cols, dummies, scale_x)
-    return solved(moments(df, p.date, p.factor, xs), p.date, solver, **options)
+    return least_squares(df, p.date, p.factor, xs) if method == "multiOLS" else solved(moments(df, p.date, p.factor, xs), p.date, solver, **options)
 
 
 def partialcorrelation(p, cols, dummies=None, scale_x=False):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.blocks import packed
 from ..functions.expr import average_rank, clip, finite, norm_ppf
-from ..functions.linear import ransac
 from ..panel import Panel
+from .robust import consensus
 
 
 def _stages(p: Panel, *stages: dict[str, Column], value: Column) -> Panel:
@@ -78,26 +79,20 @@ def huber(p: Panel, c: float = 2.0) -> Panel:
     return p.with_factor(F.when(z.isNotNull(), F.signum(z) * F.least(F.abs(z), F.lit(float(c))) * s + m))
 
 
-def ransac_fit(p: Panel, residual_threshold: float = 2.5, replace_with_fit: bool = True) -> Panel:
-    """Regression on the place in the cross-section; outliers of more than threshold standard deviations of the
-    residuals get the fit, or the edge of its band.  Fewer than five rows stay."""
-    date, symbol, factor = p.date, p.symbol, p.factor
-
-    def one(pdf):
-        pdf = pdf.sort_values(symbol)
-        y = pdf[factor].to_numpy(float)
-        known = np.isfinite(y)
-        if known.sum() < 5:
-            return pdf
-        x = np.arange(len(y), dtype=float)
-        coef, intercept, _ = ransac(x[known, None], y[known], residual_threshold, seed=0)
-        fit = intercept + x * coef[0]
-        band = residual_threshold * np.std(y[known] - fit[known])
-        far = known & (np.abs(y - fit) > band)
-        pdf[factor] = np.where(far, fit if replace_with_fit else np.clip(y, fit - band, fit + band), y)
-        return pdf
-
-    return p.with_df(p.df.groupBy(date).applyInPandas(one, p.df.schema))
+def ransac_fit(p: Panel, residual_threshold: float = 2.5, replace_with_fit: bool = True, max_trials: int = 100, seed: int = 0) -> Panel:
+    """Regression on the place in the cross-section by random sample consensus; outliers of more than threshold standard
+    deviations of the residuals get the fit, or the edge of its band.  Fewer than five rows stay."""
+    place = (F.row_number().over(W.partitionBy(p.date).orderBy(p.symbol)) - 1).cast("double")
+    df = p.df.withColumns({"_place": place, "_y": finite(p.x)})
+    blocks = packed(df.where(F.col("_y").isNotNull()), p.date, F.col(p.symbol), F.col("_y"), [F.col("_place")])
+    fits = consensus(blocks, residual_threshold, max_trials, None, seed)
+    df = df.join(fits.withColumnRenamed("by", p.date), p.date, "left")
+    fit = F.col("intercept") + F.col("coef")[0] * F.col("_place")
+    df = df.withColumn("_fit", F.when(F.count("_y").over(p.by_date) >= 5, fit))
+    band = residual_threshold * F.stddev_pop(F.col("_y") - F.col("_fit")).over(p.by_date)
+    far = F.abs(F.col("_y") - F.col("_fit")) > band
+    value = F.col("_fit") if replace_with_fit else clip(F.col("_y"), F.col("_fit") - band, F.col("_fit") + band)
+    return p.with_df(df.withColumn(p.factor, F.when(far, value).otherwise(p.x)).select(*p.df.columns))
 
 
 METHODS = {"mean_std": mean_std, "mad": mad, "volatility": volatility, "iqr": iqr, "quantile": quantile, "rolling_quantile": rolling_quantile, "boxcox_compress": boxcox_compress, "zscore": zscore, "rankgauss": rankgauss, "tanh": tanh, "huber": huber, "ransac": ransac_fit}

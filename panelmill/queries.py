@@ -162,6 +162,13 @@ method("n10_random_forest", NT.randomforest, ["beta", "size"])
 method("n11_gbdt", NT.gbdt, ["beta", "size"])
 method("n12_pca", NT.pca, ["beta"], sql=leveled(ONE, value="factor - sxy / sxx * (beta - mx)"))
 method("n13_ica", NT.ica, ["beta"], sql=leveled(ONE, value=PLANE.format(b="sxy / sxx")))
+# one of two principal axes: the leading eigenvector of a 2 x 2 covariance matrix
+AXIS = ("(saa + sbb) / 2 + sqrt(pow((saa - sbb) / 2, 2) + sab * sab) AS top", "CASE WHEN abs(sab) > 0 THEN sab WHEN saa >= sbb THEN 1.0 ELSE 0.0 END AS u, CASE WHEN abs(sab) > 0 THEN top - saa WHEN saa >= sbb THEN 0.0 ELSE 1.0 END AS v", "(u * say + v * sby) / (u * u + v * v) / nullif(top, 0) * (u * (a - ma) + v * (b - mb)) AS fit")
+method("n12_pca_one_of_two", NT.pca, ["beta", "size"], n_components=1, scale_x=False, sql=leveled("beta AS a, size AS b", TWO, *AXIS, value="factor - coalesce(fit, 0)").replace("6) + 0.0", "5) + 0.0"), digits=5)
+method("n13_ica_one_of_two", NT.ica, ["beta", "size"], n_components=1, sql=leveled("beta AS a, size AS b", TWO, *AXIS, value="factor - my - coalesce(fit, 0)").replace("6) + 0.0", "5) + 0.0"), digits=5)
+# three regressors: what the third adds to two, by the residuals of all on the first two
+THREE = ("beta AS a, size AS b", TWO + f", avg(close) {BY} AS mc, covar_pop(a, close) {BY} AS sac, covar_pop(b, close) {BY} AS sbc", "saa * sbb - sab * sab AS det", f"{TWO_FIT} AS e, close - mc - (sac * sbb - sbc * sab) / det * (a - ma) - (sbc * saa - sac * sab) / det * (b - mb) AS g")
+method("n01_three_regressors", NT.multi_ols, ["beta", "size", "close"], sql=leveled(*THREE, value=f"e - covar_pop(e, g) {BY} / var_pop(g) {BY} * g").replace("6) + 0.0", "5) + 0.0"), digits=5)
 method("n14_bayesian_ridge", NT.bayesianridge, ["beta", "size"], scale_x=True)
 method("n15_partial_correlation", NT.partialcorrelation, ["beta"], sql=leveled(f"sum(beta * factor) {BY} AS xy, sum(beta * beta) {BY} AS xx", value="factor - beta * xy / xx"))
 

@@ -7,6 +7,7 @@ import statistics
 import numpy as np
 import pandas as pd
 import pytest
+from estimators import fast_ica, huber_regression, least_squares, ransac, theil_sen
 from panelmill.functions import durations, linear
 from panelmill.functions.expr import norm_ppf, week_key
 from panelmill.operators import backtest, exposures, neutralize, reports, standardize, winsorize
@@ -172,9 +173,9 @@ def test_estimators():
     y = 1 + x @ [2.0, -1.0]
     dirty = y.copy()
     dirty[:12] += 40
-    for coef, intercept in (linear.ransac(x, dirty, 2.5)[:2], linear.theil_sen(x, dirty), linear.huber_regression(x, y)):
+    for coef, intercept in (ransac(x, dirty, 2.5)[:2], theil_sen(x, dirty), huber_regression(x, y)):
         assert np.allclose(coef, [2, -1], atol=0.35) and intercept == pytest.approx(1, abs=0.35)
-    assert np.abs(linear.huber_regression(x, dirty)[0] - [2, -1]).max() < np.abs(linear.least_squares(x, dirty)[0] - [2, -1]).max() + 0.5
+    assert np.abs(huber_regression(x, dirty)[0] - [2, -1]).max() < np.abs(least_squares(x, dirty)[0] - [2, -1]).max() + 0.5
     a = np.array([[1.0], [2.0], [3.0]])
     assert np.allclose(linear.kernel_ridge_fit(a, a[:, 0], 1.0, "linear"), a[:, 0] * 14 / 15)
     step = (x[:, 0] > 0).astype(float)
@@ -183,7 +184,7 @@ def test_estimators():
     for f in (linear.ols, linear.bayesian_ridge):
         assert np.allclose(f(*m)[0], [2, -1], atol=1e-3)
     assert np.allclose(linear.elastic_net(*m, alpha=0.0)[0], [2, -1], atol=1e-3)
-    s = linear.fast_ica(np.column_stack([draw.uniform(-1, 1, 500), draw.uniform(-1, 1, 500)]) @ [[1, 0.5], [0.3, 1]], 2)
+    s = fast_ica(np.column_stack([draw.uniform(-1, 1, 500), draw.uniform(-1, 1, 500)]) @ [[1, 0.5], [0.3, 1]], 2)
     assert np.allclose(np.cov(s.T, bias=True), np.eye(2), atol=1e-6)
     assert linear.student_t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6) and linear.student_t_two_sided(0.0, 5) == pytest.approx(1)
 
