@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,3 +133,37 @@ def norm_ppf(p: Column) -> Column:
     tail = F.sqrt(-F.ln(F.when(q < 0, p).otherwise(1 - p)))
     outer = F.when(tail <= 5, _poly(MIDDLE[0], tail - 1.6) / _poly(MIDDLE[1], tail - 1.6)).otherwise(_poly(FAR[0], tail - 5) / _poly(FAR[1], tail - 5))
     return F.when(F.abs(q) <= 0.425, q * _poly(CENTRAL[0], central) / _poly(CENTRAL[1], central)).otherwise(F.signum(q) * outer)
+
+
+# The asymptotic series of the logarithm of the gamma function, from 1 / x on in odd powers.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
+def ln_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: its series ten steps up, and the way back by its recurrence."""
+    high = x + 10
+    series = F.lit(0.0)
+    for c in STIRLING[::-1]:
+        series = series / (high * high) + c
+    back = F.ln(x)
+    for k in range(1, 10):
+        back = back + F.ln(x + k)
+    return (high - 0.5) * F.ln(high) - high + 0.5 * math.log(2 * math.pi) + series / high - back
+
+
+def beta_share(x: Column, a: Column, b: Column, terms: int = 200) -> Column:
+    """Regularized incomplete beta function for 0 < x < 1 by its continued fraction, evaluated from the inside out with a
+    fixed number of terms; accurate where x is below (a + 1) / (a + b + 2)."""
+    even = lambda m: m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+    odd = lambda m: -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+    tail = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), F.lit(1.0), lambda below, m: 1 + even(m.cast("double")) / (1 + odd(m.cast("double")) / below))
+    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.log1p(-x))
+    return front / a / (1 + odd(F.lit(0.0)) / tail)
+
+
+def student_p(t: Column, freedom: Column) -> Column:
+    """P(|T| >= |t|) of Student's t; null without a degree of freedom or where t is null."""
+    half, one = freedom / 2, F.lit(0.5)
+    x = freedom / (freedom + t * t)
+    inner = F.when(x < (half + 1) / (half + 2.5), beta_share(x, half, one)).otherwise(1 - beta_share(1 - x, one, half))
+    return F.when((freedom < 1) | t.isNull(), None).when(t == 0, 1.0).when(F.abs(t) == float("inf"), 0.0).otherwise(inner)

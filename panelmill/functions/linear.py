@@ -160,26 +160,3 @@ def boosting_fit(x, y, n_estimators=50, learning_rate=0.1, max_depth=3, subsampl
         rows = draw.permutation(len(y))[: max(1, int(subsample * len(y)))] if subsample < 1 else np.arange(len(y))
         fit += learning_rate * Tree(max_depth).fit(x[rows], (y - fit)[rows]).predict(x)
     return fit
-
-
-def student_t_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) by the continued fraction of the incomplete beta function."""
-    if not math.isfinite(t):
-        return 0.0 if math.isinf(t) else math.nan
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-
-    def fraction(x, a, b):
-        tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-        h = d
-        for m in range(1, 500):
-            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / (1 + top * d or tiny), 1 + top / c or tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-15:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b

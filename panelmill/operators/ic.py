@@ -5,14 +5,11 @@ All horizons are one plan with a `horizon` column."""
 from __future__ import annotations
 
 import datetime as dt
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import average_rank, correlation, ndiv
-from ..functions.linear import student_t_two_sided
+from ..functions.expr import average_rank, correlation, ndiv, student_p
 from ..panel import Panel
 from .backtest import bucket, forward_return
 
@@ -80,15 +77,7 @@ def ic_statistics(series: DataFrame, p_value: bool = True) -> DataFrame:
     s = series.groupBy("horizon").agg(
         F.count("ic").alias("n"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std"), F.skewness("ic").alias("skewness"), F.kurtosis("ic").alias("kurtosis"), F.avg("autocorr").alias("mean_autocorr"),
     ).withColumns({"t_stat": ndiv(F.col("mean_ic"), F.col("std") / F.sqrt("n")), "ir": ndiv(F.col("mean_ic"), F.col("std"))})
-    if not p_value:
-        return s
-
-    def run(batches):  # a row for each horizon
-        for pdf in batches:
-            pdf["p_value"] = [student_t_two_sided(t, n - 1) if n > 1 and t == t else math.nan for t, n in zip(pdf["t_stat"].astype(float), pdf["n"])]
-            yield pdf
-
-    return s.mapInPandas(run, s.withColumn("p_value", F.lit(0.0)).schema)
+    return s.withColumn("p_value", student_p(F.col("t_stat"), (F.col("n") - 1).cast("double"))) if p_value else s
 
 
 def ic_aggregated(series: DataFrame, frequency: str | None) -> DataFrame:

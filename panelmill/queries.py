@@ -350,7 +350,11 @@ add("f18_rank_autocorrelation", lambda s, d: r8(ic.rank_autocorrelation(event_pa
 add("a06_pearson_ic", lambda s, d: r8(ic_of(s, d, method="pearson").select("horizon", "datetime", "ic"), "ic"), IC + f"SELECT horizon, datetime, round({CORR.format(a='factor', b='fut_ret')}, 6) + 0.0 AS ic FROM v GROUP BY ALL HAVING ic IS NOT NULL")
 add("f22_ic_statistics", lambda s, d: r8(ic.ic_statistics(ic_of(s, d), p_value=False), "mean_ic", "std", "skewness", "kurtosis", "mean_autocorr", "t_stat", "ir", digits=5), IC + """, m AS (SELECT horizon, avg(ic) AS mu FROM s GROUP BY 1), c AS (SELECT horizon, count(ic) AS n, max(mu) AS mean_ic, stddev_samp(ic) AS std, avg(pow(ic - mu, 2)) AS m2, avg(pow(ic - mu, 3)) AS m3, avg(pow(ic - mu, 4)) AS m4, avg(autocorr) AS mean_autocorr FROM s JOIN m USING (horizon) GROUP BY 1)
 SELECT horizon, n, round(mean_ic, 5) + 0.0 AS mean_ic, round(std, 5) + 0.0 AS std, round(m3 / pow(m2, 1.5), 5) + 0.0 AS skewness, round(m4 / (m2 * m2) - 3, 5) + 0.0 AS kurtosis, round(mean_autocorr, 5) + 0.0 AS mean_autocorr, round(mean_ic / (std / sqrt(n)), 5) + 0.0 AS t_stat, round(mean_ic / std, 5) + 0.0 AS ir FROM c""")
-add("a11_ic_p_value", lambda s, d: r8(ic.ic_statistics(ic_of(s, d)).select("horizon", "p_value"), "p_value"))
+add("a11_ic_p_value", lambda s, d: r8(ic.ic_statistics(ic_of(s, d)).select("horizon", "p_value"), "p_value"), IC + """, c AS (SELECT horizon, count(ic) - 1 AS f, abs(avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))) AS t FROM s GROUP BY 1),
+-- Student's t with x = sqrt(f) tan(angle) has the density cos(angle) ^ (f - 1), up to a factor; Simpson's rule
+g AS (SELECT horizon, f, i, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS k, atan(t / sqrt(f)) AS a FROM c, (SELECT unnest(generate_series(0, 20000)) AS i)),
+h AS (SELECT horizon, sum(k * pow(cos(least(a + (pi() / 2 - a) * i / 20000, pi() / 2)), f - 1)) * max(pi() / 2 - a) AS tail, sum(k * pow(cos(least(pi() / 2 * i / 20000, pi() / 2)), f - 1)) * pi() / 2 AS whole FROM g GROUP BY 1)
+SELECT horizon, round(tail / whole, 6) + 0.0 AS p_value FROM h""")
 add("f23_ic_by_bucket", lambda s, d: r8(ic.ic_aggregated(ic_of(s, d), "5d"), "ic_sum", digits=5), IC + "SELECT horizon, strftime(to_timestamp(epoch(datetime)::BIGINT - epoch(datetime)::BIGINT % 432000) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS agg_date, round(sum(ic), 5) + 0.0 AS ic_sum FROM s GROUP BY ALL")
 
 
@@ -390,7 +394,39 @@ BOTH_LEGS = "avg(CASE WHEN quantile = 5 THEN -beta ELSE beta END) AS beta_expo F
 for leg, one in (("l", "avg(beta) AS beta_expo FROM v WHERE quantile = 1"), ("s", "avg(-beta) AS beta_expo FROM v WHERE quantile = 5")):
     add(f"e06_exposures_leg_{leg}", lambda s, d, leg=leg: r8(exposures.portfolio_exposures(month_panel(s, d), ["beta"], position=leg), *SHOWN, digits=5), PREP.replace(BOTH_LEGS, one).format(R(*SHOWN, digits=5)))
 add("e05_descending_bins", lambda s, d: exposures.prepared(month_panel(s, d), EXPO).withColumn("quantile", expr.quantile_bin(F.col("factor"), 5, "datetime", "symbol", descending=True)).select("datetime", "symbol", "quantile"), f"SELECT datetime, symbol, least(((row_number() OVER (PARTITION BY datetime ORDER BY factor DESC, symbol) - 1) * 5) // count(*) OVER (PARTITION BY datetime) + 1, 5)::INT AS quantile FROM ({MONTH})")
-add("e07_pure_exposures", lambda s, d: (lambda df: r8(df, *df.columns[1:], digits=5))(exposures.pure_exposures(month_panel(s, d), EXPO)))
+FIT2 = """o AS (SELECT datetime, avg(fut_ret) AS my, avg(beta) AS ma, avg(size) AS mb, var_pop(beta) AS saa, var_pop(size) AS sbb, covar_pop(beta, size) AS sab, covar_pop(beta, fut_ret) AS say, covar_pop(size, fut_ret) AS sby FROM v GROUP BY 1),
+c AS (SELECT datetime, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS beta, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS size, my, ma, mb FROM o),
+k AS (SELECT datetime, beta, size, my - beta * ma - size * mb AS intercept FROM c)"""
+SUMS2 = """j AS (SELECT e.datetime, coalesce(beta_expo, 0) AS beta_expo, coalesce(size_expo, 0) AS size_expo, coalesce(intercept, 0) AS intercept, coalesce(beta, 0) AS beta, coalesce(size, 0) AS size FROM e {join} k USING (datetime)),
+m AS (SELECT *, beta_expo * beta AS beta_attr, size_expo * size AS size_attr, intercept + beta_expo * beta + size_expo * size AS portfolio_ret FROM j),
+n AS (SELECT *, product(1 + beta_attr) OVER t - 1 AS beta_cum_ret, product(1 + size_attr) OVER t - 1 AS size_cum_ret, product(1 + intercept) OVER t - 1 AS intercept_cum_ret, product(1 + portfolio_ret) OVER t - 1 AS portfolio_cum_ret FROM m WINDOW t AS (ORDER BY datetime))"""
+SHOWN2 = [*(f"{c}{suffix}" for suffix in ("", "_expo", "_attr", "_cum_ret") for c in EXPO), "intercept", "intercept_cum_ret", "portfolio_ret", "portfolio_cum_ret"]
+add("e06_two_exposures", lambda s, d: r8(exposures.portfolio_exposures(month_panel(s, d), EXPO), *SHOWN2, digits=5), f"""WITH p AS ({MONTH}), r AS (SELECT *, nullif(nullif(lag(close) OVER ({IN_TIME}), 0) / nullif(close, 0) - 1, -1) AS fut_ret FROM p),
+z AS (SELECT datetime, symbol, factor, fut_ret, {ZS('beta')} AS beta, {ZS('size')} AS size FROM r),
+q AS (SELECT *, least(((row_number() OVER (PARTITION BY datetime ORDER BY factor DESC, symbol) - 1) * 5) // count(*) OVER (PARTITION BY datetime) + 1, 5) AS quantile FROM z WHERE beta IS NOT NULL AND size IS NOT NULL),
+v AS (SELECT * FROM q WHERE fut_ret IS NOT NULL), e AS (SELECT datetime, avg(CASE WHEN quantile = 5 THEN -beta ELSE beta END) AS beta_expo, avg(CASE WHEN quantile = 5 THEN -size ELSE size END) AS size_expo FROM v WHERE quantile IN (1, 5) GROUP BY 1),
+{FIT2}, {SUMS2.format(join="JOIN")} SELECT datetime, {R(*SHOWN2, digits=5)} FROM n""")
+PURE = {"intercept": "Alpha", "intercept_cum_ret": "Alpha_cum_ret", "portfolio_cum_ret": "factor_cum_ret"}
+add("e07_pure_exposures", lambda s, d: (lambda df: r8(df, *df.columns[1:], digits=5))(exposures.pure_exposures(month_panel(s, d), EXPO)), f"""WITH p AS ({MONTH}), r AS (SELECT *, nullif(nullif(lag(close) OVER ({IN_TIME}), 0) / nullif(close, 0) - 1, -1) AS fut_ret FROM p),
+z AS (SELECT datetime, {ZS('factor')} AS factor, fut_ret, {ZS('beta')} AS beta, {ZS('size')} AS size FROM r), a AS (SELECT * FROM z WHERE factor IS NOT NULL AND beta IS NOT NULL AND size IS NOT NULL),
+e AS (SELECT datetime, sum(factor * beta) / sum(abs(factor)) AS beta_expo, sum(factor * size) / sum(abs(factor)) AS size_expo FROM a GROUP BY 1),
+v AS (SELECT * FROM a QUALIFY count(*) FILTER (WHERE fut_ret IS NULL) OVER (PARTITION BY datetime) = 0),
+{FIT2}, {SUMS2.format(join="LEFT JOIN")} SELECT datetime, {", ".join(f"round({c}, 5) + 0.0 AS {PURE.get(c, c)}" for c in SHOWN2)} FROM n""")
+
+
+def exposures_overnight(spark: SparkSession, d: str, mode: str, pure: bool) -> DataFrame:
+    import datetime as dt
+
+    p = event_panel(spark, d, "hour")
+    p = p.with_df(p.df.withColumn("beta", F.col("close") * 2 + F.col("symbol") % 7))
+    return r8(exposures.prepared(p, ["beta"], 3, mode=mode, step=dt.timedelta(hours=1), pure=pure).select("datetime", "symbol", "factor", "fut_ret", "beta"), "factor", "fut_ret", "beta")
+
+
+for mode, pure, kept in (("off", False, "NOT night OR reb"), ("off", True, "NOT night"), ("only", False, "night OR reb"), ("only", True, "night")):
+    add(f"e03_overnight_{mode}" + "_pure" * pure, lambda s, d, mode=mode, pure=pure: exposures_overnight(s, d, mode, pure), f"""WITH p AS (SELECT *, close * 2 + symbol % 7 AS beta FROM ({HOUR})),
+r AS (SELECT *, nullif(nullif(lag(close, 3) OVER ({IN_TIME}), 0) / nullif(close, 0) - 1, -1) AS fut_ret, (dense_rank() OVER (ORDER BY datetime) - 1) % 3 = 0 AS reb, datetime + to_hours(3) > max(datetime) OVER (PARTITION BY symbol, datetime::DATE) AS night FROM p),
+k AS (SELECT * FROM r WHERE {kept}), z AS (SELECT datetime, symbol, {ZS('factor') if pure else 'factor'} AS factor, fut_ret, {ZS('beta')} AS beta FROM k)
+SELECT datetime, symbol, {R('factor', 'fut_ret', 'beta')} FROM z WHERE factor IS NOT NULL AND beta IS NOT NULL""")
 add("e07_pure_weights", lambda s, d: r8(exposures.pure_exposures(month_panel(s, d), EXPO).select("datetime", "beta_expo", "size_expo"), "beta_expo", "size_expo"), f"WITH z AS (SELECT datetime, {ZS('factor')} AS f, {ZS('beta')} AS b, {ZS('size')} AS s FROM ({MONTH})) SELECT datetime, round(sum(f * b) / sum(abs(f)), 6) + 0.0 AS beta_expo, round(sum(f * s) / sum(abs(f)), 6) + 0.0 AS size_expo FROM z GROUP BY 1")
 add("e10_correlations", lambda s, d: r8(exposures.correlations(month_panel(s, d).df, "datetime", "factor", EXPO), "corr_beta", "corr_size"), f"SELECT datetime, round({CORR.format(a='factor', b='beta')}, 6) + 0.0 AS corr_beta, round({CORR.format(a='factor', b='size')}, 6) + 0.0 AS corr_size FROM ({MONTH}) GROUP BY 1")
 add("a08_correlation_matrix", lambda s, d: r8(exposures.correlation_matrix(month_panel(s, d).df, ["factor", *EXPO]), "corr"), f"WITH p AS ({MONTH}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({CORR.format(a=a, b=b)}, 6) + 0.0 AS corr FROM p" for a in ("factor", *EXPO) for b in ("factor", *EXPO)))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from estimators import fast_ica, huber_regression, least_squares, ransac, theil_sen
 from panelmill.functions import durations, linear
-from panelmill.functions.expr import norm_ppf, week_key
+from panelmill.functions.expr import norm_ppf, student_p, week_key
 from panelmill.operators import backtest, exposures, neutralize, reports, standardize, winsorize
 from panelmill.operators.purify import Purifier, methods
 from panelmill.panel import Panel, map_frequency
@@ -186,7 +186,20 @@ def test_estimators():
     assert np.allclose(linear.elastic_net(*m, alpha=0.0)[0], [2, -1], atol=1e-3)
     s = fast_ica(np.column_stack([draw.uniform(-1, 1, 500), draw.uniform(-1, 1, 500)]) @ [[1, 0.5], [0.3, 1]], 2)
     assert np.allclose(np.cov(s.T, bias=True), np.eye(2), atol=1e-6)
-    assert linear.student_t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6) and linear.student_t_two_sided(0.0, 5) == pytest.approx(1)
+
+
+def test_student_p_values(spark):
+    """Against the closed forms for 1, 2 and 4 degrees of freedom, and an integral for many."""
+    forms = {1: lambda t: 1 - 2 / math.pi * math.atan(t), 2: lambda t: 1 - t / math.sqrt(2 + t * t), 4: lambda t: 1 - (u := t / math.sqrt(4 + t * t)) * (1 + 0.5 * (1 - u * u))}
+    cases = [(t, float(n)) for n in (*forms, 10, 99, 5000) for t in (0.0, 1e-3, 0.3, 1.0, 2.0, 7.0)]
+    got = spark.createDataFrame(cases, "t double, n double").select("t", "n", student_p(F.col("t"), F.col("n")).alias("p"), student_p(-F.col("t"), F.col("n")).alias("q")).collect()
+    for r in got:
+        angle = np.linspace(math.atan(r.t / math.sqrt(r.n)), math.pi / 2, 400_001)
+        whole = np.linspace(0, math.pi / 2, 400_001)
+        want = forms[int(r.n)](r.t) if r.n in forms else np.trapezoid(np.cos(angle) ** (r.n - 1), angle) / np.trapezoid(np.cos(whole) ** (r.n - 1), whole)
+        assert r.p == r.q == pytest.approx(want, abs=1e-8)
+    odd = spark.createDataFrame([(1.0, 0.0), (None, 5.0), (float("inf"), 5.0)], "t double, n double").select(student_p(F.col("t"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in odd] == [None, None, 0.0]
 
 
 def test_exposures(market):
