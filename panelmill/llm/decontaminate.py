@@ -6,6 +6,9 @@ list of the other terms at positions adjusted by their offsets.  Intersecting a
 therefore is a local comparison, and no posting of a frequent word is ever shuffled.  The same lookup gives phrases (the
 window's words at their offsets) and proximity matches (all its distinct words near its rarest one, in any order).
 
+A window that many items share is looked up and verified once; its items are joined to the sets of windows that documents
+turn out to hold.
+
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.  Defined results: null and empty texts
 have no words and no hits; an item of fewer words than a window, but not none, is one window; repeated rows give
 repeated rows, and repeated items are one each for their own item_id; no benchmark rows give no hits; very long texts
@@ -25,6 +28,8 @@ BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 #: Rows of benchmark terms or anchors that are broadcast at most; beyond it Spark shuffles.
 BROADCAST_ROWS = 200_000
+#: Windows with one rarest term that are compared in one row.
+WINDOWS_A_ROW = 32
 
 
 def words_of(text: Column) -> Column:
@@ -38,42 +43,46 @@ def frequencies(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFra
 
 def postings(documents: DataFrame, terms: DataFrame, n_terms: int, reach: int) -> DataFrame:
     """The index of the given terms: term, doc_id, text_key, pos (from 0), first (position of the neighbourhood's first
-    word) and near (words from pos - reach to pos + reach).  text_key tells apart rows of one doc_id."""
+    word) and near (words from pos - reach to pos + reach), where one of the term's `mates` is near.  text_key tells apart
+    rows of one doc_id."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     every = docs.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term")).join(small_enough(terms, n_terms, BROADCAST_ROWS), "term")
     first = F.greatest(F.col("pos") - reach, F.lit(0))
-    return every.select("term", "doc_id", "text_key", "pos", first.alias("first"), F.slice("words", first + 1, F.lit(2 * reach + 1)).alias("near"))
+    cut = every.select("term", "doc_id", "text_key", "pos", "mates", first.alias("first"), F.slice("words", first + 1, F.lit(2 * reach + 1)).alias("near"))
+    return cut.where(F.arrays_overlap("mates", "near")).drop("mates")
 
 
-def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, start, words of each distinct window."""
+def benchmark_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (win, words), and win and item_id of all items that have them."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
-    return items.select("item_id", "words", F.explode(starts).alias("start")).select("item_id", "start", F.slice("words", F.col("start") + 1, F.lit(window)).alias("words")).dropDuplicates(["item_id", "words"])
+    each = items.select("item_id", "words", F.explode(starts).alias("start")).select("item_id", F.slice("words", F.col("start") + 1, F.lit(window)).alias("words")).distinct()
+    windows = cut_lineage(each.select("words").distinct().withColumn("win", F.monotonically_increasing_id()))
+    return windows, cut_lineage(each.join(windows, "words").select("win", "item_id"))
 
 
-def lookups(documents: DataFrame, benchmark: DataFrame, window: int, within: int) -> DataFrame:
-    """Postings joined with the windows that they are the rarest term of: doc_id, text_key, item_id, pos, here (place of
-    pos in near), near (words up to `within` words away) and ws, the windows with offset (of the rarest term), words and
-    others (the distinct words but the rarest, in order of frequency)."""
-    windows = item_windows(benchmark, window)
+def lookups(documents: DataFrame, windows: DataFrame, within: int) -> DataFrame:
+    """Postings joined with the windows that they are the rarest term of: doc_id, text_key, pos, here (place of pos in
+    near), near (words up to `within` words away) and ws, WINDOWS_A_ROW windows at most, with win, offset (of the rarest
+    term), words and others (the distinct words but the rarest, in order of frequency).  How many items share a window
+    doesn't matter here."""
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
     n_terms = vocabulary.count()
     df = small_enough(frequencies(documents, vocabulary, n_terms), n_terms, BROADCAST_ROWS)
-    each = windows.select("item_id", "start", "words", F.posexplode("words").alias("offset", "term")).join(df, "term", "left")
-    unseen = W.partitionBy("item_id", "start")
-    each = each.withColumn("missing", F.max(F.col("df").isNull()).over(unseen)).where(~F.col("missing"))  # a word that no document has
+    each = windows.select("win", "words", F.posexplode("words").alias("offset", "term")).join(df, "term", "left")
     by_df = F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("by_df")
-    rarest = each.groupBy("item_id", "start").agg(by_df, F.first("words").alias("words"))
+    rarest = each.groupBy("win").agg(by_df, F.first("words").alias("words")).where(F.forall("by_df", lambda t: t["df"].isNotNull()))  # else a word that no document has
     r = F.col("by_df")[0]
     others = F.array_remove(F.array_distinct(F.col("by_df.term")), r["term"])
-    anchors = rarest.select("item_id", r["term"].alias("term"), (F.col("start") + r["offset"]).alias("item_pos"), F.struct(r["offset"].alias("offset"), F.col("words"), others.alias("others")).alias("w"))
-    anchors = anchors.groupBy("term", "item_id", "item_pos").agg(F.collect_list("w").alias("ws"))  # at most `window` of them
-    anchors = cut_lineage(anchors)  # small, used three times
-    terms = anchors.select("term").distinct()
+    rarest = rarest.select(r["term"].alias("term"), F.struct("win", r["offset"].alias("offset"), F.col("words"), others.alias("others")).alias("w"))
+    share = W.partitionBy("term").orderBy("w.win")
+    rarest = rarest.withColumn("row", F.floor((F.row_number().over(share) - 1) / WINDOWS_A_ROW))
+    anchors = cut_lineage(rarest.groupBy("term", "row").agg(F.collect_list("w").alias("ws")))  # small, used three times
+    mate = F.explode(F.transform("ws", lambda w: F.coalesce(F.get(w["others"], F.lit(0)), F.col("term"))))  # the second rarest, if there is one
+    terms = cut_lineage(anchors.select("term", mate.alias("mate")).groupBy("term").agg(F.collect_set("mate").alias("mates")))
     index = postings(documents, terms, terms.count(), within)
-    pairs = index.join(small_enough(anchors, anchors.count(), BROADCAST_ROWS), "term")
-    return pairs.select("doc_id", "text_key", "item_id", "pos", (F.col("pos") - F.col("first")).alias("here"), "near", "ws")
+    pairs = index.join(small_enough(anchors, windows.count(), BROADCAST_ROWS), "term")
+    return pairs.select("doc_id", "text_key", "pos", (F.col("pos") - F.col("first")).alias("here"), "near", "ws")
 
 
 def _fits() -> Column:
@@ -82,56 +91,71 @@ def _fits() -> Column:
     return F.filter("ws", lambda w: (w["offset"] <= F.col("here")) & (at(w) == w["words"]))
 
 
-def _is_near() -> Column:
-    """Whether all words of a window of a lookup are near."""
-    return F.exists("ws", lambda w: F.forall(w["others"], lambda x: F.array_contains(F.col("near"), x)))
+def _near_ones() -> Column:
+    """The windows of a lookup all of whose words are near."""
+    return F.transform(F.filter("ws", lambda w: F.forall(w["others"], lambda x: F.array_contains(F.col("near"), x))), lambda w: w["win"])
 
 
 def _phrases(found: DataFrame) -> DataFrame:
+    """start and end of what the windows of a posting cover together, and wins."""
     return found.where(F.size("fits") > 0).select(
-        "doc_id", "text_key", "item_id",
+        "doc_id", "text_key",
         (F.col("pos") - F.array_max(F.transform("fits", lambda w: w["offset"]))).alias("start"),
         (F.col("pos") + F.array_max(F.transform("fits", lambda w: F.size(w["words"]) - w["offset"]))).alias("end"),
+        F.col("fits.win").alias("wins"),
     )
 
 
 def phrase_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Exact matches: doc_id, text_key, item_id, start, end (word positions, end exclusive).  Windows that were found
-    through one posting are one row."""
-    return _phrases(lookups(documents, benchmark, window, window - 1).withColumn("fits", _fits()))
+    """Exact matches: doc_id, text_key, item_id, start, end (word positions, end exclusive) of each window."""
+    windows, items = benchmark_windows(benchmark, window)
+    found = lookups(documents, windows, window - 1).withColumn("fits", _fits()).select("doc_id", "text_key", "pos", F.explode("fits").alias("w"))
+    start = F.col("pos") - F.col("w.offset")
+    each = found.select("doc_id", "text_key", F.col("w.win").alias("win"), start.alias("start"), (start + F.size("w.words")).alias("end"))
+    return each.join(items, "win").drop("win").distinct()
 
 
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, within: int = 30) -> DataFrame:
     """Windows all of whose distinct words stand within `within` words (window - 1 at least, so that phrases are among
     them) of an occurrence of their rarest one, in any order: doc_id, text_key, item_id, pos (of the rarest one).  Items
     of any length are looked for, window by window; of equally rare words the first one of the window counts."""
-    near = lookups(documents, benchmark, window, max(within, window - 1)).where(_is_near())
-    return near.select("doc_id", "text_key", "item_id", "pos").distinct()
+    windows, items = benchmark_windows(benchmark, window)
+    near = lookups(documents, windows, max(within, window - 1)).select("doc_id", "text_key", "pos", F.explode(_near_ones()).alias("win"))
+    return near.join(items, "win").drop("win").distinct()
+
+
+def item_sets(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """wins (sorted windows), and n and sha256 of the items that have one of them.  Documents share sets, so the items of a
+    window that stands in many documents and items are looked up once for each set, not for each document."""
+    each = sets.distinct().select("wins", F.explode("wins").alias("win")).join(items, "win").select("wins", F.col("item_id").cast("string").alias("item")).distinct()
+    names = F.array_sort(F.collect_list("item"))
+    return each.groupBy("wins").agg(F.count("item").alias("n"), F.sha2(F.encode(F.array_join(names, ","), "UTF-8"), 256).alias("sha256"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, within: int | None = None) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and text_key.  With `within`
     also n_near_items, the items with proximity matches; these make no document contaminated."""
-    if within is None:
-        found = lookups(documents, benchmark, window, window - 1).withColumn("fits", _fits())
-    else:
-        found = lookups(documents, benchmark, window, max(within, window - 1)).withColumn("fits", _fits()).withColumn("is_near", _is_near())
-        found = cut_lineage(found.where((F.size("fits") > 0) | F.col("is_near")).drop("near", "ws", "here"))
+    windows, items = benchmark_windows(benchmark, window)
+    reach = window - 1 if within is None else max(within, window - 1)
+    found = lookups(documents, windows, reach).select("doc_id", "text_key", "pos", _fits().alias("fits"), (_near_ones() if within is not None else F.array().cast("array<bigint>")).alias("near"))
+    found = cut_lineage(found.where((F.size("fits") > 0) | (F.size("near") > 0)))
     matches = _phrases(found)
     by_start = W.partitionBy("doc_id", "text_key").orderBy("start", "end")
     before = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    runs = matches.groupBy("doc_id", "text_key", "start", "end").agg(F.collect_set("item_id").alias("items"))
+    runs = matches.groupBy("doc_id", "text_key", "start", "end").agg(F.array_distinct(F.flatten(F.collect_set("wins"))).alias("wins"))
     runs = runs.withColumn("before", F.coalesce(before, F.lit(0)))
     fresh = F.greatest(F.col("end") - F.greatest("start", "before"), F.lit(0))
-    hits = runs.groupBy("doc_id", "text_key").agg(F.sum(fresh).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    near = []
-    if within is not None:
-        items = found.where("is_near").groupBy("doc_id", "text_key").agg(F.count_distinct("item_id").alias("n_near_items"))
-        both = hits.unionByName(items, allowMissingColumns=True).groupBy("doc_id", "text_key")
-        hits = both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n_hit", "items", "n_near_items")))
-        near = [F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items")]
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    hits = runs.groupBy("doc_id", "text_key").agg(F.sum(fresh).alias("n_hit"), together("wins").alias("wins"))
+    close = found.where(F.size("near") > 0).groupBy("doc_id", "text_key").agg(together("near").alias("near"))
+    both = hits.unionByName(close, allowMissingColumns=True).groupBy("doc_id", "text_key")
+    hits = cut_lineage(both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n_hit", "wins", "near"))))
+    known = cut_lineage(item_sets(hits.select("wins").unionByName(hits.select(F.col("near").alias("wins"))).where(F.col("wins").isNotNull()), items))
+    named = lambda c, n, *more: known.select(F.col("wins").alias(c), F.col("n").alias(n), *more)
+    hits = hits.join(named("wins", "n_items", F.col("sha256")), "wins", "left").join(named("near", "n_near_items"), "near", "left")
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (docs["text_key"] == hits["text_key"]), "left")
-    names = F.array_sort(F.coalesce(F.transform("items", lambda i: i.cast("string")), F.array().cast("array<string>")))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(docs["doc_id"], docs["text_key"], "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.encode(F.array_join(names, ","), "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *near)
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    near = [] if within is None else [whole("n_near_items").alias("n_near_items")]
+    none = F.sha2(F.encode(F.lit(""), "UTF-8"), 256)
+    return joined.select(docs["doc_id"], docs["text_key"], "n_words", whole("n_hit").alias("n_hit"), whole("n_items").alias("n_items"), F.coalesce("sha256", none).alias("items_sha256"), (whole("n_hit") > 0).alias("contaminated"), *near)

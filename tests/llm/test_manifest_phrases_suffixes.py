@@ -212,3 +212,21 @@ def test_manifest_finds_tampering_of_any_kind(spark):
 
 def test_queries_of_this_file_are_registered():
     assert {"op11_collocations", "op12_merkle_manifest", "op13_suffix_dedup"} <= set(queries.QUERIES)
+
+
+# -- windows that many items share (decontamination) --
+
+
+def test_items_that_share_windows(spark):
+    from panelmill.llm import decontaminate
+
+    line = "answer the question below in one short and plain sentence please now"  # three windows
+    rows = [(k, f"{line} item{k} own{k} words{k}", "en") for k in range(3)] + [(7, f"x {line} y {line}", "en"), (7, f"x {line} y {line}", "en"), (8, line.replace("short", "long"), "en"), (9, None, "en")]
+    items = [(f"i{k}", f"{line} item{k} own{k}") for k in range(90)] + [("i5", f"{line} item5 own5"), ("short", "item2 own2"), ("none", None), (None, line)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(table(spark, rows), bench, within=30).collect()}
+    every = sorted(f"i{k}" for k in range(90))
+    assert [(got[k].n_hit, got[k].n_items) for k in (0, 1, 2, 7, 8, 9)] == [(14, 90), (14, 90), (14, 91), (24, 90), (0, 0), (0, 0)]
+    assert got[7].items_sha256 == hashlib.sha256(",".join(every).encode()).hexdigest() and got[8].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[2].items_sha256 == hashlib.sha256(",".join(sorted([*every, "short"])).encode()).hexdigest()
+    assert {(r.start, r.end) for r in decontaminate.phrase_matches(table(spark, rows[3:4]), bench).collect()} == {(1 + k, 11 + k) for k in range(3)} | {(14 + k, 24 + k) for k in range(3)}
