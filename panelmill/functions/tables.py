@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as Parquet in the folder that spark.checkpoint.dir names, so that executors that come after lost ones find
-    them.  Only a session in one JVM gets a temporary folder where the setting is missing.  The folder's owner clears it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Only a session in one JVM gets a temporary one where the setting is missing."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
-    path = f"{named.rstrip('/')}/panelmill-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, so that executors that come after lost ones find them.  The folder's owner
+    clears it."""
+    path = f"{shared_folder(df.sparkSession)}/panelmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

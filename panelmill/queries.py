@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr
+from .functions.tables import shared_folder
 from .operators import backtest, exposures, ic, neutralize, reports, standardize, winsorize
 from .operators.purify import Purifier
 from .panel import Panel
 from .plans.config import ResearchConfig
 from .sources import store
+from .sources.versions import Versions
 from .study import FactorStudy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,6 +467,42 @@ SINK = f"WITH p AS ({DAY}), o AS (SELECT datetime, symbol, close FROM p WHERE {D
 add("k02_append", lambda s, d: r8(store.appended(*sink_parts(s, d), "datetime", "symbol"), "close", "factor"), SINK + f"SELECT datetime, symbol, {R('close', 'factor')} FROM (SELECT datetime, symbol, close, NULL::DOUBLE AS factor FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (datetime, symbol))")
 add("k03_update", lambda s, d: r8(store.updated(*sink_parts(s, d), "datetime", "symbol"), "close", "factor"), SINK + "SELECT o.datetime, o.symbol, round(coalesce(n.close, o.close), 6) + 0.0 AS close, round(n.factor, 6) + 0.0 AS factor FROM o LEFT JOIN n ON o.datetime = n.datetime AND o.symbol = n.symbol")
 
+def written(spark: SparkSession, d: str) -> str:
+    """A catalogue's folders in the shared folder: daily closes, daily factors and purchases."""
+    root = f"{shared_folder(spark)}/panelmill-{uuid.uuid4().hex}"
+    p = day_panel(spark, d).df
+    for name, df in (("base", p.select("datetime", "symbol", "close")), ("alpha", p.select("datetime", "symbol", "factor")), ("bought", purchases(spark, d))):
+        df.write.parquet(f"{root}/{name}")
+    return root
+
+
+def loaded(spark: SparkSession, d: str) -> DataFrame:
+    """From a date on, with factors usable a row later and the last purchase before each day."""
+    import datetime as dt
+
+    c = store.Catalog(written(spark, d), {"base": ["close"]}, {"alpha": ["factor"]}, {"bought": ["last_value"]})
+    return r8(store.load(spark, c, dt.datetime(2024, 1, 10), dt.datetime(2024, 3, 10), shift_n=1), "close", "factor", "last_value")
+
+
+add("s05_load", loaded, f"""WITH p AS ({DAY}), b AS (SELECT datetime, symbol, close FROM p WHERE datetime BETWEEN '2024-01-10' AND '2024-03-10'),
+a AS (SELECT lead(datetime) OVER ({IN_TIME}) AS datetime, symbol, factor FROM p WHERE datetime BETWEEN TIMESTAMP '2024-01-10' - INTERVAL 20 DAY AND '2024-03-10'),
+u AS (SELECT ts AS datetime, user_id AS symbol, max(value) AS last_value FROM events WHERE event_type = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-10' - INTERVAL 150 DAY AND '2024-03-10' GROUP BY 1, 2),
+j AS (SELECT b.*, a.factor FROM b LEFT JOIN a ON a.datetime = b.datetime AND a.symbol = b.symbol)
+SELECT j.datetime, j.symbol, round(close, 6) + 0.0 AS close, round(factor, 6) + 0.0 AS factor, round(last_value, 6) + 0.0 AS last_value FROM j ASOF LEFT JOIN u ON j.symbol = u.symbol AND j.datetime >= u.datetime""")
+
+
+def saved_twice(spark: SparkSession, d: str, append: bool) -> DataFrame:
+    """A store with one save, then a second one over part of it."""
+    kept = Versions(spark, f"{shared_folder(spark)}/panelmill-{uuid.uuid4().hex}")
+    first, second = sink_parts(spark, d)
+    kept.save(first, ["close"])
+    kept.save(second, ["close", "factor"], append)
+    return r8(kept.read(), "close", "factor").select("datetime", "symbol", "close", "factor")
+
+
+add("k01_versions_append", lambda s, d: saved_twice(s, d, True), SINK + f"SELECT datetime, symbol, {R('close', 'factor')} FROM (SELECT datetime, symbol, close, NULL::DOUBLE AS factor FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (datetime, symbol))")
+add("k01_versions_update", lambda s, d: saved_twice(s, d, False), SINK + f"SELECT datetime, symbol, {R('close', 'factor')} FROM (SELECT o.datetime, o.symbol, coalesce(n.close, o.close) AS close, n.factor FROM o LEFT JOIN n ON o.datetime = n.datetime AND o.symbol = n.symbol UNION ALL SELECT n.* FROM n ANTI JOIN (SELECT DISTINCT symbol FROM o) USING (symbol))")
+
 # -- more of single operators --
 
 

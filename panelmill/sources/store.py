@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.durations import multiply_duration, shift_datetime
+from .files import ReadError, listing, read_symbols
 
 #: Discrete tables are read from so many days before the range, so that their last earlier row is there.
 LOOK_BACK_DAYS = 150
@@ -18,7 +19,7 @@ LOOK_BACK_DAYS = 150
 @dataclass(frozen=True)
 class Catalog:
     """Folders below `main_dir`, and the columns to take of each.  A folder holds one {symbol}.parquet for each symbol, or
-    one Parquet dataset."""
+    one Parquet dataset; an error names what is absent or broken (see `files.py`)."""
 
     main_dir: str
     base: dict[str, list[str]]
@@ -88,6 +89,10 @@ def load(spark: SparkSession, catalog: Catalog, begin=None, end=None, symbols: l
 
     def read(name: str, columns: list[str], kind: str) -> DataFrame:
         since = start_of(kind, begin, shift_n, freq) if begin is not None else None
+        if not columns:
+            raise ReadError(f"no columns are named for {name!r}")
+        if listing(spark, f"{c.main_dir}/{name}"):
+            return read_symbols(spark, f"{c.main_dir}/{name}", columns, c.date, c.symbol, symbols, since, end)[0]
         return scan(spark, f"{c.main_dir}/{name}", list(dict.fromkeys([c.date, c.symbol, *columns])), c.date, c.symbol, symbols, since, end)
 
     (base_name, base_columns), *more = c.base.items()
