@@ -192,12 +192,18 @@ def seasonality(per_bar: DataFrame, bins: int) -> DataFrame:
     return excess.groupBy("period", "leg", year.alias("year")).agg(*(in_month(m).alias(f"m{m}") for m in range(1, 13)))
 
 
+def labelled(df: DataFrame, industries: DataFrame, symbol: str = "symbol", default: str | None = "Unlabeled") -> DataFrame:
+    """The rows with the industry of their symbol; `default` where it has none, null if that is None."""
+    out = df.join(industries.select(F.col("symbol").alias(symbol), "industry"), symbol, "left")
+    return out if default is None else out.withColumn("industry", F.coalesce("industry", F.lit(default)))
+
+
 def industry_returns(drifted: DataFrame, traded: DataFrame, industries: DataFrame, bins: int) -> DataFrame:
     """period, industry, ret_net_s_qb_mean, ret_net_qt_mean, ret_net_ls_i_mean; industries: symbol, industry.  Industries
     of the bottom bin only, symbols without one are Unlabeled.  Old holdings count on their closing date too."""
     keys = ["period", "datetime", "quantile", "symbol"]
     every = drifted.select(*keys, (F.col("w") * F.col("fut_ret")).alias("ret"), F.lit(0.0).alias("cost")).unionByName(traded.select(*keys, F.lit(0.0).alias("ret"), "cost"))
-    every = every.where(F.col("quantile").isin(1, bins)).join(industries, "symbol", "left").withColumn("industry", F.coalesce("industry", F.lit("Unlabeled")))
+    every = labelled(every.where(F.col("quantile").isin(1, bins)), industries)
     daily = every.groupBy("period", "datetime", "industry", "quantile").agg((F.sum("ret") - F.sum("cost")).alias("net"), (-F.sum("ret") - F.sum("cost")).alias("net_s"))
     mean = lambda c, q: F.avg(F.when(F.col("quantile") == q, F.col(c)))
     out = daily.groupBy("period", "industry").agg(mean("net_s", 1).alias("ret_net_s_qb_mean"), mean("net", bins).alias("ret_net_qt_mean"))
@@ -283,20 +289,37 @@ def around(dates: list, date, before: int, after: int) -> list:
     return dates[max(lo, 0) : hi + 1]
 
 
-def trace_sheet(p: Panel, config: ResearchConfig, period: int | str, date, position: str = "l") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Holdings of the legs two dates before to one after a date, returns of all bins one before to one after, and old and
-    new weights of the legs on those dates."""
-    rows = traced(p, config, period)
-    # at most four dates reach the driver
+def neighbours(p: Panel, config: ResearchConfig, date) -> tuple[list, list]:
+    """Dates from two before to one after a date, and from one before to one after.  Five dates at most reach the driver."""
     near = bars(p, config.bins).select("datetime").distinct()
     day = F.lit(date).cast("timestamp_ntz")
     earlier = [r[0] for r in near.where(F.col("datetime") < day).orderBy(F.desc("datetime")).limit(3).collect()][::-1]
     later = [r[0] for r in near.where(F.col("datetime") >= day).orderBy("datetime").limit(2).collect()]
-    own = [d for d in later if d == date]
-    if not own:
+    own = near.where(F.col("datetime") == day).first()
+    if own is None:
         raise ValueError(f"{date} is no date of the panel")
     window = [*earlier, *later]
-    wide, narrow = around(window, own[0], 2, 1), around(window, own[0], 1, 1)
+    return around(window, own[0], 2, 1), around(window, own[0], 1, 1)
+
+
+def trace_rows(p: Panel, config: ResearchConfig, period: int | str, date=None, bins: list[int] | None = None, position: str = "l") -> DataFrame:
+    """The rows of `traced` from two dates before to one after a date (None: all dates), of the bins (None: all), with the
+    weights of both epochs where two meet; for "s" all weights are negated."""
+    if position not in ("l", "s"):
+        raise ValueError("position is l or s")
+    rows = traced(p, config, period)
+    if date is not None:
+        rows = rows.where(F.col("datetime").isin(neighbours(p, config, date)[0]))
+    if bins:
+        rows = rows.where(F.col("quantile").isin(list(bins)))
+    return rows.withColumn("w", -F.col("w")) if position == "s" else rows
+
+
+def trace_sheet(p: Panel, config: ResearchConfig, period: int | str, date, position: str = "l") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Holdings of the legs two dates before to one after a date, returns of all bins one before to one after, and old and
+    new weights of the legs on those dates."""
+    rows = traced(p, config, period)
+    wide, narrow = neighbours(p, config, date)
     bins = {"l": [config.bins], "s": [1], "ls": [1, config.bins]}[position]
     legs = rows.where(F.col("quantile").isin(bins))
     return legs.where(F.col("datetime").isin(wide)), traced_returns(rows).where(F.col("datetime").isin(narrow)), traced_weights(legs).where(F.col("datetime").isin(narrow))

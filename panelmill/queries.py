@@ -193,6 +193,7 @@ def industry_dummies(spark: SparkSession, d: str) -> DataFrame:
     return r8(neutralize.multi_ols(p, [], ["industry"]).df.select("datetime", "symbol", "industry", "factor"), "factor", digits=9)
 
 
+add("p15_industry_map", lambda s, d: (lambda p: r8(backtest.labelled(p.df, industry_map(s, d), p.symbol, None).select("datetime", "symbol", "industry", "close"), "close"))(month_panel(s, d)), f"SELECT datetime, symbol, industry, round(close, 6) + 0.0 AS close FROM ({MONTH}) LEFT JOIN ({INDUSTRY}) USING (symbol)")
 add("p16_one_hot", industry_dummies, f"SELECT datetime, symbol, coalesce(industry, 'Unlabeled') AS industry, round(factor - avg(factor) OVER (PARTITION BY datetime, coalesce(industry, 'Unlabeled')), 9) + 0.0 AS factor FROM ({MONTH}) LEFT JOIN ({INDUSTRY}) USING (symbol)")
 add(
     "s05_purify_chain",
@@ -308,6 +309,9 @@ bn AS (SELECT datetime, quantile, avg(r) AS ret, avg(-r) AS ret_s, avg(r - cost)
 """
 NAMES = ("fut_ret", "w", "buy", "sell", "turnover", "cost")
 add("f26_trace_holdings", lambda s, d: r8(backtest.traced(day_panel(s, d), CONFIG, 5), *NAMES), TRACE + f"SELECT datetime, g::BIGINT AS g, quantile, symbol, {R('fut_ret', 'w', 'buy', 'sell')}, round(buy + sell, 6) + 0.0 AS turnover, round(0.0013 * (buy + sell), 6) + 0.0 AS cost FROM tx")
+AROUND = ", ar AS (SELECT datetime FROM (SELECT datetime, row_number() OVER (ORDER BY datetime) AS i FROM (SELECT DISTINCT datetime FROM bars)) QUALIFY i - max(CASE WHEN datetime = TIMESTAMP '2024-01-16' THEN i END) OVER () BETWEEN -2 AND 1) "
+for position, sign in (("l", ""), ("s", "-")):
+    add(f"f26_trace_rows_{position}", lambda s, d, position=position: r8(FactorStudy(day_panel(s, d), CONFIG).trace_rows(5, "2024-01-16", [5, 3, 1], position), *NAMES), TRACE + AROUND + f"SELECT datetime, g::BIGINT AS g, quantile, symbol, {R('fut_ret')}, round({sign}w, 6) + 0.0 AS w, {R('buy', 'sell')}, round(buy + sell, 6) + 0.0 AS turnover, round(0.0013 * (buy + sell), 6) + 0.0 AS cost FROM tx JOIN ar USING (datetime) WHERE quantile IN (1, 3, 5)")
 add("f26_trace_returns", lambda s, d: r8(backtest.traced_returns(backtest.traced(day_panel(s, d), CONFIG, 5)), "ret", "ret_s", "ret_net", "ret_net_s"), TRACE + f"SELECT nxt AS datetime, quantile, {R('ret', 'ret_s', 'ret_net', 'ret_net_s')} FROM bn JOIN dts USING (datetime) WHERE nxt IS NOT NULL")
 add("r06_trace_weights", lambda s, d: r8(backtest.traced_weights(backtest.traced(day_panel(s, d), CONFIG, 5)), "old_w", "new_w"), TRACE + """SELECT datetime, quantile, symbol, round(coalesce(max(w) FILTER (WHERE g = lo), 0), 6) + 0.0 AS old_w, round(coalesce(max(w) FILTER (WHERE g = hi), 0), 6) + 0.0 AS new_w
 FROM (SELECT *, min(g) OVER k AS lo, max(g) OVER k AS hi FROM tx WINDOW k AS (PARTITION BY datetime, quantile)) WHERE lo < hi GROUP BY ALL""")

@@ -110,6 +110,10 @@ class FactorStudy:
     def trace(self, period: int | str, date, position: str = "l", full: bool = False) -> DataFrame:
         return backtest.trace(self.panel, self.research, period, date, position, full)
 
+    def trace_rows(self, period: int | str, date=None, bins: list[int] | None = None, position: str = "l") -> DataFrame:
+        """What the bins hold around a date, with both epochs where two meet."""
+        return backtest.trace_rows(self.panel, self.research, period, date, bins, position)
+
     def trace_sheet(self, period: int | str, date, position: str = "l") -> tuple[DataFrame, DataFrame, DataFrame]:
         """Holdings, bin returns and old and new weights around a date."""
         return backtest.trace_sheet(self.panel, self.research, period, date, position)

@@ -103,6 +103,13 @@ def test_trace_sheet_dates(spark, market):
     assert {r.quantile for r in holdings.collect()} == {1, 5}
     with pytest.raises(ValueError):
         s.trace_sheet(5, dt.datetime(1999, 1, 1))
+    both = s.trace_rows(5, dates[5], [5, 1]).collect()
+    assert sorted({r.datetime for r in both}) == dates[3:7] and {r.quantile for r in both} == {1, 5}
+    assert {r.g for r in both if r.datetime == dates[5]} == {0, 1}  # two epochs meet
+    short = {(r.datetime, r.g, r.quantile, r.symbol): r.w for r in s.trace_rows(5, dates[5], position="s").collect()}
+    assert {r.quantile for r in s.trace_rows(5, dates[5]).collect()} == {1, 2, 3, 4, 5} and all(short[r.datetime, r.g, r.quantile, r.symbol] == -r.w for r in both)
+    with pytest.raises(ValueError):
+        s.trace_rows(5, dates[5], position="ls")
     assert backtest.around([1, 2, 3, 4], 4, 2, 1) == [2, 3, 4] and backtest.around([1, 2, 3, 4], 4, 1, 1) == [3, 4]
 
 
