@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import ndiv, period_key, quantile_bin
+from ..functions.order import numbered
+from ..functions.tables import cut_lineage
 from ..panel import Panel
 from ..plans.config import ResearchConfig
 
@@ -34,19 +36,25 @@ def bars(p: Panel, bins: int) -> DataFrame:
 
 
 def calendar(dates: DataFrame, periods: tuple[int | str, ...]) -> DataFrame:
-    """period, datetime, g (epoch), is_reb, first and last date of the epoch, next_first.  dates: distinct datetime."""
-    day = F.col("datetime")
-    kinds = F.array(*(F.struct(F.lit(str(p)).alias("period"), F.lit(p if isinstance(p, int) else None).cast("int").alias("n"), (F.lit("") if isinstance(p, int) else period_key(p, day)).alias("key")) for p in periods))
-    each = dates.withColumn("date_id", F.row_number().over(W.orderBy("datetime")) - 1).select("datetime", "date_id", F.explode(kinds).alias("k")).select("k.period", "k.n", "k.key", "datetime", "date_id")
-    in_order = W.partitionBy("period").orderBy("datetime")
-    last = F.max("datetime").over(W.partitionBy("period", "key"))
-    each = each.withColumn("is_reb", F.coalesce(F.col("date_id") % F.col("n") == 0, day == last))
-    so_far = F.sum(F.col("is_reb").cast("long")).over(in_order) - 1
-    each = each.withColumns({"g": F.coalesce(F.floor(F.col("date_id") / F.col("n")), so_far), "after": F.lead("datetime").over(in_order)})
-    epoch = W.partitionBy("period", "g")
-    each = each.withColumns({"first": F.min("datetime").over(epoch), "last": F.max("datetime").over(epoch), "next_first": F.max("after").over(epoch)})
-    open_end = F.max(F.col("after").isNull()).over(epoch)  # the last epoch has no next one
-    return each.select("period", "g", "datetime", "is_reb", "first", "last", F.when(~open_end, F.col("next_first")).alias("next_first"))
+    """period, datetime, g (epoch), is_reb, first and last date of the epoch, next_first.  dates: distinct datetime.  Periods
+    of bars need each date's place; calendar periods only the order of their last dates, a row for each."""
+    counted, named = [p for p in periods if isinstance(p, int)], [p for p in periods if not isinstance(p, int)]
+    dates, parts = cut_lineage(dates), []  # small, and used several times
+    if counted:
+        kinds = F.explode(F.array(*(F.struct(F.lit(str(p)).alias("period"), F.lit(p).alias("n")) for p in counted))).alias("k")
+        each = numbered(dates, "datetime", "date_id").select("datetime", "date_id", kinds)
+        parts.append(each.select("k.period", F.floor(F.col("date_id") / F.col("k.n")).alias("g"), "datetime", (F.col("date_id") % F.col("k.n") == 0).alias("is_reb")))
+    if named:
+        kinds = F.explode(F.array(*(F.struct(F.lit(p).alias("period"), period_key(p, F.col("datetime")).alias("key")) for p in named))).alias("k")
+        each = dates.select("datetime", kinds).select("k.period", "k.key", "datetime")
+        ends = each.groupBy("period", "key").agg(F.max("datetime").alias("end"))
+        ends = ends.withColumn("place", F.row_number().over(W.partitionBy("period").orderBy("end")).cast("long") - 1)
+        is_end = F.col("datetime") == F.col("end")
+        parts.append(each.join(ends, ["period", "key"]).select("period", F.when(is_end, F.col("place")).otherwise(F.col("place") - 1).alias("g"), "datetime", is_end.alias("is_reb")))
+    each = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    epochs = each.groupBy("period", "g").agg(F.min("datetime").alias("first"), F.max("datetime").alias("last"))
+    after = epochs.select("period", (F.col("g") - 1).alias("g"), F.col("first").alias("next_first"))
+    return each.join(epochs.join(after, ["period", "g"], "left"), ["period", "g"]).select("period", "g", "datetime", "is_reb", "first", "last", "next_first")
 
 
 def holdings(rows: DataFrame, cal: DataFrame) -> DataFrame:
@@ -227,12 +235,11 @@ def trace(p: Panel, config: ResearchConfig, period: int | str, date, position: s
     out = out.select("datetime", "symbol", "quantile", "g", (F.col("w") * sign).alias("weight_lag_1"), F.col("fut_ret").alias("ret"), (F.col("w") * sign * F.col("fut_ret")).alias("contribution"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("buy", "sell", "turnover", "cost")))
     if full:
         return out
-    dates = cal.select("datetime").distinct()
-    near = dates.withColumns({"was": F.lag("datetime").over(W.orderBy("datetime")), "will": F.lead("datetime").over(W.orderBy("datetime"))}).where(F.col("datetime") == F.lit(date).cast("timestamp_ntz"))
-    found = near.first()
-    if found is None:
+    day, at = F.lit(date).cast("timestamp_ntz"), F.col("datetime")
+    near = cal.agg(F.max(F.when(at == day, at)), F.max(F.when(at < day, at)), F.min(F.when(at > day, at))).first()
+    if near[0] is None:
         raise ValueError(f"{date} is no date of the panel")
-    return out.where(F.col("datetime").isin([d for d in found if d is not None]))
+    return out.where(at.isin([d for d in near if d is not None]))
 
 
 def traced(p: Panel, config: ResearchConfig, period: int | str) -> DataFrame:

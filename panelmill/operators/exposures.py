@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import over_rows, pairs_combined, pairs_of, updated
 from ..functions.expr import complete, correlation, ndiv, quantile_bin
+from ..functions.order import numbered
 from ..panel import Panel
 from .neutralize import least_squares
 
@@ -23,9 +24,9 @@ def prepared(p: Panel, exposures: list[str], period: int = 1, fac_shift: int | N
     other = F.lag(p.price, period).over(p.in_time) if return_mode == "lagged" else F.lead(p.price, period).over(p.in_time)
     ret = ndiv(F.nullif(other, F.lit(0.0)), F.nullif(F.col(p.price), F.lit(0.0))) - 1
     df = p.df.withColumn("fut_ret", F.nullif(ret, F.lit(-1.0)))
-    dates = df.select(p.date).distinct().withColumn("_reb", (F.row_number().over(W.orderBy(p.date)) - 1) % period == 0)
-    df = df.join(dates, p.date)
-    keep = F.col("_reb")
+    if period > 1:
+        df = df.join(numbered(df.select(p.date).distinct(), p.date, "_place"), p.date)
+    keep = F.col("_place") % period == 0 if period > 1 else F.lit(True)
     if mode != "on":
         last = F.max(p.date).over(W.partitionBy(p.symbol, F.to_date(p.date)))
         df = df.withColumn("_night", F.col(p.date) + F.expr(f"INTERVAL '{period * step.total_seconds()}' SECOND") > last)

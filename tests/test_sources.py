@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from panelmill.sources import files, store
 from panelmill.sources.versions import MOST_VERSIONS, ConflictError, Versions
+from pyspark.sql import functions as F
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -115,3 +116,11 @@ def test_many_versions_become_one(spark, tmp_path):
         kept.save(spark.createDataFrame([(at(k), f"s{k % 3}", float(k))], SHAPE), ["f"], append=True)
     number, versions = kept.manifest()
     assert number == MOST_VERSIONS + 2 and len(versions) == 2 and len(rows_of(kept)) == MOST_VERSIONS + 2
+
+
+def test_places_over_many_ranges(spark):
+    from panelmill.functions.order import numbered
+
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(9)
+    assert [(r.v, r.place) for r in numbered(df, "v", "place").orderBy("v").collect()] == list(zip(sorted(k * 7919 % 5003 for k in range(5000)), range(5000)))
+    assert numbered(df.where("false"), "v", "place").count() == 0
