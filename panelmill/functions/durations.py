@@ -5,11 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+# The units in which durations are written, largest first, and how many of each make one of the unit before it.
 UNITS = ("y", "m", "d", "h", "min", "s")
+MAKE_ONE = {"m": 12, "d": 30, "h": 24, "min": 60, "s": 60}
+
+PART = re.compile(rf"(\d+)({'|'.join(sorted(UNITS, key=len, reverse=True))})")
 
 
 def parse_duration(text: str) -> dict[str, int]:
-    found = re.findall(r"(\d+)(min|y|m|d|h|s)", text)
+    found = PART.findall(text)
     if not found or "".join(a + b for a, b in found) != text:
         raise ValueError(f"not a duration: {text!r}")
     return {unit: sum(int(n) for n, u in found if u == unit) for unit in UNITS}
@@ -26,9 +30,9 @@ def shift_datetime(base: dt.datetime, duration: str, mode: str = "sub") -> dt.da
 
 
 def multiply_duration(k: int, duration: str) -> str:
-    """k times the duration, carried: 60 s, 60 min, 24 h, 30 d, 12 m."""
+    """k times the duration, carried into the larger units."""
     n = {unit: k * v for unit, v in parse_duration(duration).items()}
-    for small, large, size in (("s", "min", 60), ("min", "h", 60), ("h", "d", 24), ("d", "m", 30), ("m", "y", 12)):
-        carry, n[small] = divmod(n[small], size)
+    for large, small in reversed(list(zip(UNITS, UNITS[1:]))):
+        carry, n[small] = divmod(n[small], MAKE_ONE[small])
         n[large] += carry
     return "".join(f"{n[unit]}{unit}" for unit in UNITS if n[unit]) or "0s"

@@ -24,7 +24,7 @@ class ResearchConfig:
         if self.bins < 3:
             raise ValueError(f"a study needs 3 bins or more, not {self.bins}")
         if self.overnight not in ("on", "off", "only"):
-            raise ValueError(f"overnight must be on, off or only, got {self.overnight}")
+            raise ValueError(f"{self.overnight!r} is no overnight mode; there are on, off and only")
         self.fees  # noqa: B018  raises for an unknown direction
 
     @property
