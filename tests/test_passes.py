@@ -214,3 +214,23 @@ def test_outliers_of_a_line_get_the_fit(spark):
     assert all(got[r[:2]] == r[3] for r in rows if r[1] not in ("s11", "s03"))
     edge = {r.symbol: r.factor for r in winsorize.ransac_fit(p, 2.5, replace_with_fit=False).df.collect()}
     assert 22 < edge["s11"] < 500
+
+
+def test_bayesian_ridge_by_its_plain_fixed_point(panel, by_date):
+    got = {(r.datetime, r.symbol): r.factor for r in neutralize.bayesianridge(panel, ["a", "b"]).df.collect()}
+    for d, (x, y, _) in by_date.items():
+        if len(x) < 9 or x[:, 0].std() < 1e-9:
+            continue
+        cx, cy, n = x - x.mean(0), y - y.mean(), len(x)
+        alpha, lam, w = 1 / y.var(), 1.0, np.zeros(K)
+        for _ in range(300):
+            before = w
+            inverse = np.linalg.inv(lam * np.eye(K) + alpha * cx.T @ cx)
+            w = alpha * inverse @ cx.T @ cy
+            gamma = K - lam * np.trace(inverse)
+            lam = (gamma + 2e-6) / (w @ w + 2e-6)
+            alpha = (n - gamma + 2e-6) / (((cy - cx @ w) ** 2).sum() + 2e-6)
+            if np.abs(w - before).sum() < 1e-3:
+                break
+        own = [got[d, f"s{i:03}"] for i in range(n)]
+        assert own == pytest.approx(cy - cx @ w, abs=1e-5)
