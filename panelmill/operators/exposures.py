@@ -37,9 +37,9 @@ def prepared(p: Panel, exposures: list[str], period: int = 1, fac_shift: int | N
     return complete(df, [p.factor, *exposures])
 
 
-def _attributed(p: Panel, expo: DataFrame, betas: DataFrame, columns: list[str], intercept: str, total: str) -> DataFrame:
+def _attributed(p: Panel, fits: DataFrame, columns: list[str], intercept: str, total: str) -> DataFrame:
     zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
-    df = expo.join(betas, p.date).select(p.date, *(zero(f"{c}_expo").alias(f"{c}_expo") for c in columns), F.coalesce("intercept", F.lit(0.0)).alias(intercept), *(F.coalesce(F.col("coef")[k], F.lit(0.0)).alias(c) for k, c in enumerate(columns)))
+    df = fits.select(p.date, *(zero(f"{c}_expo").alias(f"{c}_expo") for c in columns), F.coalesce("intercept", F.lit(0.0)).alias(intercept), *(F.coalesce(F.col("coef")[k], F.lit(0.0)).alias(c) for k, c in enumerate(columns)))
     df = df.withColumns({f"{c}_attr": F.col(f"{c}_expo") * F.col(c) for c in columns})
     portfolio = F.col(intercept)
     for c in columns:
@@ -57,20 +57,18 @@ def portfolio_exposures(p: Panel, exposures: list[str], bins: int = 5, position:
     df = prepared(p, exposures, **options).withColumn("quantile", quantile_bin(F.col(p.factor), bins, p.date, p.symbol, descending=True)).dropna(subset=["fut_ret"])
     legs = {"l": [1], "s": [bins], "ls": [1, bins]}[position]
     signed = lambda c: F.when(F.col("quantile") == bins, -F.col(c)).otherwise(F.col(c)) if position != "l" else F.col(c)
-    expo = df.where(F.col("quantile").isin(legs)).groupBy(p.date).agg(*(F.avg(signed(c)).alias(f"{c}_expo") for c in exposures))
-    betas = least_squares(df, p.date, "fut_ret", exposures)
-    return _attributed(p, expo, betas, exposures, "intercept", "portfolio_cum_ret")
+    in_leg = F.col("quantile").isin(legs)
+    fits = least_squares(df, p.date, "fut_ret", exposures, F.count_if(in_leg).alias("n_legs"), *(F.avg(F.when(in_leg, signed(c))).alias(f"{c}_expo") for c in exposures))
+    return _attributed(p, fits.where("n_legs > 0"), exposures, "intercept", "portfolio_cum_ret")
 
 
 def pure_exposures(p: Panel, exposures: list[str], **options) -> DataFrame:
     """Exposures of weights factor / sum |factor|; a date with a null return has no coefficients, so 0."""
     df = prepared(p, exposures, pure=True, **options)
     w = ndiv(F.col(p.factor), F.sum(F.abs(p.factor)).over(p.by_date))
-    expo = df.withColumn("_w", w).groupBy(p.date).agg(*(F.sum(F.col("_w") * F.col(c)).alias(f"{c}_expo") for c in exposures))
-    whole = df.withColumn("_nulls", F.count_if(F.col("fut_ret").isNull()).over(p.by_date)).where("_nulls = 0")
-    betas = least_squares(whole, p.date, "fut_ret", exposures)
-    betas = expo.select(p.date).join(betas, p.date, "left")
-    return _attributed(p, expo, betas, exposures, "Alpha", f"{p.factor}_cum_ret")
+    fits = least_squares(df.withColumn("weight", w), p.date, "fut_ret", exposures, F.count_if(F.col("fut_ret").isNull()).alias("n_nulls"), *(F.sum(F.col("weight") * F.col(c)).alias(f"{c}_expo") for c in exposures))
+    fits = fits.withColumns({c: F.when(F.col("n_nulls") == 0, F.col(c)) for c in ("coef", "intercept")})
+    return _attributed(p, fits, exposures, "Alpha", f"{p.factor}_cum_ret")
 
 
 def correlations(df: DataFrame, date: str, factor: str, exposures: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ each date's rows in a worker.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import combinations, combinations_with_replacement
 
@@ -55,35 +56,38 @@ def prepared(p: Panel, cols: list[str], dummies: list[str] | None = None, scale_
     return complete(df.withColumns(x), [p.factor, *x]), list(x)
 
 
-def eliminated(df: DataFrame, k: int, own: Callable[[str], str] = "{}".format) -> DataFrame:
-    """Solves each row's normal equations by elimination: columns s_i_j (covariances of regressors; s_i_y with y) end as
-    coefficients s_i_y.  A regressor that depends on those before it gets 0."""
-    s = lambda i, j: F.col(f"s_{min(i, j)}_{max(i, j)}" if j != "y" else f"s_{i}_y")
-    df = df.withColumns({f"a_{i}_{j}": s(i, j) for i in range(k) for j in [*range(k), "y"]})
+def eliminated(df: DataFrame, k: int) -> DataFrame:
+    """Solves each row's normal equations by elimination: columns _s_i_j (covariances of regressors; _s_i_y with y) give
+    coefficients _a_i_y.  A regressor that depends on those before it gets 0."""
+    s = lambda i, j: F.col(f"_s_{min(i, j)}_{max(i, j)}" if j != "y" else f"_s_{i}_y")
+    df = df.withColumns({f"_a_{i}_{j}": s(i, j) for i in range(k) for j in [*range(k), "y"]})
     for i in range(k):
-        pivot = F.when(F.col(f"a_{i}_{i}") > F.col(f"s_{i}_{i}") * 1e-12, 1 / F.col(f"a_{i}_{i}")).otherwise(0.0)
-        df = df.withColumns({f"a_{i}_{j}": F.col(f"a_{i}_{j}") * pivot for j in [*range(k), "y"]} | {"_p": pivot})
-        df = df.withColumns({f"a_{r}_{j}": F.col(f"a_{r}_{j}") - F.col(f"a_{r}_{i}") * F.col(f"a_{i}_{j}") for r in range(k) if r != i for j in [*range(k), "y"]})
+        pivot = F.when(F.col(f"_a_{i}_{i}") > F.col(f"_s_{i}_{i}") * 1e-12, 1 / F.col(f"_a_{i}_{i}")).otherwise(0.0)
+        df = df.withColumns({f"_a_{i}_{j}": F.col(f"_a_{i}_{j}") * pivot for j in [*range(k), "y"]} | {"_p": pivot})
+        df = df.withColumns({f"_a_{r}_{j}": F.col(f"_a_{r}_{j}") - F.col(f"_a_{r}_{i}") * F.col(f"_a_{i}_{j}") for r in range(k) if r != i for j in [*range(k), "y"]})
     return df
 
 
 def closed_moments(y: str, xs: list[str], over=None) -> dict[str, Column]:
-    """Means m_i and m_y and covariances s_i_j and s_i_y, as aggregates or, with a window, beside each row."""
+    """Means _m_i and _m_y and covariances _s_i_j and _s_i_y, as aggregates or, with a window, beside each row."""
     at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    out = {f"m_{i}": at(F.avg(c)) for i, c in enumerate(xs)} | {"m_y": at(F.avg(y))}
-    out |= {f"s_{i}_{j}": at(F.covar_pop(a, xs[j])) for i, a in enumerate(xs) for j in range(i, len(xs))}
-    return out | {f"s_{i}_y": at(F.covar_pop(c, y)) for i, c in enumerate(xs)}
+    out = {f"_m_{i}": at(F.avg(c)) for i, c in enumerate(xs)} | {"_m_y": at(F.avg(y))}
+    out |= {f"_s_{i}_{j}": at(F.covar_pop(a, xs[j])) for i, a in enumerate(xs) for j in range(i, len(xs))}
+    return out | {f"_s_{i}_y": at(F.covar_pop(c, y)) for i, c in enumerate(xs)}
 
 
-def least_squares(df: DataFrame, by: str, y: str, xs: list[str]) -> DataFrame:
-    """by, coef, intercept of a fit for each date: an expression over aggregates where regressors are few."""
+def least_squares(df: DataFrame, by: str, y: str, xs: list[str], *also: Column) -> DataFrame:
+    """by, coef, intercept of a fit for each date, and other aggregates of its rows.  Where regressors are few, all of it is
+    one aggregation and an expression over it."""
     if len(xs) > CLOSED:
-        return solved(moments(df, by, y, xs), by, linear.ols)
-    m = eliminated(df.groupBy(by).agg(*(c.alias(n) for n, c in closed_moments(y, xs).items())), len(xs))
-    intercept = F.col("m_y")
+        fits = solved(moments(complete(df, [y]), by, y, xs), by, linear.ols)
+        return df.groupBy(by).agg(*also).join(fits, by, "left") if also else fits
+    m = eliminated(df.groupBy(by).agg(*also, *(c.alias(n) for n, c in closed_moments(y, xs).items())), len(xs))
+    intercept = F.col("_m_y")
     for i in range(len(xs)):
-        intercept = intercept - F.col(f"a_{i}_y") * F.col(f"m_{i}")
-    return m.select(by, F.array(*(F.col(f"a_{i}_y") for i in range(len(xs)))).alias("coef"), intercept.alias("intercept"))
+        intercept = intercept - F.col(f"_a_{i}_y") * F.col(f"_m_{i}")
+    kept = [c for c in m.columns if not re.fullmatch(r"_[msap](_\w+)?", c)]
+    return m.select(*kept, F.array(*(F.col(f"_a_{i}_y") for i in range(len(xs)))).alias("coef"), intercept.alias("intercept"))
 
 
 def moments(df: DataFrame, by: str, y: str, xs: list[str]) -> DataFrame:
@@ -111,9 +115,9 @@ def applied(p: Panel, df: DataFrame, xs: list[str], fits: DataFrame) -> Panel:
 def _linear(p: Panel, df: DataFrame, xs: list[str], solver: Callable, **options) -> Panel:
     if solver is linear.ols and len(xs) <= CLOSED:
         df = eliminated(df.withColumns(closed_moments(p.factor, xs, p.by_date)), len(xs))
-        fit = F.col("m_y")
+        fit = F.col("_m_y")
         for i, c in enumerate(xs):
-            fit = fit + F.col(f"a_{i}_y") * (F.col(c) - F.col(f"m_{i}"))
+            fit = fit + F.col(f"_a_{i}_y") * (F.col(c) - F.col(f"_m_{i}"))
         return p.with_df(df.withColumn(p.factor, p.x - fit).select(*p.df.columns))
     return applied(p, df, xs, solved(moments(df, p.date, p.factor, xs), p.date, solver, **options))
 
