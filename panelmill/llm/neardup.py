@@ -109,10 +109,12 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     own = [F.min("doc_id").alias("least"), holder, F.first("size").alias("size"), F.first("bands").alias("bands")]
     texts = cut_lineage(signed.where("content IS NOT NULL").groupBy(F.col("content").alias("id")).agg(*own))
 
+    repeated = not signed.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()  # else a holder is one row
+
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = texts.select("id", "holder").join(ids, "id").select("id", F.col("holder.doc_id").alias("doc"), F.col("holder.text_key").alias("text_key"))
         read = source.withColumn("key", F.xxhash64("text")).join(wanted, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
-        return shingle_sets(read.groupBy("id").agg(F.first("text").alias("text")))
+        return shingle_sets(read.groupBy("id").agg(F.first("text").alias("text")) if repeated else read)
 
     links, found = near_links(texts.select(F.explode("bands").alias("key"), "id", "size"), sets_of, THRESHOLD)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_search_links"))
