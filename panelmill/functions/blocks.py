@@ -188,6 +188,12 @@ def over_rows(df: DataFrame, by: str, columns: list[Column], of: Callable[[np.nd
     return summed(rows.mapInArrow(as_blocks, f"by {kind}, n int, keys binary, y binary, x binary"), lambda b: of(b.x), combine)
 
 
+def _row(batch: pa.RecordBatch, i: int) -> dict:
+    """Columns of a row, arrays as numpy without a Python object for each number."""
+    values = {c: batch.column(c)[i] for c in batch.schema.names}
+    return {c: v.values.to_numpy(zero_copy_only=False) if isinstance(v, pa.ListScalar) and v.is_valid else v.as_py() for c, v in values.items()}
+
+
 KINDS = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -198,7 +204,7 @@ def updated(df: DataFrame, step: Callable[[dict], dict], schema: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = pa.schema([("by", batch.schema.field("by").type), *((name, KINDS[kind]) for name, kind in fields)])
-            rows = [{"by": r["by"], **step({c: np.asarray(v) if isinstance(v, list) else v for c, v in r.items()})} for r in batch.to_pylist()]
+            rows = [{"by": r["by"], **step(r)} for r in (_row(batch, i) for i in range(batch.num_rows))]
             rows = [{c: v.tolist() if isinstance(v, np.ndarray) else v for c, v in r.items() if c in kinds.names} for r in rows]
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 

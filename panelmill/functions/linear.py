@@ -84,18 +84,17 @@ def bayesian_ridge(n, mx, my, sxx, sxy, syy, max_iter=300, tol=1e-3, a1=1e-6, a2
 # -- from rows --
 
 
-def kernel_ridge_fit(x, y, alpha=1.0, kernel="rbf", gamma=None, degree=3, coef0=1.0):
-    gamma = 1 / x.shape[1] if gamma is None else gamma
-    product = x @ x.T
+def kernel_of(a, b, kernel="rbf", gamma=1.0, degree=3, coef0=1.0):
+    """The kernel of all rows of a with all rows of b."""
+    product = a @ b.T
     if kernel == "rbf":
-        squares = np.diag(product)
-        k = np.exp(-gamma * np.maximum(squares[:, None] + squares - 2 * product, 0))
-    elif kernel in ("poly", "polynomial"):
-        k = (gamma * product + coef0) ** degree
-    elif kernel == "linear":
-        k = product
-    else:
-        raise ValueError(f"unknown kernel {kernel!r}")
+        return np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * product, 0))
+    return product if kernel == "linear" else (gamma * product + coef0) ** degree
+
+
+def kernel_ridge_fit(x, y, alpha=1.0, kernel="rbf", gamma=None, degree=3, coef0=1.0):
+    """Of one small cross-section, by its kernel matrix; `operators/kernels.py` makes none."""
+    k = kernel_of(x, x, kernel, 1 / x.shape[1] if gamma is None else gamma, degree, coef0)
     return k @ np.linalg.solve(k + alpha * np.eye(len(y)), y)
 
 

@@ -4,8 +4,8 @@ Rows with a null factor or regressor are dropped, as there is no fit for them.
 expression over moments in windows, so the panel is read once and never leaves the JVM.  Other linear methods need only
 each date's moments, of any number of columns: one pass gives them as partial sums, a worker solves one small system for
 each date, and residuals are an expression on the panel.  Robust methods take several such passes over blocks of a table
-with the needed columns (see `robust.py`), so no date has to fit in a task.  Kernel ridge, forest and boosting still fit
-each date's rows in a worker.
+with the needed columns (see `robust.py`), so no date has to fit in a task; kernel ridge does too (`kernels.py`).  Forest
+and boosting still fit each date's rows in a worker.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ..functions import linear
 from ..functions.blocks import gram, packed, parted, updated
 from ..functions.expr import complete
+from ..functions.tables import cut_lineage
 from ..panel import Panel
-from . import robust
+from . import kernels, robust
 
 #: Regressors up to which least squares is an expression; more go through partial sums of arrays.
 CLOSED = 3
@@ -127,6 +128,14 @@ def _robust(p: Panel, df: DataFrame, xs: list[str], fit: Callable, *options) ->
     return applied(p, df, xs, fit(blocks, *options).withColumnRenamed("by", p.date))
 
 
+def _numbered(p: Panel, df: DataFrame, xs: list[str], fitted: Callable[[DataFrame], DataFrame]) -> Panel:
+    """Residuals by the number of the row: `fitted` gives row and fit of blocks whose last column of x is that number."""
+    df = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    blocks = packed(df, p.date, F.col(p.symbol), p.x, [*(F.col(c) for c in xs), F.col("_row")])
+    fits = fitted(blocks.withColumnRenamed(p.date, "by")).withColumnRenamed("row", "_row")
+    return p.with_df(df.join(fits, "_row").withColumn(p.factor, p.x.cast("double") - F.col("fit")).select(*p.df.columns))
+
+
 def _rows(p: Panel, df: DataFrame, xs: list[str], fit: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Panel:
     factor, keep, order = p.factor, list(p.df.columns), p.symbol
 
@@ -178,7 +187,8 @@ def polynomial(p, cols, dummies=None, scale_x=False, degree=2, interaction_only=
 
 
 def kernelridge(p, cols, dummies=None, scale_x=False, alpha=1.0, kernel="rbf", gamma=None, degree=3, coef0=1.0):
-    return _rows(p, *prepared(p, cols, dummies, scale_x), lambda x, y: linear.kernel_ridge_fit(x, y, alpha, kernel, gamma, degree, coef0))
+    df, xs = prepared(p, cols, dummies, scale_x)
+    return _numbered(p, df, xs, lambda blocks: kernels.kernel_ridge(blocks, len(xs), alpha, kernel, gamma, degree, coef0))
 
 
 def huber(p, cols, dummies=None, scale_x=True, epsilon=1.35, alpha=0.0, max_iter=100, tol=1e-5):
