@@ -6,6 +6,11 @@ import math
 
 import numpy as np
 
+from .blocks import mix
+
+#: Rows of trees that grow together, so that small cross-sections don't wait on single calls.
+TOGETHER = 60_000
+
 
 # -- from moments: n, means and centred second moments (covariances with denominator n) --
 
@@ -98,64 +103,97 @@ def kernel_ridge_fit(x, y, alpha=1.0, kernel="rbf", gamma=None, degree=3, coef0=
     return k @ np.linalg.solve(k + alpha * np.eye(len(y)), y)
 
 
-class Tree:
-    """A regression tree on squared error."""
-
-    def __init__(self, depth, min_leaf=1, max_features=None, draw=None):
-        self.depth, self.min_leaf, self.max_features, self.draw, self.root = depth, min_leaf, max_features, draw, None
-
-    def fit(self, x, y):
-        self.root = self._grow(x, y, self.depth)
-        return self
-
-    def _grow(self, x, y, depth):
-        if depth == 0 or len(y) < 2 * self.min_leaf or np.ptp(y) == 0:
-            return y.mean()
-        features = range(x.shape[1]) if self.max_features is None else self.draw.permutation(x.shape[1])
-        best, tried = None, 0
-        for j in features:
-            if self.max_features is not None and tried >= self.max_features and best is not None:
-                break
-            tried += 1
-            order = np.argsort(x[:, j], kind="stable")
-            v, t = x[order, j], y[order]
-            cut = np.flatnonzero(v[1:] > v[:-1]) + 1
-            cut = cut[(cut >= self.min_leaf) & (cut <= len(y) - self.min_leaf)]
-            if len(cut):
-                sums = np.cumsum(t)[cut - 1]
-                gain = sums**2 / cut + (t.sum() - sums) ** 2 / (len(y) - cut)
-                k = int(np.argmax(gain))
-                if best is None or gain[k] > best[0] + 1e-15:
-                    best = (gain[k], j, (v[cut[k] - 1] + v[cut[k]]) / 2)
-        if best is None:
-            return y.mean()
-        left = x[:, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x[left], y[left], depth - 1), self._grow(x[~left], y[~left], depth - 1)
-
-    def predict(self, x):
-        out = np.empty(len(x))
-        stack = [(self.root, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            if isinstance(node, tuple):
-                left = x[rows, node[0]] <= node[1]
-                stack += [(node[2], rows[left]), (node[3], rows[~left])]
-            else:
-                out[rows] = node
-        return out
+def grown(x, y, weight, order, root, depth, min_leaf=1, max_features=None, key=None):
+    """Values that regression trees on squared error give their rows, as many trees as roots: all nodes of a level are
+    split at once.  root: each row's tree, from 0 on; weight: how often a row counts, 0 if only its value is asked for;
+    order: by column, rows by root and then by that column.  Of columns in an order drawn from the keys of the roots, a
+    node tries `max_features` and more while none splits it; without a limit it tries all."""
+    k, out, node = x.shape[1], np.empty(len(y)), root.copy()
+    order, rows = [o[weight[o] > 0] for o in order], np.arange(len(y))
+    while len(rows):
+        o = order[0]
+        sizes = np.bincount(node[o])
+        m, first = len(sizes), np.cumsum(sizes) - sizes
+        own, held = np.repeat(np.arange(m), sizes), y[o]
+        total = np.add.reduceat(weight[o], first)
+        mean = np.add.reduceat(weight[o] * held, first) / total
+        live = (depth > 0) & (total >= 2 * min_leaf) & (np.maximum.reduceat(held, first) > np.minimum.reduceat(held, first))
+        gain, column, cut = np.full(m, -np.inf), np.full(m, -1), np.zeros(m)
+        turns = np.tile(np.arange(k), (m, 1)) if max_features is None else np.argsort(mix(key[:, None] ^ mix(np.arange(1, k + 1, dtype=np.uint64))), axis=1)
+        for turn in range(k):
+            asked = live if max_features is None or turn < max_features else live & (column < 0)
+            for j in range(k):
+                at = np.flatnonzero((asked & (turns[:, turn] == j))[own])
+                if len(at):
+                    nodes, found, middle = best_cuts(x[:, j], y, weight, order[j][at], own[at], total, mean, min_leaf)
+                    better = found > gain[nodes] + 1e-15
+                    nodes = nodes[better]
+                    gain[nodes], column[nodes], cut[nodes] = found[better], j, middle[better]
+        split = column >= 0
+        at = node[rows]
+        out[rows[~split[at]]] = mean[at[~split[at]]]
+        rows, at = rows[split[at]], at[split[at]]
+        node[rows] = 2 * (np.cumsum(split) - 1)[at] + (x[rows, column[at]] > cut[at])
+        key, depth, kept = None if key is None else mix(np.repeat(key[split], 2) + np.tile(np.array([1, 2], np.uint64), split.sum())), depth - 1, split[own]
+        if depth == 0:
+            o = order[0][kept]
+            out[rows] = (np.bincount(node[o], weight[o] * y[o]) / np.bincount(node[o], weight[o]))[node[rows]]
+            break
+        order = [parted_by(o[kept], node) for o in order]
+    return out
+
+
+def best_cuts(v, y, weight, o, own, total, mean, min_leaf):
+    """Nodes that a column can split, what that takes off their squared errors, and where: the first of the best cuts.
+    o: rows by node and value; own: their nodes."""
+    v, w = v[o], weight[o]
+    new = np.concatenate([[True], own[1:] != own[:-1]])
+    first, segment = np.flatnonzero(new), np.cumsum(new) - 1
+    n, s = np.cumsum(w), np.cumsum(w * (y[o] - mean[own]))
+    n, s = (c - np.concatenate([[0], c[first[1:] - 1]])[segment] for c in (n, s))
+    rest = total[own] - n
+    good = (n >= min_leaf) & (rest >= min_leaf)
+    good[:-1] &= ~new[1:] & (v[1:] > v[:-1])
+    good[-1] = False
+    gain = np.where(good, s * s * (1 / n + 1 / np.maximum(rest, 1)), -np.inf)
+    hit = np.flatnonzero(good & (gain == np.maximum.reduceat(gain, first)[segment]))
+    hit = hit[np.unique(segment[hit], return_index=True)[1]]
+    middle = (v[hit] + v[hit + 1]) / 2
+    return own[hit], gain[hit], np.where(middle < v[hit + 1], middle, v[hit])
+
+
+def parted_by(o, node):
+    """Rows by their new nodes, of which two follow from each old one; order within a node stays."""
+    at = node[o]
+    right = (at & 1).astype(bool)
+    sizes = np.bincount(at)
+    out, side = np.empty_like(o), np.repeat(np.tile([False, True], len(sizes) // 2), sizes)
+    out[~side], out[side] = o[~right], o[right]
+    return out
+
+
+def forest_sums(x, y, trees, max_features=1, max_depth=None, min_leaf=1, bootstrap=True, seed=0):
+    """The sum of what the trees of some numbers give each row.  What a tree draws depends on its number alone."""
+    n, k = x.shape
+    order, total, many = [np.argsort(x[:, j], kind="stable") for j in range(k)], np.zeros(n), max(1, TOGETHER // n)
+    for some in (trees[i : i + many] for i in range(0, len(trees), many)):
+        weight = [np.bincount(np.random.default_rng((seed, t)).integers(0, n, n), minlength=n) if bootstrap else np.ones(n, np.int64) for t in some]
+        shift = np.arange(len(some)) * n
+        key = mix(np.array(some, np.uint64) + np.uint64(1) + mix(np.array([seed + 1], np.uint64)))
+        total += grown(np.tile(x, (len(some), 1)), np.tile(y, len(some)), np.concatenate(weight), [(o + shift[:, None]).ravel() for o in order], np.repeat(np.arange(len(some)), n), max_depth or 64, min_leaf, max_features, key).reshape(len(some), n).sum(0)
+    return total
 
 
 def forest_fit(x, y, n_estimators=50, max_features=1, max_depth=None, min_leaf=1, bootstrap=True, seed=0):
-    draw, total = np.random.default_rng(seed), np.zeros(len(y))
-    for _ in range(n_estimators):
-        rows = draw.integers(0, len(y), len(y)) if bootstrap else np.arange(len(y))
-        total += Tree(max_depth or 64, min_leaf, max_features, draw).fit(x[rows], y[rows]).predict(x)
-    return total / n_estimators
+    return forest_sums(x, y, range(n_estimators), max_features, max_depth, min_leaf, bootstrap, seed) / n_estimators
 
 
 def boosting_fit(x, y, n_estimators=50, learning_rate=0.1, max_depth=3, subsample=1.0, seed=0):
-    draw, fit = np.random.default_rng(seed), np.full(len(y), y.mean())
+    draw, fit, root = np.random.default_rng(seed), np.full(len(y), y.mean()), np.zeros(len(y), np.int64)
+    order = [np.argsort(x[:, j], kind="stable") for j in range(x.shape[1])]
     for _ in range(n_estimators):
-        rows = draw.permutation(len(y))[: max(1, int(subsample * len(y)))] if subsample < 1 else np.arange(len(y))
-        fit += learning_rate * Tree(max_depth).fit(x[rows], (y - fit)[rows]).predict(x)
+        weight = np.ones(len(y), np.int64)
+        if subsample < 1:
+            weight[draw.permutation(len(y))[max(1, int(subsample * len(y))) :]] = 0
+        fit += learning_rate * grown(x, y - fit, weight, order, root, max_depth)
     return fit

@@ -4,8 +4,8 @@ Rows with a null factor or regressor are dropped, as there is no fit for them.
 expression over moments in windows, so the panel is read once and never leaves the JVM.  Other linear methods need only
 each date's moments, of any number of columns: one pass gives them as partial sums, a worker solves one small system for
 each date, and residuals are an expression on the panel.  Robust methods take several such passes over blocks of a table
-with the needed columns (see `robust.py`), so no date has to fit in a task; kernel ridge does too (`kernels.py`).  Forest
-and boosting still fit each date's rows in a worker.
+with the needed columns (see `robust.py`), so no date has to fit in a task; kernel ridge does too (`kernels.py`).  A task
+that grows some trees of a forest, or boosts, has one date's rows.
 """
 
 from __future__ import annotations
@@ -205,7 +205,9 @@ def theilsen(p, cols, dummies=None, scale_x=False, max_subpopulation=1000, max_i
 
 
 def randomforest(p, cols, dummies=None, scale_x=False, n_estimators=50, max_features=1, max_depth=None, min_leaf=1, bootstrap=True, seed=0):
-    return _rows(p, *prepared(p, cols, dummies, scale_x), lambda x, y: linear.forest_fit(x, y, n_estimators, max_features, max_depth, min_leaf, bootstrap, seed))
+    """Trees of a date are dealt to tasks; what a tree draws depends on the seed, its number and the date's rows alone."""
+    df, xs = prepared(p, cols, dummies, scale_x)
+    return _numbered(p, df, xs, lambda blocks: robust.forest(blocks, len(xs), n_estimators, max_features, max_depth, min_leaf, bootstrap, seed))
 
 
 def gbdt(p, cols, dummies=None, scale_x=False, n_estimators=50, learning_rate=0.1, max_depth=3, subsample=1.0, seed=0):

@@ -10,11 +10,12 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import Block, mix, moments, moments_combined, moments_of, parted, summed, updated
-from ..functions.linear import ols
+from ..functions.linear import forest_sums, ols
 from ..functions.tables import cut_lineage
 
 #: The frame of a date: its rows, means and deviations of regressors, mean of y, and the least-squares fit in that frame.
@@ -256,6 +257,27 @@ def spatial_median(points: np.ndarray, max_iter: int = 300, tol: float = 1e-3) -
     return at
 
 
+# -- forest --
+
+#: Trees that a task grows over the rows of a date.
+TREES = 10
+
+
+def forest(blocks: DataFrame, k: int, trees: int, *options) -> DataFrame:
+    """row (the last column of x) and fit, the mean of the trees.  A task has the rows of a date as columns, in an order
+    that doesn't depend on how they were dealt."""
+
+    def grow(key: tuple, rows: pa.Table) -> pa.Table:
+        names, x, y = np.concatenate([np.frombuffer(v, np.uint64) for v in rows["keys"].to_pylist()]), *(np.concatenate([np.frombuffer(v) for v in rows[c].to_pylist()]) for c in ("x", "y"))
+        x, first = x.reshape(-1, k + 1), key[1].as_py() * TREES
+        order = np.lexsort((*x[:, :k].T, y, names))
+        sums = forest_sums(x[order, :k], y[order], range(first, min(first + TREES, trees)), *options)
+        return pa.table({"row": x[order, k].astype(np.int64), "part": sums})
+
+    dealt = blocks.withColumn("some", F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // TREES))))
+    return dealt.select("by", "some", "keys", "y", "x").groupBy("by", "some").applyInArrow(grow, "row long, part double").groupBy("row").agg((F.sum("part") / trees).alias("fit"))
+
+
 # -- independent components --
 
 

@@ -53,3 +53,41 @@ def test_kernel_ridge_of_a_large_cross_section(spark):
     small = linear.kernel_of(*[np.column_stack([each % 5 / 2, each % 3 - 1.0])] * 2, "rbf", 0.5)
     fit = small @ np.linalg.solve(np.bincount(own)[:, None] * small + np.eye(15), np.bincount(own, y))
     assert np.abs(got - (y - fit[own])).max() < 1e-8
+
+
+def plain_tree(x, y, depth, min_leaf):
+    """A tree by recursion, node by node."""
+    best = None
+    for j in range(x.shape[1]):
+        values = np.unique(x[:, j])
+        for middle in (values[1:] + values[:-1]) / 2 if depth and np.ptp(y) else ():
+            left = x[:, j] <= middle
+            if min(left.sum(), (~left).sum()) >= min_leaf:
+                gain = left.sum() * (y[left].mean() - y.mean()) ** 2 + (~left).sum() * (y[~left].mean() - y.mean()) ** 2
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, left
+    out = np.full(len(y), y.mean())
+    for part in (best[1], ~best[1]) if best else ():
+        out[part] = plain_tree(x[part], y[part], depth - 1, min_leaf)
+    return out
+
+
+@pytest.mark.parametrize("depth, min_leaf", [(64, 1), (3, 1), (64, 4)])
+def test_levels_of_nodes_equal_recursion(depth, min_leaf):
+    rows = cross_sections([70])
+    x, y = rows[["a", "b"]].to_numpy(), rows["factor"].to_numpy()
+    got = linear.forest_fit(x, y, 2, 2, depth, min_leaf, bootstrap=False)
+    assert np.allclose(got, plain_tree(x, y, depth, min_leaf))
+
+
+def test_forest_does_not_depend_on_how_rows_and_trees_are_dealt(spark, monkeypatch):
+    rows = cross_sections([1, 2, 50, 300])
+    df = spark.createDataFrame(rows)
+    got = neutralize.randomforest(Panel(df), ["a", "b"]).df.toPandas().sort_values(["datetime", "symbol"])
+    again = neutralize.randomforest(Panel(df.repartition(7, "symbol")), ["a", "b"]).df.toPandas().sort_values(["datetime", "symbol"])
+    assert np.allclose(got["factor"], again["factor"]) and len(got) == len(rows)
+    one = rows[rows["datetime"] == rows["datetime"].max()]
+    x, y = one[["a", "b"]].to_numpy(), one["factor"].to_numpy()
+    together = linear.forest_sums(x, y, range(50))
+    monkeypatch.setattr(linear, "TOGETHER", 1)
+    assert np.allclose(together, linear.forest_sums(x, y, range(20)) + linear.forest_sums(x, y, range(20, 50)))
