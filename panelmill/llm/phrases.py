@@ -16,6 +16,7 @@ phrases, and texts of any length are cut into portions where pieces end; other c
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, lists_of, mix, portions, released, squeezed, texts_of
+from .common import cut_lineage, let_go, lists_of, mix, portions, released, squeezed, texts_of
 
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 END = re.compile(f"[{ENDS.decode()}]")
@@ -127,17 +128,48 @@ def neighbours_joined(relation: pa.Table, groups: pa.Table) -> pa.Table:
 
 def frequent_words(relation: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Words that occur `least` times or more: portion and at (squeezed places in the portion's words, and numbers); and
-    gid (the number), a (occurrences), lang and word."""
-    each = relation.select("lang", "portion", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("count"))).alias("at", "group")).select("lang", "portion", "at", "group.word", "group.count")
-    same = W.partitionBy("lang", "word")
-    rows = each.withColumn("a", F.sum("count").over(same)).where(F.col("a") >= least).withColumn("row", F.monotonically_increasing_id())
-    rows = cut_lineage(rows.withColumn("gid", F.min("row").over(same)))
-    maps = rows.select("portion", "at", "gid").groupBy("portion").applyInArrow(_numbers, "portion long, at binary")
-    return maps, rows.where(F.col("row") == F.col("gid")).select("gid", "a", "lang", "word")
+    gid (the number), a (occurrences), lang and word.  Words are dealt by hash into buckets, as compressed columns of what
+    a portion has in a bucket."""
+    buckets = max(1, -(-(relation.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET))
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lang, portion, words, counts = (batch.column(c)[i] for c in ("lang", "portion", "words", "counts"))
+                words, counts = words.values, counts.values.to_numpy()
+                hashed = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words))
+                order = np.argsort(hashed % buckets, kind="stable")  # at ascends within a bucket
+                names, first = np.unique(hashed[order] % buckets, return_index=True)
+                for bucket, at in zip(names, np.split(order, first[1:])):
+                    text = zstandard.compress(b" ".join(w.encode() for w in words.take(pa.array(at)).to_pylist()))
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket]), "lang": pa.array([lang.as_py()]), "portion": pa.array([portion.as_py()]), "part": pa.array([squeezed(counts[at], np.diff(at, prepend=0))], pa.binary()), "text": pa.array([text], pa.binary())})
+
+    def counted(key: tuple, rows: pa.Table) -> pa.Table:
+        parts = [released(p, 2) for p in rows["part"].to_pylist()]
+        portions, langs = rows["portion"].to_numpy(), rows["lang"].combine_chunks().dictionary_encode()
+        words = pa.array([w for t in rows["text"].to_pylist() for w in zstandard.decompress(t).decode().split(" ")]).dictionary_encode()
+        sizes = [p.shape[1] for p in parts]
+        owner, at, count = np.repeat(np.arange(len(parts)), sizes), np.concatenate([np.cumsum(p[1]) for p in parts]), np.concatenate([p[0] for p in parts])
+        both = np.repeat(langs.indices.to_numpy(), sizes).astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
+        groups, of = np.unique(both, return_inverse=True)
+        a = np.zeros(len(groups), np.int64)
+        np.add.at(a, of, count)
+        kept = a >= least
+        gid = np.where(kept, (key[0].as_py() << 36) + np.cumsum(kept), -1)
+        stay = np.flatnonzero(gid[of] >= 0)
+        own, ends = np.unique(owner[stay], return_index=True)  # owners ascend
+        maps = [squeezed(at[i], gid[of[i]]) for i in (np.split(stay, ends[1:]) if len(own) else [])]
+        n, none = len(own), int(kept.sum())
+        found = groups[kept]
+        return pa.table({
+            "portion": pa.array([*portions[own].tolist(), *[None] * none], pa.int64()), "at": pa.array([*maps, *[None] * none], pa.binary()), "gid": pa.array([*[None] * n, *gid[kept].tolist()], pa.int64()),
+            "a": pa.array([*[None] * n, *a[kept].tolist()], pa.int64()), "lang": pa.concat_arrays([pa.nulls(n, pa.string()), langs.dictionary.take(pa.array(found // len(words.dictionary)))]),
+            "word": pa.concat_arrays([pa.nulls(n, pa.string()), words.dictionary.take(pa.array(found % len(words.dictionary)))]),
+        })
 
-def _numbers(rows: pa.Table) -> pa.Table:
-    return pa.table({"portion": rows["portion"][:1], "at": pa.array([squeezed(rows["at"].to_numpy(), rows["gid"].to_numpy())], pa.binary())})
+    by_bucket = relation.select("lang", "portion", "words", "counts").mapInArrow(dealt, "bucket long, lang string, portion long, part binary, text binary").groupBy("bucket")
+    rows = cut_lineage(by_bucket.applyInArrow(counted, "portion long, at binary, gid long, a long, lang string, word string"))
+    return rows.where("portion IS NOT NULL").select("portion", "at"), rows.where("portion IS NULL").select("gid", "a", "lang", "word")
 
 
 def frequent_pairs(relation: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -193,9 +225,12 @@ def relations(documents: DataFrame, least: int, longest: int, portion: int = POR
     found = [groups]
     for _ in range(longest - 1):
         before = relation.select("portion", "codes", "places").groupBy("portion")
-        relation = cut_lineage(before.cogroup(maps.groupBy("portion")).applyInArrow(neighbours_joined, PAIRS))
+        longer = cut_lineage(before.cogroup(maps.groupBy("portion")).applyInArrow(neighbours_joined, PAIRS))
+        let_go(relation)
+        relation = longer
         maps, groups = frequent_pairs(relation, least)
         found.append(groups)
+    let_go(relation)
     return totals, found
 
 
