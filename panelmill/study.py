@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.tables import cut_lineage
 from .operators import backtest, ic
 from .panel import Panel, map_frequency
 from .plans.config import AnalysisConfig, ResearchConfig
@@ -41,7 +42,8 @@ class FactorStudy:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return backtest.bars(self.panel, self.research.bins)
+        """Written once, as the calendar, holdings and their returns all read them."""
+        return cut_lineage(backtest.bars(self.panel, self.research.bins))
 
     @cached_property
     def calendar(self) -> DataFrame:

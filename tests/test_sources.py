@@ -139,3 +139,9 @@ def test_closed_bars_round_times_as_their_sql(spark, tmp_path):
     got = catalog.QUERIES["t01_closed_bars"](spark, str(tmp_path)).select("datetime", "symbol", "close", "n").collect()
     want = con.sql(catalog.ORACLES["t01_closed_bars"]).fetchall()
     assert sorted(map(tuple, got)) == sorted((d, s, float(c), n) for d, s, c, n in want) and len(want) == 2
+
+
+def test_rows_of_a_study_are_written_once(spark, sf):
+    from panelmill import queries
+
+    assert all("panelmill-" in f for f in queries.study(spark, sf).rows.inputFiles())
